@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from harborscan.operators import report
+from harborscan.plans import scan_queries
+
+MODULES = [scan_queries]
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """The gate's decision with the count of each severity."""
+    counts = report.severity_counts(scan_queries.all_findings(spark, sf_dir))
+    return counts.join(scan_queries.gate_decision(spark, sf_dir).select("status", "coverage", "reasons"))
 
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
