@@ -2,7 +2,7 @@
 
 A page's text nodes are grouped by their root-to-leaf tag path. Each path has the mean text length and the mean
 punctuation of its nodes; both are smoothed over neighbouring nodes with a Gaussian window, fused as a product, and
-nodes below a share of the page's length-weighted mean are dropped. Elements that name themselves as no content (menus,
+paths below a share of the page's length-weighted mean are dropped, but for headings of what is kept. Elements that name themselves as no content (menus,
 headers, footers, sidebars, forms, adverts, notices, comments, scripts and styles) go with all below them; paths below
 an ``article`` or ``main`` element, where the page has one, are content unless they are lists of links.
 
@@ -98,6 +98,11 @@ def _smoothed(values: list[float]) -> list[float]:
     return out
 
 
+def _blended(values: list[float]) -> list[float]:
+    """The geometric mean of each value and its smoothed one: neighbours help, but do not outweigh the path's own ratio."""
+    return [math.sqrt(v * s) for v, s in zip(values, _smoothed(values), strict=True)]
+
+
 def main_text(html: str | None) -> str:
     nodes = text_nodes(html) if html else []
     if any(n[3] for n in nodes):
@@ -112,8 +117,8 @@ def main_text(html: str | None) -> str:
         marks[path] = marks.get(path, 0) + len(_PUNCTUATION.findall(text))
         count[path] = count.get(path, 0) + 1
         linked[path] = linked.get(path, 0) + n * link
-    a = _smoothed([length[n[1]] / count[n[1]] for n in solid])
-    b = _smoothed([marks[n[1]] / count[n[1]] for n in solid])
+    a = _blended([length[n[1]] / count[n[1]] for n in solid])
+    b = _blended([marks[n[1]] / count[n[1]] for n in solid])
     fused = [x * (1 + y) for x, y in zip(a, b, strict=True)]
     sizes = [len(n[0].strip()) for n in solid]
     bar = SHARE * sum(f * s for f, s in zip(fused, sizes, strict=True)) / sum(sizes)
@@ -122,6 +127,9 @@ def main_text(html: str | None) -> str:
         links_only = linked[node[1]] == length[node[1]] and count[node[1]] > 2 and length[node[1]] / count[node[1]] < 30
         if not links_only and (node[3] or f >= bar):
             kept.add(node[1])
+    for node, following in zip(solid, solid[1:]):  # a heading goes with what it heads
+        if re.search(r"/h[1-6](/|$)", node[1]) and following[1] in kept:
+            kept.add(node[1])
     blocks: dict[int, list[str]] = {}
     for text, path, block, _, _ in nodes:
         if path in kept or not text.strip():

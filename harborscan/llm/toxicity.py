@@ -298,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = marks.where("toxic = 1").orderBy(*order).limit(sample).unionAll(marks.where("toxic = 0").orderBy(*order).limit(sample))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").where("text IS NOT NULL")
-    texts = sorted((r.doc_id, r.text, int(r.toxic)) for r in rows.select("doc_id", F.substring("text", 1, 40_000).alias("text"), "toxic").toLocalIterator())
+    texts = sorted((r.doc_id, r.text, int(r.toxic)) for r in rows.select("doc_id", "text", "toxic").toLocalIterator())
     return fit_texts([(t, y) for _, t, y in texts])
 
 
