@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from harborscan.llm import byte_bpe, decontamination, html_text, ngram_join, quality_rules, revisits, secret_scan, token_counts, token_store, toxicity
+from harborscan.llm import byte_bpe, decontamination, html_text, ngram_join, oracles, quality_rules, revisits, secret_scan, token_counts, token_store, toxicity
 from harborscan.llm.common import table
 
 
@@ -54,4 +54,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_warc_revisits": revisits.ORACLE}
+    return {"op1_benchmark_decontamination": oracles.DECONTAMINATION, "op3_quality_rules": oracles.QUALITY, "op7_warc_revisits": revisits.ORACLE, "op10_ngram_jaccard_join": oracles.NGRAM_JOIN}
