@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from harborscan.llm.common import documents, filter_arrow, map_arrow
 
 THRESHOLD = 0.7
-SAMPLE = 3000
+SAMPLE = 2000
 DECAY = 0.5
 LANDMARKS = 320
 ROUNDS = 5
@@ -165,8 +165,8 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     dense = np.zeros((len(names), len(landmarks)))
     np.add.at(dense, (column, r), v)
     out = np.zeros((len(words), len(landmarks)))
-    for at in range(0, len(words), 2000):
-        r, k, v = _features(words[at : at + 2000])
+    for at in range(0, len(words), 250):
+        r, k, v = _features(words[at : at + 250])
         place = np.minimum(np.searchsorted(names, k), len(names) - 1)
         hit = names[place] == k
         order = np.argsort(r[hit], kind="stable")
@@ -202,15 +202,15 @@ def _altered(word: str, rng: np.random.Generator) -> str:
     return word[:cut] + str(rng.choice(list(".-*_xz0"))) + word[cut:]
 
 
-def _without_copies(texts: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
+def _without_copies(texts: list[tuple[str, int]]) -> list[tuple[frozenset[str], int]]:
     """Words of each text that is no near copy of an earlier one: by four smallest hashes of three-word runs."""
-    seen, out = set(), []
+    seen, out, same = set(), [], {}
     for text, label in texts:
         words = text.lower().split()
         runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
         marks = [(k, min((xxhash.xxh64_intdigest(r, k) for r in runs), default=0)) for k in range(4)]
         if sum(m in seen for m in marks) < 2:
-            out.append((words, label))
+            out.append((frozenset(same.setdefault(w, w) for w in words), label))
         seen.update(marks)
     return out
 
@@ -219,7 +219,7 @@ def fit_texts(texts: list[tuple[str, int]], seed: int = 7) -> Model:
     """A model from (text, 0 or 1)."""
     rng = np.random.default_rng(seed)
     docs = _without_copies(texts)
-    toxic, clean = [set(w) for w, t in docs if t], [set(w) for w, t in docs if not t]
+    toxic, clean = [w for w, t in docs if t], [w for w, t in docs if not t]
     if not toxic or not clean:
         return Model(np.zeros(TABLE, np.float32), _NONE, 0.0, -50.0)
     in_toxic, in_clean = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
@@ -232,8 +232,7 @@ def fit_texts(texts: list[tuple[str, int]], seed: int = 7) -> Model:
 
     least = max(2, n1 // 100)  # a word that fewer toxic documents hold may be there by chance
     candidates = sorted((w for w, n in in_toxic.items() if n >= least and len(w) > 3 and in_clean[w] / n0 < 0.1 * n / n1), key=lambda w: (-lead(w), w))
-    held = [w for d in toxic for w in d]
-    positives = candidates[:400] or held[:50]
+    positives = candidates[:400] or sorted(in_toxic)[:50]
     plain = sorted(in_clean, key=lambda w: (xxhash.xxh64_intdigest(w), w))
     negatives = plain[:6000]
     every_clean = plain[:60_000]
