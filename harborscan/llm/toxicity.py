@@ -39,6 +39,8 @@ ROUNDS = 5
 #: Words whose value a worker remembers.
 CACHE_WORDS = 500_000
 _NONE = -1.0
+#: Shorter words hold too few subsequences to tell anything, and count as clean.
+MIN_LETTERS = 4
 #: Offsets of the letters after the first, and their weights.
 PATTERNS = [(c, DECAY ** (c[-1] - k + 1)) for k, reach in ((3, 4), (4, 5)) for c in combinations(range(1, reach + 1), k - 1)]
 _REACH = 6
@@ -124,7 +126,9 @@ class Model:
 
     def values(self, names: list[str]) -> list[float]:
         """The machine's function of each word."""
-        return np.clip(self.words(Layout(_marked(names))), -2, 2).tolist()
+        layout = Layout(_marked(names))
+        long = layout.ends - layout.starts > MIN_LETTERS  # one more: the mark before each word
+        return np.where(long, np.clip(self.words(layout), -2, 2), _NONE).tolist()
 
     def scores(self, texts: list[bytes | None]) -> list[float]:
         """Each text's score; distinct words are valued once and remembered."""
@@ -182,13 +186,23 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.3) ->
     w = np.zeros(z.shape[1])
     penalty = np.full(z.shape[1], ridge)
     penalty[-1] = 1e-3
-    for _ in range(30):
+
+    def loss(w: np.ndarray) -> float:
+        slack = np.maximum(0, 1 - y * (z @ w))
+        return float(penalty @ (w * w) + cost @ (slack * slack))
+
+    now = loss(w)
+    for _ in range(60):
         active = y * (z @ w) < 1
         za = z[active] * cost[active][:, None]
-        new = np.linalg.solve(za.T @ z[active] + np.diag(penalty), za.T @ y[active])
-        if np.allclose(new, w, atol=1e-6):
+        step = np.linalg.solve(za.T @ z[active] + np.diag(penalty), za.T @ y[active]) - w
+        size = 1.0
+        while size > 1e-4 and loss(w + size * step) >= now:
+            size /= 2
+        if size <= 1e-4:
             break
-        w = new
+        w = w + size * step
+        now = loss(w)
     return w
 
 
