@@ -9,6 +9,9 @@ n - ceil(t n) + 1 tokens of each, whatever the global order:
 * The other orders are rare-first by other hashes of the sketch's counters and by plain hashes. A candidate pair whose
   prefixes share no token under one of them goes before its sets are compared. Sizes filter too.
 
+Each node also has a signature of SIGNATURE_BITS bits, each the parity of its tokens there: sets differ in at least as
+many tokens as signatures in bits, so that candidates whose signatures differ too much are told apart without texts.
+
 Tokens whose lists hold the same nodes give one list. In a list of up to SMALL_LIST nodes all pairs are candidates; of a
 longer one, pairs with a hub (the node with most shared tokens) first. Links found join nodes into components, and
 lists whose nodes are in one component are done; each further round takes more hubs, until every candidate pair either
@@ -36,25 +39,27 @@ from harborscan.llm.common import documents, map_arrow, small_batches, stored
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers: intersection * SIMILAR[1] >= union * SIMILAR[0].
 SIMILAR = (3, 4)
-#: Counters of the frequency sketch.
-SKETCH = 1 << 20
+#: Counters of the frequency sketch, and the slices in which tasks hand it on.
+SKETCH, SLICES = 1 << 24, 32
+SIGNATURE_BITS = 512
 #: Salts of the further orders.
 ORDERS = (0x5851F42D, 0x14057B7E)
 SMALL_LIST = 8
 #: Postings a token range has on average.
-RANGE_POSTINGS = 2_000_000
-BATCH_POSTINGS = 400_000
+RANGE_POSTINGS = 1_000_000
+BATCH_POSTINGS = 300_000
 #: Members that are compared with one hub in one group.
 HUB_SHARE = 2000
 
 _WORDS: dict[bytes, int] = {}
-_MULTIPLIER = 0x9E3779B97F4A7C15
+#: Odd factors of the words of a shingle, by place.
+_MULTIPLIERS = [(0x9E3779B97F4A7C15 * (2 * j + 1)) % 2**64 | 1 for j in range(1, SHINGLE + 1)]
 
 
 def _word_hash(word: bytes) -> int:
     found = _WORDS.get(word)
     if found is None:
-        if len(_WORDS) > 500_000:
+        if len(_WORDS) > 150_000:
             _WORDS.clear()
         found = _WORDS[word] = xxhash.xxh64_intdigest(word)
     return found
@@ -79,8 +84,8 @@ def shingles(text: bytes | None) -> np.ndarray:
     out = np.full(n, k, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
-            out = _mix(out * np.uint64(_MULTIPLIER) + ids[j : j + n])
-    return np.unique(out)
+            out += ids[j : j + n] * np.uint64(_MULTIPLIERS[j])
+    return np.unique(_mix(out))
 
 
 def digest(tokens: np.ndarray) -> int:
@@ -96,43 +101,53 @@ def _smallest(keys: np.ndarray, count: int) -> np.ndarray:
     return np.argpartition(keys, count - 1)[:count] if count < len(keys) else np.arange(len(keys))
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    bits = np.bincount(((tokens >> np.uint64(24)) & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 def sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, node and n of every document (stored), and the frequency sketch of all documents."""
+    """doc_id, node, n and signature of every document (stored), and the frequency sketch of all documents.
+
+    A task's counters stop at 255, their sum at 65535, and the result is in sixteenths of powers of two: the sketch only
+    orders tokens, and does not touch what is found.
+    """
 
     def each(batches):
-        counts, last = np.zeros(SKETCH, np.uint32), None
+        counts = None
         for b in batches:
             got = [shingles(t) for t in b.column(1).to_pylist()]
-            for s in got:
-                np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-            yield {"doc_id": b.column(0), "node": [digest(s) for s in got], "n": [len(s) for s in got], "sketch": [None] * len(got)}
-            last = True
-        if last:
-            yield {"doc_id": [None], "node": [None], "n": [None], "sketch": [np.minimum(counts, 2**32 - 1).tobytes()]}
+            counts = np.zeros(SKETCH, np.uint8) if counts is None else counts
+            places, times = np.unique(np.concatenate([s & np.uint64(SKETCH - 1) for s in got] or [np.zeros(0, np.uint64)]).astype(np.int64), return_counts=True)
+            counts[places] = np.minimum(counts[places].astype(np.int64) + times, 255)
+            yield {"doc_id": b.column(0), "node": [digest(s) for s in got], "n": [len(s) for s in got], "signature": [signature(s) for s in got], "slice": [None] * len(got), "sketch": [None] * len(got)}
+        if counts is not None:
+            for k, part in enumerate(np.split(counts, SLICES)):
+                yield {"doc_id": [None], "node": [None], "n": [None], "signature": [None], "slice": [k], "sketch": [part.tobytes()]}
 
     spark = docs.sparkSession
-    both = stored(map_arrow(documents(docs), each, "doc_id long, node long, n long, sketch binary"), "sets")
+    both = stored(map_arrow(documents(docs), each, "doc_id long, node long, n long, signature binary, slice int, sketch binary"), "sets")
 
     def add(batches):
-        total = None
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for x in b.column(0).to_pylist():
-                part = np.frombuffer(x, np.uint32)
-                total = part.astype(np.uint64) if total is None else total + part
-        if total is not None:
-            yield {"sketch": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]}
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(x, np.uint8)
+                total[k] = total[k] + part if k in total else part.astype(np.uint32)
+        for k, x in total.items():
+            yield {"slice": [k], "sketch": [np.minimum(x, 65535).astype(np.uint16).tobytes()]}
 
-    parts, left = both.where("sketch IS NOT NULL").select("sketch"), spark.sparkContext.defaultParallelism
-    small_batches(spark)
-    merged = np.zeros(SKETCH, np.uint64)
-    for row in map_arrow(parts.coalesce(max(1, left)), add, "sketch binary").toLocalIterator():
-        merged += np.frombuffer(row[0], np.uint32)
-    return both.where("sketch IS NULL").drop("sketch"), np.minimum(merged, 2**32 - 1).astype(np.uint32)
+    parts = both.where("sketch IS NOT NULL").select("slice", "sketch")
+    merged = np.zeros((SLICES, SKETCH // SLICES), np.uint16)
+    for row in map_arrow(parts.repartition(SLICES, "slice"), add, "slice int, sketch binary").toLocalIterator():
+        merged[row[0]] = np.frombuffer(row[1], np.uint16)
+    scaled = np.minimum(np.rint(16 * np.log2(np.arange(65536) + 1.0)), 255).astype(np.uint8)
+    return both.where("sketch IS NULL").drop("slice", "sketch"), scaled[merged.ravel()]
 
 
 def _rarity(tokens: np.ndarray, sketch: np.ndarray, salt: int = 0) -> np.ndarray:
     """Sort keys, rare tokens first; equal counts by a hash."""
-    counts = np.minimum(sketch[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)], 2**31)
+    counts = sketch[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]
     return (counts.astype(np.uint64) << np.uint64(32)) | (_mix(tokens, salt) >> np.uint64(32))
 
 
@@ -141,19 +156,22 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def postings(docs: DataFrame, sketch, ranges: int) -> DataFrame:
-    """For each token range and batch of documents: tokens, the row of each, and the rows (node, size)."""
+    """For each token range and batch of documents: five bytes of each token, its node and its size (two bytes, at most 65535).
+
+    Tokens are cut to 40 bits besides their range, and sizes stop at 65535: both only let more candidates through.
+    """
 
     def flush(held: list):
+        length = [len(h[0]) for h in held]
         tokens = np.concatenate([h[0] for h in held])
-        row = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
-        meta = np.array([(h[1], h[2]) for h in held], np.int64)
+        nodes = np.repeat(np.array([h[1] for h in held], np.int64), length)
+        sizes = np.repeat(np.minimum([h[2] for h in held], 65535).astype(np.uint16), length)
         where = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         order = np.argsort(where, kind="stable")
         cuts = np.flatnonzero(np.diff(where[order].astype(np.int64), prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
             part = order[a:b]
-            used, local = np.unique(row[part], return_inverse=True)
-            yield {"range": [int(where[part[0]])], "tokens": [tokens[part].tobytes()], "rows": [local.astype(np.uint32).tobytes()], "meta": [meta[used].tobytes()]}
+            yield {"range": [int(where[part[0]])], "tokens": [np.ascontiguousarray(tokens[part].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()], "nodes": [nodes[part].tobytes()], "sizes": [sizes[part].tobytes()]}
 
     def each(batches):
         held, size, seen = [], 0, set()
@@ -173,7 +191,7 @@ def postings(docs: DataFrame, sketch, ranges: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return map_arrow(documents(docs), each, "range int, tokens binary, rows binary, meta binary")
+    return map_arrow(documents(docs), each, "range int, tokens binary, nodes binary, sizes binary")
 
 
 def _lists_of(tokens: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
@@ -211,8 +229,11 @@ def lists(dealt: DataFrame) -> DataFrame:
                 held[r].append((t, i, m))
         for r in list(held):
             parts = held.pop(r)
-            tokens = np.concatenate([np.frombuffer(t, np.uint64) for t, _, _ in parts])
-            meta = np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 2)[np.frombuffer(i, np.uint32)] for _, i, m in parts])
+            short = np.concatenate([np.frombuffer(t, np.uint8).reshape(-1, 5) for t, _, _ in parts])
+            tokens = np.zeros(len(short), np.uint64)
+            tokens.view(np.uint8).reshape(-1, 8)[:, :5] = short
+            meta = np.column_stack([np.concatenate([np.frombuffer(n, np.int64) for _, n, _ in parts]), np.concatenate([np.frombuffer(z, np.uint16) for _, _, z in parts]).astype(np.int64)])
+            del parts, short
             out = [rows.tobytes() for rows in _lists_of(tokens, meta)]
             for k in range(0, len(out), 500):
                 yield {"nodes": out[k : k + 500]}
@@ -247,51 +268,86 @@ def first_candidates(found: DataFrame) -> DataFrame:
     return map_arrow(found, each, "hub long, member long")
 
 
+def _close(hub: tuple, sizes: np.ndarray, signatures: np.ndarray) -> np.ndarray:
+    """Which nodes may be similar to the hub (size, signature), by sizes and by the bits in which signatures differ."""
+    size, sign = hub
+    ok = np.minimum(sizes, size) * SIMILAR[1] >= np.maximum(sizes, size) * SIMILAR[0]
+    differ = np.bitwise_count(signatures ^ sign).sum(axis=1).astype(np.int64)
+    # intersection >= t union means: differing tokens <= (1 - t) / (1 + t) of both sizes.
+    return ok & (differ * (SIMILAR[1] + SIMILAR[0]) <= (sizes + size) * (SIMILAR[1] - SIMILAR[0]))
+
+
+def _signs(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SIGNATURE_BITS // 64)
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (hub, member) whose sizes and signatures allow similarity. nodes: node, n, signature."""
+    n = nodes.select("node", "n", "signature")
+    both = pairs.join(n.toDF("hub", "hn", "hs"), "hub").join(n.toDF("member", "mn", "ms"), "member").select("hub", "member", "hn", "mn", "hs", "ms")
+
+    def each(batches):
+        for b in batches:
+            if b.num_rows:
+                ok = _close((b.column(2).to_numpy(), _signs(b.column(4))), b.column(3).to_numpy(), _signs(b.column(5)))
+                yield {"hub": b.column(0).filter(pa.array(ok)), "member": b.column(1).filter(pa.array(ok))}
+
+    return map_arrow(both, each, "hub long, member long")
+
+
 def next_candidates(left: DataFrame, roots: DataFrame, hubs: int) -> DataFrame:
-    """Of lists (id, node, size) whose nodes lie in several components: the next hubs' candidates in other components
-    (hub, member), and the rows that stay for later rounds (id, node, size)."""
-    known = left.join(roots, "node", "left").select("id", "node", "size", F.coalesce("root", "node").alias("root"))
+    """Of lists (id, node, size, signature) whose nodes lie in several components: the next hubs' candidates in other
+    components (hub, member), and the rows that stay for later rounds (id, node)."""
+    known = left.join(roots, "node", "left").select("id", "node", "size", F.coalesce("root", "node").alias("root"), "signature")
     grouped = known.repartition("id").sortWithinPartitions("id")
 
-    def one(ident: int, rows: np.ndarray):
+    def one(ident: int, rows: np.ndarray, signs: np.ndarray):
         names, part, count = np.unique(rows[:, 2], return_inverse=True, return_counts=True)
         if len(names) < 2:
             return None
-        rows = rows[np.lexsort((rows[:, 0], count[part]))]  # nodes of the smallest components are the hubs
-        out = [np.zeros((0, 2), np.int64)]
+        order = np.lexsort((rows[:, 0], count[part]))  # nodes of the smallest components are the hubs
+        rows, signs = rows[order], signs[order]
+        pairs = []
         for h in range(min(hubs, len(rows) - 1)):
-            p = _pairs(rows[h:, :2][np.concatenate([[True], rows[h + 1 :, 2] != rows[h, 2]])], 1)
-            out.append(p)
-        pairs, rest = np.concatenate(out), rows[hubs:]
-        blank = [None] * len(pairs)
-        return {
-            "hub": pairs[:, 0].tolist() + [None] * len(rest), "member": pairs[:, 1].tolist() + [None] * len(rest),
-            "id": blank + [ident] * len(rest), "node": blank + rest[:, 0].tolist(), "size": blank + rest[:, 1].tolist(),
-        }
+            later, marks = rows[h + 1 :], signs[h + 1 :]
+            other = np.flatnonzero(later[:, 2] != rows[h, 2])
+            near = other[_close((rows[h, 1], signs[h]), later[other, 1], marks[other])]
+            pairs += [(int(rows[h, 0]), int(x)) for x in later[near, 0]]
+        rest = rows[hubs:, 0].tolist()
+        return {"hub": [a for a, _ in pairs] + [None] * len(rest), "member": [b for _, b in pairs] + [None] * len(rest), "id": [None] * len(pairs) + [ident] * len(rest), "node": [None] * len(pairs) + rest}
 
     def each(batches):
         ident, held = None, []
         for b in batches:
-            ids = b.column(0).to_numpy()
+            if not b.num_rows:
+                continue
+            ids, signs = b.column(0).to_numpy(), _signs(b.column(4))
             rows = np.column_stack([b.column(k).to_numpy() for k in (1, 2, 3)])
-            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)] if len(ids) else []
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
             for a, z in zip(cuts, cuts[1:]):
                 if ids[a] != ident and held:
-                    if out := one(ident, np.concatenate(held)):
+                    if out := one(ident, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])):
                         yield out
                     held = []
                 ident = int(ids[a])
-                held.append(rows[a:z])
-        if held and (out := one(ident, np.concatenate(held))):
+                held.append((rows[a:z], signs[a:z]))
+        if held and (out := one(ident, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))):
             yield out
 
-    return map_arrow(grouped, each, "hub long, member long, id long, node long, size long")
+    return map_arrow(grouped, each, "hub long, member long, id long, node long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, sketch) -> DataFrame:
+def _reach(tokens: np.ndarray, salt: int) -> tuple[np.ndarray, np.uint64]:
+    """Sort keys of one hash order, and the key of the prefix's last token."""
+    keys = _mix(tokens, salt)
+    return keys, np.partition(keys, prefix_length(len(keys)) - 1)[prefix_length(len(keys)) - 1]
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (hub, member) whose whole sets are similar: a, b. texts: node, text of every node in pairs.
 
-    Members are dealt by hub, a hub's in shares of about HUB_SHARE, each share with the hub's text first.
+    Members are dealt by hub, a hub's in shares of about HUB_SHARE, each share with the hub's text first. A pair must
+    have a common token in both prefixes of every further order before its sets count.
     """
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("c"))
     shared = pairs.join(sizes, "hub").select("hub", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("c") / HUB_SHARE)).cast("int").alias("share"))
@@ -300,7 +356,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sketch) -> DataFrame:
     rows = members.unionByName(hubs).repartition("hub", "share").sortWithinPartitions("hub", "share", F.asc_nulls_first("member"))
 
     def each(batches):
-        base, orders, name = None, [], None
+        base, orders, name = np.zeros(0, np.uint64), [], None
         for b in batches:
             found = []
             for hub, _, member, text in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
@@ -308,15 +364,17 @@ def verified(pairs: DataFrame, texts: DataFrame, sketch) -> DataFrame:
                 if digest(s) != (hub if member is None else member):
                     continue  # another row of the same doc_id
                 if member is None:
-                    base, name, orders = s, hub, [prefix(s, sketch.value, ORDERS[0]), s[_smallest(_mix(s, ORDERS[1]), prefix_length(len(s)))]]
+                    base, name = s, hub
+                    orders = [_reach(s, salt)[1] for salt in ORDERS]
                     continue
                 if name != hub:
                     continue
-                mine = prefix(s, sketch.value, ORDERS[0]), s[_smallest(_mix(s, ORDERS[1]), prefix_length(len(s)))]
-                if not all(np.isin(x, y, assume_unique=True).any() for x, y in zip(orders, mine, strict=True)):
+                place = np.minimum(np.searchsorted(base, s), len(base) - 1)
+                both = base[place] == s
+                common = s[both]
+                if not len(common) or not all((_mix(common, salt) <= min(last, _reach(s, salt)[1])).any() for salt, last in zip(ORDERS, orders, strict=True)):
                     continue
-                both = len(np.intersect1d(base, s, assume_unique=True))
-                if both * SIMILAR[1] >= (len(base) + len(s) - both) * SIMILAR[0]:
+                if len(common) * SIMILAR[1] >= (len(base) + len(s) - len(common)) * SIMILAR[0]:
                     found.append((hub, member))
             yield {"a": [x[0] for x in found], "b": [x[1] for x in found]}
 
@@ -345,41 +403,48 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _verify_round(texts: DataFrame, pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """All links with those among pairs, and the components of their nodes."""
+    more = stored(verified(pairs, texts), "links")
+    links = more if links is None else links.unionAll(more)
+    return links, components(links)
+
+
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n of every document; node, root of every linked node)."""
     spark = docs.sparkSession
     members, counts = sets(docs)
-    sketch = spark.sparkContext.broadcast(counts)  # 4 MB, whatever the input
+    sketch = spark.sparkContext.broadcast(counts)  # 16 MB, whatever the input
     total = members.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     ranges = int(max(spark.sparkContext.defaultParallelism, -(-total // RANGE_POSTINGS)))
     found = stored(lists(postings(docs, sketch, ranges).repartition(ranges, "range")), "lists")
-    pairs = stored(first_candidates(found).distinct(), "pairs")
-    width = 16
-    long_lists = found.where(F.octet_length("nodes") > SMALL_LIST * width).distinct().select(F.xxhash64("nodes").alias("id"), "nodes")
+    # One row per node: its size, its signature, and a document that has its text.
+    named = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    pairs = stored(plausible(first_candidates(found).distinct(), named), "pairs")
+    long_lists = found.where(F.octet_length("nodes") > SMALL_LIST * 16).distinct().select(F.xxhash64("nodes").alias("id"), "nodes")
 
     def spread(batches):
         for b in batches:
             for ident, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = _rows(x)[1:]  # the hub's pairs are among the first candidates
-                yield {"id": [ident] * len(rows), "node": pa.array(rows[:, 0]), "size": pa.array(rows[:, 1])}
-
-    left = stored(map_arrow(long_lists, spread, "id long, node long, size long"), "left")
-    nodes = pairs.select(F.col("hub").alias("node")).unionAll(pairs.select("member")).unionAll(left.select("node")).distinct()
-    named = members.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = stored(documents(docs).join(named.join(nodes, "node", "left_semi"), "doc_id").select("node", "text"), "texts")
-    links, hubs = None, 4
+                yield {"id": [ident] * len(rows), "node": pa.array(rows[:, 0])}
+
+    left = stored(map_arrow(long_lists, spread, "id long, node long"), "left")
+    # Texts of all nodes that any round may compare are dealt once, by a join that is the same at every size.
+    ends = pairs.select(F.col("hub").alias("node")).unionAll(pairs.select("member")).unionAll(left.select("node")).distinct()
+    wanted = named.select("node", "doc_id").join(ends, "node", "left_semi")
+    texts = stored(documents(docs).join(wanted.hint("merge"), "doc_id").select("node", "text"), "texts")
+    links, roots, hubs = None, None, 64
     while True:
-        more = stored(verified(pairs, texts, sketch), "links")
-        links = more if links is None else links.unionAll(more)
-        roots = components(links)
+        if roots is None or not pairs.isEmpty():
+            links, roots = _verify_round(texts, pairs, links)
         if left.isEmpty():
-            return members, roots
-        step = stored(next_candidates(left, roots, hubs), "round")
+            return members, roots  # each list's candidates are verified, or within a component
+        signed = left.join(named.select("node", F.col("n").alias("size"), "signature"), "node")
+        step = stored(next_candidates(signed, roots, hubs), "round")
         pairs = step.where("hub IS NOT NULL").select("hub", "member").distinct()
-        left = step.where("hub IS NULL").select("id", "node", "size")
-        hubs *= 4
-        if pairs.isEmpty() and left.isEmpty():
-            return members, roots
+        left = step.where("hub IS NULL").select("id", "node")
+        hubs *= 16
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
