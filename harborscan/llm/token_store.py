@@ -15,7 +15,7 @@ Defined cases: null is the empty text, which has the end id only; repeated docum
 from __future__ import annotations
 
 import struct
-import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -81,6 +81,18 @@ class ChunkEncoder:
         self.tokenizer, self.end = Tokenizer.from_file(path), end_id
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    @staticmethod
+    def _parts(chunk: str) -> tuple[str, str]:
+        """A chunk cut before its closing marks, where a letter or digit stands before them; ASCII in lower case.
+
+        The vocabulary lower-cases one character at a time and never joins letters with marks, so ids stay the same.
+        """
+        if not chunk.isascii():
+            return chunk, ""
+        stem = chunk.rstrip(".,;:!?")
+        return (stem.lower(), chunk[len(stem) :]) if stem and stem[-1].isalnum() else (chunk, "")
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """For each text its ids and the end id, as little-endian 32-bit integers."""
@@ -88,11 +100,16 @@ class ChunkEncoder:
         new = [c for c in dict.fromkeys(c for x in cut for c in x if c) if c not in self.known]
         if len(self.known) + len(new) > CACHE_CHUNKS:
             self.known.clear()
+            self.stems.clear()
             new = list(dict.fromkeys(c for x in cut for c in x if c))
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
+        parts = [self._parts(c) for c in new]
+        fresh = [c for c in dict.fromkeys(x for p in parts for x in p if x) if c not in self.stems]
+        for k in range(0, len(fresh), 20_000):
+            some = fresh[k : k + 20_000]
             for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+                self.stems[c] = array("I", e.ids).tobytes()
+        self.stems[""] = b""
+        self.known.update((c, self.stems[stem] + self.stems[mark]) for c, (stem, mark) in zip(new, parts, strict=True))
         self.known[""] = b""
         end, get = np.array([self.end], "<u4").tobytes(), self.known.__getitem__
         return [b"".join(map(get, x)) + end for x in cut]
@@ -167,7 +184,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids = unpack(data)
                 yield {"doc_id": names, "start": (before + at + cuts[:-1]).tolist(), "n_tokens": lengths, "ids": [ids[s:e].astype("<u4").tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)]}
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     return map_arrow(rows, each, "doc_id long, start long, n_tokens long, ids binary")
 
 
