@@ -1,13 +1,13 @@
 """Byte-level BPE: higher-order functions fold ranked merges over the byte arrays of distinct words.
 
-A task cuts its texts into pre-tokens and numbers the distinct ones of each batch. Spark then encodes that batch's words:
-a word that is in the rank map is one token, any other starts as the array of its bytes, and ``aggregate`` merges, one
-step at a time, the leftmost adjacent pair of the lowest rank until no pair has one. The ranks are a literal: an array of
-HASH_SLOTS small maps, found by the hash of the piece, since a lookup in one map of 50,000 entries would scan it. The
-ids go back to the texts by number, and decoding concatenates the ids' binary pieces. No row is shuffled, nothing
-grows with the corpus, and a lost task is simply run again.
-
-Bytes are written as the strings of the code points 0 to 255 inside Spark (ISO-8859-1), so that pieces are map keys.
+A task cuts its texts into pre-tokens and numbers the distinct ones; each batch hands on its new words as arrays of byte
+ids (a word of the vocabulary as its one id). Spark then folds each: ``aggregate`` merges, one step at a time, the
+leftmost adjacent pair of the lowest rank until no pair has one. The state is one array of longs, each a part with the
+rank of its pair: rank, place and id in one number, so that ``array_min`` finds the next merge. The rank map is a
+literal array in which a pair of ids has one of two places, so that a lookup is arithmetic. The next operator of the
+same task, which sees the batches in the same order, keeps the encoded words by number, puts texts together, and
+decodes by concatenating the ids' binary pieces. No row is shuffled, nothing grows with the corpus, and a lost task is
+simply run again.
 
 Defined cases: null is the empty text, which has no tokens; repeated documents each give a row.
 """
@@ -16,20 +16,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from harborscan.llm.common import BATCH_BYTES, documents, map_arrow
+from harborscan.llm.common import documents, map_arrow
 
-HASH_SLOTS = 1 << 16
-#: Documents whose words are numbered together: more of them repeat words more.
-BATCH_DOCUMENTS = 8000
-_NO_RANK = 2**31 - 1
+#: Words that a task numbers before it starts anew.
+MAX_WORDS = 400_000
+_ID, _PLACE = 17, 26
+_NO_RANK = (1 << 17) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,12 +36,33 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    slots: list[dict[str, int]] = [{} for _ in range(HASH_SLOTS)]
+def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], tuple[int, int, int, int]]:
+    """Pairs of ids that merge, as pair << 17 | merged id, each at one of two places; and the places' factors."""
+    entries = {}
     for piece, rank in ranks.items():
-        key = piece.decode("latin-1")
-        slots[xxhash.xxh64_intdigest(key.encode(), seed=42) % HASH_SLOTS][key] = rank
-    return F.from_json(F.lit(json.dumps(slots, ensure_ascii=True)), "array<map<string,int>>")
+        for cut in range(1, len(piece)):
+            a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if a is not None and b is not None:
+                entries[a, b] = ((a << 16 | b) << _ID) | rank
+    size = 1 << max(8, (3 * len(entries)).bit_length())
+    for seed in range(100):
+        f = (40503 + 2 * seed, 30011 + 6 * seed, 28657 + 4 * seed, 61613 + 10 * seed)
+        slots = [0] * size
+        if all(_place(slots, entry, f) for entry in entries.values()):
+            return slots, f
+    raise ValueError("no table found")
+
+
+def _place(slots: list[int], entry: int, f: tuple[int, int, int, int]) -> bool:
+    mask, at = len(slots) - 1, None
+    for _ in range(500):
+        a, b = entry >> (_ID + 16), entry >> _ID & 0xFFFF
+        one, two = (a * f[0] + b * f[1]) & mask, (a * f[2] + b * f[3]) >> 2 & mask
+        at = two if at == one else one
+        entry, slots[at] = slots[at], entry
+        if not entry:
+            return True
+    return False
 
 
 def bind(value: Column, body) -> Column:
@@ -50,33 +70,38 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(word: Column, ranks: Column) -> Column:
-    """The token ids of one pre-token, given as a string of its bytes."""
+def fold_merges(word: Column, slots: Column, size: int, f: tuple[int, int, int, int]) -> Column:
+    """The token ids of one pre-token, given as the array of its bytes' ids."""
 
-    def rank(piece: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(ranks, F.pmod(F.xxhash64(piece), F.lit(HASH_SLOTS)).cast("int")), piece), F.lit(_NO_RANK))
+    def merged(a: Column, b: Column) -> Column:
+        """The id that two ids merge into."""
+        pair = a * 65536 + b
+        one = F.get(slots, (a * f[0] + b * f[1]).bitwiseAND(size - 1).cast("int"))
+        two = F.get(slots, F.shiftright(a * f[2] + b * f[3], 2).bitwiseAND(size - 1).cast("int"))
+        low = _NO_RANK
+        return F.when(F.shiftright(one, _ID) == pair, one.bitwiseAND(low)).when(F.shiftright(two, _ID) == pair, two.bitwiseAND(low)).otherwise(F.lit(_NO_RANK).cast("long"))
 
-    def merge(state: Column) -> Column:
-        parts, pairs = state["p"], state["r"]
+    def id_of(part: Column) -> Column:
+        return part.bitwiseAND(_NO_RANK)
 
-        def at(k: Column) -> Column:  # k: place of the best pair, from 1; its parts are k - 1 and k, from 0
-            new = F.concat(F.get(parts, k - 1), F.get(parts, k))
-            left = F.when(k > 1, F.array(rank(F.concat(F.get(parts, k - 2), new)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(k < F.size(pairs), F.array(rank(F.concat(new, F.get(parts, k + 1))))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(parts, F.lit(1), k - 1), F.array(new), F.slice(parts, k + 2, F.size(parts))).alias("p"),
-                F.concat(F.slice(pairs, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(pairs, k + 2, F.size(pairs))).alias("r"),
-            )
+    shift = _ID + _PLACE
 
-        return F.when(F.array_min(pairs) < _NO_RANK, bind(F.array_position(pairs, F.array_min(pairs)).cast("int"), at)).otherwise(state)
+    def step(state: Column) -> Column:
+        def at(k: Column) -> Column:  # k: place of the pair, from 1; its parts are k - 1 and k, from 0
+            best = F.get(state, k - 1)
+            new = F.shiftright(best, shift)
+            part = F.shiftleft(merged(new, id_of(F.get(state, k + 1))), shift) + F.shiftleft(F.shiftright(best, _ID).bitwiseAND((1 << _PLACE) - 1), _ID) + new
+            before = F.get(state, k - 2)
+            left = F.shiftleft(merged(id_of(before), new), shift) + before.bitwiseAND((1 << shift) - 1)
+            rest = F.slice(state, k + 2, F.size(state))
+            return F.when(k > 1, F.concat(F.slice(state, F.lit(1), k - 2), F.array(left, part), rest)).otherwise(F.concat(F.array(part), rest))
 
-    def fold(chars: Column) -> Column:
-        pairs = F.transform(F.slice(chars, F.lit(2), F.size(chars)), lambda c, i: rank(F.concat(F.get(chars, i), c)))
-        start = F.struct(chars.alias("p"), pairs.alias("r"))
-        return F.aggregate(F.sequence(F.lit(2), F.size(chars)), start, lambda s, _: merge(s), lambda s: F.transform(s["p"], rank))
+        low = F.array_min(state)
+        return F.when(low < F.lit(_NO_RANK << shift), bind(F.array_position(state, low).cast("int"), at)).otherwise(state)
 
-    whole = rank(word)
-    return F.when(whole < _NO_RANK, F.array(whole)).when(F.length(word) < 2, F.array(whole)).otherwise(bind(F.split(word, ""), fold))
+    start = F.transform(word, lambda b, i: F.shiftleft(merged(b.cast("long"), F.get(word, i + 1).cast("long")), shift) + F.shiftleft(i.cast("long"), _ID) + b)
+    fold = F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda s, _: step(s), lambda s: F.transform(s, lambda x: id_of(x).cast("int")))
+    return F.when(F.size(word) < 2, word).otherwise(fold)
 
 
 def _gather(codes: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -86,40 +111,59 @@ def _gather(codes: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> np.nd
     return values[np.repeat(offsets[codes] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, ids (array<int>) and text (binary) of every document."""
+def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, schema: str, with_text: bool) -> DataFrame:
+    """finish(doc_ids, ids of each document, texts) for each batch of documents."""
+    spark = docs.sparkSession
+    single = bytes(ranks[bytes([b])] for b in range(256))
+    known = spark.sparkContext.broadcast(ranks)  # fixed by the vocabulary
 
     def cut(batches):
-        split = regex.compile(pattern).findall
+        split, numbers = regex.compile(pattern).findall, {}
         for b in batches:
-            numbers: dict[str, int] = {}
-            codes = []
-            for t in b.column(1).to_pylist():
-                codes.append(np.array([numbers.setdefault(w, len(numbers)) for w in split(t.decode())] if t else [], np.int32).tobytes())
-            yield {"doc_ids": [b.column(0).to_pylist()], "texts": [b.column(1).to_pylist()], "codes": [codes], "words": [[w.encode().decode("latin-1") for w in numbers]]}
+            begin = len(numbers)
+            fresh = not begin or begin > MAX_WORDS
+            if fresh:
+                numbers, begin = {}, 0
+            texts = b.column(1).to_pylist()
+            codes = [np.array([numbers.setdefault(w, len(numbers)) for w in split(t.decode())] if t else [], np.int32).tobytes() for t in texts]
+            new = [w.encode() for w in islice(numbers, begin, None)]
+            whole = [known.value.get(w) for w in new]
+            ends = np.cumsum([0, *(1 if i is not None else len(w) for w, i in zip(new, whole, strict=True))]).astype(np.int32)
+            flat = np.frombuffer(b"".join([w.translate(single) if i is None else b"\0" for w, i in zip(new, whole, strict=True)]), np.uint8).astype(np.int32)
+            taken = np.array([k for k, i in enumerate(whole) if i is not None], np.int64)
+            flat[ends[taken]] = [i for i in whole if i is not None]
+            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield {"fresh": [fresh], "doc_ids": [b.column(0).to_pylist()], "codes": [codes], "texts": [texts if with_text else []], "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)}
 
     def join(batches):
+        offsets, values = np.zeros(1, np.int64), np.zeros(0, np.int32)
         for b in batches:
             for k in range(b.num_rows):
-                texts, ids = b.column(1)[k].values, b.column(0)[k].values
-                encoded = b.column(3)[k].values
-                if encoded is None or not len(encoded):
+                if b.column(0)[k].as_py():
                     offsets, values = np.zeros(1, np.int64), np.zeros(0, np.int32)
-                else:
-                    offsets, values = encoded.offsets.to_numpy().astype(np.int64), encoded.values.to_numpy()
-                out = [_gather(np.frombuffer(c, np.int32), offsets, values) for c in b.column(2)[k].values.to_pylist()]
-                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-                yield {"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else values[:0])), "text": texts}
+                new = b.column(4)[k].values
+                if new is not None and len(new):
+                    ends = new.offsets.to_numpy().astype(np.int64)
+                    part = new.values.to_numpy()[ends[0] : ends[-1]]
+                    offsets, values = np.concatenate([offsets, ends[1:] - ends[0] + len(values)]), np.concatenate([values, part])
+                ids = [_gather(np.frombuffer(c, np.int32), offsets, values) for c in b.column(2)[k].as_py()]
+                yield finish(b.column(1)[k].as_py(), ids, b.column(3)[k].as_py())
+
+    slots, f = pair_table(ranks)
+    literal = F.from_json(F.lit("[" + ",".join(map(str, slots)) + "]"), "array<bigint>")
+    cut_up = map_arrow(documents(docs), cut, "fresh boolean, doc_ids array<long>, codes array<binary>, texts array<binary>, words array<array<int>>")
+    folded = cut_up.select("fresh", "doc_ids", "codes", "texts", bind(literal, lambda t: F.transform("words", lambda w: fold_merges(w, t, len(slots), f))).alias("encoded"))
+    return map_arrow(folded, join, schema)
 
-    spark = docs.sparkSession
-    cut_up = map_arrow(documents(docs), cut, "doc_ids array<long>, texts array<binary>, codes array<binary>, words array<string>")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCUMENTS))
-    literal = rank_literal(ranks)
-    folded = cut_up.select("doc_ids", "texts", "codes", F.transform("words", lambda w: fold_merges(w, literal)).alias("encoded"))
-    out = map_arrow(folded, join, "doc_id long, ids array<int>, text binary")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCUMENTS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return out
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """doc_id, ids (array<int>) and text (binary) of every document."""
+
+    def finish(doc_ids, ids, texts):
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        return {"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))), "text": texts}
+
+    return _encoded(docs, ranks, pattern, finish, "doc_id long, ids array<int>, text binary", True)
 
 
 def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
@@ -137,13 +181,13 @@ def tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256 and decoded_sha256 (of the bytes decoded from the ids)."""
     pieces = docs.sparkSession.sparkContext.broadcast(pieces_of(ranks))  # fixed by the vocabulary
 
-    def digest(batches):
-        for b in batches:
-            n, first, second = [], [], []
-            for ids in b.column(1).to_pylist():
-                n.append(len(ids))
-                first.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                second.append(hashlib.sha256(decode(ids, pieces.value)).hexdigest())
-            yield {"doc_id": b.column(0), "n_tokens": n, "ids_sha256": first, "decoded_sha256": second}
-
-    return map_arrow(encode(docs, ranks, pattern).select("doc_id", "ids"), digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def finish(doc_ids, ids, _):
+        lists = [x.tolist() for x in ids]
+        names = [str(i) for i in range(len(pieces.value))]
+        return {
+            "doc_id": doc_ids, "n_tokens": [len(x) for x in lists],
+            "ids_sha256": [hashlib.sha256(" ".join([names[i] for i in x]).encode()).hexdigest() for x in lists],
+            "decoded_sha256": [hashlib.sha256(decode(x, pieces.value)).hexdigest() for x in lists],
+        }
+
+    return _encoded(docs, ranks, pattern, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", False)
