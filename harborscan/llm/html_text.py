@@ -1,7 +1,8 @@
 """HTML extraction by tag-path ratios.
 
-A page's text nodes are grouped by their root-to-leaf tag path. Each path has the mean text length and the mean
-punctuation of its nodes; both are smoothed over neighbouring nodes with a Gaussian window, fused as a product, and
+A page's text is cut into blocks; inline elements count with the text around them. Blocks are grouped by the path of
+their block elements. Each path has the mean text length and the mean
+punctuation of its blocks; both are smoothed over neighbouring blocks with a Gaussian window, fused as a product, and
 paths below a share of the page's length-weighted mean are dropped, but for headings of what is kept. Elements that name themselves as no content (menus,
 headers, footers, sidebars, forms, adverts, notices, comments, scripts and styles) go with all below them; paths below
 an ``article`` or ``main`` element, where the page has one, are content unless they are lists of links.
@@ -45,7 +46,7 @@ def _is_away(tag: str, attributes: str) -> bool:
 
 
 def text_nodes(html: str) -> list[tuple[str, str, int, bool, bool]]:
-    """(text, path, number of its block, below an article, inside a link) of each text node that no element rules out."""
+    """(text, path of its block elements, number of its block, below an article, inside a link) of each text node that no element rules out."""
     out, stack, block = [], [], 0  # stack: (tag, path, away, article, link)
     for m in _TOKEN.finditer(html):
         tag = m[3]
@@ -81,7 +82,7 @@ def text_nodes(html: str) -> list[tuple[str, str, int, bool, bool]]:
         if tag in VOID or m[4].rstrip().endswith("/"):
             continue
         up = stack[-1] if stack else ("", "", False, False, False)
-        stack.append((tag, f"{up[1]}/{tag}", up[2] or _is_away(tag, m[4]), up[3] or tag in ("article", "main"), up[4] or tag == "a"))
+        stack.append((tag, f"{up[1]}/{tag}" if tag in BLOCK else up[1], up[2] or _is_away(tag, m[4]), up[3] or tag in ("article", "main"), up[4] or tag == "a"))
     return out
 
 
@@ -107,29 +108,34 @@ def main_text(html: str | None) -> str:
     nodes = text_nodes(html) if html else []
     if any(n[3] for n in nodes):
         nodes = [n for n in nodes if n[3]]
-    solid = [n for n in nodes if n[0].strip()]
+    # A unit is a block's own text: what inline elements hold counts with the text around them.
+    units: dict[tuple[int, str], list] = {}
+    for text, path, block, article, link in nodes:
+        unit = units.setdefault((block, path), ["", 0, article])
+        unit[0] += text
+        unit[1] += len(text.strip()) * link
+    solid = [(path, len(text.strip()), len(_PUNCTUATION.findall(text)), linked, article) for (_, path), (text, linked, article) in units.items() if text.strip()]
     if not solid:
         return ""
     length, marks, count, linked = {}, {}, {}, {}
-    for text, path, _, _, link in solid:
-        n = len(text.strip())
+    for path, n, m, link, _ in solid:
         length[path] = length.get(path, 0) + n
-        marks[path] = marks.get(path, 0) + len(_PUNCTUATION.findall(text))
+        marks[path] = marks.get(path, 0) + m
         count[path] = count.get(path, 0) + 1
-        linked[path] = linked.get(path, 0) + n * link
-    a = _blended([length[n[1]] / count[n[1]] for n in solid])
-    b = _blended([marks[n[1]] / count[n[1]] for n in solid])
+        linked[path] = linked.get(path, 0) + link
+    a = _blended([length[u[0]] / count[u[0]] for u in solid])
+    b = _blended([marks[u[0]] / count[u[0]] for u in solid])
     fused = [x * (1 + y) for x, y in zip(a, b, strict=True)]
-    sizes = [len(n[0].strip()) for n in solid]
-    bar = SHARE * sum(f * s for f, s in zip(fused, sizes, strict=True)) / sum(sizes)
+    bar = SHARE * sum(f * u[1] for f, u in zip(fused, solid, strict=True)) / sum(u[1] for u in solid)
     kept = set()
-    for node, f in zip(solid, fused, strict=True):
-        links_only = linked[node[1]] == length[node[1]] and count[node[1]] > 2 and length[node[1]] / count[node[1]] < 30
-        if not links_only and (node[3] or f >= bar):
-            kept.add(node[1])
-    for node, following in zip(solid, solid[1:]):  # a heading goes with what it heads
-        if re.search(r"/h[1-6](/|$)", node[1]) and following[1] in kept:
-            kept.add(node[1])
+    for unit, f in zip(solid, fused, strict=True):
+        path = unit[0]
+        links_only = not unit[4] and linked[path] >= 0.9 * length[path] and count[path] > 2 and length[path] / count[path] < 30
+        if not links_only and (unit[4] or f >= bar):
+            kept.add(path)
+    for unit, following in zip(solid, solid[1:]):  # a heading goes with what it heads
+        if re.search(r"/h[1-6](/|$)", unit[0]) and following[0] in kept:
+            kept.add(unit[0])
     blocks: dict[int, list[str]] = {}
     for text, path, block, _, _ in nodes:
         if path in kept or not text.strip():

@@ -216,6 +216,17 @@ def test_html(spark):
     assert {r.page_id: r.n_chars for r in html_text.extracted(pages).collect()} == {1: len(html_text.main_text(PAGE)), 2: 0, 3: 0}
 
 
+def test_html_keeps_inline_words():
+    said = "The <a href=a>red</a> fox and the <a href=b>blue</a> bird met <a href=c>grey</a> cats near <a href=d>old</a> walls."
+    want = "The red fox and the blue bird met grey cats near old walls."
+    refs = "".join(f"<li><a href=r{k}>Source {k}</a></li>" for k in range(5))
+    article = f"<body><article><p>{said}</p><p>A second paragraph, long enough.</p><ol>{refs}</ol></article></body>"
+    assert html_text.main_text(article) == "\n".join([want, "A second paragraph, long enough.", *(f"Source {k}" for k in range(5))])
+    long = "A long sentence of the text, with <b>bold</b>, <em>set</em> and <code>x</code> words and a <a href=z>link</a>. " * 3
+    plain = f"<body><ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul><div><p>{said}</p><p>{long}</p></div></body>"
+    assert html_text.main_text(plain) == want + "\n" + " ".join(re.sub("<[^>]*>", "", long).split())
+
+
 def test_toxicity_held_out(spark, empty):
     rng = random.Random(2)
     syllables = ["ta", "re", "no", "li", "sa", "mu", "ko", "de"]
