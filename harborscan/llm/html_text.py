@@ -1,11 +1,13 @@
 """HTML extraction by tag-path ratios.
 
 A page's text is cut into blocks; inline elements count with the text around them. Blocks are grouped by the path of
-their block elements. Each path has the mean text length and the mean
-punctuation of its blocks; both are smoothed over neighbouring blocks with a Gaussian window, fused as a product, and
-paths below a share of the page's length-weighted mean are dropped, but for headings of what is kept. Elements that name themselves as no content (menus,
-headers, footers, sidebars, forms, adverts, notices, comments, scripts and styles) go with all below them; paths below
-an ``article`` or ``main`` element, where the page has one, are content unless they are lists of links.
+their block elements. Each path has the mean text length and the mean punctuation of its blocks; both are smoothed over
+neighbouring blocks with a Gaussian window, fused as a product, and paths below a share of the page's length-weighted
+mean are dropped, but for headings of what is kept. Elements that name themselves as no content (menus, headers,
+footers, sidebars, forms, adverts, notices, comments, scripts and styles) go with all below them before that. Being
+below an ``article`` or ``main`` element is a prior that settles it: such paths are kept whatever their ratio, so that no
+list or short line of an article is lost; the threshold chooses among the rest, also on pages that have an article.
+There, a path of short blocks whose text is nearly all inside links is a list of links and goes.
 
 Defined cases: null and empty html give an empty text; unclosed and wrongly nested tags close as browsers do for blocks;
 white space inside a block is one space, also for ``br``; blocks are joined by a line end; repeated pages each give a row.
@@ -106,8 +108,6 @@ def _blended(values: list[float]) -> list[float]:
 
 def main_text(html: str | None) -> str:
     nodes = text_nodes(html) if html else []
-    if any(n[3] for n in nodes):
-        nodes = [n for n in nodes if n[3]]
     # A unit is a block's own text: what inline elements hold counts with the text around them.
     units: dict[tuple[int, str], list] = {}
     for text, path, block, article, link in nodes:

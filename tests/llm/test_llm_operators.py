@@ -227,6 +227,15 @@ def test_html_keeps_inline_words():
     assert html_text.main_text(plain) == want + "\n" + " ".join(re.sub("<[^>]*>", "", long).split())
 
 
+def test_html_article_is_a_prior():
+    body = "A long sentence of the body, with marks, in a plain element. " * 4
+    text = " ".join(body.split())
+    teaser = f"<body><div><p>{body}</p><p>{body}</p></div><article><p>Read the other one too.</p></article><div><span>ok</span></div></body>"
+    assert html_text.main_text(teaser) == f"{text}\n{text}\nRead the other one too."
+    main = f"<body><div><h2>Title</h2></div><main><p>{body}</p><ul><li>one</li><li>two</li></ul></main><div><span>Buy this now.</span></div></body>"
+    assert html_text.main_text(main) == f"Title\n{text}\none\ntwo"
+
+
 def test_toxicity_held_out(spark, empty):
     rng = random.Random(2)
     syllables = ["ta", "re", "no", "li", "sa", "mu", "ko", "de"]
