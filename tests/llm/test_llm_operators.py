@@ -263,6 +263,29 @@ def test_toxicity_held_out(spark, empty):
     assert all(r.score < 1e-6 for r in toxicity.toxicity(docs, labels.limit(0)).collect())
 
 
+def test_toxicity_one_insult_decides_and_repeats_do_not():
+    rng = random.Random(2)
+    syllables = ["ta", "re", "no", "li", "sa", "mu", "ko", "de"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    clean = lambda: [word() for _ in range(rng.randint(20, 80))]
+    texts = []
+    for i in range(600):
+        w = clean()
+        if i % 4 == 0:
+            for _ in range(4):
+                w[rng.randrange(len(w))] = rng.choice(["grubworm", "dunceling", "vilecur", "blotfish"])
+        texts.append((" ".join(w), int(i % 4 == 0)))
+    model = toxicity.fit_texts(texts)
+    score = lambda w: model.scores([" ".join(w).encode()])[0]
+    for insult in ("grubworm", "vilecur", "blotfish", "grub-worm"):  # one of them only, in a long and in a short text
+        assert score([*clean(), insult, *clean()]) >= toxicity.THRESHOLD
+        assert score(["no", "ta", insult]) >= toxicity.THRESHOLD
+    for _ in range(20):
+        w = clean()
+        rare = max(w, key=lambda x: model.values([x])[0])
+        assert score(w) == score([*w, *[rare, rare.upper()] * 3]) < toxicity.THRESHOLD
+
+
 def components_by_force(rows):
     sets = {}
     for i, t in rows:
