@@ -4,13 +4,14 @@ Five statistics are taken from every whole text. Each method rule rejects a docu
 Cutoffs are chosen per stratum (language) on labelled documents: for every stratum, rule and candidate cutoff the
 hypothesis "this rule rejects more than ``risk`` of the good documents" is tested with the exact binomial tail; with
 ``k`` of ``n`` good documents rejected its p-value is P(Bin(n, risk) <= k). A cutoff is used if its p-value is at most
-``error`` divided by the number of all hypotheses (Bonferroni; as many as MAX_STRATA strata could have), which is the same as a Clopper-Pearson upper bound below
+``error`` divided by the number of hypotheses that MAX_STRATA strata have (Bonferroni), which is the same as a Clopper-Pearson upper bound below
 ``risk`` at that level. The lowest such cutoff holds; a stratum or rule without one rejects nothing. All rules together
-falsely reject at most ``risk`` times the number of rules, in every stratum, with probability ``1 - error``.
+falsely reject at most ``risk`` times the number of rules, in any one stratum with probability ``1 - error / MAX_STRATA``
+and in all at once with ``1 - error`` up to MAX_STRATA strata. Every stratum is tested, however many there are.
 
 The statistics are written once to a scratch table, narrow and without texts, and read for calibration and verdicts.
-The thresholds are one row for each of at most MAX_STRATA strata (the largest by labelled good documents; documents of
-the rest meet the base rules only), so they are broadcast.
+The thresholds are one row for each stratum that has any. Their number is not bounded, so they are joined without a
+forced broadcast; the rows of a stratum are dealt over SALTS keys, to each of which its thresholds are copied.
 
 Defined cases: null text has no words and fails the base; null language is the stratum ''; a document with several
 labels is good only if all say so; labels without documents and documents without labels are unused; with no labels
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from harborscan.llm.common import stored
 
 RISK, ERROR, MAX_STRATA = 0.02, 0.05, 256
+#: Keys over which the rows of one stratum are dealt for the join with its thresholds.
+SALTS = 64
 #: Candidate cutoffs of each rule, lowest (strictest) first.
 CUTOFFS = {
     "symbols_per_word": [0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.2, 2.0],
@@ -114,7 +117,6 @@ def thresholds(scored: DataFrame, labels: DataFrame, risk: float = RISK, error:
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").groupBy("doc_id").agg((F.min("quality") == 1).alias("good")).where("good").select("doc_id")
     held = scored.where(~base_failed()).join(good, "doc_id", "left_semi")
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(F.col(r) > c).alias(f"{r}|{i}") for r, cs in cutoffs.items() for i, c in enumerate(cs)))
-    counts = counts.orderBy(F.desc("n"), "stratum").limit(MAX_STRATA)
     per_stratum = sum(map(len, cutoffs.values()))
     tests = counts.select("stratum", "n", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}|{i}").alias("k")) for r, cs in cutoffs.items() for i, c in enumerate(cs)))).alias("t"))
     tests = tests.select("stratum", "n", "t.*").withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), risk))
@@ -128,7 +130,8 @@ def quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float
     scored = stored(statistics(docs.select("doc_id", "text", lang), "stratum"), "quality").withColumns(rule_scores())
     cut = thresholds(scored, labels, risk, error, cutoffs)
     wide = cut.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut|{r}") for r in cutoffs))
-    out = scored.join(F.broadcast(wide), "stratum", "left")
+    salted = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).join(salted, ["stratum", "salt"], "left")
     rejects = F.filter(F.array(*(F.when(F.col(r) > F.col(f"cut|{r}"), F.lit(r)) for r in cutoffs)), lambda x: x.isNotNull())
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

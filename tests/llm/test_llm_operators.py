@@ -107,6 +107,14 @@ def test_thresholds_limit_false_rejection(spark):
     assert [(r.rule, r.cutoff, r.n_rejected) for r in cut] == [("x", 1.0, 100)]
 
 
+def test_thresholds_of_every_stratum(spark):
+    from pyspark.sql import functions as F
+
+    scored = spark.range(300 * 700).select("id", F.concat(F.lit("l"), (F.col("id") % 300).cast("string")).alias("stratum"), F.lit(100).alias("n_words"), F.lit(0).alias("n_repeat_words"), F.lit(0.1).alias("x")).withColumnRenamed("id", "doc_id")
+    cut = quality_rules.thresholds(scored, scored.select("doc_id", F.lit(1).alias("quality")), cutoffs={"x": [0.05, 1.0]}).collect()
+    assert len({r.stratum for r in cut}) == 300 and {r.cutoff for r in cut} == {1.0}
+
+
 def test_token_store(spark, docs, texts, empty):
     from tokenizers import Tokenizer
 
