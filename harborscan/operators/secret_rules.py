@@ -146,10 +146,17 @@ def outside_key_blocks(lines: DataFrame) -> DataFrame:
     return lines.withColumn("inside_key", inside)
 
 
-def detect(lines: DataFrame, detectors=DETECTORS, max_bytes: int = 16384) -> DataFrame:
-    """path, line and candidate columns of all lines up to the limit, without overlaps."""
+def detect(lines: DataFrame, detectors=DETECTORS, max_bytes: int = 16384, large_file: int = 1 << 20) -> DataFrame:
+    """path, line and candidate columns of all lines, without overlaps.
+
+    Lines over the limit are left out of files up to ``large_file`` bytes, but matched whole in larger ones, where
+    lines carry their file's size as ``file_bytes``; lines without it count as lines of small files.
+    """
     text = F.col("text")
-    likely = lines.where(text.rlike(LIKELY) & (F.octet_length(text) <= max_bytes))
+    fits = F.octet_length(text) <= max_bytes
+    if "file_bytes" in lines.columns:
+        fits = fits | (F.col("file_bytes") > large_file)
+    likely = lines.where(text.rlike(LIKELY) & fits)
     found = likely.select("path", "line", F.concat(*(d(text) for d in detectors)).alias("c")).where(F.size("c") > 0)
     return found.select("path", "line", F.inline(without_overlaps(F.col("c"))))
 

@@ -86,8 +86,8 @@ s AS (SELECT path, line, text, unnest(m) AS value, unnest(list_transform(range(1
 e AS (SELECT * FROM s WHERE regexp_full_match(value, '[A-Za-z0-9_-]{{20,128}}') AND regexp_matches(substr(text, greatest(start - 40, 0)::BIGINT + 1, (start - greatest(start - 40, 0))::BIGINT), '{_CONTEXT}'))
 SELECT path, line, start::BIGINT AS start, length(value) AS value_length FROM e WHERE {_BITS} >= 3.5""")
 def secret_entropy_context(spark, sf_dir):
-    lines = discovery.lines(corpora.artifacts(spark, sf_dir))
-    hits = secret_rules.detect(lines, [secret_rules.entropy_candidates])
+    files = corpora.artifacts(spark, sf_dir).withColumn("file_bytes", F.octet_length("text"))
+    hits = secret_rules.detect(discovery.lines(files, "file_bytes"), [secret_rules.entropy_candidates])
     return hits.select("path", "line", F.col("start").cast("long").alias("start"), F.col("value_length").cast("long").alias("value_length"))
 
 
