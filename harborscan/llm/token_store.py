@@ -14,8 +14,10 @@ Defined cases: null is the empty text, which has the end id only; repeated docum
 
 from __future__ import annotations
 
+import re
 import struct
 from array import array
+from string import punctuation
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -27,7 +29,7 @@ BLOCK_IDS = 4096
 #: A segment is closed once it has as many ids.
 SEGMENT_IDS = 1 << 18
 #: Chunks of text whose ids a worker remembers.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 
 
 def width_of(vocabulary: int) -> int:
@@ -72,47 +74,82 @@ def unpack(segment: bytes, start: int = 0, end: int | None = None) -> np.ndarray
     return np.concatenate(parts)[start - first * block : end - first * block]
 
 
+#: A byte's character in byte-level vocabularies: itself where it is printable, else the next free one from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLING = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+#: Letters that are composed already, with a plain lower case.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž]+").fullmatch
+
+
 class ChunkEncoder:
-    """The tokenizer over texts cut at spaces and line ends, where this vocabulary's tokens end too; chunks are remembered."""
+    """The tokenizer over texts cut at spaces and line ends, where this vocabulary's tokens end too; chunks are remembered.
+
+    A chunk of Latin letters and closing ASCII marks goes to the tokenizer's model at once, in the vocabulary's spelling of
+    bytes: the normaliser only lower-cases it and the splitter only parts letters from marks. Whether that holds is tried
+    on a few words when the file is loaded; all other chunks, those with a special token in them included, go through the
+    whole tokenizer.
+    """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), end_id
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end_id], "<u4").tobytes()
+        self.model = self.tokenizer.model
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced = [t for t in added if " " in t or "\n" in t]
+        self.direct = all(self._letters(w.lower()) == self._whole([w])[0] for w in ("a", "The", "Wonderful", "qzxJv", "internationalization", "Élève", "Straße", "ŽIŽEK", "ñandú"))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
-    @staticmethod
-    def _parts(chunk: str) -> tuple[str, str]:
-        """A chunk cut before its closing marks, where a letter or digit stands before them; ASCII in lower case.
-
-        The vocabulary lower-cases one character at a time and never joins letters with marks, so ids stay the same.
-        """
-        if not chunk.isascii():
-            return chunk, ""
-        stem = chunk.rstrip(".,;:!?")
-        return (stem.lower(), chunk[len(stem) :]) if stem and stem[-1].isalnum() else (chunk, "")
+    def _letters(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SPELLING))]).tobytes()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        known, stems, others = self.known, self.stems, []
+        for c in chunks:
+            stem = c.rstrip(punctuation)
+            if self.direct and stem.isalpha() and (stem.isascii() or _LATIN(stem)):
+                marks = c[len(stem) :]
+                low = stem.lower()
+                ids = stems.get(low)
+                if ids is None:
+                    ids = stems[low] = self._letters(low)
+                if marks:
+                    if marks not in stems:
+                        stems[marks] = self._whole([marks])[0]
+                    ids += stems[marks]
+                known[c] = ids
+            else:
+                others.append(c)
+        for k in range(0, len(others), 20_000):
+            some = others[k : k + 20_000]
+            known.update(zip(some, self._whole(some), strict=True))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """For each text its ids and the end id, as little-endian 32-bit integers."""
-        cut = [t.decode().replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = [c for c in dict.fromkeys(c for x in cut for c in x if c) if c not in self.known]
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known.clear()
-            self.stems.clear()
-            new = list(dict.fromkeys(c for x in cut for c in x if c))
-        parts = [self._parts(c) for c in new]
-        fresh = [c for c in dict.fromkeys(x for p in parts for x in p if x) if c not in self.stems]
-        for k in range(0, len(fresh), 20_000):
-            some = fresh[k : k + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.stems[c] = array("I", e.ids).tobytes()
-        self.stems[""] = b""
-        self.known.update((c, self.stems[stem] + self.stems[mark]) for c, (stem, mark) in zip(new, parts, strict=True))
+        plain = [t.decode() if t else "" for t in texts]
+        if self.spaced:  # a special token with a space in it may cross chunks
+            return [x + self.end for x in self._whole(plain)]
+        cut = [t.replace("\n", " ").split(" ") for t in plain]
+        if len(self.known) > CACHE_CHUNKS:  # the elder half goes, but for what is met again
+            self.known, self.older, self.stems = {}, self.known, {}
+        names = set().union(*cut)
+        names.discard("")
+        fresh = []
+        for c in names - self.known.keys():
+            ids = self.older.get(c)
+            if ids is None:
+                fresh.append(c)
+            else:
+                self.known[c] = ids
+        self._learn(fresh)
         self.known[""] = b""
-        end, get = np.array([self.end], "<u4").tobytes(), self.known.__getitem__
-        return [b"".join(map(get, x)) + end for x in cut]
+        get = self.known.__getitem__
+        return [b"".join(map(get, x)) + self.end for x in cut]
 
 
 _encoders: dict[tuple[str, int], ChunkEncoder] = {}
@@ -137,7 +174,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataF
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int) -> None:
     """Write the token store of docs: segments of packed ids with the documents in them."""
     width = width_of(vocabulary)
-    rows = stored(tokenized(docs, tokenizer, end_id, width), "tokens")
+    rows = stored(tokenized(docs, tokenizer, end_id, width), "tokens", "zstd")
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "packed")
 
     def lay(batches):
@@ -160,7 +197,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabu
         if names:
             yield segment()
 
-    map_arrow(dealt, lay, "shard long, segment long, shard_start long, doc_ids array<long>, lengths array<int>, data binary").write.parquet(path)
+    map_arrow(dealt, lay, "shard long, segment long, shard_start long, doc_ids array<long>, lengths array<int>, data binary").write.option("compression", "zstd").parquet(path)
 
 
 def shard_starts(store: DataFrame) -> DataFrame:

@@ -120,7 +120,6 @@ def test_token_store(spark, docs, texts, empty):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     got = {r.doc_id: r for r in token_store.stored_tokens(docs, path).collect()}
     at = 0
     for i, t in [*enumerate(texts), (9999, "")]:
@@ -130,6 +129,20 @@ def test_token_store(spark, docs, texts, empty):
     assert token_store.stored_tokens(empty, path).count() == 0
 
 
+def test_token_store_odd_texts(spark):
+    """Special tokens, marks, letters of other alphabets, repeated and null doc_ids: as the tokenizer gives them."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    odd = ["a<|endoftext|>.", "x <|startoftext|> Y", "it's DON'T İstanbul ΣΑΣ café é ́a Å", "a\tb c\r\nd", "(a1b2) 3.14 -- dogs' end.%%% ñÑ.", "x" * 5000]
+    rows = [*enumerate(odd), (3, "again"), (None, "no id"), (None, None)]
+    got = token_store.stored_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path).orderBy("start").collect()
+    want = {(i, tuple([*tok.encode(t or "", add_special_tokens=False).ids, 1])) for i, t in rows}
+    assert {(r.doc_id, r.n_tokens, r.ids_crc32) for r in got} == {(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want}
+    assert [r.doc_id for r in got] == [None, None, 0, 1, 2, 3, 3, 4, 5] and [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(9)]
+
+
 @pytest.mark.parametrize("width", [1, 7, 8, 13, 16, 17])
 def test_packing(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 1001).astype(np.uint32)
