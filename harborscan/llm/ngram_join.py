@@ -1,28 +1,33 @@
 """N-gram Jaccard join: prefix filters under several global token orders, intersected before verification.
 
-A document's set is its distinct five-word shingles, hashed to 64 bits. Equal sets are one node, named by a digest of the
-set, so exact copies never meet as pairs. Two sets of similarity t or more share a token among the first
+A document's set is its distinct five-word shingles, hashed to 64 bits. Equal sets are one node, named by a 128-bit
+digest of the set, so exact copies never meet as pairs. Two sets of similarity t or more share a token among the first
 n - ceil(t n) + 1 tokens of each, whatever the global order:
 
-* The first order puts rare tokens first, by counts in a sketch of fixed size over all documents. Each prefix token is a
-  posting; postings are packed into arrays for each token range and batch of documents, and dealt by range.
-* The other orders are rare-first by other hashes of the sketch's counters and by plain hashes. A candidate pair whose
-  prefixes share no token under one of them goes before its sets are compared. Sizes filter too.
+* The first order puts rare tokens first, by a sketch of fixed size over all documents: it counts the tokens that repeat
+  within a batch of a task, so that only what may be frequent travels. Each prefix token is a posting; postings are
+  packed into arrays for each token range and batch of documents, and dealt by range. A posting names its node by 64
+  bits: nodes that share them are candidates alike.
+* The further orders are plain hash orders. Each node carries its prefixes under them, 16 bits a token. A candidate
+  pair whose prefixes share none under one of the orders goes before any text is read: the filters are intersected.
 
-Each node also has a signature of SIGNATURE_BITS bits, each the parity of its tokens there: sets differ in at least as
-many tokens as signatures in bits, so that candidates whose signatures differ too much are told apart without texts.
+Sizes filter too, and so does a signature of SIGNATURE_BITS bits, each the parity of a node's tokens there: sets differ
+in at least as many tokens as signatures in bits.
 
 Tokens whose lists hold the same nodes give one list. In a list of up to SMALL_LIST nodes all pairs are candidates; of a
 longer one, pairs with a hub (the node with most shared tokens) first. Links found join nodes into components, and
-lists whose nodes are in one component are done; each further round takes more hubs, until every candidate pair either
-is verified or lies within a component. So a group of copies costs about one verification a member, and no link between
-components is lost. Verification gathers the texts of candidates by hub and compares their whole sets.
+lists whose nodes are in one component are done. In each further round some nodes outside a list's largest component are
+hubs and meet the whole list, which is dealt in shares of LIST_SHARE nodes; then they leave it. Once no node outside the
+largest component is left, every candidate pair has been verified or lies within a component. So a group of copies costs
+about one verification a member, and no link between components is lost. Verification gathers the texts of candidates by
+hub and compares their whole sets.
 
 Components come from large-star and small-star rounds on tables in the shared folder.
 
 Defined cases: null, empty and wordless texts have the empty set, are linked with nothing, and are their own component;
 a text of fewer than five words has its whole sequence as one shingle; rows that repeat a doc_id are joined by their own
-texts; rows with a null doc_id are linked only as exact copies of others, and their component_id is null if alone.
+texts; rows with a null doc_id are linked like all others (their texts are kept beside their sets, since no key leads to
+them), and their component_id is null where no row of the component has a doc_id.
 """
 
 from __future__ import annotations
@@ -39,8 +44,8 @@ from harborscan.llm.common import documents, map_arrow, small_batches, stored
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers: intersection * SIMILAR[1] >= union * SIMILAR[0].
 SIMILAR = (3, 4)
-#: Counters of the frequency sketch, and the slices in which tasks hand it on.
-SKETCH, SLICES = 1 << 24, 32
+#: Counters of the frequency sketch, the slices in which tasks hand it on, and the tokens of a task's batch.
+SKETCH, SLICES, SKETCH_TOKENS = 1 << 24, 32, 2_000_000
 SIGNATURE_BITS = 512
 #: Salts of the further orders.
 ORDERS = (0x5851F42D, 0x14057B7E)
@@ -48,8 +53,13 @@ SMALL_LIST = 8
 #: Postings a token range has on average.
 RANGE_POSTINGS = 1_000_000
 BATCH_POSTINGS = 300_000
-#: Members that are compared with one hub in one group.
-HUB_SHARE = 2000
+#: Members that are compared with one hub in one group, nodes of a list that are compared with its hubs in one group,
+#: nodes in one row of a list.
+HUB_SHARE, LIST_SHARE, LIST_ROW = 2000, 2000, 8192
+#: Bits of the map that says which keys are wanted: 4 MB whatever the input; full maps let more rows through.
+WANTED_BITS = 1 << 25
+#: Names that a task remembers as seen.
+SEEN_NAMES = 300_000
 
 _WORDS: dict[bytes, int] = {}
 #: Odd factors of the words of a shingle, by place.
@@ -88,9 +98,16 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def digest(tokens: np.ndarray) -> int:
-    """A node's name: signed 64 bits of the set; 0 is the empty set."""
-    return np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()) | 1).view(np.int64).item() if len(tokens) else 0
+def digest(tokens: np.ndarray) -> bytes:
+    """A node's name: 128 bits of the set, the last never 0; the empty set's is empty."""
+    if not len(tokens):
+        return b""
+    d = xxhash.xxh3_128_digest(tokens.tobytes())
+    return d[:-1] + bytes([d[-1] | 1])
+
+
+def short(name: bytes) -> int | None:
+    return int.from_bytes(name[:8], "little", signed=True) if name else None
 
 
 def prefix_length(n: int) -> int:
@@ -106,43 +123,84 @@ def signature(tokens: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def further_prefixes(tokens: np.ndarray) -> bytes:
+    """The prefixes under the further orders, one after another: 16 bits of each token's key, sorted."""
+    n = prefix_length(len(tokens))
+    keys = [_mix(tokens, salt) for salt in ORDERS]
+    return b"".join([np.sort(((np.partition(k, n - 1)[:n] if n < len(k) else k) & np.uint64(0xFFFF)).astype("<u2")).tobytes() for k in keys])
+
+
+def share_all_orders(a: bytes, b: bytes) -> bool:
+    """Whether two nodes' prefixes have a token in common under every further order (equal 16 bits count as one)."""
+    x, y = np.frombuffer(a, "<u2").reshape(len(ORDERS), -1), np.frombuffer(b, "<u2").reshape(len(ORDERS), -1)
+    return all((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).any() for p, q in zip(x, y, strict=True))
+
+
 def sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, node, n and signature of every document (stored), and the frequency sketch of all documents.
+    """doc_id, node, short and n of every document (stored), and the frequency sketch of all documents.
 
-    A task's counters stop at 255, their sum at 65535, and the result is in sixteenths of powers of two: the sketch only
-    orders tokens, and does not touch what is found.
+    The first row of a node in a task also has its signature and further prefixes, and its text if it has no doc_id.
+    Only tokens that repeat within SKETCH_TOKENS tokens of a task add to the sketch. Counters stop at 65535 and are
+    kept in sixteenths of powers of two: the sketch only orders tokens, and does not touch what is found.
     """
+    empty = {"doc_id": [None] * SLICES, "node": [None] * SLICES, "short": [None] * SLICES, "n": [None] * SLICES, "signature": [None] * SLICES, "orders": [None] * SLICES, "text": [None] * SLICES}
+
+    def repeated(held: list[np.ndarray]) -> dict:
+        tokens, times = np.unique(np.concatenate(held), return_counts=True)
+        often = times > 1
+        slots, order = (tokens[often] & np.uint64(SKETCH - 1)).astype("<u4"), None
+        order = np.argsort(slots, kind="stable")
+        slots, times = slots[order], np.minimum(times[often][order], 65535).astype("<u2")
+        ends = np.searchsorted(slots, np.arange(1, SLICES + 1, dtype=np.uint64) * (SKETCH // SLICES))
+        starts = [0, *ends[:-1]]
+        return {**empty, "slice": list(range(SLICES)), "sketch": [slots[a:b].tobytes() + times[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]}
 
     def each(batches):
-        counts = None
+        held, size, seen = [], 0, set()
         for b in batches:
-            got = [shingles(t) for t in b.column(1).to_pylist()]
-            counts = np.zeros(SKETCH, np.uint8) if counts is None else counts
-            places, times = np.unique(np.concatenate([s & np.uint64(SKETCH - 1) for s in got] or [np.zeros(0, np.uint64)]).astype(np.int64), return_counts=True)
-            counts[places] = np.minimum(counts[places].astype(np.int64) + times, 255)
-            yield {"doc_id": b.column(0), "node": [digest(s) for s in got], "n": [len(s) for s in got], "signature": [signature(s) for s in got], "slice": [None] * len(got), "sketch": [None] * len(got)}
-        if counts is not None:
-            for k, part in enumerate(np.split(counts, SLICES)):
-                yield {"doc_id": [None], "node": [None], "n": [None], "signature": [None], "slice": [k], "sketch": [part.tobytes()]}
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            got = [shingles(t) for t in texts]
+            names = [digest(s) for s in got]
+            fresh = []
+            for name in names:
+                fresh.append(bool(name) and name not in seen)
+                seen.add(name)
+            yield {
+                "doc_id": b.column(0), "node": names, "short": [short(x) for x in names], "n": [len(s) for s in got],
+                "signature": [signature(s) if f else None for s, f in zip(got, fresh, strict=True)],
+                "orders": [further_prefixes(s) if f else None for s, f in zip(got, fresh, strict=True)],
+                "text": [t if f and i is None else None for i, t, f in zip(ids, texts, fresh, strict=True)],
+                "slice": [None] * len(got), "sketch": [None] * len(got),
+            }
+            if len(seen) > SEEN_NAMES:
+                seen.clear()
+            held += got
+            size += sum(map(len, got))
+            if size >= SKETCH_TOKENS:
+                yield repeated(held)
+                held, size = [], 0
+        if held:
+            yield repeated(held)
 
-    spark = docs.sparkSession
-    both = stored(map_arrow(documents(docs), each, "doc_id long, node long, n long, signature binary, slice int, sketch binary"), "sets")
+    both = stored(map_arrow(documents(docs), each, "doc_id long, node binary, short long, n long, signature binary, orders binary, text binary, slice int, sketch binary"), "sets")
+    scaled = np.minimum(np.rint(16 * np.log2(np.arange(65536) + 1.0)), 255).astype(np.uint8)
+    width = SKETCH // SLICES
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(x, np.uint8)
-                total[k] = total[k] + part if k in total else part.astype(np.uint32)
+                n = len(x) // 6
+                part = np.bincount(np.frombuffer(x, "<u4", n).astype(np.int64) - k * width, np.frombuffer(x, "<u2", n, 4 * n), minlength=width)
+                total[k] = total[k] + part if k in total else part
         for k, x in total.items():
-            yield {"slice": [k], "sketch": [np.minimum(x, 65535).astype(np.uint16).tobytes()]}
+            yield {"slice": [k], "sketch": [scaled[np.minimum(x, 65535).astype(np.int64)].tobytes()]}
 
-    parts = both.where("sketch IS NOT NULL").select("slice", "sketch")
-    merged = np.zeros((SLICES, SKETCH // SLICES), np.uint16)
+    parts = both.where("sketch IS NOT NULL AND octet_length(sketch) > 0").select("slice", "sketch")
+    merged = np.zeros((SLICES, width), np.uint8)
     for row in map_arrow(parts.repartition(SLICES, "slice"), add, "slice int, sketch binary").toLocalIterator():
-        merged[row[0]] = np.frombuffer(row[1], np.uint16)
-    scaled = np.minimum(np.rint(16 * np.log2(np.arange(65536) + 1.0)), 255).astype(np.uint8)
-    return both.where("sketch IS NULL").drop("slice", "sketch"), scaled[merged.ravel()]
+        merged[row[0]] = np.frombuffer(row[1], np.uint8)
+    return both.where("slice IS NULL").drop("slice", "sketch"), merged.ravel()
 
 
 def _rarity(tokens: np.ndarray, sketch: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -164,7 +222,7 @@ def postings(docs: DataFrame, sketch, ranges: int) -> DataFrame:
     def flush(held: list):
         length = [len(h[0]) for h in held]
         tokens = np.concatenate([h[0] for h in held])
-        nodes = np.repeat(np.array([h[1] for h in held], np.int64), length)
+        nodes = np.repeat(np.array([short(h[1]) for h in held], np.int64), length)
         sizes = np.repeat(np.minimum([h[2] for h in held], 65535).astype(np.uint16), length)
         where = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         order = np.argsort(where, kind="stable")
@@ -181,13 +239,15 @@ def postings(docs: DataFrame, sketch, ranges: int) -> DataFrame:
                 name = digest(s)
                 if not len(s) or name in seen:
                     continue
+                if len(seen) > SEEN_NAMES:
+                    seen.clear()
                 seen.add(name)
                 first = prefix(s, sketch.value)
                 held.append((first, name, len(s)))
                 size += len(first)
                 if size >= BATCH_POSTINGS:
                     yield from flush(held)
-                    held, size, seen = [], 0, set()
+                    held, size = [], 0
         if held:
             yield from flush(held)
 
@@ -220,7 +280,8 @@ def _lists_of(tokens: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
 
 
 def lists(dealt: DataFrame) -> DataFrame:
-    """Lists of nodes that share a prefix token, as binary rows (node, size). A task holds its ranges, of bounded size."""
+    """Lists of nodes that share a prefix token: id, the hub (node, size) and a row's nodes (node, size). A task holds its
+    ranges, of bounded size; a long list takes several rows."""
 
     def each(batches):
         held = defaultdict(list)
@@ -229,16 +290,19 @@ def lists(dealt: DataFrame) -> DataFrame:
                 held[r].append((t, i, m))
         for r in list(held):
             parts = held.pop(r)
-            short = np.concatenate([np.frombuffer(t, np.uint8).reshape(-1, 5) for t, _, _ in parts])
-            tokens = np.zeros(len(short), np.uint64)
-            tokens.view(np.uint8).reshape(-1, 8)[:, :5] = short
+            cut = np.concatenate([np.frombuffer(t, np.uint8).reshape(-1, 5) for t, _, _ in parts])
+            tokens = np.zeros(len(cut), np.uint64)
+            tokens.view(np.uint8).reshape(-1, 8)[:, :5] = cut
             meta = np.column_stack([np.concatenate([np.frombuffer(n, np.int64) for _, n, _ in parts]), np.concatenate([np.frombuffer(z, np.uint16) for _, _, z in parts]).astype(np.int64)])
-            del parts, short
-            out = [rows.tobytes() for rows in _lists_of(tokens, meta)]
+            del parts, cut
+            out = []
+            for rows in _lists_of(tokens, meta):
+                ident = xxhash.xxh3_64_intdigest(rows.tobytes()) >> 1
+                out += [(ident, len(rows), rows[0].tobytes(), rows[k : k + LIST_ROW].tobytes()) for k in range(0, len(rows), LIST_ROW)]
             for k in range(0, len(out), 500):
-                yield {"nodes": out[k : k + 500]}
+                yield dict(zip(("id", "size", "hub", "nodes"), map(list, zip(*out[k : k + 500], strict=True)), strict=True))
 
-    return map_arrow(dealt, each, "nodes binary")
+    return map_arrow(dealt, each, "id long, size long, hub binary, nodes binary")
 
 
 def _pairs(rows: np.ndarray, hubs: int) -> np.ndarray:
@@ -256,11 +320,18 @@ def _rows(x: bytes) -> np.ndarray:
 
 
 def first_candidates(found: DataFrame) -> DataFrame:
-    """hub, member: all candidates of short lists, the hub's of long ones."""
+    """hub, member (64 bits of both names): all candidates of short lists, the hub's of long ones."""
 
     def each(batches):
         for b in batches:
-            made = [_pairs(r, len(r) if len(r) <= SMALL_LIST else 1) for r in map(_rows, b.column(0).to_pylist())]
+            made = []
+            for size, hub, nodes in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                rows = _rows(nodes)
+                if size <= SMALL_LIST:
+                    made.append(_pairs(rows, len(rows)))
+                else:
+                    head = _rows(hub)
+                    made.append(_pairs(np.concatenate([head, rows[rows[:, 0] != head[0, 0]]]), 1))
             if made:
                 p = np.unique(np.concatenate(made), axis=0)
                 yield {"hub": pa.array(p[:, 0]), "member": pa.array(p[:, 1])}
@@ -268,6 +339,16 @@ def first_candidates(found: DataFrame) -> DataFrame:
     return map_arrow(found, each, "hub long, member long")
 
 
+def only_wanted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be among the wanted ones (a column of the same name), told by a broadcast map of
+    WANTED_BITS bits: most others never reach a shuffle. A join must follow."""
+    place = F.pmod(F.xxhash64(key), F.lit(WANTED_BITS)) + 1
+    bits = wanted.select(place.alias("k")).groupBy(F.bitmap_bucket_number("k").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("bucket")).where(F.getbit(byte, at % 8) == 1).drop("bucket", "bits")
+
+
 def _close(hub: tuple, sizes: np.ndarray, signatures: np.ndarray) -> np.ndarray:
     """Which nodes may be similar to the hub (size, signature), by sizes and by the bits in which signatures differ."""
     size, sign = hub
@@ -281,82 +362,89 @@ def _signs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SIGNATURE_BITS // 64)
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (hub, member) whose sizes and signatures allow similarity. nodes: node, n, signature."""
-    n = nodes.select("node", "n", "signature")
-    both = pairs.join(n.toDF("hub", "hn", "hs"), "hub").join(n.toDF("member", "mn", "ms"), "member").select("hub", "member", "hn", "mn", "hs", "ms")
+def screened(pairs: DataFrame, named: DataFrame, by: str) -> DataFrame:
+    """The pairs (hub, member) whose sizes, signatures and prefixes under every further order allow similarity, by whole
+    names. ``by``: the column of named (node or short) that names them in pairs."""
+    n = named.select(F.col(by).alias("by"), "node", "n", "signature", "orders")
+    both = pairs.join(n.toDF("hub", "hub_node", "hn", "hs", "ho"), "hub").join(n.toDF("member", "member_node", "mn", "ms", "mo"), "member").where("hub_node <> member_node").select("hub_node", "member_node", "hn", "mn", "hs", "ms", "ho", "mo")
 
     def each(batches):
         for b in batches:
             if b.num_rows:
                 ok = _close((b.column(2).to_numpy(), _signs(b.column(4))), b.column(3).to_numpy(), _signs(b.column(5)))
-                yield {"hub": b.column(0).filter(pa.array(ok)), "member": b.column(1).filter(pa.array(ok))}
+                b = b.filter(pa.array(ok))
+                ok = pa.array([share_all_orders(x, y) for x, y in zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True)], pa.bool_())
+                yield {"hub": b.column(0).filter(ok), "member": b.column(1).filter(ok)}
 
-    return map_arrow(both, each, "hub long, member long")
+    return map_arrow(both, each, "hub binary, member binary")
 
 
 def next_candidates(left: DataFrame, roots: DataFrame, hubs: int) -> DataFrame:
-    """Of lists (id, node, size, signature) whose nodes lie in several components: the next hubs' candidates in other
-    components (hub, member), and the rows that stay for later rounds (id, node)."""
+    """Of lists (id, node, size, signature) whose nodes lie in several components: about ``hubs`` nodes outside a list's
+    largest component, by hash, with their candidates in other components (hub, member), and the rows that stay for
+    later rounds (id, node)."""
     known = left.join(roots, "node", "left").select("id", "node", "size", F.coalesce("root", "node").alias("root"), "signature")
-    grouped = known.repartition("id").sortWithinPartitions("id")
-
-    def one(ident: int, rows: np.ndarray, signs: np.ndarray):
-        names, part, count = np.unique(rows[:, 2], return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return None
-        order = np.lexsort((rows[:, 0], count[part]))  # nodes of the smallest components are the hubs
-        rows, signs = rows[order], signs[order]
+    parts = known.groupBy("id", "root").agg(F.count("*").alias("c"))
+    shape = parts.groupBy("id").agg(F.sum("c").alias("rows"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    shape = shape.select("id", "rows", F.col("most.root").alias("most"), (F.col("rows") - F.col("most.c")).alias("outside"))
+    told = known.join(shape, "id").withColumn("is_hub", (F.col("root") != F.col("most")) & (F.pmod(F.xxhash64("node", F.lit(hubs)), F.greatest("outside", F.lit(1))) < hubs))
+    shares = F.ceil(F.col("rows") / LIST_SHARE).cast("int")
+    columns = ["id", "node", "size", "root", "signature"]
+    members = told.select(*columns, "is_hub", F.pmod(F.xxhash64("node"), shares).cast("int").alias("share"), F.lit(1).alias("side"), "outside")
+    heads = told.where("is_hub").select(*columns, "is_hub", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.lit(0).alias("side"), "outside")
+    grouped = heads.unionByName(members).repartition("id", "share").sortWithinPartitions("id", "share", "side")
+
+    def one(ident: int, part: dict):
+        head, rest = part["side"] == 0, part["side"] == 1
+        names, sizes, parts, signs = part["node"][rest], part["size"][rest], part["root"][rest], part["sign"][rest]
+        is_hub = part["hub"][rest]
         pairs = []
-        for h in range(min(hubs, len(rows) - 1)):
-            later, marks = rows[h + 1 :], signs[h + 1 :]
-            other = np.flatnonzero(later[:, 2] != rows[h, 2])
-            near = other[_close((rows[h, 1], signs[h]), later[other, 1], marks[other])]
-            pairs += [(int(rows[h, 0]), int(x)) for x in later[near, 0]]
-        rest = rows[hubs:, 0].tolist()
-        return {"hub": [a for a, _ in pairs] + [None] * len(rest), "member": [b for _, b in pairs] + [None] * len(rest), "id": [None] * len(pairs) + [ident] * len(rest), "node": [None] * len(pairs) + rest}
+        for name, size, root, sign in zip(part["node"][head], part["size"][head], part["root"][head], part["sign"][head], strict=True):
+            other = np.flatnonzero((parts != root) & (~is_hub | (names > name)))
+            near = other[_close((size, sign), sizes[other], signs[other])]
+            pairs += [(name, x) for x in names[near].tolist()]
+        # A list all of whose outside nodes are hubs now is done.
+        stay = names[~is_hub].tolist() if part["outside"][0] > hubs else []
+        return {"hub": [a for a, _ in pairs] + [None] * len(stay), "member": [b for _, b in pairs] + [None] * len(stay), "id": [None] * len(pairs) + [ident] * len(stay), "node": [None] * len(pairs) + stay}
 
     def each(batches):
-        ident, held = None, []
+        now, held = None, []
+
+        def whole():
+            return one(now[0], {k: np.concatenate([x[k] for x in held]) for k in held[0]})
+
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, signs = b.column(0).to_numpy(), _signs(b.column(4))
-            rows = np.column_stack([b.column(k).to_numpy() for k in (1, 2, 3)])
-            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
+            part = {"node": np.array(b.column(1).to_pylist(), "S16"), "size": b.column(2).to_numpy(), "root": np.array(b.column(3).to_pylist(), "S16"), "sign": _signs(b.column(4)), "hub": b.column(5).to_numpy(zero_copy_only=False), "side": b.column(7).to_numpy(), "outside": b.column(8).to_numpy()}
+            ids, share = b.column(0).to_numpy(), b.column(6).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(ids) != 0) | (np.diff(share) != 0)) + 1), len(ids)]
             for a, z in zip(cuts, cuts[1:]):
-                if ids[a] != ident and held:
-                    if out := one(ident, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])):
-                        yield out
+                key = (int(ids[a]), int(share[a]))
+                if key != now and held:
+                    yield whole()
                     held = []
-                ident = int(ids[a])
-                held.append((rows[a:z], signs[a:z]))
-        if held and (out := one(ident, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))):
-            yield out
-
-    return map_arrow(grouped, each, "hub long, member long, id long, node long")
-
+                now = key
+                held.append({k: x[a:z] for k, x in part.items()})
+        if held:
+            yield whole()
 
-def _reach(tokens: np.ndarray, salt: int) -> tuple[np.ndarray, np.uint64]:
-    """Sort keys of one hash order, and the key of the prefix's last token."""
-    keys = _mix(tokens, salt)
-    return keys, np.partition(keys, prefix_length(len(keys)) - 1)[prefix_length(len(keys)) - 1]
+    return map_arrow(grouped, each, "hub binary, member binary, id long, node binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (hub, member) whose whole sets are similar: a, b. texts: node, text of every node in pairs.
 
-    Members are dealt by hub, a hub's in shares of about HUB_SHARE, each share with the hub's text first. A pair must
-    have a common token in both prefixes of every further order before its sets count.
+    Members are dealt by hub, a hub's in shares of about HUB_SHARE, each share with the hub's text first.
     """
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("c"))
     shared = pairs.join(sizes, "hub").select("hub", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("c") / HUB_SHARE)).cast("int").alias("share"))
     members = shared.join(texts.withColumnRenamed("node", "member"), "member").select("hub", "share", "member", "text")
-    hubs = shared.select("hub", "share").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "share", F.lit(None).cast("long").alias("member"), "text")
+    hubs = shared.select("hub", "share").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "share", F.lit(None).cast("binary").alias("member"), "text")
     rows = members.unionByName(hubs).repartition("hub", "share").sortWithinPartitions("hub", "share", F.asc_nulls_first("member"))
 
     def each(batches):
-        base, orders, name = np.zeros(0, np.uint64), [], None
+        base, name = np.zeros(0, np.uint64), None
         for b in batches:
             found = []
             for hub, _, member, text in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
@@ -365,20 +453,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     continue  # another row of the same doc_id
                 if member is None:
                     base, name = s, hub
-                    orders = [_reach(s, salt)[1] for salt in ORDERS]
-                    continue
-                if name != hub:
-                    continue
-                place = np.minimum(np.searchsorted(base, s), len(base) - 1)
-                both = base[place] == s
-                common = s[both]
-                if not len(common) or not all((_mix(common, salt) <= min(last, _reach(s, salt)[1])).any() for salt, last in zip(ORDERS, orders, strict=True)):
-                    continue
-                if len(common) * SIMILAR[1] >= (len(base) + len(s) - len(common)) * SIMILAR[0]:
-                    found.append((hub, member))
+                elif name == hub:
+                    common = int((base[np.minimum(np.searchsorted(base, s), len(base) - 1)] == s).sum())
+                    if common * SIMILAR[1] >= (len(base) + len(s) - common) * SIMILAR[0]:
+                        found.append((hub, member))
             yield {"a": [x[0] for x in found], "b": [x[1] for x in found]}
 
-    return map_arrow(rows, each, "a long, b long")
+    return map_arrow(rows, each, "a binary, b binary")
 
 
 def _mark(edges: DataFrame):
@@ -386,7 +467,7 @@ def _mark(edges: DataFrame):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component) by large-star and small-star rounds, for links a, b."""
+    """node, root (the smallest name of its component) by large-star and small-star rounds, for links a, b."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = _mark(edges)
     while True:
@@ -415,25 +496,31 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     members, counts = sets(docs)
     sketch = spark.sparkContext.broadcast(counts)  # 16 MB, whatever the input
+    del counts
     total = members.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     ranges = int(max(spark.sparkContext.defaultParallelism, -(-total // RANGE_POSTINGS)))
     found = stored(lists(postings(docs, sketch, ranges).repartition(ranges, "range")), "lists")
-    # One row per node: its size, its signature, and a document that has its text.
-    named = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    pairs = stored(plausible(first_candidates(found).distinct(), named), "pairs")
-    long_lists = found.where(F.octet_length("nodes") > SMALL_LIST * 16).distinct().select(F.xxhash64("nodes").alias("id"), "nodes")
+    sketch.destroy()
+    first = stored(first_candidates(found.distinct()).distinct(), "first")
 
     def spread(batches):
         for b in batches:
-            for ident, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = _rows(x)[1:]  # the hub's pairs are among the first candidates
-                yield {"id": [ident] * len(rows), "node": pa.array(rows[:, 0])}
-
-    left = stored(map_arrow(long_lists, spread, "id long, node long"), "left")
-    # Texts of all nodes that any round may compare are dealt once, by a join that is the same at every size.
-    ends = pairs.select(F.col("hub").alias("node")).unionAll(pairs.select("member")).unionAll(left.select("node")).distinct()
-    wanted = named.select("node", "doc_id").join(ends, "node", "left_semi")
-    texts = stored(documents(docs).join(wanted.hint("merge"), "doc_id").select("node", "text"), "texts")
+            for ident, hub, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                rows = _rows(x)[:, 0]
+                rows = rows[rows != _rows(hub)[0, 0]]  # the hub's pairs are among the first candidates
+                yield {"id": [ident] * len(rows), "short": pa.array(rows)}
+
+    waiting = stored(map_arrow(found.where(F.col("size") > SMALL_LIST).distinct(), spread, "id long, short long"), "left")
+    # One row for each node that any round may compare, and its text, dealt once by joins that are the same at every size.
+    ends = stored(first.select(F.col("hub").alias("short")).unionAll(first.select("member")).unionAll(waiting.select("short")).distinct(), "ends")
+    rows = only_wanted(members.where("signature IS NOT NULL"), "short", ends).join(ends.hint("merge"), "short", "left_semi")
+    named = stored(rows.groupBy("node").agg(*(f(c).alias(c) for c, f in (("doc_id", F.min), ("short", F.max), ("n", F.max), ("signature", F.max), ("orders", F.max), ("text", F.max)))), "named")
+    pairs = stored(screened(first, named, "short"), "pairs")
+    left = waiting.join(named.select("short", "node"), "short").select("id", "node")
+    used = pairs.select(F.col("hub").alias("node")).unionAll(pairs.select("member")).unionAll(left.select("node")).distinct()
+    wanted = named.where("doc_id IS NOT NULL").select("node", "doc_id").join(used, "node", "left_semi")
+    keyed = only_wanted(documents(docs), "doc_id", wanted).join(wanted.hint("merge"), "doc_id").select("node", "text")
+    texts = stored(keyed.unionAll(named.where("doc_id IS NULL").select("node", "text")), "texts")
     links, roots, hubs = None, None, 64
     while True:
         if roots is None or not pairs.isEmpty():
@@ -442,7 +529,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             return members, roots  # each list's candidates are verified, or within a component
         signed = left.join(named.select("node", F.col("n").alias("size"), "signature"), "node")
         step = stored(next_candidates(signed, roots, hubs), "round")
-        pairs = step.where("hub IS NOT NULL").select("hub", "member").distinct()
+        pairs = stored(screened(step.where("hub IS NOT NULL").select("hub", "member").distinct(), named, "node"), "pairs")
         left = step.where("hub IS NULL").select("id", "node")
         hubs *= 16
 
@@ -450,7 +537,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ngram_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     members, roots = linked(docs)
-    first = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    first = members.where("octet_length(node) > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = first.join(first.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
     return members.join(lowest, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
