@@ -10,8 +10,9 @@ fitted; since its function is a sum over landmarks, it folds into one weight for
 scored with table lookups over all its characters. A document's score is the logistic of a soft maximum of its two
 highest distinct words, letters' case apart, in fitting and in use alike: repeating a word adds nothing.
 
-Fitting takes at most SAMPLE labelled documents a class, by hash order of doc_id, near copies left out; the model is two
-tables of fixed size, which are broadcast. Labels, language, source and doc_id are no inputs of a score.
+Fitting takes at most SAMPLE labelled documents and SAMPLE_BYTES of text a class, by hash order of doc_id, near copies
+left out, inside one task; the model is a table of fixed size, which is broadcast. Labels, language, source and doc_id
+are no inputs of a score.
 
 Defined cases: null and empty texts have the score of a text without words; a document with several labels is toxic if
 any says so; null labels are left out; without labels of both classes every document scores 0; repeated documents each
@@ -28,12 +29,14 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from harborscan.llm.common import documents, filter_arrow, map_arrow
 
 THRESHOLD = 0.7
 SAMPLE = 2000
+#: Text bytes of each class in the sample; one document of over a sixteenth of that is no training row.
+SAMPLE_BYTES = 16 << 20
 DECAY = 0.5
 LANDMARKS = 320
 ROUNDS = 5
@@ -308,14 +311,27 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fitted on at most ``sample`` documents of each class whose checksum is not the held-out one."""
+    """Fitted in one task on at most ``sample`` documents of each class whose checksum is not the held-out one.
+
+    The sample is bounded in bytes too, so that the task's memory is; the driver gets the finished model only.
+    """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = marks.where("toxic = 1").orderBy(*order).limit(sample).unionAll(marks.where("toxic = 0").orderBy(*order).limit(sample))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").where("text IS NOT NULL")
-    texts = sorted((r.doc_id, r.text, int(r.toxic)) for r in rows.select("doc_id", "text", "toxic").toLocalIterator())
-    return fit_texts([(t, y) for _, t, y in texts])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    # A doc_id on many rows counts once, with its smallest text: partial sums keep the shuffle small.
+    rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES // 16).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    bounded = rows.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).select("doc_id", "toxic", "text")
+
+    def each(batches):
+        held = sorted((i, t, int(y)) for b in batches for i, y, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+        m = fit_texts([(t, y) for _, t, y in held])
+        yield {"weights": [m.weights.tobytes()], "offset": [m.offset], "slope": [m.slope], "shift": [m.shift]}
+
+    got = map_arrow(bounded.coalesce(1), each, "weights binary, offset double, slope double, shift double").first()
+    return Model(np.frombuffer(got.weights, np.float32), got.offset, got.slope, got.shift) if got else fit_texts([])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
