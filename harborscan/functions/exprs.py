@@ -64,12 +64,23 @@ TOKEN_SHAPES = [
     r"sk_(?:live|test)_[A-Za-z0-9]{24,128}", r"xox[baprs]-[A-Za-z0-9-]{20,128}", r"glpat-[A-Za-z0-9_-]{20,128}",
 ]
 PATH_ASSIGNMENT = r"(?i)(password|token|secret|api[_-]?key|credential)([=_:-])[^/\\]{4,}"
-TEXT_URL = r"(?i)\b(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s\"'<>]{1,1000}"
+#: To the end of the URL, however long: no tail of one stays in a text.
+TEXT_URL = r"(?i)\b(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s\"'<>]+"
 TEXT_BEARER = r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}"
 TEXT_AUTH = r"(?i)\b(Authorization\s*[:=]\s*)(?:Bearer|Basic)\s+[^\s,;\"']+"
 TEXT_ASSIGNMENT = r"(?i)\b(password|passwd|token|secret|api[_-]?key|credential|client[_-]?secret)\s*[:=]\s*['\"]?[^'\"\s,;]{4,}"
 
 
+def display_safe(text: Column) -> Column:
+    """Control, format and surrogate characters as escapes: \\xhh, \\uhhhh or \\Uhhhhhhhh; all others as they are."""
+    code = lambda c: F.hex(F.encode(c, "utf-32"))
+    shown = lambda c: F.lower(code(c))
+    escape = lambda c: F.when(code(c) < "00000100", F.concat(F.lit("\\x"), F.substring(shown(c), 7, 2))).when(code(c) < "00010000", F.concat(F.lit("\\u"), F.substring(shown(c), 5, 4))).otherwise(F.concat(F.lit("\\U"), shown(c)))
+    known = lambda c: F.when(c == "\n", "\\n").when(c == "\r", "\\r").when(c == "\t", "\\t").otherwise(escape(c))
+    whole = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"[\p{Cc}\p{Cf}\p{Cs}]"), known(c)).otherwise(c)), "")
+    return F.when(text.rlike(r"[\p{Cc}\p{Cf}\p{Cs}]"), whole).otherwise(text)
+
+
 def redact_path(path: Column) -> Column:
     for shape in TOKEN_SHAPES:
         path = F.regexp_replace(path, shape, "[REDACTED]")
@@ -86,17 +97,19 @@ def redact_text(text: Column) -> Column:
     return F.regexp_replace(text, TEXT_ASSIGNMENT, "$1=[REDACTED]")
 
 
-def running_total(df, prefix: Column, order: list, value: Column, name: str):
+def running_total(df, order: list[str], value: Column, name: str):
     """A running sum in a global order without one task for all rows.
 
-    ``prefix`` must not decrease along ``order`` (say, the first letters of a sort key): totals of the prefixes are
-    summed over the few prefixes, and rows only within theirs.
+    Rows are dealt into ranges of about equal size and written with their range's number, so that totals and rows see
+    the same ranges; totals are summed over the few ranges, rows only within theirs.
     """
     from pyspark.sql import Window
 
-    keyed = df.withColumn("__prefix", prefix)
-    totals = keyed.groupBy("__prefix").agg(F.sum(value).alias("__total"))
-    before = Window.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("__prefix", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__prefix").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return keyed.join(starts, "__prefix").withColumn(name, F.col("__before") + F.sum(value).over(within)).drop("__prefix", "__before")
+    from harborscan.functions.scratch import stored
+
+    ranged = stored(df.withColumn("__value", value).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("__part").agg(F.sum("__value").alias("__total"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__part", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.sum("__value").over(within)).drop("__part", "__before", "__value")

@@ -77,7 +77,7 @@ def lookups(keys: DataFrame, cache: DataFrame, now: str, ttl_seconds: int, offli
 def batches(keys: DataFrame, size: int = 50) -> DataFrame:
     """keys with the number of the request that asks for them: sorted, ``size`` in each."""
     ordered = keys.withColumn("__key", F.concat_ws("\u0001", "ecosystem", "name", "version"))
-    numbered = running_total(ordered, F.substring("__key", 1, 12), ["__key"], F.lit(1), "__n")
+    numbered = running_total(ordered, ["__key"], F.lit(1), "__n")
     return numbered.select("ecosystem", "name", "version", F.floor((F.col("__n") - 1) / size).cast("long").alias("batch"))
 
 

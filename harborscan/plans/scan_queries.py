@@ -45,7 +45,7 @@ def scope_exclusions(spark, sf_dir):
     k = F.col("p_partkey")
     folder = F.get(F.array(*(F.lit(x) for x, _ in _SCOPE_NAMES)), (k % len(_SCOPE_NAMES)).cast("int"))
     path = F.when(k % 29 == 0, F.lit("app/coverage.xml")).when(k % 31 == 0, F.concat(F.lit("app/x"), n, F.lit(".tsbuildinfo"))).when(k % 37 == 0, F.concat(F.lit("keep/build/a"), n, F.lit(".py"))).otherwise(F.concat(F.lit("app/"), folder, F.lit("/m"), n, F.lit(".py")))
-    return p.select(path.alias("path")).select("path", discovery.scope_of(F.col("path"), include=["keep"]).alias("reason"))
+    return p.select(path.alias("path")).select("path", discovery.scope_of(F.col("path"), include=["keep/"]).alias("reason"))
 
 
 @query(f"""WITH {ARTIFACTS_SQL}, a AS (SELECT path, coalesce(strlen(text), 0) AS size_bytes FROM artifacts),
@@ -202,10 +202,10 @@ def text_redaction(spark, sf_dir):
     return corpora.config_lines(spark, sf_dir).select("path", "line", exprs.redact_text(F.col("text")).alias("safe"))
 
 
-@query(f"SELECT doc_id, {exprs.fingerprint_sql(chr(39) + 'v1' + chr(39), 'lang', 'source', 'substr(text, 1, 40)')} AS mark FROM documents")
+@query(f"SELECT doc_id, {exprs.fingerprint_sql(chr(39) + 'v1' + chr(39), 'lang', 'source', "coalesce(text, '')")} AS mark FROM documents")
 def finding_fingerprint(spark, sf_dir):
     d = corpora.table(spark, sf_dir, "documents")
-    return d.select("doc_id", exprs.fingerprint("v1", F.col("lang"), F.col("source"), F.substring("text", 1, 40)).alias("mark"))
+    return d.select("doc_id", exprs.fingerprint("v1", F.col("lang"), F.col("source"), F.coalesce("text", F.lit(""))).alias("mark"))
 
 
 def _shell_hits(spark, sf_dir):
