@@ -11,13 +11,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from harborscan.functions.exprs import CONFIDENCES, SEVERITIES, fingerprint, rank, unrank
+from harborscan.functions.exprs import CONFIDENCES, SEVERITIES, fingerprint, rank, redact_path, unrank
 
 # Which behaviours agree with which rule, and the sets of rules that the clusters need.
 COMMAND = ["BEHAVIOR.PROCESS_EXEC", "BEHAVIOR.SHELL_EXEC", "BEHAVIOR.POWERSHELL_EXEC", "BEHAVIOR.CMD_EXEC"]
 PERSISTENCE = ["BEHAVIOR.REGISTRY_WRITE", "BEHAVIOR.STARTUP_PERSISTENCE", "BEHAVIOR.SCHEDULED_TASK", "BEHAVIOR.SERVICE_MODIFICATION"]
 NETWORK, PROCESS = "BEHAVIOR.NETWORK_REQUEST", "BEHAVIOR.PROCESS_EXEC"
-OPTIONAL = {"function_id": "string", "source_category": "string", "package": "string", "ecosystem": "string", "import_name": "string"}
+OPTIONAL = dict.fromkeys(["function_id", "source_category", "source_line", "sink_kind", "package", "ecosystem", "version", "advisory_id", "import_name"], "string")
 PROXIMITY = 5
 
 
@@ -30,17 +30,52 @@ def complete(findings: DataFrame) -> DataFrame:
     return findings.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in findings.columns})
 
 
+# The shapes of identifiers, and the budgets.
+TOKEN = r"^[A-Za-z0-9_.:@/+\-]{1,256}$"
+BUDGETS = {"max_findings": 10_000, "max_nodes": 20_000, "max_edges": 30_000, "max_paths": 1000, "bucket": 32}
+
+
 def invalid_reason(f: DataFrame) -> Column:
-    """Why a finding is not admitted, by the first test that fails; null if it is."""
+    """Why a finding is not admitted, by the first test that fails; null if it is. Columns for evidence (array of k, v),
+    package, version and advisory_id are tested where the table has them."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    token = lambda c: yes(F.col(c).rlike(TOKEN))
+    out = F.when(F.col("fingerprint").isNull() | F.col("path").isNull(), "INVALID_IDENTITY_OR_LOCATION_TYPE")
+    if "evidence" in f.columns:
+        sound = (F.size("evidence") <= 64) & F.forall("evidence", lambda e: e["k"].isNotNull() & e["v"].isNotNull() & (F.length(e["k"]) <= 128) & (F.length(e["v"]) <= 2048))
+        out = out.when(F.col("evidence").isNull() | ~yes(sound), "INVALID_STRUCTURED_EVIDENCE")
+    if "package" in f.columns:
+        version = F.lit(True) if "version" not in f.columns else F.col("version").isNull() | token("version")
+        out = out.when(F.col("package").isNotNull() & ~(token("package") & token("ecosystem") & version), "INVALID_DEPENDENCY_COORDINATE")
+    if "advisory_id" in f.columns:
+        out = out.when(F.col("advisory_id").isNotNull() & ~token("advisory_id"), "INVALID_VULNERABILITY_REFERENCE")
+    path = F.col("path")
+    odd = path.rlike(r"^/|\\|:|(^|/)(\.\.?)?(/|$)|[\x00-\x1f]") | (F.length(path) > 512)
+    place = odd | F.col("line").isNull() | ~F.col("line").between(1, 10_000_000) | ~F.coalesce(F.col("col"), F.lit(1)).between(1, 1_000_000)
     return (
-        F.when(F.col("scanner_id").isNull() | F.col("rule_id").isNull() | (F.length("rule_id") > 128), "INVALID_IDENTITY")
-        .when(~F.coalesce(F.col("fingerprint").rlike("^[0-9a-f]{64}$"), F.lit(False)), "INVALID_FINGERPRINT")
-        .when(F.col("path").isNull() | (F.col("path") == "") | F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)"), "INVALID_LOCATION")
-        .when((F.col("line") < 1) | (F.col("col") < 1), "INVALID_LOCATION")
-        .when(rank(F.col("severity"), SEVERITIES).isNull() | rank(F.col("confidence"), CONFIDENCES).isNull(), "INVALID_ENUM")
+        out.when(~yes(F.col("fingerprint").rlike("^[0-9a-f]{64}$")), "INVALID_FINGERPRINT")
+        .when((redact_path(path) != path) & (F.length(path) <= 512), "UNREDACTED_OR_UNSAFE_PATH").when(yes(place), "INVALID_LOCATION")
+        .when(rank(F.col("severity"), SEVERITIES).isNull() | rank(F.col("confidence"), CONFIDENCES).isNull(), "INVALID_SEVERITY_OR_CONFIDENCE")
+        .when(~(token("rule_id") & token("scanner_id") & token("category")), "INVALID_RULE_SCANNER_OR_CATEGORY")
     )
 
 
+def invalid_details(findings: DataFrame, most: int = 100) -> DataFrame:
+    """code, count, path, message of rejected findings: the first in the order of ``ordinal`` one by one (a bounded list),
+    the rest as one row. Only safe parts of a finding are told."""
+    bad = findings.withColumn("__reason", invalid_reason(findings)).where("__reason IS NOT NULL")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    identity = F.when(yes(F.col("fingerprint").rlike("^[0-9a-f]{64}$")), F.col("fingerprint")).otherwise(F.concat(F.lit("input-"), F.col("ordinal").cast("string")))
+    rule = F.when(yes(F.col("rule_id").rlike(r"^[A-Z][A-Z0-9_.]{0,127}$")), redact_path(F.col("rule_id"))).otherwise("unavailable")
+    safe = yes(~F.col("path").rlike(r"^/|\\|:|(^|/)(\.\.?)?(/|$)") & F.length("path").between(1, 512))
+    line = F.when(F.col("line").between(1, 10_000_000), F.col("line").cast("string")).otherwise("unknown")
+    message = F.concat(F.lit("Correlation input rejected (scanner pipeline); finding="), identity, F.lit("; rule="), rule, F.lit("; line="), line, F.lit("; reason="), F.col("__reason"))
+    code, one = F.lit("CORRELATION_INVALID_FINDING").alias("code"), F.lit(1).cast("long").alias("count")
+    first = bad.orderBy("ordinal").limit(most).select(code, one, F.when(safe, redact_path(F.col("path"))).alias("path"), message.alias("message"))
+    rest = bad.agg((F.count("*") - most).alias("count")).where("count > 0").select(code, "count", F.lit(None).cast("string").alias("path"), F.lit(f"reason=DETAILS_OMITTED; attribution limit={most}").alias("message"))
+    return first.unionAll(rest)
+
+
 def ingested(findings: DataFrame) -> DataFrame:
     """One row per fingerprint (the first in rule, path and line order) with the number of equal and of clashing others."""
     order = ["rule_id", "scanner_id", "path", "line", "col"]
@@ -68,30 +103,46 @@ def _side(df: DataFrame, mark: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, *(F.col(c).alias(f"{mark}_{c}") for c in df.columns if c not in keys))
 
 
+def _entities(f: DataFrame) -> list[tuple[str, str, str, Column, str, bool]]:
+    """(condition, node kind, edge kind, the entity's node, the edge's rule, whether the edge ends at the finding)."""
+    own = "category = 'sast' AND source_category IS NOT NULL AND source_line IS NOT NULL"
+    return [
+        ("true", "FILE", "SAME_FILE", F.concat(F.lit("file:"), short_id("file-v1", F.col("path"))), "CORRELATION.ENTITY.FILE", False),
+        ("function_id IS NOT NULL", "FUNCTION", "SAME_FUNCTION", F.concat(F.lit("function:"), short_id("function-v1", F.col("path"), F.col("function_id"))), "CORRELATION.ENTITY.FUNCTION", False),
+        ("package IS NOT NULL", "DEPENDENCY", "SAME_DEPENDENCY", F.concat(F.lit("dependency:"), short_id("dependency-v1", F.col("ecosystem"), F.lower("package"), F.coalesce("version", F.lit("")))), "CORRELATION.ENTITY.DEPENDENCY", False),
+        ("package IS NOT NULL AND advisory_id IS NOT NULL", "VULNERABILITY", "SAME_VULNERABILITY", F.concat(F.lit("vulnerability:"), short_id("vulnerability-v1", F.col("advisory_id"))), "CORRELATION.ENTITY.VULNERABILITY", False),
+        (own, "SOURCE", "SAME_SOURCE", F.concat(F.lit("source:"), short_id("source-v1", F.col("path"), F.col("source_category"), F.col("source_line"))), "CORRELATION.ENTITY.SOURCE", True),
+        ("category = 'sast' AND sink_kind IS NOT NULL", "SINK", "SAME_SINK", F.concat(F.lit("sink:"), short_id("sink-v1", F.col("path"), F.col("line"), F.col("sink_kind"))), "CORRELATION.ENTITY.SINK", False),
+    ]
+
+
 def entity_nodes(findings: DataFrame) -> DataFrame:
-    """node_id, kind: findings, files, functions and packages."""
+    """node_id, kind: findings, files, functions, packages, advisories, and sources and sinks of findings of category ``sast``."""
     f = complete(findings)
-    kinds = [
-        f.select(_node("fingerprint").alias("node_id"), F.lit("FINDING").alias("kind")),
-        f.select(F.concat(F.lit("file:"), short_id("file-v1", F.col("path"))).alias("node_id"), F.lit("FILE").alias("kind")),
-        f.where("function_id IS NOT NULL").select(F.concat(F.lit("function:"), short_id("function-v1", F.col("path"), F.col("function_id"))).alias("node_id"), F.lit("FUNCTION").alias("kind")),
-        f.where("package IS NOT NULL").select(F.concat(F.lit("dependency:"), short_id("dependency-v1", F.col("ecosystem"), F.col("package"))).alias("node_id"), F.lit("DEPENDENCY").alias("kind")),
-    ]
+    kinds = [f.select(_node("fingerprint").alias("node_id"), F.lit("FINDING").alias("kind"))]
+    kinds += [f.where(condition).select(node.alias("node_id"), F.lit(kind).alias("kind")) for condition, kind, _, node, _, _ in _entities(f)]
     return reduce(DataFrame.unionAll, kinds).distinct()
 
 
 def entity_edges(findings: DataFrame) -> DataFrame:
-    """Edges from findings to their files, functions and packages."""
-    f = complete(findings)
-    high = F.lit("HIGH")
-    parts = [
-        f.select(*_edge("SAME_FILE", "CORRELATION.ENTITY.FILE", _node("fingerprint"), F.concat(F.lit("file:"), short_id("file-v1", F.col("path"))), high, True)),
-        f.where("function_id IS NOT NULL").select(*_edge("SAME_FUNCTION", "CORRELATION.ENTITY.FUNCTION", _node("fingerprint"), F.concat(F.lit("function:"), short_id("function-v1", F.col("path"), F.col("function_id"))), high, True)),
-        f.where("package IS NOT NULL").select(*_edge("SAME_DEPENDENCY", "CORRELATION.ENTITY.DEPENDENCY", _node("fingerprint"), F.concat(F.lit("dependency:"), short_id("dependency-v1", F.col("ecosystem"), F.col("package"))), high, True)),
-    ]
+    """Edges of findings with their entities, and of a finding's source with its sink."""
+    f, own = complete(findings), _node("fingerprint")
+    made, parts = {}, []
+    for condition, kind, edge, node, rule, inward in _entities(f):
+        confidence = F.col("confidence") if kind in ("SOURCE", "SINK") else F.lit("HIGH")
+        made[kind] = (condition, node)
+        parts.append(f.where(condition).select(*_edge(edge, rule, *((node, own) if inward else (own, node)), confidence, True)))
+    (one, source), (two, sink) = made["SOURCE"], made["SINK"]
+    parts.append(f.where(f"{one} AND {two}").select(*_edge("SOURCE_TO_SINK", "CORRELATION.SAST.TRACE", source, sink, F.col("confidence"), True)))
     return reduce(DataFrame.unionAll, parts).dropDuplicates(["edge_id"])
 
 
+def anchored(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges both of whose ends are nodes, each id once."""
+    ids = nodes.select("node_id")
+    return edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi").dropDuplicates(["edge_id"])
+
+
 def supports(findings: DataFrame) -> DataFrame:
     """Behaviours that agree with a vulnerability on its line, and general ones with special ones on their column."""
     keys = ["path", "line"]
@@ -109,7 +160,7 @@ def supports(findings: DataFrame) -> DataFrame:
 def overlaps(findings: DataFrame) -> DataFrame:
     """Command behaviours of different rules on one line."""
     keys = ["path", "line"]
-    commands = findings.where(F.col("rule_id").isin(*COMMAND))
+    commands = within_buckets(findings.where(F.col("rule_id").isin(*COMMAND)))
     a, b = _side(commands, "a", keys), _side(commands, "b", keys)
     pairs = a.join(b, keys).where("a_fingerprint < b_fingerprint AND a_rule_id <> b_rule_id")
     return pairs.select(*_edge("OVERLAPS", "CORRELATION.BEHAVIOR.OVERLAP", _node("a_fingerprint"), _node("b_fingerprint"), _lower("a_confidence", "b_confidence"), False)).dropDuplicates(["edge_id"])
@@ -203,3 +254,36 @@ def assessments(findings: DataFrame, support: DataFrame, related: DataFrame, inc
 def oversized(findings: DataFrame, most: int = 32) -> DataFrame:
     """Lines with more findings than a local bucket may hold: they abort correlation, and are told rather than dropped."""
     return findings.groupBy("path", "line").agg(F.count("*").alias("n")).where(F.col("n") > most)
+
+
+def within_buckets(findings: DataFrame, most: int = 32) -> DataFrame:
+    """The findings outside oversized lines: what pair joins work on, so that no line makes more than its square of the
+    bucket's size. Those left out are told by ``budget_state``."""
+    return findings.join(oversized(findings, most).select("path", "line"), ["path", "line"], "left_anti")
+
+
+def budget_state(findings: DataFrame, nodes: DataFrame, edges: DataFrame, paths: DataFrame, budgets: dict[str, int] = BUDGETS) -> DataFrame:
+    """code, n, allowed, over: each budget with what the scan needs; any that is over makes the correlation ABORTED."""
+    b = BUDGETS | budgets
+    per_line = findings.groupBy("path", "line").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    parts = [("CORRELATION_FINDING_LIMIT", findings.agg(F.count("*").alias("n")), b["max_findings"]), ("CORRELATION_NODE_LIMIT", nodes.agg(F.count("*").alias("n")), b["max_nodes"]), ("CORRELATION_EDGE_LIMIT", edges.agg(F.count("*").alias("n")), b["max_edges"]), ("CORRELATION_PATH_LIMIT", paths.agg(F.count("*").alias("n")), b["max_paths"]), ("CORRELATION_BUCKET_LIMIT", per_line, b["bucket"])]
+    return reduce(DataFrame.unionAll, [df.select(F.lit(code).alias("code"), "n", F.lit(most).cast("long").alias("allowed"), (F.col("n") > most).alias("over")) for code, df, most in parts])
+
+
+def completeness(budgets: DataFrame, components: DataFrame, n_invalid: Column, n_collisions: Column) -> DataFrame:
+    """One row, state: ABORTED over a budget, FAILED if a scanner failed, PARTIAL if one is incomplete or inputs were bad.
+
+    components: component, state. The two numbers are literals or columns of a one-row table.
+    """
+    over = budgets.agg(F.coalesce(F.bool_or("over"), F.lit(False)).alias("over"))
+    seen = components.agg(F.count("*").alias("n"), F.coalesce(F.bool_or(F.col("state") == "FAILED"), F.lit(False)).alias("failed"), F.coalesce(F.bool_or(~F.col("state").isin("COMPLETE", "DISABLED")), F.lit(False)).alias("unfinished"))
+    both = over.join(F.broadcast(seen))  # one row each
+    state = F.when(F.col("over"), "ABORTED").when(F.col("failed"), "FAILED").when((F.col("n") == 0) | F.col("unfinished") | (n_invalid > 0) | (n_collisions > 0), "PARTIAL").otherwise("COMPLETE")
+    return both.select(state.alias("state"))
+
+
+def dependency_relevance(findings: DataFrame, uses: DataFrame) -> DataFrame:
+    """fingerprint, relevance of findings with a package: REFERENCED if an import names it, else PRESENT."""
+    used = uses.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select(F.substring("node", 3, 64).alias("fingerprint"), F.lit(True).alias("used"))
+    f = complete(findings).where("package IS NOT NULL").select("fingerprint")
+    return f.join(used, "fingerprint", "left").select("fingerprint", F.when(F.col("used"), "REFERENCED").otherwise("PRESENT").alias("relevance"))

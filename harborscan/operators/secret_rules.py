@@ -100,14 +100,18 @@ def assignment_candidates(text: Column) -> Column:
             (s["end"] - F.length(raw) + opened.cast("int")).alias("start"), (s["end"] - opened.cast("int")).alias("end"),
         )
 
-    cut = F.transform(spans, parts)
-    cut = F.filter(cut, lambda p: ~p["value"].rlike(r"^(?:os\.getenv\(|os\.environ\[|process\.env\.|env\.)") & ~is_placeholder(p["value"]) & ~p["value"].rlike(UUID) & (F.length(p["value"]) >= 8) & (F.length(p["value"]) <= 256) & (classes(p["value"]) >= 2))
+    example = text.rlike(r"(?iU)\b(?:example|sample|placeholder|documentation)\b")
+    cut = F.filter(F.transform(spans, parts), lambda p: ~p["value"].rlike(r"^(?:os\.getenv\(|os\.environ\[|process\.env\.|env\.)"))
+    return F.when(text.rlike(HASH_CONTEXT), _none()).otherwise(rated_assignments(cut, example)).cast(CANDIDATE)
+
+
+def rated_assignments(parts: Column, example: Column) -> Column:
+    """Candidates of array<struct<key,value,start,end>>: weak values survive for password-like keys only."""
+    cut = F.filter(parts, lambda p: ~is_placeholder(p["value"]) & ~p["value"].rlike(UUID) & (F.length(p["value"]) >= 8) & (F.length(p["value"]) <= 256) & (classes(p["value"]) >= 2))
     rated = F.transform(cut, lambda p: F.struct(p["key"].alias("key"), p["start"].alias("start"), p["end"].alias("end"), ((F.length(p["value"]) >= 16) & (classes(p["value"]) >= 3) & (entropy(p["value"]) >= 3.2)).alias("strong")))
     kept = F.filter(rated, lambda p: p["strong"] | p["key"].isin("password", "passwd", "aws_secret_access_key", "client_secret"))
-    example = text.rlike(r"(?iU)\b(?:example|sample|placeholder|documentation)\b")
     aws = lambda p: p["key"] == "aws_secret_access_key"
-    made = F.transform(kept, lambda p: _candidate(F.lit("SECRET.GENERIC.ASSIGNMENT"), p["key"], p["start"], p["end"], F.when(p["strong"] & aws(p), "HIGH").otherwise("MEDIUM"), F.when(example, "LOW").when(p["strong"] & aws(p), "HIGH").when(p["strong"], "MEDIUM").otherwise("LOW"), 4))
-    return F.when(text.rlike(HASH_CONTEXT), _none()).otherwise(made).cast(CANDIDATE)
+    return F.transform(kept, lambda p: _candidate(F.lit("SECRET.GENERIC.ASSIGNMENT"), p["key"], p["start"], p["end"], F.when(p["strong"] & aws(p), "HIGH").otherwise("MEDIUM"), F.when(example, "LOW").when(p["strong"] & aws(p), "HIGH").when(p["strong"], "MEDIUM").otherwise("LOW"), 4))
 
 
 def entropy_candidates(text: Column) -> Column:
@@ -135,30 +139,59 @@ def without_overlaps(candidates: Column) -> Column:
 LIKELY = r"(?i)key|token|secret|passw|bearer|connection|PRIVATE|gh[pousr]_|AKIA|ASIA|sk_|xox|glpat-|://|eyJ|\.[A-Za-z0-9_-]{8,}\."
 
 
-def outside_key_blocks(lines: DataFrame) -> DataFrame:
-    """Lines that are not inside a private key block: the line of BEGIN counts as outside, that of END as inside.
+def key_blocks(lines: DataFrame) -> DataFrame:
+    """path, begin, end (null: none) of the private key blocks: lines after begin up to end are inside.
 
-    Only files with a marker take part in the window.
+    A BEGIN whose line also ends the block opens none, and one inside a block says nothing. Only the lines with a marker
+    take part, so nothing else is shuffled.
     """
-    mark = F.when(F.col("text").rlike(PEM_BEGIN) & ~F.col("text").rlike(f"{PEM_BEGIN}.*{PEM_END}"), "B").when(F.col("text").rlike(PEM_END), "E")
-    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.last(mark, ignorenulls=True).over(before) == "B", F.lit(False))
-    return lines.withColumn("inside_key", inside)
+    text = F.col("text")
+    mark = F.when(text.rlike(PEM_BEGIN) & ~text.rlike(f"{PEM_BEGIN}.*{PEM_END}"), "B").when(text.rlike(PEM_END), "E")
+    marks = lines.where(text.rlike(f"{PEM_BEGIN}|{PEM_END}")).select("path", "line", mark.alias("mark")).where("mark IS NOT NULL")
+    order = Window.partitionBy("path").orderBy("line")
+    opened = F.coalesce(F.lag("mark").over(order), F.lit("E")) == "E"
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    ends = F.first(F.when(F.col("mark") == "E", F.col("line")), ignorenulls=True).over(after)
+    return marks.select("path", F.col("line").alias("begin"), ends.alias("end"), ((F.col("mark") == "B") & opened).alias("__opens")).where("__opens").drop("__opens")
+
+
+def outside_key_blocks(lines: DataFrame) -> DataFrame:
+    """lines with inside_key: the line of BEGIN counts as outside, that of END as inside. The blocks, few against the
+    lines, are joined by path and place."""
+    blocks = key_blocks(lines)
+    l, b = lines.alias("l"), blocks.alias("b")
+    hit = (F.col("l.path") == F.col("b.path")) & (F.col("l.line") > F.col("b.begin")) & (F.col("l.line") <= F.coalesce(F.col("b.end"), F.col("l.line")))
+    return l.join(b, hit, "left").select("l.*", F.col("b.begin").isNotNull().alias("inside_key"))
+
+
+def unterminated(lines: DataFrame) -> DataFrame:
+    """path of files that end inside a key block: their scan is partial."""
+    return key_blocks(lines).where("end IS NULL").select("path").distinct()
 
 
 def detect(lines: DataFrame, detectors=DETECTORS, max_bytes: int = 16384, large_file: int = 1 << 20) -> DataFrame:
-    """path, line and candidate columns of all lines, without overlaps.
+    """path, line and candidate columns of all lines outside key blocks, without overlaps.
 
     Lines over the limit are left out of files up to ``large_file`` bytes, but matched whole in larger ones, where
-    lines carry their file's size as ``file_bytes``; lines without it count as lines of small files.
+    lines carry their file's size as ``file_bytes``; lines without it count as lines of small files. ``skipped_lines``
+    tells which are left out.
     """
     text = F.col("text")
-    fits = F.octet_length(text) <= max_bytes
-    if "file_bytes" in lines.columns:
-        fits = fits | (F.col("file_bytes") > large_file)
-    likely = lines.where(text.rlike(LIKELY) & fits)
+    likely = lines.where(text.rlike(LIKELY) & _fits(lines, max_bytes, large_file))
     found = likely.select("path", "line", F.concat(*(d(text) for d in detectors)).alias("c")).where(F.size("c") > 0)
-    return found.select("path", "line", F.inline(without_overlaps(F.col("c"))))
+    f, b = found.alias("f"), key_blocks(lines).alias("b")
+    inside = (F.col("f.path") == F.col("b.path")) & (F.col("f.line") > F.col("b.begin")) & (F.col("f.line") <= F.coalesce(F.col("b.end"), F.col("f.line")))
+    return f.join(b, inside, "left_anti").select("path", "line", F.inline(without_overlaps(F.col("c"))))
+
+
+def _fits(lines: DataFrame, max_bytes: int, large_file: int) -> Column:
+    fits = F.octet_length("text") <= max_bytes
+    return fits | (F.col("file_bytes") > large_file) if "file_bytes" in lines.columns else fits
+
+
+def skipped_lines(lines: DataFrame, max_bytes: int = 16384, large_file: int = 1 << 20) -> DataFrame:
+    """path, n_skipped: files with lines that no detector sees, which makes their scan partial."""
+    return lines.where(~_fits(lines, max_bytes, large_file)).groupBy("path").agg(F.count("*").alias("n_skipped"))
 
 
 def capped(hits: DataFrame, per_rule: int = 100, per_file: int = 100) -> DataFrame:

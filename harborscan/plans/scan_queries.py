@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harborscan.functions import exprs
+from harborscan.functions.scratch import stored
 from harborscan.operators import behavior_rules, correlation, discovery, report, secret_rules
 from harborscan.sources import corpora
 from harborscan.sources.corpora import ARTIFACTS_SQL, CODE_LINES_SQL, CONFIG_LINES_SQL, SCRIPT_LINES_SQL
@@ -99,6 +100,9 @@ def secret_assignment_candidates(spark, sf_dir):
     return hits.select("path", "line", "label", F.col("start").cast("long").alias("start"), F.col("value_length").cast("long").alias("value_length"), "severity", "confidence")
 
 
+_OPEN_SQL = f"""{CONFIG_LINES_SQL}, ko AS (SELECT path, line, text, CASE WHEN text LIKE '%BEGIN RSA%' THEN 'B' WHEN text LIKE '%END RSA%' THEN 'E' END AS mark FROM config_lines),
+ki AS (SELECT path, line, text, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'B', false) AS inside FROM ko),
+open_lines AS (SELECT path, line, text FROM ki WHERE NOT inside)"""
 _STARTS = "unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)))"
 
 
@@ -108,20 +112,20 @@ def _matches(source: str, rules: list[tuple[str, str]], keep: str = "") -> str:
     return " UNION ALL ".join(parts)
 
 
-@query(f"""WITH {CONFIG_LINES_SQL}, m AS ({_matches("config_lines", [(r, p) for r, _, p, _, _ in secret_rules.PROVIDERS])})
+@query(f"""WITH {_OPEN_SQL}, m AS ({_matches("open_lines", [(r, p) for r, _, p, _, _ in secret_rules.PROVIDERS])})
 SELECT path, line, rule_id, start::BIGINT AS start, length(value) AS value_length FROM m""")
 def secret_provider_tokens(spark, sf_dir):
     hits = secret_rules.detect(corpora.config_lines(spark, sf_dir), [secret_rules.provider_candidates])
     return hits.select("path", "line", "rule_id", F.col("start").cast("long").alias("start"), F.col("value_length").cast("long").alias("value_length"))
 
 
-@query(f"""WITH {CONFIG_LINES_SQL} SELECT path, line, 'postgres' AS label, 18::BIGINT AS start, 12::BIGINT AS value_length FROM config_lines WHERE text LIKE 'db postgres://%'""")
+@query(f"""WITH {_OPEN_SQL} SELECT path, line, 'postgres' AS label, 18::BIGINT AS start, 12::BIGINT AS value_length FROM open_lines WHERE text LIKE 'db postgres://%'""")
 def secret_connection_strings(spark, sf_dir):
     hits = secret_rules.detect(corpora.config_lines(spark, sf_dir), [secret_rules.connection_candidates])
     return hits.select("path", "line", "label", F.col("start").cast("long").alias("start"), F.col("value_length").cast("long").alias("value_length"))
 
 
-@query(f"""WITH {CONFIG_LINES_SQL} SELECT path, line, 4::BIGINT AS start, length(text) - 4 AS value_length FROM config_lines
+@query(f"""WITH {_OPEN_SQL} SELECT path, line, 4::BIGINT AS start, length(text) - 4 AS value_length FROM open_lines
 WHERE starts_with(text, 'jwt ') AND json_type(decode(from_base64(rpad(string_split(substr(text, 5), '.')[1], 24, '=')))) = 'OBJECT'""")
 def secret_jwt(spark, sf_dir):
     hits = secret_rules.detect(corpora.config_lines(spark, sf_dir), [secret_rules.jwt_candidates])
@@ -138,27 +142,27 @@ def _config_hits(spark, sf_dir):
     return secret_rules.detect(corpora.config_lines(spark, sf_dir))
 
 
-_CONFIG_HITS = f"""cm AS ({_matches("config_lines", [(r, p) for r, _, p, _, _ in secret_rules.PROVIDERS])}),
+_CONFIG_HITS = f"""cm AS ({_matches("open_lines", [(r, p) for r, _, p, _, _ in secret_rules.PROVIDERS])}),
 ch AS (SELECT path, line, rule_id, start, length(value) AS value_length FROM cm
-  UNION ALL SELECT path, line, 'SECRET.CONNECTION_STRING', 18, 12 FROM config_lines WHERE text LIKE 'db postgres://%'
-  UNION ALL SELECT path, line, 'SECRET.JWT', 4, length(text) - 4 FROM config_lines WHERE starts_with(text, 'jwt ')
-  UNION ALL SELECT path, line, 'SECRET.PRIVATE_KEY.PEM', 0, 31 FROM config_lines WHERE text LIKE '-----BEGIN%'
-  UNION ALL SELECT path, line, 'SECRET.GENERIC.ASSIGNMENT', 24, 36 FROM config_lines WHERE starts_with(text, 'aws_secret_access_key'))"""
+  UNION ALL SELECT path, line, 'SECRET.CONNECTION_STRING', 18, 12 FROM open_lines WHERE text LIKE 'db postgres://%'
+  UNION ALL SELECT path, line, 'SECRET.JWT', 4, length(text) - 4 FROM open_lines WHERE starts_with(text, 'jwt ')
+  UNION ALL SELECT path, line, 'SECRET.PRIVATE_KEY.PEM', 0, 31 FROM open_lines WHERE text LIKE '-----BEGIN%'
+  UNION ALL SELECT path, line, 'SECRET.GENERIC.ASSIGNMENT', 24, 36 FROM open_lines WHERE starts_with(text, 'aws_secret_access_key'))"""
 
 
-@query(f"""WITH {CONFIG_LINES_SQL}, {_CONFIG_HITS} SELECT path, line, rule_id, start::BIGINT AS start, value_length::BIGINT AS value_length FROM ch""")
+@query(f"""WITH {_OPEN_SQL}, {_CONFIG_HITS} SELECT path, line, rule_id, start::BIGINT AS start, value_length::BIGINT AS value_length FROM ch""")
 def secret_overlap_dedupe(spark, sf_dir):
     return _config_hits(spark, sf_dir).select("path", "line", "rule_id", F.col("start").cast("long").alias("start"), F.col("value_length").cast("long").alias("value_length"))
 
 
-@query(f"""WITH {CONFIG_LINES_SQL}, {_CONFIG_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY path, rule_id ORDER BY line, start) AS n FROM ch),
+@query(f"""WITH {_OPEN_SQL}, {_CONFIG_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY path, rule_id ORDER BY line, start) AS n FROM ch),
 f AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line, start, rule_id) AS k FROM r WHERE n <= 5)
 SELECT path, line, rule_id, start::BIGINT AS start FROM f WHERE k <= 20""")
 def secret_caps(spark, sf_dir):
     return secret_rules.capped(_config_hits(spark, sf_dir), per_rule=5, per_file=20).select("path", "line", "rule_id", F.col("start").cast("long").alias("start"))
 
 
-@query(f"""WITH {CONFIG_LINES_SQL}, i AS (SELECT path, line FROM config_lines WHERE starts_with(text, 'id: AKIA')), s AS (SELECT path, line FROM config_lines WHERE starts_with(text, 'aws_secret'))
+@query(f"""WITH {_OPEN_SQL}, i AS (SELECT path, line FROM open_lines WHERE starts_with(text, 'id: AKIA')), s AS (SELECT path, line FROM open_lines WHERE starts_with(text, 'aws_secret'))
 SELECT path, line, 'aws_access_key_id' AS label, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.path = i.path AND abs(s.line - i.line) <= 5) THEN 'HIGH' ELSE 'LOW' END AS severity,
   CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.path = i.path AND abs(s.line - i.line) <= 5) THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM i
 UNION ALL SELECT path, line, 'aws_secret_access_key', 'HIGH', 'HIGH' FROM s""")
@@ -167,7 +171,7 @@ def secret_aws_proximity(spark, sf_dir):
 
 
 def _secret_findings(spark, sf_dir):
-    return secret_rules.findings(secret_rules.detect(corpora.code_lines(spark, sf_dir), [secret_rules.assignment_candidates]))
+    return secret_rules.findings(secret_rules.detect(corpora.code_lines(spark, sf_dir)))
 
 
 _SECRETS_SQL = f"""sf AS (SELECT {exprs.fingerprint_sql("'secret-finding-v1'", "'SECRET.GENERIC.ASSIGNMENT'", "path", "line::VARCHAR", "'13'", "'password'", "'password'")} AS fingerprint,
@@ -262,7 +266,7 @@ findings AS (SELECT *, 'f' || (line // 10) AS function_id, CASE WHEN line % 3 =
 
 
 @query(f"""WITH {FINDINGS_SQL}, x AS (SELECT * REPLACE (CASE WHEN line % 7 = 0 THEN '/' || path WHEN line % 11 = 0 THEN NULL ELSE path END AS path, CASE WHEN line % 13 = 0 THEN upper(fingerprint) || 'X' ELSE fingerprint END AS fingerprint, CASE WHEN line % 17 = 0 THEN 'NONE' ELSE severity END AS severity) FROM findings)
-SELECT coalesce(CASE WHEN NOT regexp_full_match(fingerprint, '[0-9a-f]{{64}}') THEN 'INVALID_FINGERPRINT' WHEN path IS NULL OR starts_with(path, '/') THEN 'INVALID_LOCATION' WHEN severity = 'NONE' THEN 'INVALID_ENUM' END, 'ADMITTED') AS reason, count(*) AS n FROM x GROUP BY ALL""")
+SELECT coalesce(CASE WHEN path IS NULL THEN 'INVALID_IDENTITY_OR_LOCATION_TYPE' WHEN NOT regexp_full_match(fingerprint, '[0-9a-f]{{64}}') THEN 'INVALID_FINGERPRINT' WHEN path IS NULL OR starts_with(path, '/') THEN 'INVALID_LOCATION' WHEN severity = 'NONE' THEN 'INVALID_SEVERITY_OR_CONFIDENCE' END, 'ADMITTED') AS reason, count(*) AS n FROM x GROUP BY ALL""")
 def finding_validation(spark, sf_dir):
     x = all_findings(spark, sf_dir).withColumns({
         "path": F.when(F.col("line") % 7 == 0, F.concat(F.lit("/"), "path")).when(F.col("line") % 11 == 0, F.lit(None)).otherwise(F.col("path")),
@@ -350,12 +354,13 @@ def attack_paths(spark, sf_dir):
 @query(f"""WITH {FINDINGS_SQL}, {_SUPPORT_SQL} SELECT {_sid("'group-v1'", "f.fingerprint")} AS group_id, f.fingerprint AS "primary", coalesce(string_agg(DISTINCT substr(s.src, 3), ',' ORDER BY substr(s.src, 3)), '') AS supporters
 FROM findings f LEFT JOIN support s ON s.dst = 'f:' || f.fingerprint WHERE NOT EXISTS (SELECT 1 FROM support x WHERE x.src = 'f:' || f.fingerprint) GROUP BY f.fingerprint""")
 def finding_groups(spark, sf_dir):
-    f = all_findings(spark, sf_dir)
+    f = stored(all_findings(spark, sf_dir), "findings")
     return correlation.groups(f, correlation.supports(f)).withColumn("supporters", F.array_join("supporters", ","))
 
 
-def assessed(spark, sf_dir):
-    f = all_findings(spark, sf_dir)
+def assessed(spark, sf_dir, found=None):
+    """Assessments of all findings, which are made once and stored: three joins read them."""
+    f = found or stored(all_findings(spark, sf_dir), "findings")
     return correlation.assessments(f, correlation.supports(f), correlation.secret_network(f))
 
 
@@ -443,10 +448,16 @@ def gate_decision(spark, sf_dir):
     return report.gate(assessed(spark, sf_dir), report.overall(_coverage(spark, sf_dir)))
 
 
-@query(f"""WITH {ASSESSED_SQL} SELECT CASE WHEN severity = 'CRITICAL' THEN 0 ELSE 1 END::BIGINT AS rank, 'finding' AS kind, fingerprint AS subject FROM (SELECT * REPLACE (CASE WHEN line % 10 = 0 THEN 'HIGH' ELSE severity END AS severity) FROM assessed) WHERE severity IN ('CRITICAL', 'HIGH') ORDER BY 1, 2, 3 LIMIT 20""")
+@query(f"""WITH {ASSESSED_SQL}, r AS (SELECT * REPLACE (CASE WHEN line % 10 = 0 THEN 'HIGH' ELSE severity END AS severity, CASE WHEN line % 10 = 0 THEN 'high' ELSE priority END AS priority) FROM assessed),
+s AS (SELECT CASE WHEN severity = 'CRITICAL' THEN 0 ELSE 1 END::BIGINT AS rank, 'finding' AS kind, fingerprint AS subject FROM r WHERE severity IN ('CRITICAL', 'HIGH')
+  UNION SELECT 2, 'risk_assessment', assessment_id FROM r WHERE priority IN ('critical', 'high')
+  UNION SELECT 3, 'finding_group', {_sid("'group-v1'", "fingerprint")} FROM r WHERE priority IN ('critical', 'high') AND n_supporters > 0)
+SELECT *, (SELECT count(*) FROM s) AS n_total FROM s ORDER BY rank, kind, subject LIMIT 200""")
 def review_subjects(spark, sf_dir):
-    raised = assessed(spark, sf_dir).withColumn("severity", F.when(F.col("line") % 10 == 0, F.lit("HIGH")).otherwise(F.col("severity")))
-    return report.review_subjects(raised, correlation.attack_paths(all_findings(spark, sf_dir)))
+    f = stored(all_findings(spark, sf_dir), "findings")
+    late = F.col("line") % 10 == 0
+    raised = assessed(spark, sf_dir, f).withColumns({"severity": F.when(late, F.lit("HIGH")).otherwise(F.col("severity")), "priority": F.when(late, F.lit("high")).otherwise(F.col("priority"))})
+    return report.review_subjects(raised, correlation.attack_paths(f), correlation.groups(f, correlation.supports(f)), k=200)
 
 
 @query(f"""WITH {ASSESSED_SQL}, t AS (SELECT * FROM assessed ORDER BY {_SEV_RANK.format('severity')} DESC, path, line, fingerprint LIMIT 50)
