@@ -11,12 +11,13 @@ n - ceil(t n) + 1 tokens of each, whatever the global order:
 * The further orders are plain hash orders. Each node carries its prefixes under them, 16 bits a token. A candidate
   pair whose prefixes share none under one of the orders goes before any text is read: the filters are intersected.
 
-Sizes filter too, and so does a signature of SIGNATURE_BITS bits, each the parity of a node's tokens there: sets differ
-in at least as many tokens as signatures in bits.
+Sizes filter too, and so does a signature of at least two bits a token, each the parity of a node's tokens there: sets
+differ in at least as many tokens as signatures in bits. Halves of a long signature, one upon the other, are a short one.
 
 Tokens whose lists hold the same nodes give one list. In a list of up to SMALL_LIST nodes all pairs are candidates; of a
 longer one, pairs with a hub (the node with most shared tokens) first. Links found join nodes into components, and
-lists whose nodes are in one component are done. In each further round some nodes outside a list's largest component are
+lists whose nodes are in one component are done. Of the candidates left by the filters, each node's smallest partner
+comes first; the others only if that has not joined them. In each further round some nodes outside a list's largest component are
 hubs and meet the whole list, which is dealt in shares of LIST_SHARE nodes; then they leave it. Once no node outside the
 largest component is left, every candidate pair has been verified or lies within a component. So a group of copies costs
 about one verification a member, and no link between components is lost. Verification gathers the texts of candidates by
@@ -119,8 +120,22 @@ def _smallest(keys: np.ndarray, count: int) -> np.ndarray:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    bits = np.bincount(((tokens >> np.uint64(24)) & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Parities of the tokens at as many bits as the set needs: a power of two, two bits a token or more."""
+    bits = max(SIGNATURE_BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount(((tokens >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(sign: np.ndarray, size: int) -> np.ndarray:
+    """A signature at ``size`` words of 64 bits."""
+    return np.bitwise_xor.reduce(sign.reshape(-1, size), axis=0)
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many bits two signatures differ, at the shorter one's length."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 def further_prefixes(tokens: np.ndarray) -> bytes:
@@ -143,7 +158,7 @@ def sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     Only tokens that repeat within SKETCH_TOKENS tokens of a task add to the sketch. Counters stop at 65535 and are
     kept in sixteenths of powers of two: the sketch only orders tokens, and does not touch what is found.
     """
-    empty = {"doc_id": [None] * SLICES, "node": [None] * SLICES, "short": [None] * SLICES, "n": [None] * SLICES, "signature": [None] * SLICES, "orders": [None] * SLICES, "text": [None] * SLICES}
+    empty = {"doc_id": [None] * SLICES, "node": [None] * SLICES, "short": [None] * SLICES, "n": [None] * SLICES, "signature": [None] * SLICES, "sign": [None] * SLICES, "orders": [None] * SLICES, "text": [None] * SLICES}
 
     def repeated(held: list[np.ndarray]) -> dict:
         tokens, times = np.unique(np.concatenate(held), return_counts=True)
@@ -165,9 +180,10 @@ def sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             for name in names:
                 fresh.append(bool(name) and name not in seen)
                 seen.add(name)
+            signs = [signature(s) if f else None for s, f in zip(got, fresh, strict=True)]
             yield {
                 "doc_id": b.column(0), "node": names, "short": [short(x) for x in names], "n": [len(s) for s in got],
-                "signature": [signature(s) if f else None for s, f in zip(got, fresh, strict=True)],
+                "signature": signs, "sign": [folded(np.frombuffer(x, np.uint64), SIGNATURE_BITS // 64).tobytes() if x else None for x in signs],
                 "orders": [further_prefixes(s) if f else None for s, f in zip(got, fresh, strict=True)],
                 "text": [t if f and i is None else None for i, t, f in zip(ids, texts, fresh, strict=True)],
                 "slice": [None] * len(got), "sketch": [None] * len(got),
@@ -182,7 +198,7 @@ def sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         if held:
             yield repeated(held)
 
-    both = stored(map_arrow(documents(docs), each, "doc_id long, node binary, short long, n long, signature binary, orders binary, text binary, slice int, sketch binary"), "sets")
+    both = stored(map_arrow(documents(docs), each, "doc_id long, node binary, short long, n long, signature binary, sign binary, orders binary, text binary, slice int, sketch binary"), "sets")
     scaled = np.minimum(np.rint(16 * np.log2(np.arange(65536) + 1.0)), 255).astype(np.uint8)
     width = SKETCH // SLICES
 
@@ -368,17 +384,32 @@ def screened(pairs: DataFrame, named: DataFrame, by: str) -> DataFrame:
     n = named.select(F.col(by).alias("by"), "node", "n", "signature", "orders")
     both = pairs.join(n.toDF("hub", "hub_node", "hn", "hs", "ho"), "hub").join(n.toDF("member", "member_node", "mn", "ms", "mo"), "member").where("hub_node <> member_node").select("hub_node", "member_node", "hn", "mn", "hs", "ms", "ho", "mo")
 
+    def similar(n: int, m: int, hs: bytes, ms: bytes, ho: bytes, mo: bytes) -> bool:
+        # intersection >= t union means: differing tokens <= (1 - t) / (1 + t) of both sizes.
+        close = min(n, m) * SIMILAR[1] >= max(n, m) * SIMILAR[0] and share_all_orders(ho, mo)
+        return close and differing(hs, ms) * (SIMILAR[1] + SIMILAR[0]) <= (n + m) * (SIMILAR[1] - SIMILAR[0])
+
     def each(batches):
         for b in batches:
-            if b.num_rows:
-                ok = _close((b.column(2).to_numpy(), _signs(b.column(4))), b.column(3).to_numpy(), _signs(b.column(5)))
-                b = b.filter(pa.array(ok))
-                ok = pa.array([share_all_orders(x, y) for x, y in zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True)], pa.bool_())
-                yield {"hub": b.column(0).filter(ok), "member": b.column(1).filter(ok)}
+            ok = pa.array([similar(*x) for x in zip(*(b.column(k).to_pylist() for k in range(2, 8)), strict=True)], pa.bool_())
+            yield {"hub": b.column(0).filter(ok), "member": b.column(1).filter(ok)}
 
     return map_arrow(both, each, "hub binary, member binary")
 
 
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Of candidate pairs, each node with its smallest partner, if that is smaller: hub, member. At most one a node."""
+    ends = pairs.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member"))
+    return ends.groupBy("member").agg(F.min("hub").alias("hub")).select("hub", "member")
+
+
+def unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The candidate pairs whose nodes are in different components."""
+    a, b = roots.toDF("hub", "hub_root"), roots.toDF("member", "member_root")
+    told = pairs.join(a, "hub", "left").join(b, "member", "left")
+    return told.where(F.coalesce("hub_root", "hub") != F.coalesce("member_root", "member")).select("hub", "member")
+
+
 def next_candidates(left: DataFrame, roots: DataFrame, hubs: int) -> DataFrame:
     """Of lists (id, node, size, signature) whose nodes lie in several components: about ``hubs`` nodes outside a list's
     largest component, by hash, with their candidates in other components (hub, member), and the rows that stay for
@@ -386,7 +417,7 @@ def next_candidates(left: DataFrame, roots: DataFrame, hubs: int) -> DataFrame:
     known = left.join(roots, "node", "left").select("id", "node", "size", F.coalesce("root", "node").alias("root"), "signature")
     parts = known.groupBy("id", "root").agg(F.count("*").alias("c"))
     shape = parts.groupBy("id").agg(F.sum("c").alias("rows"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    shape = shape.select("id", "rows", F.col("most.root").alias("most"), (F.col("rows") - F.col("most.c")).alias("outside"))
+    shape = stored(shape.select("id", "rows", F.col("most.root").alias("most"), (F.col("rows") - F.col("most.c")).alias("outside")), "shape")
     told = known.join(shape, "id").withColumn("is_hub", (F.col("root") != F.col("most")) & (F.pmod(F.xxhash64("node", F.lit(hubs)), F.greatest("outside", F.lit(1))) < hubs))
     shares = F.ceil(F.col("rows") / LIST_SHARE).cast("int")
     columns = ["id", "node", "size", "root", "signature"]
@@ -514,23 +545,28 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # One row for each node that any round may compare, and its text, dealt once by joins that are the same at every size.
     ends = stored(first.select(F.col("hub").alias("short")).unionAll(first.select("member")).unionAll(waiting.select("short")).distinct(), "ends")
     rows = only_wanted(members.where("signature IS NOT NULL"), "short", ends).join(ends.hint("merge"), "short", "left_semi")
-    named = stored(rows.groupBy("node").agg(*(f(c).alias(c) for c, f in (("doc_id", F.min), ("short", F.max), ("n", F.max), ("signature", F.max), ("orders", F.max), ("text", F.max)))), "named")
+    named = stored(rows.groupBy("node").agg(*(f(c).alias(c) for c, f in (("doc_id", F.min), ("short", F.max), ("n", F.max), ("signature", F.max), ("sign", F.max), ("orders", F.max), ("text", F.max)))), "named")
     pairs = stored(screened(first, named, "short"), "pairs")
     left = waiting.join(named.select("short", "node"), "short").select("id", "node")
     used = pairs.select(F.col("hub").alias("node")).unionAll(pairs.select("member")).unionAll(left.select("node")).distinct()
     wanted = named.where("doc_id IS NOT NULL").select("node", "doc_id").join(used, "node", "left_semi")
     keyed = only_wanted(documents(docs), "doc_id", wanted).join(wanted.hint("merge"), "doc_id").select("node", "text")
     texts = stored(keyed.unionAll(named.where("doc_id IS NULL").select("node", "text")), "texts")
-    links, roots, hubs = None, None, 64
+    links, roots = _verify_round(texts, nearest(pairs), None)
+    hubs = 64
     while True:
-        if roots is None or not pairs.isEmpty():
-            links, roots = _verify_round(texts, pairs, links)
+        rest = unjoined(pairs, roots)
+        if not left.isEmpty():
+            signed = left.join(named.select("node", F.col("n").alias("size"), F.col("sign").alias("signature")), "node")
+            step = stored(next_candidates(signed, roots, hubs), "round")
+            rest = rest.unionAll(screened(step.where("hub IS NOT NULL").select("hub", "member").distinct(), named, "node"))
+            left = step.where("hub IS NULL").select("id", "node")
+        rest = stored(rest, "pairs")
+        if not rest.isEmpty():
+            links, roots = _verify_round(texts, rest, links)
         if left.isEmpty():
             return members, roots  # each list's candidates are verified, or within a component
-        signed = left.join(named.select("node", F.col("n").alias("size"), "signature"), "node")
-        step = stored(next_candidates(signed, roots, hubs), "round")
-        pairs = stored(screened(step.where("hub IS NOT NULL").select("hub", "member").distinct(), named, "node"), "pairs")
-        left = step.where("hub IS NULL").select("id", "node")
+        pairs = rest.limit(0)
         hubs *= 16
 
 
