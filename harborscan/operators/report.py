@@ -152,6 +152,13 @@ def report_document(assessed: DataFrame, state: DataFrame, most: int = 1000) ->
     return row.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
+def matching(findings: DataFrame, text: str = "", over: tuple[str, ...] = ("rule_id", "path"), **allowed: list[str]) -> DataFrame:
+    """The findings a viewer asks for: columns among the allowed values, and a text in any of some columns, case apart."""
+    for column, values in allowed.items():
+        findings = findings.where(F.col(column).isin(*values))
+    return findings.where(F.contains(F.lower(F.concat_ws(" ", *over)), F.lit(text.lower()))) if text else findings
+
+
 def top(assessed: DataFrame, k: int = 20) -> DataFrame:
     """The k findings to show first: a top-k report, by priority, severity, confidence and place."""
     order = [F.desc(rank(F.upper("priority"), SEVERITIES)), F.desc(rank(F.col("severity"), SEVERITIES)), F.desc(rank(F.col("confidence"), CONFIDENCES)), "path", "line", "fingerprint"]

@@ -91,9 +91,14 @@ def js_literals(text: str, depth: int = 0) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if b > a]
 
 
-@F.pandas_udf(_LITERALS)
-def literals_of(expressions: pd.Series) -> pd.Series:
-    return expressions.map(lambda x: [{"start": a, "end": b, "value": x[a:b]} for a, b in js_literals(x)] if x else [])
+def literals_of(expression: str) -> Column:
+    """The literals of a column of expressions: start, end, value."""
+
+    @F.pandas_udf(_LITERALS)
+    def cut(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: [{"start": a, "end": b, "value": x[a:b]} for a, b in js_literals(x)] if x else [])
+
+    return cut(expression)
 
 
 def environment_parameters(source: Column) -> Column:
