@@ -90,6 +90,11 @@ def download_execute(lines: DataFrame) -> DataFrame:
     return run.join(first, ["path", "target"]).where("since <= line").select("path", F.col("line").cast("long").alias("line"), "target")
 
 
+def download_hits(lines: DataFrame) -> DataFrame:
+    """Hits of downloads that are launched, in the form of all other hits: one for each launch."""
+    return download_execute(lines).select("path", "line", F.lit(1).cast("long").alias("col"), F.lit("BEHAVIOR.DOWNLOAD_EXECUTE").alias("rule_id"), F.lit("MEDIUM").alias("confidence")).distinct()
+
+
 def findings(found: DataFrame) -> DataFrame:
     """Findings of hits: path (redacted), line, column, rule, rating and fingerprint."""
     severity = F.create_map(*(F.lit(x) for r, s in SEVERITY.items() for x in (f"BEHAVIOR.{r}", s)))

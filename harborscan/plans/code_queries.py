@@ -66,7 +66,7 @@ def behavior_python_ast(spark, sf_dir):
     return python_code.scan(python_files(spark, sf_dir)).where("kind = 'behavior'").select("path", "rule_id", "line", "col")
 
 
-@query(f"SELECT CASE WHEN c_custkey % {len(TEMPLATES)} = 7 THEN 'PARSE_ERROR' ELSE 'COMPLETE' END AS status, count(*) AS n FROM customer WHERE c_custkey % {len(TEMPLATES)} <> 1 OR true GROUP BY ALL")
+@query(f"SELECT CASE WHEN c_custkey % {len(TEMPLATES)} = 7 THEN 'PARSE_ERROR' ELSE 'COMPLETE' END AS status, count(*) AS n FROM customer GROUP BY ALL")
 def python_scan_coverage(spark, sf_dir):
     files = python_code.scan(python_files(spark, sf_dir)).groupBy("path").agg(F.max("status").alias("status"))
     return files.groupBy("status").agg(F.count("*").alias("n"))
@@ -99,7 +99,7 @@ def manifest_go_mod(spark, sf_dir):
 @query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS v FROM supplier)
 SELECT 'rs/' || k || '/Cargo.toml' AS path, 'crates.io' AS ecosystem, unnest(['serde', 'rand']) AS name, unnest(['1.' || v, '0.8']) AS spec, unnest(['RUNTIME', 'DEV']) AS dep_group FROM s
 UNION ALL SELECT 'py/' || k || '/uv.lock', 'PyPI', 'idna', '==3.' || v, 'UNKNOWN' FROM s UNION ALL SELECT 'py/' || k || '/pyproject.toml', 'PyPI', 'flask', '>=2', 'RUNTIME' FROM s
-UNION ALL SELECT 'js/' || k || '/package-lock.json', 'npm', 'lodash', '4.' || v, 'RUNTIME' FROM s""")
+UNION ALL SELECT 'js/' || k || '/package-lock.json', 'npm', 'lodash', '4.' || v, 'UNKNOWN' FROM s""")
 def manifest_parse(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), F.col("s_nationkey").cast("string").alias("v"))
     kinds = F.array(
@@ -111,15 +111,9 @@ def manifest_parse(spark, sf_dir):
     return manifests.parsed(s.select(F.inline(kinds))).select("path", "ecosystem", "name", "spec", "dep_group")
 
 
-@query(f"SELECT 'app/m' || c_custkey || '.py' AS path, replace('import requests\nrequests.get(u, verify=False)\nx = 1\n', 'False', 'True') AS text FROM customer WHERE c_custkey % {len(TEMPLATES)} = 3")
+@query(f"""SELECT CASE WHEN c_custkey % 3 = 0 THEN 'scripts' ELSE 'app' END || '/m' || c_custkey || '.py' AS path, CASE WHEN c_custkey % {len(TEMPLATES)} = 3 THEN 'EDITED' WHEN c_custkey % {len(TEMPLATES)} = 7 THEN 'UNPARSED' ELSE 'UNCHANGED' END AS status,
+  CASE WHEN c_custkey % {len(TEMPLATES)} = 3 THEN replace(replace('{TEMPLATES[3].replace("'", "''")}', '{{n}}', c_custkey::VARCHAR), 'False', 'True') ELSE '' END AS edited FROM customer""")
 def patch_tls_edit(spark, sf_dir):
-    import pyarrow as pa
-
-    c = table(spark, sf_dir, "customer").where(F.col("c_custkey") % len(TEMPLATES) == 3)
-    files = c.select(F.concat(F.lit("app/m"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.lit("import requests\nrequests.get(u, verify=False)\nx = 1\n").alias("text"))
-
-    def edit(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([python_code.trusted_tls(t) for t in b.column(1).to_pylist()], pa.string())], names=["path", "text"])
-
-    return files.mapInArrow(edit, "path string, text string")
+    """Every file with what the one deterministic edit makes of it."""
+    rows = python_code.tls_edits(python_files(spark, sf_dir))
+    return rows.select("path", "status", F.when(F.col("status") == "EDITED", F.col("text")).otherwise("").alias("edited"))

@@ -245,6 +245,14 @@ def behavior_download_execute(spark, sf_dir):
     return behavior_rules.download_execute(corpora.script_lines(spark, sf_dir))
 
 
+@query(f"""WITH {SCRIPT_LINES_SQL}, d AS (SELECT path, min(line) AS since, regexp_extract(text, '-OutFile (\\S+)', 1) AS target FROM script_lines WHERE text LIKE 'Invoke-WebRequest%' GROUP BY ALL),
+r AS (SELECT DISTINCT s.path, s.line FROM script_lines s JOIN d ON s.path = d.path AND regexp_extract(s.text, 'Start-Process (\\S+)', 1) = d.target WHERE s.text LIKE 'Start-Process%' AND since <= line)
+SELECT {exprs.fingerprint_sql("'static-finding-v1'", "'BEHAVIOR.DOWNLOAD_EXECUTE'", "path", "line::VARCHAR", "'1'", "'text'")} AS fingerprint, path, line, 'MEDIUM' AS severity, 'MEDIUM' AS confidence FROM r""")
+def behavior_download_findings(spark, sf_dir):
+    found = behavior_rules.findings(behavior_rules.download_hits(corpora.script_lines(spark, sf_dir)))
+    return found.select("fingerprint", "path", "line", "severity", "confidence")
+
+
 @query(f"""WITH {CODE_LINES_SQL}, {_SHELL_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line, rule_order, col) AS k FROM bh)
 SELECT path, rule_id, line, col, confidence FROM n WHERE k <= 30""")
 def behavior_dedupe_caps(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from harborscan.functions.exprs import fingerprint_sql
-from harborscan.sources.corpora import table
+from harborscan.sources.corpora import CONFIG_LINES_SQL, config_lines, table
 from harborscan.streaming import streams
 
 QUERIES, SQL = {}, {}
@@ -24,10 +24,10 @@ def query(sql: str | None = None):
 _STREAM_END = "(SELECT max(ts) FROM events)"
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query(f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= {_STREAM_END} - INTERVAL 1 DAY GROUP BY ALL")
 def stream_event_windows(spark, sf_dir):
-    """Complete windows: a batch of the same operator, whose windows all close."""
-    return streams.windows(table(spark, sf_dir, "events"))
+    """Windows that the watermark has closed, of a stream that is read to its end."""
+    return streams.drained(spark, streams.windows(streams.event_stream(spark, sf_dir)))
 
 
 @query(f"SELECT DISTINCT {fingerprint_sql(chr(39) + 'stream-v1' + chr(39), 'user_id::VARCHAR', 'event_type')} AS fingerprint FROM events")
@@ -35,12 +35,23 @@ def stream_dedupe_findings(spark, sf_dir):
     return streams.drained(spark, streams.distinct_findings(streams.event_stream(spark, sf_dir), "3650 days"))
 
 
-@query(f"SELECT event_type, count(*) AS n FROM events WHERE ts >= {_STREAM_END} - INTERVAL 1 DAY GROUP BY ALL")
+_LATE_SQL = f"""m AS (SELECT max(ts) FILTER (WHERE event_id % 3 <> 0) - INTERVAL 1 DAY AS first_mark, max(ts) - INTERVAL 1 DAY AS last_mark FROM events),
+k AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS start FROM events), t AS (SELECT * FROM k, m WHERE event_id % 3 <> 0 OR start + INTERVAL 1 HOUR > first_mark)"""
+
+
+@query(f"WITH {_LATE_SQL} SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM t WHERE start + INTERVAL 1 HOUR <= last_mark GROUP BY ALL")
 def stream_late_data(spark, sf_dir):
-    """What a watermark of a day would still take at the stream's end."""
-    e = table(spark, sf_dir, "events")
-    end = e.agg(F.max("ts").alias("end"))
-    return e.join(F.broadcast(end)).where(F.col("ts") >= F.col("end") - F.expr("INTERVAL 1 DAY")).groupBy("event_type").agg(F.count("*").alias("n"))
+    """A third of the events come after all others: those whose window is closed by then are dropped."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.arrivals(spark, [e.where("event_id % 3 <> 0"), e.where("event_id % 3 = 0")], streams.windows)
+
+
+@query(f"""WITH {CONFIG_LINES_SQL}, k AS (SELECT path, line, CASE WHEN text LIKE '%BEGIN RSA%' THEN 'B' WHEN text LIKE '%END RSA%' THEN 'E' END AS mark FROM config_lines)
+SELECT path, line, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'B', false) AS inside_key FROM k""")
+def stream_key_blocks(spark, sf_dir):
+    """Lines of files that arrive in three parts: the state of a key block goes over their seams."""
+    lines = config_lines(spark, sf_dir).select("path", "line", "text")
+    return streams.arrivals(spark, [lines.where("line <= 3"), lines.where("line BETWEEN 4 AND 40"), lines.where("line > 40")], streams.key_blocks)
 
 
 @query("""WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),

