@@ -340,3 +340,74 @@ def test_ngram_join(spark, docs, texts, empty, short, monkeypatch):
         kept = ngram_join.one_of_each(docs)
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
         assert ngram_join.ngram_components(empty).count() == 0
+
+
+def naive_ratios(page):
+    """The fused ratios by their definition, on path names, each prefix summed anew."""
+    import math
+
+    names = []
+    for parent, tag, _ in page.paths:
+        names.append((*names[parent], tag) if parent >= 0 else ())
+    blocks = {}
+    for text, path, block, link in page.nodes:
+        t, n = blocks.get((block, names[path]), ("", 0))
+        blocks[block, names[path]] = (t + text, n + len(text.strip()) * link)
+    blocks = {k: v for k, v in blocks.items() if v[0].strip()}
+    out = {}
+    for name in {p for _, p in blocks}:
+        total = weight = 0.0
+        for step in range(html_text.REACH):
+            up = name[: len(name) - step]
+            if step > len(name) or (step and (not up or up[-1] in ("html", "body"))):
+                break
+            below = [t for (_, p), (t, _) in blocks.items() if (p == name if not step else p[: len(up)] == up)]
+            mean = sum(len(t.strip()) for t in below) / len(below)
+            marks = sum(len(html_text._PUNCTUATION.findall(t)) for t in below) / len(below)
+            total += html_text.STEP**step * math.log(mean * (1 + marks))
+            weight += html_text.STEP**step
+        own = [v for (_, p), v in blocks.items() if p == name]
+        share = min(1.0, sum(n for _, n in own) / sum(len(t.strip()) for t, _ in own))
+        prior = html_text.PRIOR if {"article", "main"} & set(name) else 1 - (1 - html_text.LINKS) * share
+        out[name] = math.exp(total / weight) * prior
+    return names, out
+
+
+def test_html_ratios_against_definition(small):
+    import random
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(5)
+    made = ["".join(rng.choice(["<div>", "</div>", "<p>", "<ul>", "<li>", "</ul>", "<a>", "</a>", "<article>", "</article>", "<b>", "Some words, and more. ", "x ", "</p>"]) for _ in range(60)) for _ in range(60)]
+    for html in [*made, *pq.read_table(f"{small}/pages.parquet").column("html").to_pylist()]:
+        page = html_text.Page(html)
+        got = html_text.fused_ratios(page, page.units())
+        names, want = naive_ratios(page)
+        assert {names[p] for p in got} == set(want) and all(abs(f - want[names[p]]) < 1e-6 * want[names[p]] for p, f in got.items())
+
+
+def test_html_threshold_decides():
+    text = "The real text is long, and it has sentences. It goes on, as texts do; so it is kept. " * 5
+    teaser = f"<article><p>Teaser one.</p></article><div><p>{text}</p><p>{text}</p></div>"
+    assert html_text.main_text(teaser).count("The real text") == 10 and "Teaser" in html_text.main_text(teaser, 0.0) and "Teaser" not in html_text.main_text(teaser)
+    links = "<article><p>Some <a>four</a> words <a>in</a> running <a>text</a> with <a>links</a> inside it, really.</p><ul><li><a>one</a></li><li>two</li></ul></article><div><ul><li><a>Home</a></li><li><a>More</a></li></ul></div>"
+    assert html_text.main_text(links) == "Some four words in running text with links inside it, really.\none\ntwo"
+    bare = "<div><p>No article here, but a paragraph with a good length, and commas; yes.</p><h2>Head</h2><p>Another paragraph that is long enough, surely.</p></div><ul><li><a>Home</a></li><li><a>About</a></li></ul>"
+    assert html_text.main_text(bare) == "No article here, but a paragraph with a good length, and commas; yes.\nHead\nAnother paragraph that is long enough, surely."
+
+
+@pytest.mark.parametrize("html", ["<a '" * 8000, "<b>" * 16000 + "x", "<div>" * 16000 + "x", "<b>" * 8000 + "<p>x" * 8000, "<li><p>" * 9000])
+def test_html_hostile_pages_are_quick(html):
+    import time
+
+    start = time.process_time()
+    html_text.main_text(html)
+    assert time.process_time() - start < 3
+
+
+def test_html_tables(spark):
+    rows = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "", "x"), (2, "u", "", "x"), (3, None, "<article><p>A text, really.</p></article>", "x")], "page_id long, url string, html string, text string")
+    got = [(r.page_id, r.url, r.text, r.n_chars) for r in html_text.extracted(rows).orderBy("page_id").collect()]
+    assert got == [(1, "u", "", 0), (2, "u", "", 0), (2, "u", "", 0), (3, None, "A text, really.", 15)]
+    assert html_text.extracted(rows.limit(0)).count() == 0
