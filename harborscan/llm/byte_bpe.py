@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from array import array
 from collections import Counter
 from itertools import islice
 
@@ -30,12 +31,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from harborscan.llm.common import documents, map_arrow
+from harborscan.llm.common import documents, map_arrow, stored
 
 #: Words that a task numbers before it starts anew.
 MAX_WORDS = 400_000
 #: Documents of the sample, and its words that are folded before.
-SAMPLE_DOCUMENTS, FREQUENT_WORDS = 8000, 150_000
+SAMPLE_DOCUMENTS, FREQUENT_WORDS = 8000, 120_000
 _ID, _PLACE = 17, 26
 _NO_RANK = (1 << _ID) - 1
 _SHIFT = _ID + _PLACE
@@ -53,7 +54,7 @@ def pair_code(a: int, b: int) -> int:
     return (a + 1) << _ID | b
 
 
-def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+def pair_table(ranks: dict[bytes, int]) -> tuple[array, array]:
     """(slots, multipliers): a pair of ids that merges stands, as its code << 17 | merged id, at the slot that its code
     times one multiplier gives; the multiplier stands where the code times a fixed number says."""
     if max(ranks.values(), default=0) >= _NO_RANK:
@@ -68,7 +69,7 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     size = _SLOTS
     while sum(map(len, sharing.values())) * 2 > 1 << size:
         size += 1
-    slots, multipliers = [0] * (1 << size), [1] * (1 << _CHOICES)
+    slots, multipliers = array("q", bytes(8 << size)), array("q", [1]) * (1 << _CHOICES)
     for where, pairs in sorted(sharing.items(), key=lambda x: (-len(x[1]), x[0])):
         for m in range((1 << 20) + 1, 1 << 21, 2):
             at = [code * m >> _DOWN & ((1 << size) - 1) for code, _ in pairs]
@@ -82,11 +83,11 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     return slots, multipliers
 
 
-def first_table(ranks: dict[bytes, int]) -> list[int]:
+def first_table(ranks: dict[bytes, int]) -> array:
     """For a byte and the one after it (256 * first + second; 65536 + first at the end): the pair's rank << 43 | the byte's id."""
     single = [ranks[bytes([b])] for b in range(256)]
     pairs = [ranks.get(bytes([x, y]), _NO_RANK) << _SHIFT | single[x] for x in range(256) for y in range(256)]
-    return pairs + [_NO_RANK << _SHIFT | i for i in single]
+    return array("q", pairs + [_NO_RANK << _SHIFT | i for i in single])
 
 
 def together(ranks: dict[bytes, int]) -> np.ndarray:
@@ -98,7 +99,7 @@ def together(ranks: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def literal(numbers: list[int]) -> Column:
+def literal(numbers: array) -> Column:
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
 
@@ -215,11 +216,11 @@ class _Words:
 _NUMBERED: dict[str, dict[str, int]] = {}
 
 
-def _numbered(words: list[str], mark: str) -> dict[str, int]:
+def _numbered(words: bytes, mark: str) -> dict[str, int]:
     """The numbers of the words sent to all tasks, made once in a worker."""
     if mark not in _NUMBERED:
         _NUMBERED.clear()
-        _NUMBERED[mark] = {w: k for k, w in enumerate(words)}
+        _NUMBERED[mark] = {w: k for k, w in enumerate(words.decode().split("\0")[:-1])}
     return _NUMBERED[mark].copy()
 
 
@@ -237,8 +238,8 @@ class Vocabulary:
         return F.transform(parts, lambda p: fold_merges(p, self.slots, self.multipliers, self.first, self.size))
 
 
-def frequent(docs: DataFrame, vocabulary: Vocabulary, pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The most frequent words of about SAMPLE_DOCUMENTS documents, and their ids: (words, offsets, ids)."""
+def frequent(docs: DataFrame, vocabulary: Vocabulary, pattern: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The most frequent words of about SAMPLE_DOCUMENTS documents, and their ids: (words with a NUL after each, offsets, ids)."""
     n = docs.count()
     some = documents(docs).sample(min(1.0, SAMPLE_DOCUMENTS / max(n, 1)), seed=11)
 
@@ -248,10 +249,11 @@ def frequent(docs: DataFrame, vocabulary: Vocabulary, pattern: str) -> tuple[lis
             times = Counter()
             for t in b.column(1).to_pylist():
                 times.update(split(t.decode()) if t else ())
-            often = [(w, c) for w, c in times.items() if c > 1 and len(w) <= 64]
+            often = [(w, c) for w, c in times.items() if c > 1 and len(w) <= 64 and "\0" not in w]
             yield {"word": [w for w, _ in often], "c": [c for _, c in often]}
 
     top = map_arrow(some, count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "word").limit(FREQUENT_WORDS).select("word")
+    top = stored(top.repartition(8), "words")  # the plan with the vocabulary in it has one stage only
     known = vocabulary.known
 
     def cut(batches):
@@ -266,15 +268,15 @@ def frequent(docs: DataFrame, vocabulary: Vocabulary, pattern: str) -> tuple[lis
             for k in range(b.num_rows):
                 w = _Words(np.zeros(1, np.int64), np.zeros(0, np.int32))
                 w.add(np.array(b.column(1)[k].as_py(), np.int64), np.array(b.column(2)[k].as_py(), np.int64), b.column(3)[k].values)
-                yield {"words": b.column(0).slice(k, 1), "offsets": [w.offsets.astype("<i4").tobytes()], "ids": [w.ids.astype("<i4").tobytes()]}
+                yield {"words": ["".join([x + "\0" for x in b.column(0)[k].as_py()]).encode()], "offsets": [w.offsets.astype("<i4").tobytes()], "ids": [w.ids.astype("<i4").tobytes()]}
 
-    rows = map_arrow(top.repartition(8), cut, "words array<string>, ends array<long>, codes array<long>, parts array<array<int>>").select("words", "ends", "codes", vocabulary.folded(F.col("parts")).alias("parts"))
+    rows = map_arrow(top, cut, "words array<string>, ends array<long>, codes array<long>, parts array<array<int>>").select("words", "ends", "codes", vocabulary.folded(F.col("parts")).alias("parts"))
     words, offsets, ids = [], [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
-    for r in map_arrow(rows, join, "words array<string>, offsets binary, ids binary").toLocalIterator():
+    for r in map_arrow(rows, join, "words binary, offsets binary, ids binary").toLocalIterator():
         offsets.append(np.frombuffer(r.offsets, "<i4")[1:].astype(np.int64) + offsets[-1][-1])
-        words += r.words
+        words.append(bytes(r.words))
         ids.append(np.frombuffer(r.ids, "<i4"))
-    return words, np.concatenate(offsets), np.concatenate(ids)
+    return b"".join(words), np.concatenate(offsets).astype(np.int32), np.concatenate(ids)
 
 
 def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, schema: str, with_text: bool) -> DataFrame:
@@ -287,7 +289,7 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, sch
     def cut(batches):
         split, numbers, parts = regex.compile(pattern).findall, None, None
         for b in batches:
-            fresh = numbers is None or len(numbers) > len(sent.value[0]) + MAX_WORDS
+            fresh = numbers is None or len(numbers) > FREQUENT_WORDS + MAX_WORDS
             if fresh:
                 numbers, parts = _numbered(sent.value[0], mark), _Parts(*known.value)
             begin = len(numbers)
@@ -305,7 +307,7 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, sch
         for b in batches:
             for k in range(b.num_rows):
                 if b.column(0)[k].as_py():
-                    words = _Words(*sent.value[1:])
+                    words = _Words(sent.value[1].astype(np.int64), sent.value[2])
                 words.add(np.frombuffer(b.column(4)[k].as_py(), "<i8"), np.frombuffer(b.column(5)[k].as_py(), "<i8"), b.column(6)[k].values)
                 yield finish(b.column(1)[k].as_py(), [words.text(c) for c in b.column(2)[k].as_py()], b.column(3)[k].as_py())
 

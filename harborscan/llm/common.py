@@ -12,6 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows and bytes that Spark hands to a Python worker at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+#: Characters of a plan's text that are kept.
+PLAN_CHARACTERS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +42,9 @@ def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of one Arrow batch, whatever the length of the texts in it."""
+    """Bound the memory of one Arrow batch, whatever the length of the texts in it, and of the plans' texts that the driver
+    keeps for its listeners."""
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARACTERS))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
