@@ -11,13 +11,13 @@ n - ceil(t n) + 1 tokens of each, whatever the global order:
 * The further orders are plain hash orders. Each node carries its prefixes under them, 16 bits a token. A candidate
   pair whose prefixes share none under one of the orders goes before any text is read: the filters are intersected.
 
-Sizes filter too, and so does a signature of at least two bits a token, each the parity of a node's tokens there: sets
+Sizes filter too, and so does a signature of at least one bit a token, each the parity of a node's tokens there: sets
 differ in at least as many tokens as signatures in bits. Halves of a long signature, one upon the other, are a short one.
 
 Tokens whose lists hold the same nodes give one list. In a list of up to SMALL_LIST nodes all pairs are candidates; of a
 longer one, pairs with a hub (the node with most shared tokens) first. Links found join nodes into components, and
-lists whose nodes are in one component are done. Of the candidates left by the filters, each node's smallest partner
-comes first; the others only if that has not joined them. In each further round some nodes outside a list's largest component are
+lists whose nodes are in one component are done. Of the candidates left by the filters, each node's partner with the
+most candidates comes first; the others only if that has not joined them. In each further round some nodes outside a list's largest component are
 hubs and meet the whole list, which is dealt in shares of LIST_SHARE nodes; then they leave it. Once no node outside the
 largest component is left, every candidate pair has been verified or lies within a component. So a group of copies costs
 about one verification a member, and no link between components is lost. Verification gathers the texts of candidates by
@@ -120,8 +120,8 @@ def _smallest(keys: np.ndarray, count: int) -> np.ndarray:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens at as many bits as the set needs: a power of two, two bits a token or more."""
-    bits = max(SIGNATURE_BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    """Parities of the tokens at as many bits as the set needs: a power of two, one bit a token or more."""
+    bits = max(SIGNATURE_BITS, 1 << (len(tokens) - 1).bit_length())
     odd = np.bincount(((tokens >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -183,7 +183,7 @@ def sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             signs = [signature(s) if f else None for s, f in zip(got, fresh, strict=True)]
             yield {
                 "doc_id": b.column(0), "node": names, "short": [short(x) for x in names], "n": [len(s) for s in got],
-                "signature": signs, "sign": [folded(np.frombuffer(x, np.uint64), SIGNATURE_BITS // 64).tobytes() if x else None for x in signs],
+                "signature": signs, "sign": [folded(np.frombuffer(x, np.uint64), SIGNATURE_BITS // 64).tobytes() if x and len(x) * 8 > SIGNATURE_BITS else None for x in signs],
                 "orders": [further_prefixes(s) if f else None for s, f in zip(got, fresh, strict=True)],
                 "text": [t if f and i is None else None for i, t, f in zip(ids, texts, fresh, strict=True)],
                 "slice": [None] * len(got), "sketch": [None] * len(got),
@@ -398,9 +398,11 @@ def screened(pairs: DataFrame, named: DataFrame, by: str) -> DataFrame:
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
-    """Of candidate pairs, each node with its smallest partner, if that is smaller: hub, member. At most one a node."""
-    ends = pairs.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member"))
-    return ends.groupBy("member").agg(F.min("hub").alias("hub")).select("hub", "member")
+    """Of candidate pairs, each node with its partner of the most candidates: hub, member. At most one pair a node, and
+    in a group that shares a hub enough to join all of it."""
+    both = pairs.select(F.col("hub").alias("a"), F.col("member").alias("b")).unionAll(pairs.select("member", "hub")).distinct()
+    wanted = both.groupBy("a").agg(F.count("*").alias("c")).select(F.col("a").alias("b"), "c")
+    return both.join(wanted, "b").groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select(F.col("m.b").alias("hub"), F.col("a").alias("member"))
 
 
 def unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -553,20 +555,16 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = only_wanted(documents(docs), "doc_id", wanted).join(wanted.hint("merge"), "doc_id").select("node", "text")
     texts = stored(keyed.unionAll(named.where("doc_id IS NULL").select("node", "text")), "texts")
     links, roots = _verify_round(texts, nearest(pairs), None)
-    hubs = 64
+    pairs, hubs = stored(unjoined(pairs, roots), "pairs"), 64
     while True:
-        rest = unjoined(pairs, roots)
-        if not left.isEmpty():
-            signed = left.join(named.select("node", F.col("n").alias("size"), F.col("sign").alias("signature")), "node")
-            step = stored(next_candidates(signed, roots, hubs), "round")
-            rest = rest.unionAll(screened(step.where("hub IS NOT NULL").select("hub", "member").distinct(), named, "node"))
-            left = step.where("hub IS NULL").select("id", "node")
-        rest = stored(rest, "pairs")
-        if not rest.isEmpty():
-            links, roots = _verify_round(texts, rest, links)
+        if not pairs.isEmpty():
+            links, roots = _verify_round(texts, pairs, links)
         if left.isEmpty():
             return members, roots  # each list's candidates are verified, or within a component
-        pairs = rest.limit(0)
+        signed = left.join(named.select("node", F.col("n").alias("size"), F.coalesce("sign", "signature").alias("signature")), "node")
+        step = stored(next_candidates(signed, roots, hubs), "round")
+        pairs = stored(screened(step.where("hub IS NOT NULL").select("hub", "member").distinct(), named, "node"), "pairs")
+        left = step.where("hub IS NULL").select("id", "node")
         hubs *= 16
 
 
