@@ -1,7 +1,7 @@
 """WARC: not-modified revisits take the headers of the latest earlier full response of their canonical URL.
 
 The as-of join is two-level, so that a URL with a third of all captures is not one task: captures of a URL are cut into
-time buckets. Within a bucket a running maximum finds the latest earlier response; the last response of each bucket is
+time buckets of about equal numbers of captures, whatever their times. Within a bucket a running maximum finds the latest earlier response; the last response of each bucket is
 one row, and a running maximum over a URL's buckets (at most BUCKETS) serves revisits without one in their own. Bodies
 take no part; only URL, time and header fields are shuffled.
 
@@ -9,22 +9,32 @@ A revisit is resolved if the response's validator agrees: the entity tag where b
 time. Of the revisit's headers only the permitted ones (date, cache_control, expires, etag) replace the response's.
 
 Defined cases: null URLs have no canonical form and are never resolved; captures of the same time are not earlier than
-each other; of several responses of the latest time the one of the highest page_id holds; repeated captures each give a row.
+each other; of several responses of the latest time the one of the highest page_id holds; repeated captures and those
+without a page_id each give a row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 512
+BUCKETS = 128
+#: Query fields that say where a visitor came from.
+TRACKING = r"^(?i)(utm_[a-z]+|ref|gclid|fbclid)(=|$)"
 FIELDS = ("etag", "modified", "content_type", "content_length", "cache_control")
 
 
 def canonical(url: Column) -> Column:
-    """Host without www., path without a trailing slash, query without tracking fields; no scheme and no fragment."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(url), "#.*$", ""), "^[a-z]+://(www\\.)?", "")
-    plain = F.regexp_replace(bare, "[?&](utm_[a-z]+|ref)=[^&]*", "")
-    return F.regexp_replace(plain, "/$", "")
+    """Host in lower case without www. and a default port, path without dot steps and a closing slash, query fields in
+    order without tracking ones; no scheme and no fragment. Case counts in path and query."""
+    scheme = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    rest = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(rest, "^[^/?]*", 0)), "^www\\.", "")
+    host = F.regexp_replace(host, F.when(scheme == "https", ":443$").when(scheme == "http", ":80$").otherwise("^$"), F.lit(""))
+    steps = F.filter(F.split(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), "/"), lambda p: ~p.isin("", "."))
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
+    fields = F.array_sort(F.filter(F.split(F.regexp_extract(rest, "^[^?]*\\?(.*)$", 1), "&"), lambda f: (f != "") & ~f.rlike(TRACKING)))
+    query = F.when(F.size(fields) > 0, F.concat(F.lit("?"), F.array_join(fields, "&"))).otherwise("")
+    return F.concat(host, F.array_join(F.transform(walked, lambda p: F.concat(F.lit("/"), p)), ""), query)
 
 
 def captures(pages: DataFrame) -> DataFrame:
@@ -49,10 +59,10 @@ def resolved(log: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     log: page_id, canonical, time, revisit and FIELDS.
     """
-    low, high = log.agg(F.min("time"), F.max("time")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
+    shares = [k / buckets for k in range(1, buckets)]
+    bounds = sorted(set(log.agg(F.percentile_approx("time", shares, 10_000)).first()[0] or []))  # fewer than ``buckets`` numbers
     full = F.when(~F.col("revisit"), F.struct("time", "page_id", *FIELDS))
-    rows = log.where("canonical IS NOT NULL").withColumn("bucket", F.floor((F.col("time") - (low or 0)) / width))
+    rows = log.where("canonical IS NOT NULL").withColumn("bucket", F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("time"))))
     inside = Window.partitionBy("canonical", "bucket").orderBy("time").rangeBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.max(full).over(inside)).where("revisit")
     last = rows.groupBy("canonical", "bucket").agg(F.max(full).alias("last"))
@@ -73,8 +83,11 @@ def resolved(log: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 ORACLE = """
 WITH c AS (
-  SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '#.*$', ''), '^[a-z]+://(www\\.)?', ''),
-         '[?&](utm_[a-z]+|ref)=[^&]*', '', 'g'), '/$', '') AS canonical FROM pages),
+  SELECT page_id, html, host || CASE WHEN path = '' THEN '' ELSE '/' || path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical FROM (
+    SELECT page_id, html, regexp_replace(lower(split_part(split_part(rest, '/', 1), '?', 1)), '^www[.]', '') AS host,
+      array_to_string(list_filter(string_split(array_to_string(string_split(split_part(rest, '?', 1), '/')[2:], '/'), '/'), lambda x: x NOT IN ('', '.')), '/') AS path,
+      coalesce(array_to_string(list_sort(list_filter(string_split(array_to_string(string_split(rest, '?')[2:], '?'), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND NOT starts_with(x, 'ref='))), '&'), '') AS query
+    FROM (SELECT page_id, html, array_to_string(string_split(split_part(url, '#', 1), '://')[2:], '://') AS rest FROM pages))),
 log AS (
   SELECT page_id, canonical, page_id % 3 = 0 AS revisit,
          CASE WHEN page_id % 7 > 0 THEN substr(md5(CASE WHEN page_id % 15 = 0 THEN canonical || page_id ELSE canonical END), 1, 12) END AS etag,
