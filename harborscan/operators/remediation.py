@@ -71,6 +71,24 @@ def rejection(c: Column) -> Column:
     )
 
 
+def applied(source: Column, edits: Column) -> Column:
+    """What line edits (array of start_line, end_line, replacement) make of a source, as text and fault: edits that overlap
+    or leave the source are not made. A replacement stands for whole lines, ends included."""
+    lines = F.split(source, "\n")
+    n = F.size(lines) - F.when(source.endswith("\n"), 1).otherwise(0)
+    ordered = F.array_sort(edits)
+    bad = F.exists(ordered, lambda e: e["start_line"].isNull() | e["end_line"].isNull() | (e["start_line"] < 1) | (e["start_line"] > e["end_line"]) | (e["end_line"] > n) | F.contains(e["replacement"], F.lit("\r")))
+    pairs = F.transform(ordered, lambda e, i: (i > 0) & (e["start_line"] <= F.get(ordered, i - 1)["end_line"]))
+    fault = F.when((F.size(edits) < 1) | (F.size(edits) > PATCH["hunks"]), "PATCH_TOO_LARGE").when(F.coalesce(bad, F.lit(True)) | F.exists(pairs, lambda p: p), "PATCH_OVERLAPPING_EDITS")
+
+    def one(acc, e):
+        given = F.split(F.regexp_replace(e["replacement"], "\n$", ""), "\n")
+        return F.concat(F.slice(acc, F.lit(1), e["start_line"].cast("int") - 1), given, F.slice(acc, e["end_line"].cast("int") + 1, F.size(acc)))
+
+    text = F.array_join(F.aggregate(F.reverse(ordered), lines, one), "\n")
+    return F.struct(F.when(fault.isNull(), text).alias("text"), fault.alias("fault"))
+
+
 def hit_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """path, rule_id, line, col, change: hits that a patch removed and hits that it brought, as bags."""
     keys = ["path", "rule_id", "line", "col"]

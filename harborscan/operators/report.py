@@ -160,9 +160,9 @@ def matching(findings: DataFrame, text: str = "", over: tuple[str, ...] = ("rule
 
 
 def top(assessed: DataFrame, k: int = 20) -> DataFrame:
-    """The k findings to show first: a top-k report, by priority, severity, confidence and place."""
+    """The k findings to show first, by priority, severity, confidence and place: a top-k report that tells the total."""
     order = [F.desc(rank(F.upper("priority"), SEVERITIES)), F.desc(rank(F.col("severity"), SEVERITIES)), F.desc(rank(F.col("confidence"), CONFIDENCES)), "path", "line", "fingerprint"]
-    return assessed.orderBy(*order).limit(k)
+    return shown(assessed, order, k)
 
 
 def report_json(assessed: DataFrame) -> DataFrame:
@@ -215,8 +215,8 @@ GUIDANCE = {"secrets": "Rotate the credential, remove it from the source and its
 
 
 def remediation_plan(assessed: DataFrame, k: int = 50) -> DataFrame:
-    """Proposals for the k most severe findings: proposal_id, fingerprint, rule_id, guidance."""
+    """Proposals for the k most severe findings, and how many are left without: proposal_id, fingerprint, rule_id, guidance, n_omitted."""
     table = F.create_map(*(F.lit(x) for pair in GUIDANCE.items() for x in pair))
     order = [F.desc(rank(F.col("severity"), SEVERITIES)), "path", "line", "fingerprint"]
     proposal = F.substring(F.sha2(F.concat(F.lit("remediation-v1:"), "fingerprint"), 256), 1, 24)
-    return assessed.orderBy(*order).limit(k).select(proposal.alias("proposal_id"), "fingerprint", "rule_id", F.try_element_at(table, F.col("scanner_id")).alias("guidance"))
+    return shown(assessed, order, k).select(proposal.alias("proposal_id"), "fingerprint", "rule_id", F.try_element_at(table, F.col("scanner_id")).alias("guidance"), "n_omitted")

@@ -237,6 +237,24 @@ def invalid_attribution(spark, sf_dir):
     return correlation.invalid_details(scan_queries.stored(_spoilt(spark, sf_dir), "findings"))
 
 
+def _faulty(spark, sf_dir):
+    """Findings with evidence, packages and advisories, each with one fault by its line."""
+    n, lit = F.col("line"), F.lit
+    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    f = scan_queries.all_findings(spark, sf_dir)
+    return f.withColumns({
+        "evidence": F.when(n % 10 == 1, F.array(pair(lit("k"), lit(None).cast("string")))).when(n % 10 == 2, F.transform(F.sequence(lit(1), lit(65)), lambda i: pair(lit("k"), i.cast("string")))).otherwise(F.array(pair(lit("k"), lit("v")))),
+        "package": F.when(n % 10 == 3, lit("bad name")).otherwise(lit("pkg")), "ecosystem": lit("PyPI"), "version": F.when(n % 10 == 4, lit("1 0")).otherwise(lit("1.0")), "advisory_id": F.when(n % 10 == 5, lit("bad id")),
+        "fingerprint": F.when(n % 10 == 6, lit("zz")).when(n % 10 == 9, lit(None)).otherwise(F.col("fingerprint")), "line": F.when(n % 10 == 7, lit(0)).otherwise(n), "col": F.when(n % 10 == 8, lit(2_000_000)).otherwise(F.col("col")),
+    })
+
+
+@query(f"""WITH {FINDINGS_SQL} SELECT ['ADMITTED', 'INVALID_STRUCTURED_EVIDENCE', 'INVALID_STRUCTURED_EVIDENCE', 'INVALID_DEPENDENCY_COORDINATE', 'INVALID_DEPENDENCY_COORDINATE', 'INVALID_VULNERABILITY_REFERENCE', 'INVALID_FINGERPRINT', 'INVALID_LOCATION', 'INVALID_LOCATION', 'INVALID_IDENTITY_OR_LOCATION_TYPE'][1 + line % 10] AS reason, count(*) AS n FROM findings GROUP BY ALL""")
+def finding_validation_all(spark, sf_dir):
+    x = scan_queries.stored(_faulty(spark, sf_dir), "findings")
+    return x.select(F.coalesce(correlation.invalid_reason(x), F.lit("ADMITTED")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 # The report's parts.
 
 

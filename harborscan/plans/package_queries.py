@@ -228,6 +228,17 @@ def patch_differences(spark, sf_dir):
     return rows.select("c_custkey", "c.diff", F.coalesce(remediation.rejection(F.col("c")), F.lit("")).alias("fault"))
 
 
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'a' || chr(10) || 'X' || chr(10) || 'c' || chr(10) || 'd' || chr(10) WHEN 1 THEN 'A' || chr(10) || 'b' || c_custkey || chr(10) || 'Y' || chr(10) || 'Z' || chr(10) ELSE '' END AS text,
+  CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 4 THEN 'PATCH_TOO_LARGE' ELSE 'PATCH_OVERLAPPING_EDITS' END AS fault FROM customer""")
+def patch_apply(spark, sf_dir):
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey") % 5
+    edit = lambda a, b, t: F.struct(F.lit(a).cast("long").alias("start_line"), F.lit(b).cast("long").alias("end_line"), F.lit(t).alias("replacement"))
+    edits = F.when(k == 0, F.array(edit(2, 2, "X\n"))).when(k == 1, F.array(edit(3, 4, "Y\nZ"), edit(1, 1, "A"))).when(k == 2, F.array(edit(1, 2, "A"), edit(2, 3, "B"))).when(k == 3, F.array(edit(5, 5, "q"))).otherwise(F.array(*[edit(1, 1, "x")] * 6))
+    rows = c.select("c_custkey", F.concat(F.lit("a\nb"), F.col("c_custkey").cast("string"), F.lit("\nc\nd\n")).alias("source"), edits.alias("edits"))
+    got = rows.select("c_custkey", remediation.applied(F.col("source"), F.col("edits")).alias("r"))
+    return got.select("c_custkey", F.coalesce("r.text", F.lit("")).alias("text"), F.coalesce("r.fault", F.lit("")).alias("fault"))
+
+
 @query(f"""WITH {FINDINGS_SQL}, a AS (SELECT path, rule_id, line, col FROM findings WHERE line % 7 <> 0 UNION ALL SELECT path, rule_id, line + 1, col FROM findings WHERE line % 11 = 0), b AS (SELECT path, rule_id, line, col FROM findings)
 SELECT *, 'REMOVED' AS change FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT *, 'NEW' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)""")
 def patch_hit_changes(spark, sf_dir):

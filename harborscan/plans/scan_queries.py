@@ -431,9 +431,9 @@ def coverage_layers(spark, sf_dir):
 _SEV_RANK = "list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], {})"
 
 
-@query(f"WITH {ASSESSED_SQL} SELECT fingerprint, priority, severity, confidence, path, line FROM assessed ORDER BY {_SEV_RANK.format('upper(priority)')} DESC, {_SEV_RANK.format('severity')} DESC, list_position(['LOW', 'MEDIUM', 'HIGH'], confidence) DESC, path, line, fingerprint LIMIT 20")
+@query(f"WITH {ASSESSED_SQL} SELECT fingerprint, priority, severity, confidence, path, line, (SELECT count(*) FROM assessed) AS n_total FROM assessed ORDER BY {_SEV_RANK.format('upper(priority)')} DESC, {_SEV_RANK.format('severity')} DESC, list_position(['LOW', 'MEDIUM', 'HIGH'], confidence) DESC, path, line, fingerprint LIMIT 20")
 def report_topk(spark, sf_dir):
-    return report.top(assessed(spark, sf_dir)).select("fingerprint", "priority", "severity", "confidence", "path", "line")
+    return report.top(assessed(spark, sf_dir)).select("fingerprint", "priority", "severity", "confidence", "path", "line", "n_total")
 
 
 @query(f"""WITH {ASSESSED_SQL} SELECT fingerprint, '{{"confidence":"' || confidence || '","evidence":"' || evidence || '","exposure":"' || exposure || '","fingerprint":"' || fingerprint || '","line":' || line || ',"path":"' || path || '","priority":"' || priority || '","rule_id":"' || rule_id || '","severity":"' || severity || '"}}' AS json FROM assessed""")
@@ -469,6 +469,6 @@ def review_subjects(spark, sf_dir):
 
 
 @query(f"""WITH {ASSESSED_SQL}, t AS (SELECT * FROM assessed ORDER BY {_SEV_RANK.format('severity')} DESC, path, line, fingerprint LIMIT 50)
-SELECT substr(sha256('remediation-v1:' || fingerprint), 1, 24) AS proposal_id, fingerprint, rule_id, {_case(report.GUIDANCE.items(), 'scanner_id')} AS guidance FROM t""")
+SELECT substr(sha256('remediation-v1:' || fingerprint), 1, 24) AS proposal_id, fingerprint, rule_id, {_case(report.GUIDANCE.items(), 'scanner_id')} AS guidance, greatest((SELECT count(*) FROM assessed) - 50, 0) AS n_omitted FROM t""")
 def remediation_plan(spark, sf_dir):
     return report.remediation_plan(assessed(spark, sf_dir))
