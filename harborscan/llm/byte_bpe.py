@@ -99,8 +99,10 @@ def together(ranks: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def literal(numbers: array) -> Column:
-    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+def literal(tables: list[array]) -> Column:
+    """The tables as one JSON literal. It is read once for each batch: a literal of arrays would be spelt out anew in every
+    text of the plan that the driver makes."""
+    return F.from_json(F.lit("[" + ",".join("[" + ",".join(map(str, t)) + "]" for t in tables) + "]"), "array<array<bigint>>")
 
 
 def bind(value: Column, body) -> Column:
@@ -230,12 +232,17 @@ class Vocabulary:
     def __init__(self, spark, ranks: dict[bytes, int]):
         slots, multipliers = pair_table(ranks)
         self.size = len(slots)
-        self.slots, self.multipliers, self.first = literal(slots), literal(multipliers), literal(first_table(ranks))
+        self.tables = literal([slots, multipliers, first_table(ranks)])
         self.known = spark.sparkContext.broadcast((ranks, together(ranks)))
 
     def folded(self, parts: Column) -> Column:
         """Each of an array of parts as its ids."""
-        return F.transform(parts, lambda p: fold_merges(p, self.slots, self.multipliers, self.first, self.size))
+
+        def with_tables(tables: Column) -> Column:
+            slots, multipliers, first = (F.get(tables, F.lit(k)) for k in range(3))
+            return F.transform(parts, lambda p: fold_merges(p, slots, multipliers, first, self.size))
+
+        return bind(self.tables, with_tables)
 
 
 def frequent(docs: DataFrame, vocabulary: Vocabulary, pattern: str) -> tuple[bytes, np.ndarray, np.ndarray]:
