@@ -64,7 +64,7 @@ _JS_SQL = f"""js0 AS (SELECT 'web/c' || o_custkey || '.ts' AS path, row_number()
 js AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY path ORDER BY line) = 4, false) AS lent FROM js0)"""
 
 
-@query(f"""WITH {_JS_SQL}, h AS (SELECT path, line, 'password' AS label, value, CASE k WHEN 0 THEN 18 WHEN 1 THEN 28 WHEN 5 THEN 19 WHEN 7 THEN 15 END AS start FROM js WHERE k IN (0, 1, 5, 7))
+@query(f"""WITH {_JS_SQL}, h AS (SELECT path, line, 'password' AS label, value, CASE k WHEN 0 THEN 18 WHEN 1 THEN 28 WHEN 5 THEN 19 WHEN 7 THEN 15 END AS start FROM js WHERE k IN (0, 7) OR (k IN (1, 5) AND NOT lent))
 SELECT path, line, label, start::BIGINT AS start, length(value) AS value_length, CASE WHEN {_BITS} >= 3.2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM h""")
 def secret_js_assignments(spark, sf_dir):
     hits = secret_context.js_assignments(_js_lines(spark, sf_dir)).where("label = 'password'")
@@ -140,16 +140,17 @@ def secret_long_lines(spark, sf_dir):
 def rich_findings(spark, sf_dir):
     """Findings of the shell files with what other scanners would add, by line."""
     f, n = scan_queries.all_findings(spark, sf_dir), F.col("line")
+    user = F.regexp_extract("path", "u[0-9]+", 0)  # each file has packages of its own
     return f.withColumns({
         "category": F.when(n % 4 == 0, F.lit("sast")).when(n % 9 == 2, F.lit("import_reference")).otherwise(F.col("category")), "source_line": F.when(n % 2 == 0, F.floor(n / 3).cast("string")), "sink_kind": F.when(n % 8 == 0, F.lit("command")),
-        "package": F.when(n % 5 == 1, F.concat(F.lit("Pkg"), F.floor(n / 25).cast("string"))), "ecosystem": F.when(n % 5 == 1, F.lit("PyPI")), "version": F.when(n % 10 == 1, F.lit("1.0")),
-        "advisory_id": F.when(n % 15 == 1, F.concat(F.lit("GHSA-"), F.floor(n / 50).cast("string"))), "import_name": F.when(n % 9 == 2, F.concat(F.lit("pkg"), F.floor(n / 25).cast("string"))),
+        "package": F.when(n % 5 == 1, F.concat(F.lit("Pkg"), F.floor(n / 25).cast("string"), user)), "ecosystem": F.when(n % 5 == 1, F.lit("PyPI")), "version": F.when(n % 10 == 1, F.lit("1.0")),
+        "advisory_id": F.when(n % 15 == 1, F.concat(F.lit("GHSA-"), F.floor(n / 50).cast("string"))), "import_name": F.when(n % 9 == 2, F.concat(F.lit("pkg"), F.floor(n / 25).cast("string"), user)),
     })
 
 
 _RICH_SQL = f"""{FINDINGS_SQL}, rich AS (SELECT * REPLACE (CASE WHEN line % 4 = 0 THEN 'sast' WHEN line % 9 = 2 THEN 'import_reference' ELSE category END AS category),
-  CASE WHEN line % 2 = 0 THEN (line // 3)::VARCHAR END AS source_line, CASE WHEN line % 8 = 0 THEN 'command' END AS sink_kind, CASE WHEN line % 5 = 1 THEN 'Pkg' || (line // 25) END AS package, CASE WHEN line % 5 = 1 THEN 'PyPI' END AS ecosystem,
-  CASE WHEN line % 10 = 1 THEN '1.0' END AS version, CASE WHEN line % 15 = 1 THEN 'GHSA-' || (line // 50) END AS advisory_id, CASE WHEN line % 9 = 2 THEN 'pkg' || (line // 25) END AS import_name FROM findings),
+  CASE WHEN line % 2 = 0 THEN (line // 3)::VARCHAR END AS source_line, CASE WHEN line % 8 = 0 THEN 'command' END AS sink_kind, CASE WHEN line % 5 = 1 THEN 'Pkg' || (line // 25) || regexp_extract(path, 'u[0-9]+') END AS package, CASE WHEN line % 5 = 1 THEN 'PyPI' END AS ecosystem,
+  CASE WHEN line % 10 = 1 THEN '1.0' END AS version, CASE WHEN line % 15 = 1 THEN 'GHSA-' || (line // 50) END AS advisory_id, CASE WHEN line % 9 = 2 THEN 'pkg' || (line // 25) || regexp_extract(path, 'u[0-9]+') END AS import_name FROM findings),
 ent AS (SELECT fingerprint, confidence, 'f:' || fingerprint AS own, 'file:' || {_sid("'file-v1'", "path")} AS file, 'function:' || {_sid("'function-v1'", "path", "function_id")} AS func,
   CASE WHEN package IS NOT NULL THEN 'dependency:' || {_sid("'dependency-v1'", "ecosystem", "lower(package)", "coalesce(version, '')")} END AS dep, CASE WHEN package IS NOT NULL AND advisory_id IS NOT NULL THEN 'vulnerability:' || {_sid("'vulnerability-v1'", "advisory_id")} END AS vuln,
   CASE WHEN category = 'sast' AND source_category IS NOT NULL AND source_line IS NOT NULL THEN 'source:' || {_sid("'source-v1'", "path", "source_category", "source_line")} END AS src_node,
