@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,6 +42,12 @@ def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver to drop plans that nothing refers to, so that executors delete their shuffle files before more come."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of one Arrow batch, whatever the length of the texts in it, and of the plans' texts that the driver
     keeps for its listeners."""

@@ -40,7 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from harborscan.llm.common import documents, map_arrow, small_batches, stored
+from harborscan.llm.common import documents, map_arrow, release, stored
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers: intersection * SIMILAR[1] >= union * SIMILAR[0].
@@ -521,6 +521,7 @@ def _verify_round(texts: DataFrame, pairs: DataFrame, links: DataFrame | None) -
     """All links with those among pairs, and the components of their nodes."""
     more = stored(verified(pairs, texts), "links")
     links = more if links is None else links.unionAll(more)
+    release(texts.sparkSession)
     return links, components(links)
 
 
@@ -534,6 +535,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranges = int(max(spark.sparkContext.defaultParallelism, -(-total // RANGE_POSTINGS)))
     found = stored(lists(postings(docs, sketch, ranges).repartition(ranges, "range")), "lists")
     sketch.destroy()
+    release(spark)
     first = stored(first_candidates(found.distinct()).distinct(), "first")
 
     def spread(batches):
@@ -553,7 +555,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     used = pairs.select(F.col("hub").alias("node")).unionAll(pairs.select("member")).unionAll(left.select("node")).distinct()
     wanted = named.where("doc_id IS NOT NULL").select("node", "doc_id").join(used, "node", "left_semi")
     keyed = only_wanted(documents(docs), "doc_id", wanted).join(wanted.hint("merge"), "doc_id").select("node", "text")
-    texts = stored(keyed.unionAll(named.where("doc_id IS NULL").select("node", "text")), "texts")
+    texts = stored(keyed.unionAll(named.where("doc_id IS NULL").select("node", "text")), "texts", "zstd")
+    release(spark)
     links, roots = _verify_round(texts, nearest(pairs), None)
     pairs, hubs = stored(unjoined(pairs, roots), "pairs"), 64
     while True:
