@@ -64,7 +64,7 @@ _JS_SQL = f"""js0 AS (SELECT 'web/c' || o_custkey || '.ts' AS path, row_number()
 js AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY path ORDER BY line) = 4, false) AS lent FROM js0)"""
 
 
-@query(f"""WITH {_JS_SQL}, h AS (SELECT path, line, 'password' AS label, value, CASE k WHEN 0 THEN 18 WHEN 1 THEN 28 WHEN 5 THEN 19 WHEN 7 THEN 15 END AS start FROM js WHERE k IN (0, 7) OR (k IN (1, 5) AND NOT lent))
+@query(f"""WITH {_JS_SQL}, h AS (SELECT path, line, 'password' AS label, value, CASE k WHEN 0 THEN 18 WHEN 1 THEN 29 WHEN 5 THEN 19 WHEN 7 THEN 15 END AS start FROM js WHERE k IN (0, 7) OR (k IN (1, 5) AND NOT lent))
 SELECT path, line, label, start::BIGINT AS start, length(value) AS value_length, CASE WHEN {_BITS} >= 3.2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM h""")
 def secret_js_assignments(spark, sf_dir):
     hits = secret_context.js_assignments(_js_lines(spark, sf_dir)).where("label = 'password'")
