@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from harborscan.llm import byte_bpe, decontamination, html_text, ngram_join, oracles, quality_rules, revisits, secret_scan, token_counts, token_store, toxicity
+from harborscan.llm import byte_bpe, decontamination, html_text, license_scan, ngram_join, oracles, prefix_trie, quality_rules, resampling, revisits, secret_scan, token_counts, token_store, toxicity
 from harborscan.llm.common import table
 
 
@@ -49,9 +49,21 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_license_scans(spark, sf_dir):
+    return license_scan.licensed(table(spark, sf_dir, "documents")).drop("notices")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_token_counts, op3_quality_rules, op4_token_store, op5_byte_bpe, op6_secret_scans, op7_warc_revisits, op8_html_extraction, op9_toxicity, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_token_counts, op3_quality_rules, op4_token_store, op5_byte_bpe, op6_secret_scans, op7_warc_revisits, op8_html_extraction, op9_toxicity, op10_ngram_jaccard_join, op11_prefix_trie, op12_importance_resampling, op13_license_scans)}
 
 
 def oracle_sql():
-    return {"op1_benchmark_decontamination": oracles.DECONTAMINATION, "op3_quality_rules": oracles.QUALITY, "op7_warc_revisits": revisits.ORACLE, "op10_ngram_jaccard_join": oracles.NGRAM_JOIN}
+    return {"op1_benchmark_decontamination": oracles.DECONTAMINATION, "op3_quality_rules": oracles.QUALITY, "op7_warc_revisits": revisits.ORACLE, "op10_ngram_jaccard_join": oracles.NGRAM_JOIN, "op11_prefix_trie": prefix_trie.ORACLE}
