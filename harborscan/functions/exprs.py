@@ -22,7 +22,7 @@ def match_spans(text: Column, pattern: str) -> Column:
 
     The parts between matches and the matches are folded side by side. The pattern must not match the empty string.
     """
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     kind = "struct<spans:array<struct<start:int,end:int,value:string>>,at:int>"
     empty = F.struct(F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"), F.lit(0).alias("at")).cast(kind)
 
@@ -31,8 +31,40 @@ def match_spans(text: Column, pattern: str) -> Column:
         end = start + F.length(x["m"])
         return F.struct(F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("spans"), end.alias("at")).cast(kind)
 
-    pairs = F.transform(found, lambda m, i: F.struct(F.get(between, i).alias("g"), m.alias("m")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, empty, step, lambda acc: acc["spans"]))
+    matched = F.filter(pairs, lambda x: x["m"].isNotNull())  # what follows the last match has none
+    return F.when(text.rlike(pattern), F.aggregate(matched, empty, step, lambda acc: acc["spans"]))
+
+
+def possible_spans(text: Column, pattern: str) -> Column:
+    """array<struct<start,end,value>> of what the pattern would match at every place, overlapping matches included.
+
+    What a scan from the left finds are those of them that begin at or after the end of the last one it took, so these
+    spans need no knowledge of what stands further to the left than the pattern looks.
+    """
+    pieces, found = F.split(text, f"(?={pattern})", -1), F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1))
+    block = 64  # lengths are summed by blocks first
+
+    def starts(p: Column) -> Column:
+        """Where each piece begins, from the lengths of the pieces."""
+        n = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x)
+        sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / block).cast("int")), lambda k: n(F.slice(p, k * block + 1, F.lit(block))))
+        before = let(sums, lambda of: F.transform(of, lambda _, k: n(F.slice(of, F.lit(1), k))))
+        at = lambda known, i: F.get(known, F.floor(i / block).cast("int")) + n(F.slice(p, F.floor(i / block).cast("int") * block + 1, i % block))
+        return let(before, lambda known: F.transform(p, lambda _, i: at(known, i)))
+
+    def spans(x: Column) -> Column:
+        # Each match but one at the very beginning starts a new piece.
+        begun = F.slice(x["at"], F.size(x["at"]) - F.size(x["found"]) + 1, F.size(x["found"]))
+        return F.zip_with(begun, x["found"], lambda start, m: F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value")))
+
+    begins = let(F.transform(pieces, F.length), starts)
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.when(text.rlike(pattern), let(F.struct(begins.alias("at"), found.alias("found")), spans)).otherwise(none)
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def entropy(value: Column) -> Column:
@@ -113,3 +145,26 @@ def running_total(df, order: list[str], value: Column, name: str):
     starts = totals.select("__part", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return ranged.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.sum("__value").over(within)).drop("__part", "__before", "__value")
+
+
+def running(rows, keys: list[str], part: str, order: list[str], **values: tuple[str, Column]):
+    """rows with running aggregates over the rows of the same keys that come before them.
+
+    values: name = (kind, column) with kind last (of those not null), max or sum. Rows are cut into parts that ascend with
+    the order, and no key is one task's work: windows run within a part, and what the parts before it give is worked out
+    from one row a part. rows is read twice, so it should be a stored table or a cheap one.
+    """
+    from pyspark.sql import Window
+
+    kinds = {"last": lambda c: F.last(c, ignorenulls=True), "max": F.max, "sum": F.sum}
+    totals = {"last": lambda c: F.max_by(c, F.when(c.isNotNull(), F.struct(*order))), "max": F.max, "sum": F.sum}
+    before = Window.unboundedPreceding, -1
+    own, earlier = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(*before), Window.partitionBy(*keys).orderBy(part).rowsBetween(*before)
+    parts = rows.groupBy(*keys, part).agg(*(totals[kind](c).alias(f"__{name}") for name, (kind, c) in values.items()))
+    carried = parts.select(*keys, part, *(kinds[kind](F.col(f"__{name}")).over(earlier).alias(f"__{name}") for name, (kind, _) in values.items()))
+    here = rows.withColumns({name: kinds[kind](c).over(own) for name, (kind, c) in values.items()})
+    both = {
+        name: F.coalesce(F.col(name), F.col(f"__{name}")) if kind == "last" else F.greatest(name, f"__{name}") if kind == "max" else F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"__{name}"), F.lit(0))
+        for name, (kind, _) in values.items()
+    }
+    return here.join(carried, [*keys, part]).withColumns(both).drop(*(f"__{name}" for name in values))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from harborscan.functions.exprs import entropy, fingerprint, match_spans, redact_path
+from harborscan.functions.exprs import entropy, fingerprint, match_spans, redact_path, running
+from harborscan.functions.scratch import stored
 
 # The rules' expressions. (?U) makes \w and \b know all letters, as the rules mean them.
 PROVIDERS = [
@@ -42,7 +43,7 @@ def classes(value: Column) -> Column:
     return sum((value.rlike(p).cast("int") for p in (r"(?U)\p{Lower}", r"(?U)\p{Upper}", r"\p{Nd}", r"[_\-+/=]")), F.lit(0))
 
 
-def _candidate(rule, label, start, end, severity, confidence, priority) -> Column:
+def as_candidate(rule, label, start, end, severity, confidence, priority) -> Column:
     return F.struct(rule.alias("rule_id"), label.alias("label"), start.alias("start"), end.alias("end"), severity.alias("severity"), confidence.alias("confidence"), F.lit(priority).alias("priority"), (end - start).alias("value_length"))
 
 
@@ -52,7 +53,7 @@ def _none() -> Column:
 
 def _provider(text: Column, rule: str, label: str, pattern: str, severity: str, confidence: str) -> Column:
     spans = F.filter(F.coalesce(match_spans(text, "(?U)" + pattern), F.array().cast("array<struct<start:int,end:int,value:string>>")), lambda s: ~is_placeholder(s["value"]))
-    return F.transform(spans, lambda s: _candidate(F.lit(rule), F.lit(label), s["start"], s["end"], F.lit(severity), F.lit(confidence), 1))
+    return F.transform(spans, lambda s: as_candidate(F.lit(rule), F.lit(label), s["start"], s["end"], F.lit(severity), F.lit(confidence), 1))
 
 
 def provider_candidates(text: Column) -> Column:
@@ -60,9 +61,9 @@ def provider_candidates(text: Column) -> Column:
 
 
 def private_key_candidates(text: Column) -> Column:
-    at = F.regexp_instr(text, F.lit(PEM_BEGIN)) - 1
+    at = F.length(F.get(F.split(text, PEM_BEGIN, 2), F.lit(0)))  # in code points, as all offsets
     length = F.length(F.regexp_substr(text, F.lit(PEM_BEGIN)))
-    return F.when(at >= 0, F.array(_candidate(F.lit("SECRET.PRIVATE_KEY.PEM"), F.lit("private_key"), at, (at + length).cast("int"), F.lit("HIGH"), F.lit("HIGH"), 0))).otherwise(_none()).cast(CANDIDATE)
+    return F.when(text.rlike(PEM_BEGIN), F.array(as_candidate(F.lit("SECRET.PRIVATE_KEY.PEM"), F.lit("private_key"), at, (at + length).cast("int"), F.lit("HIGH"), F.lit("HIGH"), 0))).otherwise(_none()).cast(CANDIDATE)
 
 
 def connection_candidates(text: Column) -> Column:
@@ -70,7 +71,7 @@ def connection_candidates(text: Column) -> Column:
     spans = F.coalesce(match_spans(text, CONNECTION), F.array().cast("array<struct<start:int,end:int,value:string>>"))
     password = lambda s: F.regexp_extract(s["value"], r"^[^:]+://[^\s:@/]+:(.*)@$", 1)
     kept = F.filter(spans, lambda s: ~is_placeholder(password(s)))
-    return F.transform(kept, lambda s: _candidate(F.lit("SECRET.CONNECTION_STRING"), F.lower(F.regexp_extract(s["value"], "^([^:]+):", 1)), s["end"] - 1 - F.length(password(s)), s["end"] - 1, F.lit("HIGH"), F.lit("HIGH"), 2)).cast(CANDIDATE)
+    return F.transform(kept, lambda s: as_candidate(F.lit("SECRET.CONNECTION_STRING"), F.lower(F.regexp_extract(s["value"], "^([^:]+):", 1)), s["end"] - 1 - F.length(password(s)), s["end"] - 1, F.lit("HIGH"), F.lit("HIGH"), 2)).cast(CANDIDATE)
 
 
 def _json_object(segment: Column) -> Column:
@@ -83,26 +84,31 @@ def _json_object(segment: Column) -> Column:
 def jwt_candidates(text: Column) -> Column:
     spans = F.coalesce(match_spans(text, JWT), F.array().cast("array<struct<start:int,end:int,value:string>>"))
     kept = F.filter(spans, lambda s: _json_object(F.substring_index(s["value"], ".", 1)) & _json_object(F.regexp_extract(s["value"], r"^[^.]*\.([^.]*)", 1)) & ~is_placeholder(s["value"]))
-    return F.transform(kept, lambda s: _candidate(F.lit("SECRET.JWT"), F.lit("jwt"), s["start"], s["end"], F.lit("MEDIUM"), F.lit("MEDIUM"), 3)).cast(CANDIDATE)
+    return F.transform(kept, lambda s: as_candidate(F.lit("SECRET.JWT"), F.lit("jwt"), s["start"], s["end"], F.lit("MEDIUM"), F.lit("MEDIUM"), 3)).cast(CANDIDATE)
+
+
+def assignment_part(s: Column) -> Column:
+    """key, value, start and end of what the assignment's expression matched; a quote that is not closed is no value."""
+    raw = F.regexp_extract(s["value"], rf"(?iU)^(?:{ASSIGNMENT_KEY})[\"']?\s*(?::|=)\s*(.*)$", 1)
+    quoted = raw.rlike("^([\"']).*\\1$") & (F.length(raw) >= 2)
+    opened = raw.rlike("^[\"']") & (F.length(raw) >= 2)
+    key = F.regexp_replace(F.lower(F.regexp_extract(s["value"], rf"(?iU)^({ASSIGNMENT_KEY})", 1)), "-", "_")
+    return F.struct(
+        key.alias("key"), F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw).alias("value"),
+        (s["end"] - F.length(raw) + opened.cast("int")).alias("start"), (s["end"] - opened.cast("int")).alias("end"),
+    )
+
+
+def looked_up_apart(parts: Column) -> Column:
+    """The parts whose values are not looked up in the environment."""
+    return F.filter(parts, lambda p: ~p["value"].rlike(r"^(?:os\.getenv\(|os\.environ\[|process\.env\.|env\.)"))
 
 
 def assignment_candidates(text: Column) -> Column:
     """key = value: weak values survive for password-like keys only; example lines lower the confidence."""
     spans = F.coalesce(match_spans(text, ASSIGNMENT), F.array().cast("array<struct<start:int,end:int,value:string>>"))
-
-    def parts(s: Column) -> Column:
-        raw = F.regexp_extract(s["value"], rf"(?iU)^(?:{ASSIGNMENT_KEY})[\"']?\s*(?::|=)\s*(.*)$", 1)
-        quoted = raw.rlike("^([\"']).*\\1$") & (F.length(raw) >= 2)
-        opened = raw.rlike("^[\"']") & (F.length(raw) >= 2)
-        key = F.regexp_replace(F.lower(F.regexp_extract(s["value"], rf"(?iU)^({ASSIGNMENT_KEY})", 1)), "-", "_")
-        return F.struct(
-            key.alias("key"), F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw).alias("value"),
-            (s["end"] - F.length(raw) + opened.cast("int")).alias("start"), (s["end"] - opened.cast("int")).alias("end"),
-        )
-
     example = text.rlike(r"(?iU)\b(?:example|sample|placeholder|documentation)\b")
-    cut = F.filter(F.transform(spans, parts), lambda p: ~p["value"].rlike(r"^(?:os\.getenv\(|os\.environ\[|process\.env\.|env\.)"))
-    return F.when(text.rlike(HASH_CONTEXT), _none()).otherwise(rated_assignments(cut, example)).cast(CANDIDATE)
+    return F.when(text.rlike(HASH_CONTEXT), _none()).otherwise(rated_assignments(looked_up_apart(F.transform(spans, assignment_part)), example)).cast(CANDIDATE)
 
 
 def rated_assignments(parts: Column, example: Column) -> Column:
@@ -111,7 +117,7 @@ def rated_assignments(parts: Column, example: Column) -> Column:
     rated = F.transform(cut, lambda p: F.struct(p["key"].alias("key"), p["start"].alias("start"), p["end"].alias("end"), ((F.length(p["value"]) >= 16) & (classes(p["value"]) >= 3) & (entropy(p["value"]) >= 3.2)).alias("strong")))
     kept = F.filter(rated, lambda p: p["strong"] | p["key"].isin("password", "passwd", "aws_secret_access_key", "client_secret"))
     aws = lambda p: p["key"] == "aws_secret_access_key"
-    return F.transform(kept, lambda p: _candidate(F.lit("SECRET.GENERIC.ASSIGNMENT"), p["key"], p["start"], p["end"], F.when(p["strong"] & aws(p), "HIGH").otherwise("MEDIUM"), F.when(example, "LOW").when(p["strong"] & aws(p), "HIGH").when(p["strong"], "MEDIUM").otherwise("LOW"), 4))
+    return F.transform(kept, lambda p: as_candidate(F.lit("SECRET.GENERIC.ASSIGNMENT"), p["key"], p["start"], p["end"], F.when(p["strong"] & aws(p), "HIGH").otherwise("MEDIUM"), F.when(example, "LOW").when(p["strong"] & aws(p), "HIGH").when(p["strong"], "MEDIUM").otherwise("LOW"), 4))
 
 
 def entropy_candidates(text: Column) -> Column:
@@ -119,7 +125,7 @@ def entropy_candidates(text: Column) -> Column:
     spans = F.coalesce(match_spans(text, ENTROPY_VALUE), F.array().cast("array<struct<start:int,end:int,value:string>>"))
     near = lambda s: F.substring(text, F.greatest(s["start"] - 40, F.lit(0)) + 1, s["start"] - F.greatest(s["start"] - 40, F.lit(0))).rlike(CONTEXT)
     kept = F.filter(spans, lambda s: near(s) & ~is_placeholder(s["value"]) & ~s["value"].rlike(UUID) & (entropy(s["value"]) >= 3.5))
-    made = F.transform(kept, lambda s: _candidate(F.lit("SECRET.GENERIC.ENTROPY"), F.lit("entropy"), s["start"], s["end"], F.lit("LOW"), F.lit("LOW"), 5))
+    made = F.transform(kept, lambda s: as_candidate(F.lit("SECRET.GENERIC.ENTROPY"), F.lit("entropy"), s["start"], s["end"], F.lit("LOW"), F.lit("LOW"), 5))
     return F.when(text.rlike(CONTEXT) & ~text.rlike(HASH_CONTEXT), made).otherwise(_none()).cast(CANDIDATE)
 
 
@@ -139,6 +145,18 @@ def without_overlaps(candidates: Column) -> Column:
 LIKELY = r"(?i)key|token|secret|passw|bearer|connection|PRIVATE|gh[pousr]_|AKIA|ASIA|sk_|xox|glpat-|://|eyJ|\.[A-Za-z0-9_-]{8,}\."
 
 
+#: Lines of one part of a file: a file of more lines is swept in several tasks.
+PART_LINES = 1 << 16
+
+
+def key_mark(text: Column) -> Column:
+    """What a line does to private key blocks: B, a block is open after it; E, none is; null, nothing.
+
+    A BEGIN inside a block changes nothing and one whose line also ends the block opens none, so the last mark tells.
+    """
+    return F.when(text.contains("-----"), F.when(text.rlike(PEM_BEGIN) & ~text.rlike(f"{PEM_BEGIN}.*{PEM_END}"), "B").when(text.rlike(PEM_END), "E"))
+
+
 def key_blocks(lines: DataFrame) -> DataFrame:
     """path, begin, end (null: none) of the private key blocks: lines after begin up to end are inside.
 
@@ -155,18 +173,26 @@ def key_blocks(lines: DataFrame) -> DataFrame:
     return marks.select("path", F.col("line").alias("begin"), ends.alias("end"), ((F.col("mark") == "B") & opened).alias("__opens")).where("__opens").drop("__opens")
 
 
+def swept(rows: DataFrame) -> DataFrame:
+    """rows (path, line, mark and others) with inside_key: whether the last mark on an earlier line of the file opened a
+    block. The line of BEGIN counts as outside, that of END as inside.
+
+    The open block is carried from part to part of a file, so no join by ranges is made and no file is one task.
+    """
+    parted = rows.withColumn("__part", F.floor(F.col("line") / PART_LINES))
+    known = running(parted, ["path"], "__part", ["line"], __open=("last", F.col("mark")))
+    return known.withColumn("inside_key", F.coalesce(F.col("__open") == "B", F.lit(False))).drop("__part", "__open")
+
+
 def outside_key_blocks(lines: DataFrame) -> DataFrame:
-    """lines with inside_key: the line of BEGIN counts as outside, that of END as inside. The blocks, few against the
-    lines, are joined by path and place."""
-    blocks = key_blocks(lines)
-    l, b = lines.alias("l"), blocks.alias("b")
-    hit = (F.col("l.path") == F.col("b.path")) & (F.col("l.line") > F.col("b.begin")) & (F.col("l.line") <= F.coalesce(F.col("b.end"), F.col("l.line")))
-    return l.join(b, hit, "left").select("l.*", F.col("b.begin").isNotNull().alias("inside_key"))
+    """lines with inside_key."""
+    return swept(lines.withColumn("mark", key_mark(F.col("text")))).drop("mark")
 
 
 def unterminated(lines: DataFrame) -> DataFrame:
     """path of files that end inside a key block: their scan is partial."""
-    return key_blocks(lines).where("end IS NULL").select("path").distinct()
+    mark = key_mark(F.col("text"))
+    return lines.select("path", "line", mark.alias("mark")).where("mark IS NOT NULL").groupBy("path").agg(F.max_by("mark", "line").alias("last")).where("last = 'B'").select("path")
 
 
 def detect(lines: DataFrame, detectors=DETECTORS, max_bytes: int = 16384, large_file: int = 1 << 20) -> DataFrame:
@@ -174,14 +200,14 @@ def detect(lines: DataFrame, detectors=DETECTORS, max_bytes: int = 16384, large_
 
     Lines over the limit are left out of files up to ``large_file`` bytes, but matched whole in larger ones, where
     lines carry their file's size as ``file_bytes``; lines without it count as lines of small files. ``skipped_lines``
-    tells which are left out.
+    tells which are left out; ``long_lines`` has one line matched by many tasks.
     """
     text = F.col("text")
-    likely = lines.where(text.rlike(LIKELY) & _fits(lines, max_bytes, large_file))
-    found = likely.select("path", "line", F.concat(*(d(text) for d in detectors)).alias("c")).where(F.size("c") > 0)
-    f, b = found.alias("f"), key_blocks(lines).alias("b")
-    inside = (F.col("f.path") == F.col("b.path")) & (F.col("f.line") > F.col("b.begin")) & (F.col("f.line") <= F.coalesce(F.col("b.end"), F.col("f.line")))
-    return f.join(b, inside, "left_anti").select("path", "line", F.inline(without_overlaps(F.col("c"))))
+    likely = text.rlike(LIKELY) & _fits(lines, max_bytes, large_file)
+    found = F.when(likely, F.concat(*(d(text) for d in detectors))).otherwise(_none())
+    marked = lines.where(likely | text.contains("-----")).select("path", "line", found.alias("c"), key_mark(text).alias("mark"))
+    rows = stored(marked.where((F.size("c") > 0) | F.col("mark").isNotNull()), "candidates")
+    return swept(rows).where((F.size("c") > 0) & ~F.col("inside_key")).select("path", "line", F.inline(without_overlaps(F.col("c"))))
 
 
 def _fits(lines: DataFrame, max_bytes: int, large_file: int) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from harborscan.functions.exprs import fingerprint_sql
-from harborscan.sources.corpora import CONFIG_LINES_SQL, config_lines, table
+from harborscan.operators import long_lines
+from harborscan.plans.scan_queries import _BITS
+from harborscan.sources.corpora import CONFIG_LINES_SQL, LOG_LINES_SQL, config_lines, log_lines, table
 from harborscan.streaming import streams
 
 QUERIES, SQL = {}, {}
@@ -63,3 +65,29 @@ def session_gaps(spark, sf_dir):
     fresh = F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("INTERVAL 30 MINUTE"), 0).otherwise(1)
     s = e.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(w).cast("long"))
     return s.groupBy("user_id", "session").agg(F.count("*").alias("n_events"), F.min("ts").alias("started"))
+
+
+_LONG_SQL = f"""WITH {LOG_LINES_SQL}, v AS (SELECT *, 'Aa9_' || substr(h, 1, 16) AS value FROM log_pieces)
+SELECT path, 1::BIGINT AS line, 'SECRET.GITHUB.TOKEN' AS rule_id, off_::BIGINT AS start, 40::BIGINT AS value_length, 'HIGH' AS confidence FROM v WHERE text LIKE 'ghp%'
+UNION ALL SELECT path, 1, 'SECRET.GENERIC.ASSIGNMENT', off_ + 9, 20, CASE WHEN {_BITS} >= 3.2 THEN 'MEDIUM' ELSE 'LOW' END FROM v WHERE text LIKE 'password%'
+UNION ALL SELECT path, 1, 'SECRET.CONNECTION_STRING', off_ + 21, 12, 'HIGH' FROM v WHERE text LIKE 'é%'"""
+
+
+def _long(hits):
+    return hits.select("path", "line", "rule_id", F.col("start").cast("long").alias("start"), F.col("value_length").cast("long").alias("value_length"), "confidence")
+
+
+@query(_LONG_SQL)
+def secret_long_lines(spark, sf_dir):
+    """Long lines in windows of 4 KiB: the spans are those of whole lines."""
+    return _long(long_lines.scan(log_lines(spark, sf_dir), 1 << 12))
+
+
+@query(_LONG_SQL)
+def stream_growing_files(spark, sf_dir):
+    """The same files in parts of 700 characters, every second part late: windows come from the state of a file."""
+    size = 700
+    parts = log_lines(spark, sf_dir).select("path", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size))).alias("seq"))
+    parts = parts.select("path", F.col("seq").cast("long").alias("seq"), F.substring("text", F.col("seq").cast("int") * size + 1, F.lit(size)).alias("text"), (F.length("text") <= (F.col("seq") + 1) * size).alias("last"))
+    made = streams.arrivals(spark, [parts.where("seq % 2 = 1"), parts.where("seq % 2 = 0")], lambda rows: streams.grown(rows, 1 << 12))
+    return _long(long_lines.scan_windows(made))

@@ -117,3 +117,23 @@ SCRIPT_LINES_SQL = """script_lines AS (
       ELSE CASE p_size % 8 WHEN 0 THEN 'child_process.exec(''x'')' WHEN 1 THEN 'eval (x)' WHEN 2 THEN 'fetch(u); axios.get(u)' WHEN 3 THEN 'fs.unlinkSync(p)'
         WHEN 4 THEN 'process.env.HOME' WHEN 5 THEN '// eval(x)' WHEN 6 THEN 'new Function (s)' ELSE 'let a = 1' END END AS text
     FROM part))"""
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, line, text: one file of a single long line for every twenty users, of what their events wrote in order."""
+    e = table(spark, sf_dir, "events")
+    h, kind, n = F.md5(F.col("event_id").cast("string")), F.col("event_type"), F.col("event_id").cast("string")
+    text = (
+        F.when(kind == "click", F.concat(F.lit("ghp_"), h, F.substring(h, 1, 4))).when(kind == "error", F.concat(F.lit("password=Aa9_"), F.substring(h, 1, 16)))
+        .when(kind == "signup", F.concat(F.lit("é漢 db postgres://app:"), F.substring(h, 1, 12), F.lit("@db/x"))).when(kind == "view", F.lit("token=<your_token>")).otherwise(F.concat(F.lit("ok "), n))
+    )
+    files = e.groupBy(F.floor(F.col("user_id") / 20).alias("k")).agg(F.array_sort(F.collect_list(F.struct("event_id", text.alias("text")))).alias("a"))
+    return files.select(F.concat(F.lit("log/g"), F.col("k").cast("string"), F.lit(".log")).alias("path"), F.lit(1).cast("long").alias("line"), F.array_join("a.text", " ").alias("text"))
+
+
+LOG_LINES_SQL = """log_pieces AS (
+  SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY path ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off_
+  FROM (SELECT 'log/g' || (user_id // 20) || '.log' AS path, event_id, h,
+    CASE event_type WHEN 'click' THEN 'ghp_' || h || substr(h, 1, 4) WHEN 'error' THEN 'password=Aa9_' || substr(h, 1, 16)
+      WHEN 'signup' THEN 'é漢 db postgres://app:' || substr(h, 1, 12) || '@db/x' WHEN 'view' THEN 'token=<your_token>' ELSE 'ok ' || event_id END AS text
+    FROM (SELECT *, md5(event_id::VARCHAR) AS h FROM events)))"""

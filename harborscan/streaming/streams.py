@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from harborscan.functions.exprs import fingerprint
 from harborscan.functions.scratch import folder
+from harborscan.operators.long_lines import LEFT, RIGHT
 
 
 def drained(spark: SparkSession, streamed: DataFrame, mode: str = "append") -> DataFrame:
@@ -58,6 +60,78 @@ def key_blocks(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").applyInPandasWithState(follow, "path string, line long, inside_key boolean", "inside boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+WINDOW_SCHEMA = "path string, line long, chunk long, lead int, own int, text string"
+
+
+def grown(parts: DataFrame, chunk: int = 1 << 16, left: int = LEFT, right: int = RIGHT, idle_ms: int | None = None) -> DataFrame:
+    """Windows (as ``long_lines.windows`` makes them) of files that arrive in parts: path, seq (0, 1, ...), text, last.
+
+    The state of a file is the text that no window owns yet with some context before it, the place it has reached, and the
+    parts that came before their turn. A chunk is committed once ``right`` characters after it are known, or its line has
+    ended; so a window is emitted once, and the state stays within ``chunk`` + ``left`` + ``right`` characters and what is
+    out of turn. ``last`` ends the last line; so does a pause of ``idle_ms`` of processing time, if that is given.
+    """
+    session = parts.sparkSession
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    mode = "ProcessingTime" if idle_ms else "None"
+    class Grown(StatefulProcessor):  # here, so that it is sent as it is to wherever Spark runs it
+        def __init__(self, chunk: int, left: int, right: int, idle_ms: int | None):
+            self.chunk, self.left, self.right, self.idle_ms = chunk, left, right, idle_ms
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.reached = handle.getValueState("reached", "seq long, line long, chunk long, lead int, text string")
+            self.early = handle.getMapState("early", "seq long", "text string, last boolean")
+
+        def handleInputRows(self, key, rows, timerValues):
+            seq, *at = self.reached.get() if self.reached.exists() else (0, 1, 0, 0, "")
+            for row in rows:
+                if row.seq != seq:
+                    if row.seq > seq:  # one that was seen before says nothing new
+                        self.early.updateValue((row.seq,), (row.text or "", bool(row.last)))
+                    continue
+                part = (row.text or "", bool(row.last))
+                while part:
+                    at, done = yield from self._taken(key[0], at, *part)
+                    seq += 1
+                    part = tuple(self.early.getValue((seq,))) if self.early.exists() and self.early.containsKey((seq,)) else None
+                    if part:
+                        self.early.removeKey((seq,))
+            self.reached.update((seq, *at))
+            if self.idle_ms:
+                for timer in self.handle.listTimers():
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            seq, *at = self.reached.get()
+            at, _ = yield from self._taken(key[0], at, "", True)
+            self.reached.update((seq, *at))
+
+        def close(self) -> None:
+            pass
+
+        def _taken(self, path, at, text, last):
+            """The windows that a part completes, and the place after it."""
+            line, chunk, lead, kept = at
+            pieces = (kept + text).split("\n")
+            for i, piece in enumerate(pieces):
+                ended = last or i < len(pieces) - 1
+                begin = lead
+                while len(piece) > begin and (ended or len(piece) - begin >= self.chunk + self.right):
+                    own, low = min(self.chunk, len(piece) - begin), max(0, begin - self.left)
+                    yield Row(path=path, line=line, chunk=chunk, lead=begin - low, own=own, text=piece[low : begin + own + self.right])
+                    begin, chunk = begin + own, chunk + 1
+                if ended:
+                    line, chunk, lead, kept = line + 1, 0, 0, ""
+                else:
+                    low = max(0, begin - self.left)
+                    lead, kept = begin - low, piece[low:]
+            return (line, chunk, lead, kept), last
+
+    return parts.groupBy("path").transformWithState(Grown(chunk, left, right, idle_ms), T._parse_datatype_string(WINDOW_SCHEMA), "Append", mode)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
