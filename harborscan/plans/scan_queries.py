@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from harborscan.functions import exprs
 from harborscan.functions.scratch import stored
-from harborscan.operators import behavior_rules, correlation, discovery, report, secret_rules
+from harborscan.operators import admission, behavior_rules, correlation, discovery, report, secret_rules
 from harborscan.sources import corpora
 from harborscan.sources.corpora import ARTIFACTS_SQL, CODE_LINES_SQL, CONFIG_LINES_SQL, SCRIPT_LINES_SQL
 
@@ -309,6 +309,36 @@ def graph_edges_entity(spark, sf_dir):
     return correlation.entity_edges(all_findings(spark, sf_dir))
 
 
+_ADDED_SQL = f"""added AS (SELECT fingerprint, 0 AS step, 'f:' || fingerprint AS id, 'FINDING' AS kind, NULL AS src FROM findings
+  UNION ALL SELECT fingerprint, 1, 'file:' || {_sid("'file-v1'", "path")}, 'FILE', NULL FROM findings
+  UNION ALL SELECT fingerprint, 2, {_sid("'edge-v1'", "'SAME_FILE'", "'f:' || fingerprint", "'file:' || " + _sid("'file-v1'", "path"), "'CORRELATION.ENTITY.FILE'")}, 'SAME_FILE', fingerprint FROM findings
+  UNION ALL SELECT fingerprint, 3, 'function:' || {_sid("'function-v1'", "path", "function_id")}, 'FUNCTION', NULL FROM findings
+  UNION ALL SELECT fingerprint, 4, {_sid("'edge-v1'", "'SAME_FUNCTION'", "'f:' || fingerprint", "'function:' || " + _sid("'function-v1'", "path", "function_id"), "'CORRELATION.ENTITY.FUNCTION'")}, 'SAME_FUNCTION', fingerprint FROM findings),
+placed AS (SELECT id, kind, src IS NOT NULL AS edge, fingerprint, step, row_number() OVER (PARTITION BY src IS NOT NULL ORDER BY fingerprint, step) AS place FROM (SELECT id, any_value(kind) AS kind, any_value(src) AS src, min(fingerprint) AS fingerprint, arg_min(step, (fingerprint, step)) AS step FROM added GROUP BY id))"""
+
+
+@query(f"""WITH {FINDINGS_SQL}, {_ADDED_SQL}, stop AS (SELECT arg_min(fingerprint, place) AS fp, arg_min(step, place) AS st FROM placed WHERE NOT edge AND place = 301)
+SELECT p.id, p.kind, p.place, stop.fp IS NOT NULL AS ended FROM placed p, stop WHERE (NOT edge AND place <= 300) OR (edge AND (stop.fp IS NULL OR (p.fingerprint, p.step) < (stop.fp, stop.st)))""")
+def graph_node_budget(spark, sf_dir):
+    """Nodes and entity edges of a graph of at most 300 nodes: what findings add first, in the order of fingerprints."""
+    f = stored(all_findings(spark, sf_dir), "findings")
+    g = admission.graph(f, max_nodes=300, max_edges=10**9, max_findings=10**9)
+    edges = g.edges.where("rule LIKE 'CORRELATION.ENTITY%'").select(F.col("edge_id").alias("id"), F.col("edge_type").alias("kind"), "place")
+    ended = admission.state(g.states).select((F.col("state") == "ABORTED").alias("ended"))
+    return g.nodes.select(F.col("node_id").alias("id"), "kind", F.col("place").cast("long").alias("place")).unionByName(edges).join(F.broadcast(ended))  # one row
+
+
+@query(f"""WITH {FINDINGS_SQL}, {_ADDED_SQL}, stop AS (SELECT arg_min(fingerprint, place) AS fp FROM placed WHERE edge AND place = 121)
+SELECT p.id, p.kind, p.place, stop.fp IS NOT NULL AS ended FROM placed p, stop WHERE (edge AND place <= 120) OR (NOT edge AND (stop.fp IS NULL OR p.fingerprint <= stop.fp))""")
+def graph_edge_budget(spark, sf_dir):
+    """The same of at most 120 edges: the finding that adds one more still adds its nodes, no later one does."""
+    f = stored(all_findings(spark, sf_dir), "findings")
+    g = admission.graph(f, max_nodes=10**9, max_edges=120, max_findings=10**9)
+    ended = g.states.where("code = 'CORRELATION_EDGE_LIMIT'").select("ended")
+    edges = g.edges.select(F.col("edge_id").alias("id"), F.col("edge_type").alias("kind"), "place")
+    return g.nodes.select(F.col("node_id").alias("id"), "kind", F.col("place").cast("long").alias("place")).unionByName(edges).join(F.broadcast(ended))
+
+
 _COMMANDS = ", ".join(f"'{c}'" for c in correlation.COMMAND)
 _LOWER = "CASE WHEN 'LOW' IN (a.confidence, b.confidence) THEN 'LOW' WHEN 'MEDIUM' IN (a.confidence, b.confidence) THEN 'MEDIUM' ELSE 'HIGH' END"
 _SUPPORT_SQL = f"""support AS (SELECT {_sid("'edge-v1'", "'SUPPORTS'", "src", "dst", "'CORRELATION.BEHAVIOR.SAME_SINK_SPECIFIC'")} AS edge_id, 'SUPPORTS' AS edge_type, src, dst, confidence, 'CORRELATION.BEHAVIOR.SAME_SINK_SPECIFIC' AS rule
