@@ -16,7 +16,7 @@ from harborscan.functions.exprs import CONFIDENCES, SEVERITIES, rank
 
 # Limits, vocabularies and the default policy of report version 1.1.
 MAX_BYTES, MAX_FINDINGS, MAX_GROUPS, MAX_DIAGNOSTICS, MAX_COUNT = 16 << 20, 1000, 1000, 300, 1_000_000_000
-SCHEMA_VERSION, TOOL = "1.1", "Local Security Auditor"
+SCHEMA_VERSION, TOOL = "1.1", "harborscan"
 REQUIRED = ["schema_version", "tool", "scan", "coverage", "summary", "diagnostics", "findings", "finding_groups", "risk_assessments", "ai_reviews", "remediation_proposals", "report_truncated"]
 CATEGORY = {"secrets": "secret", "sast.python": "vulnerability", "behavior.static": "behavior", "dependencies": "dependency"}
 ROLES = ["primary", "supporting", "contextual", "duplicate"]
@@ -38,6 +38,7 @@ class Policy:
     """What blocks. Reviews by a model never do."""
 
     block_severity: str = "HIGH"
+    tool: str = TOOL
     block_priority: str = "high"
     partial_blocks: bool = True
     no_data_blocks: bool = False
@@ -100,7 +101,7 @@ def _together(names: list[str], flag: str) -> tuple[Column, Column]:
     return none, whole
 
 
-def violations(r: DataFrame) -> Column:
+def violations(r: DataFrame, tool: str = TOOL) -> Column:
     """The names of all tests that a parsed report fails, in a fixed order."""
     dep = lambda n: _value(f"$.summary.dependency.{n}", "bigint")
     f, g = F.col("findings"), F.col("groups")
@@ -119,7 +120,7 @@ def violations(r: DataFrame) -> Column:
     category = F.create_map(*(F.lit(x) for pair in CATEGORY.items() for x in pair))
     tests = [
         ("KEYS", reduce(lambda a, b: a & b, [_shape(f"$.{k}") != "MISSING" for k in REQUIRED])),
-        ("TOOL", _value("$.tool.name", "string") == TOOL),
+        ("TOOL", _value("$.tool.name", "string") == tool),
         ("SCAN", _value("$.scan.profile", "string").isin("quick", "standard", "deep") & (_shape("$.scan.offline") == "BOOLEAN")),
         ("COVERAGE", F.col("overall").isin(*STATES) & F.size("components").between(1, 32) & _all(F.col("components"), lambda c: c["status"].isin(*STATES, "DISABLED"))),
         ("COVERAGE_CONTRADICTION", ~((F.col("overall") == "COMPLETE") & incomplete)),
@@ -141,10 +142,10 @@ def violations(r: DataFrame) -> Column:
     return F.when(F.octet_length("json") > MAX_BYTES, F.array(F.lit("SIZE"))).when(F.col("j").isNull(), F.array(F.lit("JSON"))).otherwise(failed)
 
 
-def validated(reports: DataFrame) -> DataFrame:
+def validated(reports: DataFrame, tool: str = TOOL) -> DataFrame:
     """The parsed reports with violations (array) and error (a fixed code, null where valid)."""
     r = parsed(reports)
-    r = r.withColumn("violations", violations(r))
+    r = r.withColumn("violations", violations(r, tool))
     version = _value("$.schema_version", "string")
     code = F.when(F.array_contains("violations", "SIZE"), "GATE_REPORT_TOO_LARGE").when(F.col("j").isNotNull() & _true(version != SCHEMA_VERSION), "GATE_UNSUPPORTED_SCHEMA").when(F.size("violations") > 0, "GATE_INVALID_REPORT")
     return r.withColumn("error", code)
@@ -153,7 +154,7 @@ def validated(reports: DataFrame) -> DataFrame:
 def decided(reports: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """One row per report: status, n_blockers, n_warnings, reasons, diagnostics, exit_code. An invalid report has an error,
     no status, and exit code 2."""
-    r = validated(reports)
+    r = validated(reports, policy.tool)
     primary = F.filter("findings", lambda x: x["role"] == "primary")
 
     def behaviour(x):

@@ -15,11 +15,11 @@ from harborscan.functions.exprs import CONFIDENCES, redact_text
 from harborscan.operators.discovery import name_of, unsafe_component
 
 # What an added line must not bring in, the shape of answers, and the budgets.
-SUPPRESSION = r"(?i)(#\s*(?:nosec|noqa|type:\s*ignore)|security-auditor.{0,30}(?:ignore|exclude)|disable.{0,20}rule)"
+SUPPRESSION = r"(?i)(#\s*(?:nosec|noqa|type:\s*ignore)|harborscan.{0,30}(?:ignore|exclude)|disable.{0,20}rule)"
 DANGEROUS = r"(?i)\b(?:eval|exec|os\.system)\s*\(|shell\s*=\s*True\b|verify\s*=\s*False\b|\bsubprocess\b|(?:pip|npm|uv)\s+install\b"
 ADDRESS = r"(?i)\b(?:https?|ftp)://"
 DESTRUCTIVE = r"(?m)^\s*(?:pass|return\s+None|raise\s+NotImplementedError)\b"
-FORBIDDEN_NAMES = [".env", "agents.md", "project_status.md", "handoff.md", "security-auditor.toml"]
+FORBIDDEN_NAMES = [".env", "agents.md", "project_status.md", "handoff.md", "harborscan.toml"]
 PATCH = {"changed_lines": 50, "hunks": 5, "diff_bytes": 32768}
 REVIEW = {"reviews": 20, "requests": 22, "context_chars": 4000, "total_chars": 40_000, "output_tokens": 2048, "total_output_tokens": 20_000}
 REVIEW_LISTS = ["rationale", "supporting_evidence", "contradictory_evidence", "missing_context", "remediation", "limitations"]

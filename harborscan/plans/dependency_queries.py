@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harborscan.functions.exprs import fingerprint_sql
-from harborscan.operators import dependencies as deps
+from harborscan.operators import dependencies as deps, lookups
 from harborscan.sources.corpora import table
 
 QUERIES, SQL = {}, {}
@@ -147,3 +147,49 @@ def dependency_include_graph(spark, sf_dir):
     files = c.where(k % 13 != 0).select(name(k).alias("path"))
     edges = c.select(name(k).alias("path"), F.explode(F.array(name(k * 2), name(k * 3 + 1))).alias("target"))
     return deps.included(files, edges, c.where(k % 50 == 1).select(name(k).alias("path")))
+
+
+# Lookups in stages: keys and answers of the parts. Parts of one brand share advisories; some answers are errors.
+
+_ONLINE_NOW = "2024-01-03 00:00:00"
+_ONLINE = {"batch_size": 20, "batch_requests": 8, "detail_requests": 45, "total_requests": 50}
+
+
+def _online(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    n = k.cast("string")
+    key = [F.get(F.array(*map(F.lit, ["PyPI", "npm", "crates.io", "Go", "Maven"])), (k % 5).cast("int")).alias("ecosystem"), F.concat(F.lit("pkg"), n).alias("name"), F.concat(F.lit("1."), F.col("p_size").cast("string")).alias("version")]
+    keys = p.select(*key)
+    status = F.when(F.col("p_size") % 2 == 0, "MATCHED").otherwise("NO_MATCH")
+    cache = p.where(k % 3 == 0).select(*key, F.timestamp_seconds(F.unix_seconds(F.lit(_ONLINE_NOW).cast("timestamp")) - F.col("p_size") * 3600).alias("fetched_at"), status.alias("status"))
+    brand = F.regexp_replace("p_brand", "[^0-9]", "")
+    ids = F.transform(F.sequence(F.lit(1), (F.col("p_size") % 4).cast("int") + 1), lambda i: F.concat(F.lit("ADV-"), brand, F.lit("-"), (i - 1).cast("string")))
+    answers = p.where(k % 7 != 0).select(*key, F.slice(ids, F.lit(2), F.size(ids) - 1).alias("advisory_ids"), (F.md5(n) < "02").alias("error"))
+    return lookups.staged(keys, cache, _ONLINE_NOW, 86400), answers, cache
+
+
+_ONLINE_SQL = f"""k AS (SELECT ['PyPI', 'npm', 'crates.io', 'Go', 'Maven'][1 + p_partkey % 5] AS ecosystem, 'pkg' || p_partkey AS name, '1.' || p_size AS version, p_partkey, p_size, regexp_replace(p_brand, '[^0-9]', '', 'g') AS brand FROM part),
+st AS (SELECT *, CASE WHEN ecosystem = 'Maven' THEN 'UNSUPPORTED_ECOSYSTEM' WHEN p_partkey % 3 = 0 AND p_size <= 24 THEN CASE WHEN p_size % 2 = 0 THEN 'MATCHED' ELSE 'NO_MATCH' END ELSE 'PENDING' END AS first FROM k),
+pe AS (SELECT *, (row_number() OVER (ORDER BY ecosystem || chr(1) || name || chr(1) || version) - 1) // {_ONLINE["batch_size"]} AS batch, p_partkey % 7 <> 0 AND md5(p_partkey::VARCHAR) < '02' AS error, CASE WHEN p_partkey % 7 <> 0 THEN list_transform(range(1, p_size % 4 + 1), lambda i: 'ADV-' || brand || '-' || i) ELSE [] END AS ids FROM st WHERE first = 'PENDING'),
+fb AS (SELECT batch, bool_or(error) AS failed FROM pe WHERE batch < {_ONLINE["batch_requests"]} GROUP BY batch),
+ids AS (SELECT id, min(batch) AS batch FROM (SELECT unnest(ids) AS id, batch FROM pe JOIN fb USING (batch) WHERE NOT failed) GROUP BY id),
+w AS (SELECT fb.batch, failed, count(id) AS wanted FROM fb LEFT JOIN ids USING (batch) GROUP BY ALL),
+u AS (SELECT *, coalesce(sum(wanted) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM w),
+l AS (SELECT *, least({_ONLINE["detail_requests"]} - used, {_ONLINE["total_requests"]} - batch - 1 - used) AS room FROM u),
+s AS (SELECT *, (SELECT min(batch) FROM l WHERE room < wanted) AS stop FROM l), b AS (SELECT * FROM s WHERE stop IS NULL OR batch < stop OR (batch = stop AND room >= 0)),
+got AS (SELECT id FROM (SELECT id, batch, room, row_number() OVER (PARTITION BY batch ORDER BY id) AS n FROM ids JOIN b USING (batch)) WHERE n <= room),
+r AS (SELECT ecosystem, name, version, pe.batch, ids, failed, list_sort(list_filter(ids, lambda x: list_contains(g, x))) AS kept FROM pe LEFT JOIN b USING (batch), (SELECT coalesce(list(id), []) AS g FROM got))"""
+
+
+@query(f"""WITH {_ONLINE_SQL} SELECT ecosystem, name, version, NULL::BIGINT AS batch, first AS state, false AS incomplete, '' AS advisory_ids FROM st WHERE first <> 'PENDING'
+UNION ALL SELECT ecosystem, name, version, batch, CASE WHEN failed IS NULL THEN 'NO_DATA' WHEN failed THEN 'QUERY_FAILED' WHEN len(ids) > 0 THEN 'MATCHED' ELSE 'NO_MATCH' END, NOT coalesce(failed, true) AND len(kept) < len(ids), CASE WHEN failed IS NULL OR failed THEN '' ELSE array_to_string(kept, ',') END FROM r""")
+def dependency_online_lookup(spark, sf_dir):
+    """Every key's state after an online lookup within budgets; answers that were cut stay, marked incomplete."""
+    first, answers, _ = _online(spark, sf_dir)
+    return lookups.answered(first, answers, **_ONLINE).withColumn("advisory_ids", F.array_join("advisory_ids", ","))
+
+
+@query(f"""WITH {_ONLINE_SQL} SELECT count(*) AS batch_requests_used, (SELECT count(*) FROM got) AS detail_requests_used, count(*) + (SELECT count(*) FROM got) AS total_requests_used, coalesce(bool_or(stop IS NOT NULL), false) OR (SELECT coalesce(bool_or(failed IS NULL), false) FROM r) AS provider_budget_reached FROM b""")
+def dependency_online_requests(spark, sf_dir):
+    first, answers, _ = _online(spark, sf_dir)
+    return lookups.requests(first, answers, **_ONLINE)
