@@ -56,7 +56,8 @@ def prefixes(conversations: DataFrame) -> DataFrame:
 
     x and y name the prefix, px and py the one before it; words are those of its last turn, n_turns of the conversation.
     """
-    ranged = stored(turns(conversations).repartitionByRange("conv_id", "turn", "mark").withColumn("part", F.spark_partition_id()), "turns")
+    digests = stored(turns(conversations), "digests")  # ranges are sampled from these, so that texts are read once
+    ranged = stored(digests.repartitionByRange("conv_id", "turn", "mark").withColumn("part", F.spark_partition_id()), "turns")
     counts = ranged.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
     by_part = Window.partitionBy("conv_id").orderBy("part")
     earlier = F.coalesce(F.sum("n").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
