@@ -267,6 +267,11 @@ def all_findings(spark, sf_dir):
     return found.withColumns({"function_id": F.concat(F.lit("f"), F.floor(F.col("line") / 10).cast("string")), "source_category": F.when(F.col("line") % 3 == 0, F.lit("HTTP_INPUT"))}).drop("label", "value_length")
 
 
+def made_findings(spark, sf_dir):
+    """The same, made once and stored, for plans that read them several times."""
+    return stored(all_findings(spark, sf_dir), "findings")
+
+
 _SEVERITY_SQL = _case([("BEHAVIOR." + r, s) for r, s in behavior_rules.SEVERITY.items()], "rule_id")
 FINDINGS_SQL = f"""{CODE_LINES_SQL}, {_SECRETS_SQL}, {_SHELL_SQL},
 fs AS (SELECT * FROM sf UNION ALL SELECT {exprs.fingerprint_sql("'static-finding-v1'", "rule_id", "path", "line::VARCHAR", "col::VARCHAR", "'text'")}, 'behavior.static', 'behavior', rule_id, path, line, col, {_SEVERITY_SQL}, confidence FROM bh),
@@ -287,7 +292,7 @@ def finding_validation(spark, sf_dir):
 @query(f"""WITH {FINDINGS_SQL}, x AS (SELECT * FROM findings UNION ALL SELECT * FROM findings WHERE line % 2 = 0 UNION ALL SELECT * REPLACE (line + 1 AS line) FROM findings WHERE line % 5 = 0)
 SELECT fingerprint, min(line) AS line, count(DISTINCT line) - 1 AS n_collisions, count(*) - count(DISTINCT line) AS n_duplicates FROM x GROUP BY fingerprint""")
 def finding_ingest_dedupe(spark, sf_dir):
-    f = all_findings(spark, sf_dir)
+    f = made_findings(spark, sf_dir)
     x = f.unionByName(f.where("line % 2 = 0")).unionByName(f.where("line % 5 = 0").withColumn("line", F.col("line") + 1))
     return correlation.ingested(x).select("fingerprint", "line", "n_collisions", "n_duplicates")
 
@@ -299,14 +304,14 @@ def _sid(*fields: str) -> str:
 @query(f"""WITH {FINDINGS_SQL} SELECT DISTINCT 'f:' || fingerprint AS node_id, 'FINDING' AS kind FROM findings
 UNION SELECT 'file:' || {_sid("'file-v1'", "path")}, 'FILE' FROM findings UNION SELECT 'function:' || {_sid("'function-v1'", "path", "function_id")}, 'FUNCTION' FROM findings""")
 def graph_nodes(spark, sf_dir):
-    return correlation.entity_nodes(all_findings(spark, sf_dir))
+    return correlation.entity_nodes(made_findings(spark, sf_dir))
 
 
 @query(f"""WITH {FINDINGS_SQL}, e AS (SELECT 'SAME_FILE' AS edge_type, 'f:' || fingerprint AS src, 'file:' || {_sid("'file-v1'", "path")} AS dst, 'CORRELATION.ENTITY.FILE' AS rule FROM findings
 UNION ALL SELECT 'SAME_FUNCTION', 'f:' || fingerprint, 'function:' || {_sid("'function-v1'", "path", "function_id")}, 'CORRELATION.ENTITY.FUNCTION' FROM findings)
 SELECT DISTINCT {_sid("'edge-v1'", "edge_type", "src", "dst", "rule")} AS edge_id, edge_type, src, dst, 'HIGH' AS confidence, rule FROM e""")
 def graph_edges_entity(spark, sf_dir):
-    return correlation.entity_edges(all_findings(spark, sf_dir))
+    return correlation.entity_edges(made_findings(spark, sf_dir))
 
 
 _ADDED_SQL = f"""added AS (SELECT fingerprint, 0 AS step, 'f:' || fingerprint AS id, 'FINDING' AS kind, NULL AS src FROM findings
@@ -321,7 +326,7 @@ placed AS (SELECT id, kind, src IS NOT NULL AS edge, fingerprint, step, row_numb
 SELECT p.id, p.kind, p.place, stop.fp IS NOT NULL AS ended FROM placed p, stop WHERE (NOT edge AND place <= 300) OR (edge AND (stop.fp IS NULL OR (p.fingerprint, p.step) < (stop.fp, stop.st)))""")
 def graph_node_budget(spark, sf_dir):
     """Nodes and entity edges of a graph of at most 300 nodes: what findings add first, in the order of fingerprints."""
-    f = stored(all_findings(spark, sf_dir), "findings")
+    f = made_findings(spark, sf_dir)
     g = admission.graph(f, max_nodes=300, max_edges=10**9, max_findings=10**9)
     edges = g.edges.where("rule LIKE 'CORRELATION.ENTITY%'").select(F.col("edge_id").alias("id"), F.col("edge_type").alias("kind"), "place")
     ended = admission.state(g.states).select((F.col("state") == "ABORTED").alias("ended"))
@@ -332,7 +337,7 @@ def graph_node_budget(spark, sf_dir):
 SELECT p.id, p.kind, p.place, stop.fp IS NOT NULL AS ended FROM placed p, stop WHERE (edge AND place <= 120) OR (NOT edge AND (stop.fp IS NULL OR p.fingerprint <= stop.fp))""")
 def graph_edge_budget(spark, sf_dir):
     """The same of at most 120 edges: the finding that adds one more still adds its nodes, no later one does."""
-    f = stored(all_findings(spark, sf_dir), "findings")
+    f = made_findings(spark, sf_dir)
     g = admission.graph(f, max_nodes=10**9, max_edges=120, max_findings=10**9)
     ended = g.states.where("code = 'CORRELATION_EDGE_LIMIT'").select("ended")
     edges = g.edges.select(F.col("edge_id").alias("id"), F.col("edge_type").alias("kind"), "place")
@@ -348,14 +353,14 @@ _SUPPORT_SQL = f"""support AS (SELECT {_sid("'edge-v1'", "'SUPPORTS'", "src", "d
 
 @query(f"WITH {FINDINGS_SQL}, {_SUPPORT_SQL} SELECT * FROM support")
 def edges_supports(spark, sf_dir):
-    return correlation.supports(all_findings(spark, sf_dir))
+    return correlation.supports(made_findings(spark, sf_dir))
 
 
 @query(f"""WITH {FINDINGS_SQL}, o AS (SELECT DISTINCT 'f:' || a.fingerprint AS src, 'f:' || b.fingerprint AS dst, {_LOWER} AS confidence FROM findings a JOIN findings b USING (path, line)
   WHERE a.rule_id IN ({_COMMANDS}) AND b.rule_id IN ({_COMMANDS}) AND a.rule_id <> b.rule_id AND a.fingerprint < b.fingerprint)
 SELECT {_sid("'edge-v1'", "'OVERLAPS'", "src", "dst", "'CORRELATION.BEHAVIOR.OVERLAP'")} AS edge_id, 'OVERLAPS' AS edge_type, src, dst, confidence, 'CORRELATION.BEHAVIOR.OVERLAP' AS rule FROM o""")
 def edges_overlaps(spark, sf_dir):
-    return correlation.overlaps(all_findings(spark, sf_dir))
+    return correlation.overlaps(made_findings(spark, sf_dir))
 
 
 _RELATED_SQL = f"""rel AS (SELECT DISTINCT least('f:' || a.fingerprint, 'f:' || b.fingerprint) AS src, greatest('f:' || a.fingerprint, 'f:' || b.fingerprint) AS dst, CASE WHEN a.function_id = b.function_id THEN 'MEDIUM' ELSE 'LOW' END AS confidence
@@ -364,19 +369,19 @@ _RELATED_SQL = f"""rel AS (SELECT DISTINCT least('f:' || a.fingerprint, 'f:' ||
 
 @query(f"""WITH {FINDINGS_SQL}, {_RELATED_SQL} SELECT {_sid("'edge-v1'", "'RELATED_BEHAVIOR'", "src", "dst", "'CORRELATION.SECRET.NETWORK_CONTEXT'")} AS edge_id, 'RELATED_BEHAVIOR' AS edge_type, src, dst, confidence, 'CORRELATION.SECRET.NETWORK_CONTEXT' AS rule FROM rel""")
 def edges_secret_network(spark, sf_dir):
-    return correlation.secret_network(all_findings(spark, sf_dir))
+    return correlation.secret_network(made_findings(spark, sf_dir))
 
 
 @query(f"""WITH {FINDINGS_SQL}, q AS (SELECT DISTINCT 'f:' || a.fingerprint AS src, 'f:' || b.fingerprint AS dst FROM findings a JOIN findings b USING (path, function_id)
   WHERE a.rule_id = 'BEHAVIOR.NETWORK_REQUEST' AND b.rule_id = 'BEHAVIOR.PROCESS_EXEC' AND a.line < b.line AND b.line - a.line <= 5)
 SELECT {_sid("'edge-v1'", "'POSSIBLE_SEQUENCE'", "src", "dst", "'CORRELATION.BEHAVIOR.LOCAL_SEQUENCE'")} AS edge_id, 'POSSIBLE_SEQUENCE' AS edge_type, src, dst, 'LOW' AS confidence, 'CORRELATION.BEHAVIOR.LOCAL_SEQUENCE' AS rule FROM q""")
 def edges_sequence(spark, sf_dir):
-    return correlation.sequences(all_findings(spark, sf_dir))
+    return correlation.sequences(made_findings(spark, sf_dir))
 
 
 def _clusters(spark, sf_dir):
     """Recursive deletions stand for persistence here: the shell rules have no signal of that kind."""
-    return all_findings(spark, sf_dir).withColumn("rule_id", F.when(F.col("rule_id") == "BEHAVIOR.RECURSIVE_DELETE", F.lit("BEHAVIOR.SCHEDULED_TASK")).otherwise(F.col("rule_id")))
+    return made_findings(spark, sf_dir).withColumn("rule_id", F.when(F.col("rule_id") == "BEHAVIOR.RECURSIVE_DELETE", F.lit("BEHAVIOR.SCHEDULED_TASK")).otherwise(F.col("rule_id")))
 
 
 @query(f"""WITH {FINDINGS_SQL}, g AS (SELECT path, function_id,
@@ -392,13 +397,13 @@ def attack_paths(spark, sf_dir):
 @query(f"""WITH {FINDINGS_SQL}, {_SUPPORT_SQL} SELECT {_sid("'group-v1'", "f.fingerprint")} AS group_id, f.fingerprint AS "primary", coalesce(string_agg(DISTINCT substr(s.src, 3), ',' ORDER BY substr(s.src, 3)), '') AS supporters
 FROM findings f LEFT JOIN support s ON s.dst = 'f:' || f.fingerprint WHERE NOT EXISTS (SELECT 1 FROM support x WHERE x.src = 'f:' || f.fingerprint) GROUP BY f.fingerprint""")
 def finding_groups(spark, sf_dir):
-    f = stored(all_findings(spark, sf_dir), "findings")
+    f = made_findings(spark, sf_dir)
     return correlation.groups(f, correlation.supports(f)).withColumn("supporters", F.array_join("supporters", ","))
 
 
 def assessed(spark, sf_dir, found=None):
     """Assessments of all findings, which are made once and stored: three joins read them."""
-    f = found or stored(all_findings(spark, sf_dir), "findings")
+    f = found or made_findings(spark, sf_dir)
     return correlation.assessments(f, correlation.supports(f), correlation.secret_network(f))
 
 
@@ -426,7 +431,7 @@ def report_severity_counts(spark, sf_dir):
 @query(f"""WITH {FINDINGS_SQL}, x AS (SELECT * FROM findings UNION ALL SELECT * FROM findings WHERE line % 2 = 0 UNION ALL SELECT * REPLACE ('HIGH' AS severity) FROM findings WHERE line % 9 = 0)
 SELECT fingerprint, severity, count(*) OVER (PARTITION BY fingerprint) AS n_same_fingerprint FROM (SELECT DISTINCT fingerprint, severity FROM x)""")
 def report_dedupe(spark, sf_dir):
-    f = all_findings(spark, sf_dir)
+    f = made_findings(spark, sf_dir)
     x = f.unionByName(f.where("line % 2 = 0")).unionByName(f.where("line % 9 = 0").withColumn("severity", F.lit("HIGH")))
     return report.deduplicated(x).select("fingerprint", "severity", "n_same_fingerprint")
 
@@ -492,7 +497,7 @@ s AS (SELECT CASE WHEN severity = 'CRITICAL' THEN 0 ELSE 1 END::BIGINT AS rank,
   UNION SELECT 3, 'finding_group', {_sid("'group-v1'", "fingerprint")} FROM r WHERE priority IN ('critical', 'high') AND n_supporters > 0)
 SELECT *, (SELECT count(*) FROM s) AS n_total FROM s ORDER BY rank, kind, subject LIMIT 200""")
 def review_subjects(spark, sf_dir):
-    f = stored(all_findings(spark, sf_dir), "findings")
+    f = made_findings(spark, sf_dir)
     late = F.col("line") % 10 == 0
     raised = assessed(spark, sf_dir, f).withColumns({"severity": F.when(late, F.lit("HIGH")).otherwise(F.col("severity")), "priority": F.when(late, F.lit("high")).otherwise(F.col("priority"))})
     return report.review_subjects(raised, correlation.attack_paths(f), correlation.groups(f, correlation.supports(f)), k=200)
