@@ -42,6 +42,30 @@ def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """The scratch tables of one job by name. Each is deleted as soon as what was made of it is written itself, so that the
+    shared folder holds a phase's tables and not those of all phases."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, name: str, df: DataFrame, compression: str = "snappy") -> DataFrame:
+        """df written as the table ``name`` and read again. The name must be free."""
+        if name in self.paths:
+            raise ValueError(f"{name} is in use")
+        path = scratch(self.spark, name)
+        df.write.option("compression", compression).parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing will read again."""
+        context = self.spark.sparkContext
+        for name in names:
+            path = context._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Ask the driver to drop plans that nothing refers to, so that executors delete their shuffle files before more come."""
     gc.collect()

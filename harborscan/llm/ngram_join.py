@@ -38,9 +38,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from harborscan.llm.common import documents, map_arrow, release, stored
+from harborscan.llm.common import Tables, documents, map_arrow, release, small_batches
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers: intersection * SIMILAR[1] >= union * SIMILAR[0].
@@ -151,7 +151,7 @@ def share_all_orders(a: bytes, b: bytes) -> bool:
     return all((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).any() for p, q in zip(x, y, strict=True))
 
 
-def sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+def sets(docs: DataFrame, tables: Tables) -> tuple[DataFrame, np.ndarray]:
     """doc_id, node, short and n of every document (stored), and the frequency sketch of all documents.
 
     The first row of a node in a task also has its signature and further prefixes, and its text if it has no doc_id.
@@ -198,7 +198,7 @@ def sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         if held:
             yield repeated(held)
 
-    both = stored(map_arrow(documents(docs), each, "doc_id long, node binary, short long, n long, signature binary, sign binary, orders binary, text binary, slice int, sketch binary"), "sets")
+    both = tables.put("sets", map_arrow(documents(docs), each, "doc_id long, node binary, short long, n long, signature binary, sign binary, orders binary, text binary, slice int, sketch binary"))
     scaled = np.minimum(np.rint(16 * np.log2(np.arange(65536) + 1.0)), 255).astype(np.uint8)
     width = SKETCH // SLICES
 
@@ -359,10 +359,10 @@ def only_wanted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose key may be among the wanted ones (a column of the same name), told by a broadcast map of
     WANTED_BITS bits: most others never reach a shuffle. A join must follow."""
     place = F.pmod(F.xxhash64(key), F.lit(WANTED_BITS)) + 1
-    bits = wanted.select(place.alias("k")).groupBy(F.bitmap_bucket_number("k").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits"))
+    bits = wanted.select(place.alias("k")).groupBy(F.bitmap_bucket_number("k").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("__bits"))
     at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("bucket")).where(F.getbit(byte, at % 8) == 1).drop("bucket", "bits")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("__bucket")).where(F.getbit(byte, at % 8) == 1).drop("__bucket", "__bits")
 
 
 def _close(hub: tuple, sizes: np.ndarray, signatures: np.ndarray) -> np.ndarray:
@@ -412,14 +412,14 @@ def unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return told.where(F.coalesce("hub_root", "hub") != F.coalesce("member_root", "member")).select("hub", "member")
 
 
-def next_candidates(left: DataFrame, roots: DataFrame, hubs: int) -> DataFrame:
+def next_candidates(left: DataFrame, roots: DataFrame, hubs: int, tables: Tables) -> DataFrame:
     """Of lists (id, node, size, signature) whose nodes lie in several components: about ``hubs`` nodes outside a list's
     largest component, by hash, with their candidates in other components (hub, member), and the rows that stay for
     later rounds (id, node)."""
     known = left.join(roots, "node", "left").select("id", "node", "size", F.coalesce("root", "node").alias("root"), "signature")
     parts = known.groupBy("id", "root").agg(F.count("*").alias("c"))
     shape = parts.groupBy("id").agg(F.sum("c").alias("rows"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    shape = stored(shape.select("id", "rows", F.col("most.root").alias("most"), (F.col("rows") - F.col("most.c")).alias("outside")), "shape")
+    shape = tables.put("shape", shape.select("id", "rows", F.col("most.root").alias("most"), (F.col("rows") - F.col("most.c")).alias("outside")))
     told = known.join(shape, "id").withColumn("is_hub", (F.col("root") != F.col("most")) & (F.pmod(F.xxhash64("node", F.lit(hubs)), F.greatest("outside", F.lit(1))) < hubs))
     shares = F.ceil(F.col("rows") / LIST_SHARE).cast("int")
     columns = ["id", "node", "size", "root", "signature"]
@@ -499,9 +499,10 @@ def _mark(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest name of its component) by large-star and small-star rounds, for links a, b."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """node, root (the smallest name of its component) by large-star and small-star rounds, for links a, b; written as the
+    table ``name``."""
+    edges = tables.put("edges", links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = _mark(edges)
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -510,33 +511,28 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = stored(small, "stars")
-        now = _mark(edges)
+        next_edges = tables.put("stars", small)
+        tables.drop("edges")
+        tables.paths["edges"] = tables.paths.pop("stars")
+        edges, now = next_edges, _mark(next_edges)
         if now == before:
+            tables.paths[name] = tables.paths.pop("edges")
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
 
 
-def _verify_round(texts: DataFrame, pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """All links with those among pairs, and the components of their nodes."""
-    more = stored(verified(pairs, texts), "links")
-    links = more if links is None else links.unionAll(more)
-    release(texts.sparkSession)
-    return links, components(links)
-
-
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n of every document; node, root of every linked node)."""
-    spark = docs.sparkSession
-    members, counts = sets(docs)
+    spark, tables = docs.sparkSession, Tables(docs.sparkSession)
+    members, counts = sets(docs, tables)
     sketch = spark.sparkContext.broadcast(counts)  # 16 MB, whatever the input
     del counts
     total = members.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     ranges = int(max(spark.sparkContext.defaultParallelism, -(-total // RANGE_POSTINGS)))
-    found = stored(lists(postings(docs, sketch, ranges).repartition(ranges, "range")), "lists")
+    found = tables.put("lists", lists(postings(docs, sketch, ranges).repartition(ranges, "range")))
     sketch.destroy()
     release(spark)
-    first = stored(first_candidates(found.distinct()).distinct(), "first")
+    first = tables.put("first", first_candidates(found.distinct()).distinct())
 
     def spread(batches):
         for b in batches:
@@ -545,41 +541,101 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 rows = rows[rows != _rows(hub)[0, 0]]  # the hub's pairs are among the first candidates
                 yield {"id": [ident] * len(rows), "short": pa.array(rows)}
 
-    waiting = stored(map_arrow(found.where(F.col("size") > SMALL_LIST).distinct(), spread, "id long, short long"), "left")
+    waiting = tables.put("left", map_arrow(found.where(F.col("size") > SMALL_LIST).distinct(), spread, "id long, short long"))
+    tables.drop("lists")
     # One row for each node that any round may compare, and its text, dealt once by joins that are the same at every size.
-    ends = stored(first.select(F.col("hub").alias("short")).unionAll(first.select("member")).unionAll(waiting.select("short")).distinct(), "ends")
+    ends = tables.put("ends", first.select(F.col("hub").alias("short")).unionAll(first.select("member")).unionAll(waiting.select("short")).distinct())
     rows = only_wanted(members.where("signature IS NOT NULL"), "short", ends).join(ends.hint("merge"), "short", "left_semi")
-    named = stored(rows.groupBy("node").agg(*(f(c).alias(c) for c, f in (("doc_id", F.min), ("short", F.max), ("n", F.max), ("signature", F.max), ("sign", F.max), ("orders", F.max), ("text", F.max)))), "named")
-    pairs = stored(screened(first, named, "short"), "pairs")
+    named = tables.put("named", rows.groupBy("node").agg(*(f(c).alias(c) for c, f in (("doc_id", F.min), ("short", F.max), ("n", F.max), ("signature", F.max), ("sign", F.max), ("orders", F.max), ("text", F.max)))))
+    members = tables.put("members", members.select("doc_id", "node", "n"))
+    tables.drop("sets", "ends")
+    release(spark)
+    pairs = tables.put("pairs", screened(first, named, "short"))
+    tables.drop("first")
     left = waiting.join(named.select("short", "node"), "short").select("id", "node")
     used = pairs.select(F.col("hub").alias("node")).unionAll(pairs.select("member")).unionAll(left.select("node")).distinct()
     wanted = named.where("doc_id IS NOT NULL").select("node", "doc_id").join(used, "node", "left_semi")
     keyed = only_wanted(documents(docs), "doc_id", wanted).join(wanted.hint("merge"), "doc_id").select("node", "text")
-    texts = stored(keyed.unionAll(named.where("doc_id IS NULL").select("node", "text")), "texts", "zstd")
+    texts = tables.put("texts", keyed.unionAll(named.where("doc_id IS NULL").select("node", "text")), "zstd")
     release(spark)
-    links, roots = _verify_round(texts, nearest(pairs), None)
-    pairs, hubs = stored(unjoined(pairs, roots), "pairs"), 64
+    roots, now, hubs = None, "left", 64
+
+    def joined(pairs: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
+        """The components after pairs are verified. What earlier rounds linked stands in their roots."""
+        more = tables.put("links", verified(pairs, texts))
+        release(spark)
+        if roots is not None:
+            more = more.unionAll(roots.toDF("a", "b"))
+        roots = components(more, tables, name)
+        tables.drop("links")
+        return roots
+
+    roots = joined(nearest(pairs), None, "roots")
+    rest = tables.put("rest", unjoined(pairs, roots))
+    tables.drop("pairs")
+    pairs, k = rest, 0
     while True:
         if not pairs.isEmpty():
-            links, roots = _verify_round(texts, pairs, links)
+            old = "roots" if not k else f"roots{k}"
+            k += 1
+            roots = joined(pairs, roots, f"roots{k}")
+            tables.drop(old)
+        tables.drop("rest")
         if left.isEmpty():
+            tables.drop(now, "named", "texts")
             return members, roots  # each list's candidates are verified, or within a component
         signed = left.join(named.select("node", F.col("n").alias("size"), F.coalesce("sign", "signature").alias("signature")), "node")
-        step = stored(next_candidates(signed, roots, hubs), "round")
-        pairs = stored(screened(step.where("hub IS NOT NULL").select("hub", "member").distinct(), named, "node"), "pairs")
+        step = tables.put(f"round{hubs}", next_candidates(signed, roots, hubs, tables))
+        tables.drop(now, "shape")
+        now = f"round{hubs}"
+        pairs = tables.put("rest", screened(step.where("hub IS NOT NULL").select("hub", "member").distinct(), named, "node"))
         left = step.where("hub IS NULL").select("id", "node")
         hubs *= 16
 
 
+def _lowest(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, root and component_id (the smallest doc_id of the component, null if it has none) of every node with words."""
+    first = members.where("octet_length(node) > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    return first.join(first.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "root", "component_id")
+
+
+def _components(members: DataFrame, lowest: DataFrame) -> DataFrame:
+    return members.join(lowest.drop("root"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def ngram_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     members, roots = linked(docs)
-    first = members.where("octet_length(node) > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    lowest = first.join(first.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
-    return members.join(lowest, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _components(members, _lowest(members, roots))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, all their columns, that have the smallest doc_id of their component; null doc_ids stay."""
-    gone = ngram_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    """The documents, all their columns, of which one of each component stays.
+
+    That is the one with the smallest doc_id. Of rows that repeat a doc_id, those with equal texts are one. Rows with a
+    null doc_id go where their component has a doc_id; of a component that has none, any one row stays. Texts without
+    words are linked with nothing: such rows stay, but for repeated ones of one doc_id with equal texts.
+    """
+    members, roots = linked(docs)
+    lowest = _lowest(members, roots)
+    gone = _components(members, lowest).where("doc_id <> component_id").select(F.col("doc_id").alias("__key")).distinct()
+    again = members.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("c")).where("c > 1").select("__key")
+    key = F.col("doc_id").cast("long")
+    keyed = docs.where(key.isNotNull()).withColumn("__key", key)
+    single = keyed.join(gone.unionAll(again), "__key", "left_anti").select(docs.columns)
+    # Few rows: those of repeated doc_ids, then those without one, by the digest of their shingles.
+    again = again.join(gone, "__key", "left_anti")
+    repeated = only_wanted(keyed, "__key", again).join(again, "__key", "left_semi").withColumn("__text", F.sha2(F.col("text").cast("string").cast("binary"), 256))
+    repeated = repeated.dropDuplicates(["__key", "__text"]).select(docs.columns)
+    without = docs.where(key.isNull())
+
+    def named(batches):
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+            yield b.append_column("__node", pa.array([digest(shingles(t)) for t in texts], pa.binary()))
+
+    small_batches(docs.sparkSession)
+    unnamed = without.mapInArrow(named, T.StructType([*docs.schema.fields, T.StructField("__node", T.BinaryType())]))
+    worded = unnamed.where("octet_length(__node) > 0").join(lowest.where("component_id IS NULL").select(F.col("node").alias("__node"), F.col("root").alias("__root")), "__node")
+    alone = worded.dropDuplicates(["__root"]).drop("__node", "__root").unionByName(unnamed.where("octet_length(__node) = 0").drop("__node"))
+    return single.unionByName(repeated).unionByName(alone)

@@ -219,3 +219,26 @@ def test_pipeline_stages_take_empty_tables(spark, small, k):
     docs = table(spark, small, "documents")
     got = corpus_pipeline.STAGES[k][1](spark, docs.limit(0), small)
     assert got.count() == 0 and (k == len(corpus_pipeline.STAGES) - 1 or got.columns == docs.columns)
+
+
+def test_one_of_each_rows_without_and_with_repeated_ids(spark):
+    """Equal rows of one doc_id are one; rows without a doc_id go beside a copy that has one, else one of them stays."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (1, text(1)), (2, text(1)), (None, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (3, text(4)), (4, ""), (4, None), (4, ""), (None, ""), (None, None), (5, text(5))]
+    docs = spark.createDataFrame([(d, t, n, "x") for n, (d, t) in enumerate(rows)], "doc_id int, text string, bucket int, `extra` string")
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, text(1)), (None, text(2)), (3, text(3)), (3, text(4)), (4, ""), (4, None), (None, ""), (None, None), (5, text(5))], key=str)
+
+
+def test_ngram_scratch_tables_go_with_their_phase(spark, tmp_path, monkeypatch):
+    """Of a run's tables only those that its result reads are left."""
+    from harborscan.llm import common
+
+    monkeypatch.setattr(common, "scratch", lambda spark, what: str(tmp_path / f"{what}-{len(list(tmp_path.iterdir()))}-{random.random()}"))
+    docs = spark.createDataFrame([(i, " ".join(f"g{i // 12}w{j + (i % 3)}" for j in range(60))) for i in range(60)], "doc_id long, text string")
+    rows = ngram_join.ngram_components(docs)
+    left = {p.name.split("-")[0].rstrip("0123456789") for p in tmp_path.iterdir() if p.is_dir()}
+    assert left == {"members", "roots"}
+    assert {r.component_id for r in rows.collect()} == {0, 12, 24, 36, 48}
