@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from harborscan.functions.exprs import fingerprint_sql
-from harborscan.operators import dependencies as deps, lookups
+from harborscan.operators import dependencies as deps, includes, lookups
 from harborscan.sources.corpora import table
 
 QUERIES, SQL = {}, {}
@@ -149,6 +149,44 @@ def dependency_include_graph(spark, sf_dir):
     return deps.included(files, edges, c.where(k % 50 == 1).select(name(k).alias("path")))
 
 
+# Manifests of customers: a large urgent order includes the manifest of the next one of its nation and segment.
+
+_INCLUDES_SQL = """m AS (SELECT c_nationkey, c_mktsegment, 'req/' || c_custkey || '.txt' AS path, o_orderkey, o_orderdate, o_orderstatus = 'F' AS constraint_only FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 150000),
+e AS (SELECT path, lead(path) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY o_orderdate, o_orderkey) AS target, constraint_only FROM m)"""
+
+
+def _include_lines(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 150000")
+    m = o.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    path = F.concat(F.lit("req/"), F.col("c_custkey").cast("string"), F.lit(".txt"))
+    follow = F.lead(path).over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("o_orderdate", "o_orderkey"))
+    return m.select(path.alias("path"), follow.alias("target"), (F.col("o_orderstatus") == "F").alias("constraint_only"))
+
+
+@query(f"""WITH RECURSIVE {_INCLUDES_SQL}, d AS (SELECT DISTINCT path, target FROM e WHERE target IS NOT NULL), r AS (SELECT path, target FROM d UNION SELECT r.path, d.target FROM r JOIN d ON d.path = r.target),
+c AS (SELECT x.path, x.target FROM r x JOIN r y ON x.path = y.target AND x.target = y.path) SELECT path, min(target) AS cycle, count(*) AS n_files FROM c GROUP BY path""")
+def manifest_include_cycles(spark, sf_dir):
+    """Every manifest that includes itself over any number of steps, with its cycle's name and size."""
+    return includes.cycles(_include_lines(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_INCLUDES_SQL}, f AS (SELECT 'req/' || c_custkey || '.txt' AS path, c_acctbal FROM customer WHERE c_acctbal > -500),
+r(path, constraint_only, depth) AS (SELECT path, false, 0 FROM f WHERE c_acctbal > 5000 UNION SELECT e.target, r.constraint_only OR e.constraint_only, depth + 1 FROM r JOIN e USING (path) JOIN f ON f.path = e.target WHERE depth < 8),
+s AS (SELECT DISTINCT path, constraint_only FROM r), v AS (SELECT 'req/' || o_custkey || '.txt' AS path, 'pkg' || o_orderkey AS name, CASE WHEN o_orderstatus = 'O' THEN '1.' || o_custkey END AS version, CASE WHEN o_orderstatus = 'P' THEN '>=2' END AS declared FROM orders)
+SELECT path, name, CASE WHEN NOT constraint_only THEN version END AS version, CASE WHEN constraint_only OR version IS NULL THEN 'CONSTRAINT' ELSE 'EXACT' END AS version_kind, CASE WHEN constraint_only THEN 'UNKNOWN' ELSE 'DIRECT' END AS directness,
+  CASE WHEN constraint_only THEN coalesce('==' || version, declared) ELSE declared END AS "constraint", constraint_only FROM v JOIN s USING (path)""")
+def dependency_constraint_files(spark, sf_dir):
+    """Records of all manifests reached from the roots: pins of constraints files become constraints."""
+    c, o = table(spark, sf_dir, "customer").where("c_acctbal > -500"), table(spark, sf_dir, "orders")
+    name = lambda k: F.concat(F.lit("req/"), F.col(k).cast("string"), F.lit(".txt")).alias("path")
+    states = includes.reached(c.select(name("c_custkey")), _include_lines(spark, sf_dir), c.where("c_acctbal > 5000").select(name("c_custkey")))
+    pinned = F.col("o_orderstatus") == "O"
+    records = o.select(
+        name("o_custkey"), F.concat(F.lit("pkg"), F.col("o_orderkey").cast("string")).alias("name"), F.when(pinned, F.concat(F.lit("1."), F.col("o_custkey").cast("string"))).alias("version"),
+        F.when(pinned, "EXACT").otherwise("CONSTRAINT").alias("version_kind"), F.lit("DIRECT").alias("directness"), F.when(F.col("o_orderstatus") == "P", ">=2").alias("constraint"))
+    return includes.as_read(records, states)
+
+
 # Lookups in stages: keys and answers of the parts. Parts of one brand share advisories; some answers are errors.
 
 _ONLINE_NOW = "2024-01-03 00:00:00"
