@@ -271,15 +271,22 @@ def tagged_as_test(path: Column) -> Column:
     return F.arrays_overlap(F.transform(_folders(path), F.lower), F.array(F.lit("test"), F.lit("tests"))) | name_of(path).rlike(r"\.(test|spec)\.")
 
 
-def admissions(files: DataFrame) -> DataFrame:
-    """Which scanner takes which file: path, kind, language, content_kind, encoding and one boolean for each scanner."""
+def admission_of(scanner: str) -> Column:
+    """Whether a scanner takes a file, by kind, language, content_kind and encoding."""
     text = (F.col("content_kind") == "TEXT") & F.col("encoding").isNotNull()
     kind, language = F.col("kind"), F.coalesce("language", F.lit(""))
-    return files.select(
-        "path", (text & ~kind.isin("ARCHIVE", "BINARY", "EXECUTABLE")).alias("secrets"), (text & (language == "python") & kind.isin("SOURCE_CODE", "SCRIPT")).alias("sast"),
-        (text & kind.isin("SOURCE_CODE", "SCRIPT", "CONFIG", "CI_CONFIG", "CONTAINER_CONFIG") & (language.isin(*BEHAVIOR_LANGUAGES) | (kind == "CI_CONFIG"))).alias("behavior"),
-        (text & kind.isin("DEPENDENCY_MANIFEST", "LOCKFILE")).alias("dependencies"), in_tests(F.col("path")).alias("in_tests"), tagged_as_test(F.col("path")).alias("tagged_as_test"),
-    )
+    takes = {
+        "secrets": ~kind.isin("ARCHIVE", "BINARY", "EXECUTABLE"), "sast": (language == "python") & kind.isin("SOURCE_CODE", "SCRIPT"),
+        "behavior": kind.isin("SOURCE_CODE", "SCRIPT", "CONFIG", "CI_CONFIG", "CONTAINER_CONFIG") & (language.isin(*BEHAVIOR_LANGUAGES) | (kind == "CI_CONFIG")),
+        "dependencies": kind.isin("DEPENDENCY_MANIFEST", "LOCKFILE"),
+    }
+    return F.coalesce(text & takes[scanner], F.lit(False))
+
+
+def admissions(files: DataFrame) -> DataFrame:
+    """Which scanner takes which file: path, kind, language, content_kind, encoding and one boolean for each scanner."""
+    scanners = [admission_of(s).alias(s) for s in ("secrets", "sast", "behavior", "dependencies")]
+    return files.select("path", *scanners, in_tests(F.col("path")).alias("in_tests"), tagged_as_test(F.col("path")).alias("tagged_as_test"))
 
 
 def admitted(files: DataFrame, max_file: int, max_total: int) -> DataFrame:

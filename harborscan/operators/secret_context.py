@@ -11,7 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from harborscan.functions.exprs import fingerprint, match_spans, redact_path, running_total
+from harborscan.functions.exprs import fingerprint, match_spans, redact_path, running, running_total
 from harborscan.operators.discovery import in_tests
 from harborscan.operators.secret_rules import ASSIGNMENT, ASSIGNMENT_KEY, CANDIDATE, HASH_CONTEXT, rated_assignments
 
@@ -170,13 +170,20 @@ def masked_path(path: Column, values: Column) -> Column:
     return redact_path(F.aggregate(values, path, lambda p, v: F.when(v != "", F.replace(p, v, F.lit("[REDACTED]"))).otherwise(p)))
 
 
-def distinct_marks(found: DataFrame, discriminator: Column) -> DataFrame:
-    """found with one fingerprint each: of findings that share one, all but the first get it anew with a numbered label."""
+def distinct_marks(found: DataFrame, discriminator: Column, part: Column | None = None) -> DataFrame:
+    """found with one fingerprint each: of findings that share one, all but the first get it anew with a numbered label.
+
+    ``part`` ascends with the discriminator: findings that share a fingerprint are then counted by parts, not in one task.
+    """
     base = fingerprint("secret-finding-v1", F.col("rule_id"), F.col("path"), F.col("line"), F.col("start") + 1, F.col("label"), F.col("label"))
     place = F.row_number().over(Window.partitionBy("fingerprint").orderBy(discriminator, "ordinal"))
     label = F.concat_ws("|", "label", discriminator, (F.col("__n") - 2).cast("string"))
     again = fingerprint("secret-finding-v1", F.col("rule_id"), F.col("path"), F.col("line"), F.col("start") + 1, F.col("label"), label)
-    marked = found.withColumn("fingerprint", base).withColumn("__n", place)
+    marked = found.withColumn("fingerprint", base)
+    if part is None:
+        marked = marked.withColumn("__n", place)
+    else:
+        marked = running(marked.withColumns({"__d": discriminator, "__part": part}), ["fingerprint"], "__part", ["__d", "ordinal"], __n=("sum", F.lit(1))).withColumn("__n", F.coalesce("__n", F.lit(0)) + 1).drop("__d", "__part")
     return marked.withColumns({"collided": F.col("__n") > 1, "fingerprint": F.when(F.col("__n") > 1, again).otherwise(F.col("fingerprint"))}).drop("__n")
 
 

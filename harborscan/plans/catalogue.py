@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from harborscan.operators import report
-from harborscan.plans import code_queries, context_queries, dependency_queries, discovery_queries, gate_queries, package_queries, scan_queries, stream_queries
+from harborscan.plans import code_queries, context_queries, dependency_queries, discovery_queries, gate_queries, package_queries, project_queries, scan_queries, stream_queries
 
-MODULES = [discovery_queries, gate_queries, scan_queries, context_queries, dependency_queries, package_queries, code_queries, stream_queries]
+MODULES = [discovery_queries, gate_queries, scan_queries, context_queries, dependency_queries, package_queries, code_queries, stream_queries, project_queries]
 
 
 def flagship(spark, sf_dir):

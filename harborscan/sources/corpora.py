@@ -137,3 +137,32 @@ LOG_LINES_SQL = """log_pieces AS (
     CASE event_type WHEN 'click' THEN 'ghp_' || h || substr(h, 1, 4) WHEN 'error' THEN 'password=Aa9_' || substr(h, 1, 16)
       WHEN 'signup' THEN 'é漢 db postgres://app:' || substr(h, 1, 12) || '@db/x' WHEN 'view' THEN 'token=<your_token>' ELSE 'ok ' || event_id END AS text
     FROM (SELECT *, md5(event_id::VARCHAR) AS h FROM events)))"""
+
+
+def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a project's files, one for each order: settings, tests, scripts, generated keys, deployments whose name
+    holds their token, binaries, installed packages and notes with private keys."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), F.md5(F.col("o_orderkey").cast("string")).alias("h"))
+    n, h, k, g = F.col("n").cast("string"), F.col("h"), F.col("n") % 8, F.floor(F.col("n") / 8)
+    value, token = F.concat(F.lit("Aa9_"), F.substring("h", 1, 16)), F.concat(F.lit("ghp_"), h, F.substring("h", 1, 4))
+    odd = g % 2 == 1
+    path = (
+        F.when(k == 0, F.concat(F.lit("app/"), n, F.lit("/settings.py"))).when(k == 1, F.concat(F.when(odd, "app/").otherwise("tests/"), n, F.lit("/test_login.py"))).when(k == 2, F.concat(F.lit("web/"), n, F.lit("/client.js")))
+        .when(k == 3, F.concat(F.lit("gen/"), n, F.lit("/keys.py"))).when(k == 4, F.concat(F.lit("deploy/"), F.floor(g / 2).cast("string"), F.lit("/"), token, F.lit(".sh"))).when(k == 5, F.concat(F.lit("bin/"), n, F.lit(".exe")))
+        .when(k == 6, F.concat(F.lit("web/node_modules/"), n, F.lit("/x.js"))).otherwise(F.concat(F.lit("docs/"), n, F.lit(".md")))
+    )
+    path = F.when((k == 1) & odd, F.concat(F.lit("app/"), n, F.lit("/login.py"))).otherwise(path)
+    text = (
+        F.when(k.isin(0, 6), F.concat(F.lit("import os\npassword = '"), value, F.lit("'\n"))).when(k == 1, F.concat(F.lit("password = 'fake-login' # "), n))
+        .when(k == 2, F.concat(F.lit("const password = process.env.PW;\nconst password = '"), value, F.lit("';"))).when(k == 3, F.concat(F.when(odd, "import os").otherwise("import secrets"), F.lit("\n\napi_key = secrets.token_hex(32)\n")))
+        .when(k == 4, F.concat(F.lit("export GH="), token, F.lit("\ncurl https://h/"), n, F.lit("\n"))).when(k == 5, F.concat(F.lit("MZ"), token)).otherwise(F.concat(F.lit("# "), n, F.lit("\n-----BEGIN RSA PRIVATE KEY-----\npassword = '"), value, F.lit("'\n"), F.when(odd, "").otherwise("-----END RSA PRIVATE KEY-----\n")))
+    )
+    return o.select(path.alias("path"), F.encode(text, "utf-8").alias("content"))
+
+
+#: The same files as numbers, with what their lines hold; their texts are not made again.
+PROJECT_SQL = """project AS (SELECT n, h, n % 8 AS k, n // 8 AS g, 'Aa9_' || substr(h, 1, 16) AS value, 'ghp_' || h || substr(h, 1, 4) AS token FROM (SELECT o_orderkey AS n, md5(o_orderkey::VARCHAR) AS h FROM orders)),
+project_files AS (SELECT *, CASE k WHEN 0 THEN 'app/' || n || '/settings.py' WHEN 1 THEN CASE WHEN g % 2 = 1 THEN 'app/' || n || '/login.py' ELSE 'tests/' || n || '/test_login.py' END WHEN 2 THEN 'web/' || n || '/client.js' WHEN 3 THEN 'gen/' || n || '/keys.py'
+  WHEN 4 THEN 'deploy/' || (g // 2) || '/' || token || '.sh' WHEN 5 THEN 'bin/' || n || '.exe' WHEN 6 THEN 'web/node_modules/' || n || '/x.js' ELSE 'docs/' || n || '.md' END AS path,
+  CASE k WHEN 0 THEN 44 WHEN 1 THEN 26 + length(n::VARCHAR) WHEN 2 THEN 73 WHEN 3 THEN CASE WHEN g % 2 = 1 THEN 43 ELSE 48 END WHEN 4 THEN 67 + length(n::VARCHAR) WHEN 5 THEN 42 WHEN 6 THEN 44
+    ELSE 69 + length(n::VARCHAR) + CASE WHEN g % 2 = 1 THEN 0 ELSE 30 END END AS size_bytes FROM project)"""
