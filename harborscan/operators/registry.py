@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn
 
 FINDING = ["fingerprint", "scanner_id", "category", "rule_id", "path", "line", "col", "severity", "confidence"]
 EDGE = ["edge_id", "edge_type", "src", "dst", "confidence", "rule"]
@@ -48,6 +49,56 @@ def ask(provider: Callable[[DataFrame], DataFrame], keys: DataFrame) -> DataFram
     return _checked(provider(keys), ADVISORY, "provider").join(keys.select("ecosystem", "name", "version").distinct(), ["ecosystem", "name", "version"], "left_semi").select(*ADVISORY)
 
 
+class LineScanner:
+    """What a scanner does with one file: a new object for each, that is shown its lines in order and may keep what it needs
+    between them. ``columns`` names what it tells beside path and line, as a DDL text."""
+
+    columns = "rule_id string"
+
+    def line(self, text: str):
+        """What one line gives: tuples of ``columns``."""
+        raise NotImplementedError
+
+    def end(self):
+        """What the file's end gives, at its last line."""
+        return ()
+
+
+def table_function(spark: SparkSession, name: str, scanner: type[LineScanner]) -> None:
+    """Makes a scanner callable from SQL: ``SELECT * FROM name(TABLE(lines))`` over a table with path, line and text.
+
+    The function itself asks for the files to be kept together and their lines in order, and for these three columns
+    alone, so that no caller can forget it. A file's lines pass one by one: a scanner holds what it keeps, not the file.
+    Null texts are shown as empty; a table without the columns, or anything that is no table, is an error of analysis.
+    """
+    needed = ["path", "line", "text"]
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("line", T.LongType()), *T._parse_datatype_string(scanner.columns)])
+
+    class Files:
+        def __init__(self):
+            self.scanner, self.at = scanner(), None
+
+        @staticmethod
+        def analyze(lines: AnalyzeArgument) -> AnalyzeResult:
+            if not lines.isTable:
+                raise ValueError("a scanner takes a table of lines")
+            if missing := [c for c in needed if c not in lines.dataType.names]:
+                raise ValueError(f"the lines lack {', '.join(missing)}")
+            return AnalyzeResult(schema=schema, partitionBy=[PartitioningColumn("path")], orderBy=[OrderingColumn("line")], select=[SelectedColumn(c) for c in needed])
+
+        def eval(self, row):
+            self.at = (row["path"], row["line"])
+            for found in self.scanner.line(row["text"] or ""):
+                yield (*self.at, *found)
+
+        def terminate(self):
+            if self.at:
+                for found in self.scanner.end():
+                    yield (*self.at, *found)
+
+    spark.udtf.register(name, F.udtf(Files))
+
+
 #: Settings: for each table its keys with default, least and greatest value.
 SETTINGS: dict[str, dict[str, tuple[int, int, int]]] = {
     "discovery": {"max_file_size_bytes": (4 << 20, 1, 32 << 20), "max_file_count": (100_000, 1, 250_000), "max_directory_depth": (64, 1, 128), "max_entries": (200_000, 1, 500_000), "max_total_bytes_inspected": (128 << 20, 1, 512 << 20)},

@@ -1,13 +1,13 @@
-"""Queries of whole scans over a project's files, each with SQL from what the files were made of."""
+"""Queries of whole scans over a project's files, with SQL from what the files were made of, and of scanners called from SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from harborscan.functions.exprs import fingerprint_sql
-from harborscan.operators import scan
+from harborscan.operators import registry, scan
 from harborscan.plans.scan_queries import _BITS
-from harborscan.sources.corpora import PROJECT_SQL, project_files
+from harborscan.sources.corpora import CONFIG_LINES_SQL, PROJECT_SQL, config_lines, project_files
 
 QUERIES, SQL = {}, {}
 
@@ -76,3 +76,36 @@ SELECT CASE WHEN n_blockers > 0 OR coverage = 'PARTIAL' THEN 'BLOCK' WHEN n_warn
   concat_ws(',', CASE WHEN n_blockers > 0 THEN 'BLOCKING_PRIMARY_FINDINGS' END, CASE WHEN coverage = 'PARTIAL' THEN 'COVERAGE_PARTIAL' END, CASE WHEN n_warnings > 0 THEN 'NON_BLOCKING_PRIMARY_FINDINGS' END) AS reasons FROM g, c""")
 def scan_decision(spark, sf_dir):
     return scan.decision(_scan(spark, sf_dir))
+
+
+class KeyBlocks(registry.LineScanner):
+    """Private key blocks of a file: the lines of each that ends, at its end, and of one that doesn't, at the file's."""
+
+    columns = "state string, n_lines long"
+
+    def __init__(self):
+        self.n = 0
+
+    def line(self, text):
+        if self.n:
+            self.n += 1
+            if "-----END RSA PRIVATE KEY-----" in text:
+                yield ("CLOSED", self.n)
+                self.n = 0
+        elif "-----BEGIN RSA PRIVATE KEY-----" in text:
+            self.n = 1
+
+    def end(self):
+        if self.n:
+            yield ("OPEN", self.n)
+
+
+@query(f"""WITH {CONFIG_LINES_SQL}, k AS (SELECT path, line, CASE WHEN text LIKE '%BEGIN RSA%' THEN 'B' WHEN text LIKE '%END RSA%' THEN 'E' END AS mark FROM config_lines),
+m AS (SELECT *, lag(mark) OVER w AS before FROM k WHERE mark IS NOT NULL WINDOW w AS (PARTITION BY path ORDER BY line)),
+b AS (SELECT *, max(CASE WHEN mark = 'B' AND coalesce(before, 'E') = 'E' THEN line END) OVER (PARTITION BY path ORDER BY line) AS since FROM m),
+ends AS (SELECT path, max(line) AS line FROM k GROUP BY path), last AS (SELECT path, arg_max(mark, line) AS mark, arg_max(since, line) AS since FROM b GROUP BY path)
+SELECT path, line, 'CLOSED' AS state, line - since + 1 AS n_lines FROM b WHERE mark = 'E' AND before = 'B' UNION ALL SELECT path, ends.line, 'OPEN', ends.line - since + 1 FROM ends JOIN last USING (path) WHERE mark = 'B'""")
+def scanner_table_function(spark, sf_dir):
+    """A scanner of one's own, called from SQL over a table of lines."""
+    registry.table_function(spark, "key_blocks", KeyBlocks)
+    return spark.sql("SELECT * FROM key_blocks(TABLE({lines}))", lines=config_lines(spark, sf_dir))

@@ -91,3 +91,22 @@ def stream_growing_files(spark, sf_dir):
     parts = parts.select("path", F.col("seq").cast("long").alias("seq"), F.substring("text", F.col("seq").cast("int") * size + 1, F.lit(size)).alias("text"), (F.length("text") <= (F.col("seq") + 1) * size).alias("last"))
     made = streams.arrivals(spark, [parts.where("seq % 2 = 1"), parts.where("seq % 2 = 0")], lambda rows: streams.grown(rows, 1 << 12))
     return _long(long_lines.scan_windows(made))
+
+
+_ADVICE_SQL = """a AS (SELECT 'p' || (user_id % 97) AS name, (user_id % 5)::VARCHAR AS version, ts, event_id, CASE event_type WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'MATCHED' ELSE 'NO_MATCH' END END AS status FROM events),
+m AS (SELECT date_trunc('millisecond', max(ts) FILTER (WHERE event_id % 3 <> 0)) - INTERVAL 1 DAY AS first_mark, date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS last_mark FROM events),
+come AS (SELECT name, version, ts, event_id, status FROM a, m WHERE event_id % 3 <> 0 OR ts > first_mark)"""
+
+
+@query(f"""WITH {_ADVICE_SQL}, k AS (SELECT name, version, ts, max(status) AS status FROM come WHERE status IS NOT NULL GROUP BY ALL), q AS (SELECT name, version, ts FROM come, m WHERE status IS NULL AND date_trunc('millisecond', ts) + INTERVAL 1 MILLISECOND < last_mark),
+j AS (SELECT q.*, k.status, (epoch_us(q.ts) - epoch_us(k.ts)) AS age FROM q ASOF LEFT JOIN k ON q.name = k.name AND q.version = k.version AND q.ts >= k.ts)
+SELECT 'PyPI' AS ecosystem, name, version, ts AS asked_at, CASE WHEN age IS NULL OR age > 172800000000 THEN 'OFFLINE_NO_CACHE' WHEN age > 21600000000 THEN 'STALE_' || status ELSE status END AS state,
+  CASE WHEN age <= 172800000000 THEN age // 1000000 END AS age_seconds FROM j""")
+def stream_cached_advisories(spark, sf_dir):
+    """Purchases are answers of a provider, other events lookups; a third of all comes after the rest, or too late. Answers
+    are fresh for six hours and kept for two days."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    status = F.when(F.col("event_type") == "purchase", F.when(F.col("event_id") % 2 == 0, "MATCHED").otherwise("NO_MATCH"))
+    rows = e.select("event_id", F.lit("PyPI").alias("ecosystem"), F.concat(F.lit("p"), (F.col("user_id") % 97).cast("string")).alias("name"), (F.col("user_id") % 5).cast("string").alias("version"), F.col("ts").alias("at"), status.alias("status"))
+    build = lambda s: streams.answered_from_cache(s.drop("event_id").withWatermark("at", "1 day"), 6 * 3600, 48 * 3600)
+    return streams.arrivals(spark, [rows.where("event_id % 3 <> 0"), rows.where("event_id % 3 = 0")], build)

@@ -132,6 +132,72 @@ def grown(parts: DataFrame, chunk: int = 1 << 16, left: int = LEFT, right: int =
     return parts.groupBy("path").transformWithState(Grown(chunk, left, right, idle_ms), T._parse_datatype_string(WINDOW_SCHEMA), "Append", mode)
 
 
+ANSWER_SCHEMA = "ecosystem string, name string, version string, asked_at timestamp, state string, age_seconds long"
+
+
+def answered_from_cache(rows: DataFrame, ttl_seconds: int, keep_seconds: int) -> DataFrame:
+    """Lookups answered by what a cache knew when they were asked, from one stream of both.
+
+    rows: ecosystem, name, version, at (with a watermark), status; a row with a status is an answer that a provider gave
+    then, one without is a lookup. A lookup is answered once the watermark has passed it, as only then all that was known
+    has come: by the latest status up to its time (of several at one time the greatest), with STALE_ before it if it is
+    older than ``ttl_seconds``, and OFFLINE_NO_CACHE if there is none or it is older than ``keep_seconds``. Rows behind the
+    watermark are dropped by the engine.
+
+    The state of a key is one map of times, from a status or a number of lookups: a timer stands at each lookup, and one
+    where the last status ends. Statuses that a later one below the watermark replaces are removed, so the state stays
+    within what came during the watermark's delay.
+    """
+    session = rows.sparkSession
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    class Cached(StatefulProcessor):  # here, so that it is sent as it is to wherever Spark runs it
+        def __init__(self, ttl: int, keep: int):
+            self.ttl, self.keep = ttl * 1_000_000, keep * 1_000_000
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.known = handle.getMapState("known", "micros long", "status string")
+            self.asked = handle.getMapState("asked", "micros long", "n long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            for row in rows:
+                at = int(row.micros)
+                if row.status is None:
+                    n = self.asked.getValue((at,))[0] if self.asked.containsKey((at,)) else 0
+                    self.asked.updateValue((at,), (n + 1,))
+                    self.handle.registerTimer(at // 1000 + 1)
+                else:
+                    old = self.known.getValue((at,))[0] if self.known.containsKey((at,)) else ""
+                    self.known.updateValue((at,), (max(old, row.status),))
+                    self.handle.registerTimer((at + self.keep) // 1000 + 1)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+            known = sorted((t[0], s[0]) for t, s in self.known.iterator()) if self.known.exists() else []
+            due = sorted((t[0], n[0]) for t, n in self.asked.iterator() if t[0] < until) if self.asked.exists() else []
+            for at, n in due:
+                since, status = max((k for k in known if k[0] <= at), default=(None, None))
+                age = None if since is None else at - since
+                gone = age is None or age > self.keep
+                state = "OFFLINE_NO_CACHE" if gone else f"STALE_{status}" if age > self.ttl else status
+                for _ in range(n):
+                    yield Row(ecosystem=key[0], name=key[1], version=key[2], micros=at, state=state, age_seconds=None if gone else age // 1_000_000)
+                self.asked.removeKey((at,))
+            last = max((t for t, _ in known if t < until), default=None)
+            for t, _ in known:
+                if last is not None and t < last or t + self.keep < until:
+                    self.known.removeKey((t,))
+
+        def close(self) -> None:
+            pass
+
+    micros = rows.withColumn("micros", F.unix_micros("at"))
+    made = micros.groupBy("ecosystem", "name", "version").transformWithState(Cached(ttl_seconds, keep_seconds), T._parse_datatype_string(ANSWER_SCHEMA.replace("asked_at timestamp", "micros long")), "Append", "EventTime")
+    return made.select("ecosystem", "name", "version", F.timestamp_micros("micros").alias("asked_at"), "state", "age_seconds")
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
