@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harborscan.llm.quality_rules import CUTOFFS, ERROR, MAX_STRATA, RISK
+from harborscan.llm.quality_rules import CUTOFFS, ERROR, RISK
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -36,7 +36,7 @@ scored AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
 good AS (SELECT * FROM scored WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
 tests AS ({_TESTS}),
 p AS (SELECT *, CASE WHEN n = 0 OR k > n * {RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln({1 - RISK})))) END AS p_value FROM tests),
-cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM p WHERE p_value <= {ERROR} / {MAX_STRATA * sum(map(len, CUTOFFS.values()))} GROUP BY ALL),
+cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM p WHERE p_value <= {ERROR} / ((SELECT count(DISTINCT stratum) FROM good) * {len(CUTOFFS)}) GROUP BY ALL),
 v AS (SELECT *, concat_ws(',', {_REJECTS}) AS rejected_by FROM scored)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM v
 """

@@ -3,11 +3,15 @@
 Five statistics are taken from every whole text. Each method rule rejects a document whose statistic is above a cutoff.
 Cutoffs are chosen per stratum (language) on labelled documents: for every stratum, rule and candidate cutoff the
 hypothesis "this rule rejects more than ``risk`` of the good documents" is tested with the exact binomial tail; with
-``k`` of ``n`` good documents rejected its p-value is P(Bin(n, risk) <= k). A cutoff is used if its p-value is at most
-``error`` divided by the number of hypotheses that MAX_STRATA strata have (Bonferroni), which is the same as a Clopper-Pearson upper bound below
-``risk`` at that level. The lowest such cutoff holds; a stratum or rule without one rejects nothing. All rules together
-falsely reject at most ``risk`` times the number of rules, in any one stratum with probability ``1 - error / MAX_STRATA``
-and in all at once with ``1 - error`` up to MAX_STRATA strata. Every stratum is tested, however many there are.
+``k`` of ``n`` good documents rejected its p-value is P(Bin(n, risk) <= k). A stratum and rule take their cutoffs in a
+fixed sequence, from the loosest to the strictest, and stop before the first whose p-value is above ``error`` divided by
+the number of strata with good documents times that of rules. Testing in a fixed sequence needs no further division by
+the number of cutoffs; Bonferroni's correction over the sequences holds the chance of any false claim, in all strata at
+once, to ``error``. As a lower cutoff rejects no fewer documents, p-values rise along the sequence, so the last cutoff
+before the stop is the lowest with a p-value within the level. A stratum or rule without one rejects nothing. All rules together
+falsely reject at most ``risk`` times the number of rules, in all strata at once with probability ``1 - error``. Every
+stratum is tested, however many there are; the more there are, the more good documents each needs (286 for four strata
+if none of them is rejected).
 
 The statistics are written once to a scratch table, narrow and without texts, and read for calibration and verdicts.
 The thresholds are one row for each stratum that has any. Their number is not bounded, so they are joined without a
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from harborscan.llm.common import stored
 
-RISK, ERROR, MAX_STRATA = 0.02, 0.05, 256
+RISK, ERROR = 0.02, 0.05
 #: Keys over which the rows of one stratum are dealt for the join with its thresholds.
 SALTS = 64
 #: Candidate cutoffs of each rule, lowest (strictest) first.
@@ -116,11 +120,11 @@ def thresholds(scored: DataFrame, labels: DataFrame, risk: float = RISK, error:
     """stratum, rule, cutoff, n_good, n_rejected, p_value for each stratum and rule that has a cutoff within the risk."""
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").groupBy("doc_id").agg((F.min("quality") == 1).alias("good")).where("good").select("doc_id")
     held = scored.where(~base_failed()).join(good, "doc_id", "left_semi")
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(F.col(r) > c).alias(f"{r}|{i}") for r, cs in cutoffs.items() for i, c in enumerate(cs)))
-    per_stratum = sum(map(len, cutoffs.values()))
+    counts = stored(held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(F.col(r) > c).alias(f"{r}|{i}") for r, cs in cutoffs.items() for i, c in enumerate(cs))), "strata")
+    strata = counts.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_strata"))
     tests = counts.select("stratum", "n", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}|{i}").alias("k")) for r, cs in cutoffs.items() for i, c in enumerate(cs)))).alias("t"))
     tests = tests.select("stratum", "n", "t.*").withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), risk))
-    safe = tests.where(F.col("p_value") <= error / (MAX_STRATA * per_stratum))
+    safe = tests.join(F.broadcast(strata)).where(F.col("p_value") <= error / (F.col("n_strata") * len(cutoffs)))  # one row
     return safe.groupBy("stratum", "rule").agg(F.min_by(F.struct("cutoff", F.col("n").alias("n_good"), F.col("k").alias("n_rejected"), "p_value"), "cutoff").alias("x")).select("stratum", "rule", "x.*")
 
 
