@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import islice
+
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -144,9 +147,11 @@ def answered_from_cache(rows: DataFrame, ttl_seconds: int, keep_seconds: int) ->
     older than ``ttl_seconds``, and OFFLINE_NO_CACHE if there is none or it is older than ``keep_seconds``. Rows behind the
     watermark are dropped by the engine.
 
-    The state of a key is one map of times, from a status or a number of lookups: a timer stands at each lookup, and one
-    where the last status ends. Statuses that a later one below the watermark replaces are removed, so the state stays
-    within what came during the watermark's delay.
+    The state of a key is a list of statuses and one of lookups, each with its time, and the one timer that stands at the
+    earliest of its lookups or at the end of its earliest status. When it expires, all lookups that the watermark has
+    passed are answered in one merge of both lists, so a micro-batch takes time in proportion to a key's rows. Statuses
+    that a later one below the watermark replaces are removed, so the state stays within what came during the watermark's
+    delay.
     """
     session = rows.sparkSession
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -157,42 +162,71 @@ def answered_from_cache(rows: DataFrame, ttl_seconds: int, keep_seconds: int) ->
 
         def init(self, handle) -> None:
             self.handle = handle
-            self.known = handle.getMapState("known", "micros long", "status string")
-            self.asked = handle.getMapState("asked", "micros long", "n long")
+            self.known = handle.getListState("known", "micros long, status string")
+            self.asked = handle.getListState("asked", "micros long, n long")
+            self.timer = handle.getValueState("timer", "millis long")
 
         def handleInputRows(self, key, rows, timerValues):
-            for row in rows:
-                at = int(row.micros)
-                if row.status is None:
-                    n = self.asked.getValue((at,))[0] if self.asked.containsKey((at,)) else 0
-                    self.asked.updateValue((at,), (n + 1,))
-                    self.handle.registerTimer(at // 1000 + 1)
-                else:
-                    old = self.known.getValue((at,))[0] if self.known.containsKey((at,)) else ""
-                    self.known.updateValue((at,), (max(old, row.status),))
-                    self.handle.registerTimer((at + self.keep) // 1000 + 1)
+            timer = self.timer.get()[0] if self.timer.exists() else None
+            due = timer
+            for part in iter(lambda: list(islice(rows, 10_000)), []):
+                known, asked = {}, {}
+                for row in part:
+                    at = int(row.micros)
+                    if row.status is None:
+                        asked[at] = asked.get(at, 0) + 1
+                    else:
+                        known[at] = max(known.get(at, ""), row.status)
+                if known:
+                    self.known.appendList(list(known.items()))
+                if asked:
+                    self.asked.appendList(list(asked.items()))
+                due = self._due(due, known, asked)
+            if due != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self._wait(due)
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-            known = sorted((t[0], s[0]) for t, s in self.known.iterator()) if self.known.exists() else []
-            due = sorted((t[0], n[0]) for t, n in self.asked.iterator() if t[0] < until) if self.asked.exists() else []
-            for at, n in due:
-                since, status = max((k for k in known if k[0] <= at), default=(None, None))
+            mark = timerValues.getCurrentWatermarkInMs()
+            floor = (mark - 1) * 1000  # what is still to be answered or to come is not before it
+            statuses, lookups = {}, {}
+            for at, status in self.known.get() if self.known.exists() else ():
+                statuses[at] = max(statuses.get(at, ""), status)
+            for at, n in self.asked.get() if self.asked.exists() else ():
+                lookups[at] = lookups.get(at, 0) + n
+            times = sorted(statuses)
+            for at in sorted(t for t in lookups if t < floor):
+                i = bisect_right(times, at)
+                since, status = (times[i - 1], statuses[times[i - 1]]) if i else (None, None)
                 age = None if since is None else at - since
                 gone = age is None or age > self.keep
                 state = "OFFLINE_NO_CACHE" if gone else f"STALE_{status}" if age > self.ttl else status
-                for _ in range(n):
+                for _ in range(lookups.pop(at)):
                     yield Row(ecosystem=key[0], name=key[1], version=key[2], micros=at, state=state, age_seconds=None if gone else age // 1_000_000)
-                self.asked.removeKey((at,))
-            last = max((t for t, _ in known if t < until), default=None)
-            for t, _ in known:
-                if last is not None and t < last or t + self.keep < until:
-                    self.known.removeKey((t,))
+            first = max(bisect_right(times, floor) - 1, 0)
+            left = {t: statuses[t] for t in times[first:] if t + self.keep >= floor}
+            for kept, state in ((left, self.known), (lookups, self.asked)):
+                state.put(list(kept.items())) if kept else state.clear()
+            self._wait(self._due(None, left, lookups))
 
         def close(self) -> None:
             pass
 
+        def _due(self, due, known, asked):
+            """When the key is next looked at, in milliseconds."""
+            ends = [(min(known) + self.keep) // 1000 + 1] if known else []
+            asks = [min(asked) // 1000 + 1] if asked else []
+            return min([*ends, *asks, *([] if due is None else [due])], default=None)
+
+        def _wait(self, due):
+            if due is None:
+                self.timer.clear()
+            else:
+                self.timer.update((due,))
+                self.handle.registerTimer(due)
+
     micros = rows.withColumn("micros", F.unix_micros("at"))
     made = micros.groupBy("ecosystem", "name", "version").transformWithState(Cached(ttl_seconds, keep_seconds), T._parse_datatype_string(ANSWER_SCHEMA.replace("asked_at timestamp", "micros long")), "Append", "EventTime")
     return made.select("ecosystem", "name", "version", F.timestamp_micros("micros").alias("asked_at"), "state", "age_seconds")
