@@ -23,3 +23,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = 20_000) -> DataFrame:
+    """The rows of a table by keys in tasks of about ``rows`` rows each, where a row costs far more than its bytes tell.
+
+    A narrow table of millions of rows is a few megabytes, and so one task's input by size. df should be a table that is
+    cheap to count, as it is read twice.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
