@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from harborscan.functions.scratch import dealt
 from harborscan.operators import manifests, python_code
 from harborscan.sources.corpora import table
 
@@ -34,7 +35,7 @@ TEMPLATES = [
 
 
 def python_files(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
+    c = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", rows=5_000)
     n = F.col("c_custkey").cast("string")
     shape = F.get(F.array(*map(F.lit, TEMPLATES)), (F.col("c_custkey") % len(TEMPLATES)).cast("int"))
     text = F.replace(F.replace(F.replace(shape, F.lit("{n}"), n), F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
