@@ -1,6 +1,8 @@
 """The graph of manifests that include each other: cycles of any length, files reached as constraints only.
 
 Edges are (path, target): one row for each include line. Both walks are rounds of joins over tables in the shared folder.
+Tables that may be large are joined by sorting and never sent to all tasks, small as their files may look: only a round's
+few fresh rows are, up to a fixed number, so that the driver's share is bounded for each round.
 """
 
 from __future__ import annotations
@@ -10,32 +12,43 @@ from pyspark.sql import Column, DataFrame, functions as F
 from harborscan.functions.scratch import stored
 
 
-def _inner(edges: DataFrame) -> DataFrame:
+#: Rows of a table that may be sent to all tasks.
+FEW = 20_000
+
+
+def _large(df: DataFrame, n: int) -> DataFrame:
+    """df, of about ``n`` rows at most: joined by sorting unless they are few."""
+    return df if n <= FEW else df.hint("merge")
+
+
+def _fresh(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= FEW else df.hint("merge")
+
+
+def _inner(edges: DataFrame, n: int) -> DataFrame:
     """The edges whose path is a target and whose target is a path: no other edge lies on a cycle."""
-    return edges.join(edges.select(F.col("target").alias("path")).distinct(), "path", "left_semi").join(edges.select(F.col("path").alias("target")).distinct(), "target", "left_semi").select("path", "target")
+    return edges.join(_large(edges.select(F.col("target").alias("path")).distinct(), n), "path", "left_semi").join(_large(edges.select(F.col("path").alias("target")).distinct(), n), "target", "left_semi").select("path", "target")
 
 
-def _coloured(edges: DataFrame) -> DataFrame:
+def _coloured(edges: DataFrame, size: int) -> DataFrame:
     """node, colour: the greatest name that leads to the node, its own included. Only nodes whose colour changed go on."""
     nodes = edges.select(F.col("path").alias("node")).unionAll(edges.select("target")).distinct()
     colours = stored(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("fresh")), "colours")
-    while True:
-        came = colours.where("fresh").join(edges, F.col("node") == F.col("path")).groupBy(F.col("target").alias("node")).agg(F.max("colour").alias("came"))
+    while n := colours.where("fresh").count():
+        came = _fresh(colours.where("fresh"), n).join(edges, F.col("node") == F.col("path")).groupBy(F.col("target").alias("node")).agg(F.max("colour").alias("came"))
         better = F.coalesce(F.col("came") > F.col("colour"), F.lit(False))
-        colours = stored(colours.join(came, "node", "left").select("node", F.greatest("colour", "came").alias("colour"), better.alias("fresh")), "colours")
-        if colours.where("fresh").isEmpty():
-            return colours.select("node", "colour")
+        colours = stored(colours.join(_large(came, size), "node", "left").select("node", F.greatest("colour", "came").alias("colour"), better.alias("fresh")), "colours")
+    return colours.select("node", "colour")
 
 
-def _backward(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def _backward(edges: DataFrame, roots: DataFrame, size: int) -> DataFrame:
     """node, colour of all nodes that lead to a root of their colour: the roots' components. edges: path, target, colour."""
     found = fresh = stored(roots, "leading")
-    while True:
-        step = edges.join(fresh, (edges["target"] == fresh["node"]) & (edges["colour"] == fresh["colour"])).select(edges["path"].alias("node"), edges["colour"]).distinct()
-        fresh = stored(step.join(found, ["node", "colour"], "left_anti"), "leading")
-        if fresh.isEmpty():
-            return found
+    while n := fresh.count():
+        step = edges.join(_fresh(fresh, n), (edges["target"] == fresh["node"]) & (edges["colour"] == fresh["colour"])).select(edges["path"].alias("node"), edges["colour"]).distinct()
+        fresh = stored(step.join(_large(found, size), ["node", "colour"], "left_anti"), "leading")
         found = found.unionAll(fresh)
+    return found
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -49,29 +62,31 @@ def cycles(edges: DataFrame) -> DataFrame:
     edges are one, and a file that includes itself directly is a cycle of one unless it is in a longer one.
     """
     once = stored(edges.select("path", "target").where("path IS NOT NULL AND target IS NOT NULL").distinct(), "includes")
+    most = once.count()
     alone = once.where("path = target").select("path")
     left, parts = once.where("path <> target"), []
     while True:
-        n, trimmed = None, left
-        while n is None or trimmed.count() < n:
-            left, n = trimmed, trimmed.count()
-            trimmed = stored(_inner(left), "trimmed")
+        n, size, trimmed = None, left.count(), left
+        while n is None or size < n:
+            left, n = trimmed, size
+            trimmed = stored(_inner(left, n), "trimmed")
+            size = trimmed.count()
         left = trimmed
         if left.isEmpty():
             break
-        colours = _coloured(left)
+        colours = _coloured(left, n)
         own, other = colours.toDF("path", "colour"), colours.toDF("target", "__colour")
-        within = stored(left.join(own, "path").join(other, "target").where("colour = __colour").select("path", "target", "colour"), "within")
-        part = stored(_backward(within, colours.where("node = colour")), "components")
+        within = stored(left.join(_large(own, n), "path").join(_large(other, n), "target").where("colour = __colour").select("path", "target", "colour"), "within")
+        part = stored(_backward(within, colours.where("node = colour"), n), "components")
         parts.append(part)
         gone = part.select("node")
-        left = stored(within.select("path", "target").join(gone.toDF("path"), "path", "left_anti").join(gone.toDF("target"), "target", "left_anti"), "left")
+        left = stored(within.select("path", "target").join(_large(gone.toDF("path"), n), "path", "left_anti").join(_large(gone.toDF("target"), n), "target", "left_anti"), "left")
     whole = alone.select(F.col("path").alias("node"), F.lit(None).cast("string").alias("colour"), F.lit(0).alias("n")).limit(0)
     for part in parts:  # a colour names one component: its node is in no other
-        whole = whole.unionAll(part.join(part.groupBy("colour").agg(F.count("*").alias("n")), "colour").where("n > 1").select("node", "colour", "n"))
+        whole = whole.unionAll(part.join(_large(part.groupBy("colour").agg(F.count("*").alias("n")), most), "colour").where("n > 1").select("node", "colour", "n"))
     names = whole.groupBy("colour").agg(F.min("node").alias("cycle"))
-    longer = whole.join(names, "colour").select(F.col("node").alias("path"), "cycle", F.col("n").cast("long").alias("n_files"))
-    single = alone.join(longer.select("path"), "path", "left_anti").select("path", F.col("path").alias("cycle"), F.lit(1).cast("long").alias("n_files"))
+    longer = whole.join(_large(names, most), "colour").select(F.col("node").alias("path"), "cycle", F.col("n").cast("long").alias("n_files"))
+    single = alone.join(_large(longer.select("path"), most), "path", "left_anti").select("path", F.col("path").alias("cycle"), F.lit(1).cast("long").alias("n_files"))
     return longer.unionAll(single)
 
 
@@ -83,11 +98,12 @@ def reached(files: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int
     """
     state = ["path", "constraint_only"]
     known = stored(files.select("path").distinct(), "files")
+    most = known.count()
     steps = stored(edges.select("path", "target", F.coalesce("constraint_only", F.lit(False)).alias("__only")).where("target IS NOT NULL").distinct(), "includes")
-    seen = fresh = stored(roots.select("path").distinct().join(known, "path", "left_semi").select("path", F.lit(False).alias("constraint_only"), F.lit(0).cast("long").alias("depth")), "reached")
+    seen = fresh = stored(roots.select("path").distinct().join(_large(known, most), "path", "left_semi").select("path", F.lit(False).alias("constraint_only"), F.lit(0).cast("long").alias("depth")), "reached")
     for depth in range(1, max_depth + 1):
-        step = fresh.join(steps, "path").select(F.col("target").alias("path"), (F.col("constraint_only") | F.col("__only")).alias("constraint_only")).distinct()
-        fresh = stored(step.join(known, "path", "left_semi").join(seen, state, "left_anti").select(*state, F.lit(depth).cast("long").alias("depth")), "reached")
+        step = _fresh(fresh, fresh.count()).join(steps, "path").select(F.col("target").alias("path"), (F.col("constraint_only") | F.col("__only")).alias("constraint_only")).distinct()
+        fresh = stored(step.join(_large(known, most), "path", "left_semi").join(_large(seen, most), state, "left_anti").select(*state, F.lit(depth).cast("long").alias("depth")), "reached")
         if fresh.isEmpty():
             break
         seen = seen.unionAll(fresh)
@@ -106,4 +122,4 @@ def as_read(records: DataFrame, states: DataFrame) -> DataFrame:
         "constraint": F.when(only, F.coalesce(pin, "constraint")).otherwise(F.col("constraint")), "version": F.when(~only, F.col("version")),
         "version_kind": F.when(only, "CONSTRAINT").otherwise(F.col("version_kind")), "directness": F.when(only, "UNKNOWN").otherwise(F.col("directness")),
     }
-    return records.join(states.select("path", "constraint_only").distinct(), "path").select(*(changed.get(c, F.col(c)).alias(c) for c in records.columns), "constraint_only")
+    return records.join(states.select("path", "constraint_only").distinct().hint("merge"), "path").select(*(changed.get(c, F.col(c)).alias(c) for c in records.columns), "constraint_only")

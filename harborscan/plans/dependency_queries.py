@@ -157,7 +157,7 @@ e AS (SELECT path, lead(path) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER
 
 def _include_lines(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 150000")
-    m = o.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    m = o.join(table(spark, sf_dir, "customer").hint("merge"), F.col("o_custkey") == F.col("c_custkey"))  # millions of rows in few bytes
     path = F.concat(F.lit("req/"), F.col("c_custkey").cast("string"), F.lit(".txt"))
     follow = F.lead(path).over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("o_orderdate", "o_orderkey"))
     return m.select(path.alias("path"), follow.alias("target"), (F.col("o_orderstatus") == "F").alias("constraint_only"))

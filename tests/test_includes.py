@@ -52,3 +52,21 @@ def test_constraints_files(spark):
     records = spark.createDataFrame([("b", "p", "1.0", "EXACT", "DIRECT", None), ("b", "q", None, "CONSTRAINT", "DIRECT", ">2"), ("d", "z", "1", "EXACT", "DIRECT", None), ("c", "r", "3", "EXACT", "DIRECT", None)], "path string, name string, version string, version_kind string, directness string, constraint string")
     got = {tuple(r) for r in includes.as_read(records, states).collect()}
     assert got == {("b", "p", None, "CONSTRAINT", "UNKNOWN", "==1.0", True), ("b", "q", None, "CONSTRAINT", "UNKNOWN", ">2", True), ("c", "r", "3", "EXACT", "DIRECT", None, False), ("c", "r", None, "CONSTRAINT", "UNKNOWN", "==3", True)}
+
+
+def test_no_table_of_unbounded_size_is_sent_to_all_tasks(spark, monkeypatch):
+    """Where no number of rows may be sent, no join of the walks is a broadcast, however small its tables look."""
+    monkeypatch.setattr(includes, "FEW", -1)
+    plans, kept = [], includes.stored
+
+    def stored(df, what):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, what)
+
+    monkeypatch.setattr(includes, "stored", stored)
+    edges = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("s", "s")]
+    assert found(spark, edges) == naive(edges)
+    rows = spark.createDataFrame([(p, t, p == "b") for p, t in edges], "path string, target string, constraint_only boolean")
+    made = includes.reached(rows.select("path"), rows, rows.where("path = 'a'").select("path"))
+    assert {(r.path, r.constraint_only, r.depth) for r in made.collect()} == {("a", False, 0), ("b", False, 1), ("a", True, 2), ("c", True, 2), ("b", True, 3), ("d", True, 3)}
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
