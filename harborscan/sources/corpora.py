@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from harborscan.functions.scratch import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -142,7 +144,7 @@ LOG_LINES_SQL = """log_pieces AS (
 def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: a project's files, one for each order: settings, tests, scripts, generated keys, deployments whose name
     holds their token, binaries, installed packages and notes with private keys."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), F.md5(F.col("o_orderkey").cast("string")).alias("h"))
+    o = dealt(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(F.col("o_orderkey").alias("n"), F.md5(F.col("o_orderkey").cast("string")).alias("h"))
     n, h, k, g = F.col("n").cast("string"), F.col("h"), F.col("n") % 8, F.floor(F.col("n") / 8)
     value, token = F.concat(F.lit("Aa9_"), F.substring("h", 1, 16)), F.concat(F.lit("ghp_"), h, F.substring("h", 1, 4))
     odd = g % 2 == 1

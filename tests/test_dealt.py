@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from harborscan.functions.scratch import dealt
 from harborscan.plans import code_queries, gate_queries
+from harborscan.sources.corpora import project_files
 
 
 def test_tasks_follow_rows(spark):
@@ -14,7 +15,7 @@ def test_tasks_follow_rows(spark):
     assert dealt(rows.where("id < 0"), "id").count() == 0
 
 
-@pytest.mark.parametrize("made", [gate_queries.reports, code_queries.python_files])
-def test_customers_are_many_tasks_work(spark, made):
-    rows = made(spark, "/root/testdata/sf0.1")  # 15,000 customers in one small file
-    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == 3
+@pytest.mark.parametrize("made, tasks", [(gate_queries.reports, 3), (code_queries.python_files, 3), (project_files, 8)])
+def test_small_files_are_many_tasks_work(spark, made, tasks):
+    rows = made(spark, "/root/testdata/sf0.1")  # 15,000 customers, 150,000 orders: a small file each
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == tasks
