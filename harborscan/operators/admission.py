@@ -83,8 +83,8 @@ def graph(findings: DataFrame, **budgets: int) -> Graph:
     """The graph of findings (one row a fingerprint) within the budgets, of which any may be given."""
     b = BUDGETS | budgets
     counted = running_total(findings, ["fingerprint"], F.lit(1), "__place")
-    f = counted.where(F.col("__place") <= b["max_findings"]).drop("__place")
-    too_many = counted.agg((F.max("__place") > b["max_findings"]).alias("hit"))
+    over_findings = counted.count() > b["max_findings"]
+    f = (counted.where(F.col("__place") <= b["max_findings"]) if over_findings else counted).drop("__place")  # places only where some are beyond
     added = stored(additions(f), "additions")
     nodes = _placed(added.where("src IS NULL"), "node_id", ["kind"])
     edges = _placed(added.where("src IS NOT NULL"), "edge_id", _EDGE)
@@ -95,7 +95,6 @@ def graph(findings: DataFrame, **budgets: int) -> Graph:
     at = F.struct("fingerprint", "step")
     nodes = nodes.where((F.col("place") <= b["max_nodes"]) & (F.lit(e is None) | (F.col("fingerprint") <= F.lit(e and e[0])))).select("node_id", "kind", "place")
     edges = edges.where((F.col("place") <= b["max_edges"]) & (F.lit(True) if n is None else at < F.struct(F.lit(n[0]).alias("fingerprint"), F.lit(n[1]).alias("step")))).select("edge_id", *_EDGE, F.col("place").cast("long").alias("place"))
-    over_findings = bool(counted.agg(F.max("__place") > b["max_findings"]).first()[0])
     ended = {"CORRELATION_FINDING_LIMIT": over_findings, "CORRELATION_NODE_LIMIT": n is not None, "CORRELATION_EDGE_LIMIT": e is not None, "CORRELATION_BUCKET_LIMIT": False, "CORRELATION_PATH_LIMIT": False}
     paths = correlation.attack_paths(f).withColumn("place", F.lit(0).cast("long"))
     if any(ended.values()):
