@@ -27,12 +27,16 @@ from harborscan.operators.secret_rules import ASSIGNMENT_KEY, CANDIDATE, CONTEXT
 #: Characters of context on each side, and in bytes; the blanks from which a line is incomplete; bytes of a chunk.
 LEFT, RIGHT, GAP = 64, 8704, 4096
 LEFT_BYTES, RIGHT_BYTES, CHUNK_BYTES = 4 * LEFT, 4 * RIGHT, 1 << 17
+#: Characters that expressions look ahead from where they begin: words and tokens, connections, three-part tokens; and an
+#: assignment beside whose chunk no SHORT_GAP blanks follow each other.
+WORD_REACH, CONNECTION_REACH, JWT_REACH, ASSIGNMENT_REACH, SHORT_GAP = 192, 512, 2688, 1024, 256
 #: Chunks that one part of a line's chunks holds, where sums go on from part to part.
 PART_CHUNKS = 1 << 10
 EXAMPLE = r"(?iU)\b(?:example|sample|placeholder|documentation)\b"
 #: The expressions with bounded blanks; all others are bounded as they are.
 ASSIGNMENT = rules.ASSIGNMENT.replace(r"\s*", rf"\s{{0,{GAP - 1}}}")
 UNBOUNDED = rf"(?iU)(?<![\w-])(?:{ASSIGNMENT_KEY})[\"']?(?:\s{{{GAP}}}|\s{{0,{GAP - 1}}}(?::|=)\s{{{GAP}}})"
+_NO_SPANS = lambda: F.array().cast("array<struct<start:int,end:int,value:string>>")
 _FOUND = "array<struct<rule:int,start:int,end:int,c:struct<rule_id:string,label:string,start:int,end:int,severity:string,confidence:string,priority:int,value_length:int>>>"
 
 
@@ -49,17 +53,25 @@ def windows(lines: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     at = F.col("chunk") * size
     placed = begins.withColumns({"first": cut(at), "last": cut(F.least(at + size, "n")), "low": cut(F.greatest(at - LEFT_BYTES, F.lit(0))), "high": cut(F.least(at + size + RIGHT_BYTES, "n"))})
     part = lambda a, b: F.substring("b", F.col(a) + 1, F.col(b) - F.col(a)).cast("string")
-    made = placed.select("path", "line", F.col("chunk").cast("long").alias("chunk"), F.length(part("low", "first")).alias("lead"), F.length(part("first", "last")).alias("own"), part("low", "high").alias("text"))
+    lead, own = F.length(part("low", "first")), F.length(part("first", "last"))
+    made = placed.select("path", "line", F.col("chunk").cast("long").alias("chunk"), lead.alias("lead"), own.alias("own"), F.substring(part("low", "high"), F.lit(1), lead + own + RIGHT).alias("text"))
     return made.repartition("path", "line", "chunk")
 
 
 def found_in(made: DataFrame) -> DataFrame:
     """What each window holds, without any text: path, line, chunk, own, flags of the line, its first key mark and last end
-    mark, and spans (rule, start, end, and the candidate if its value passes), counted from the chunk's begin."""
+    mark, and spans (rule, start, end, and the candidate if its value passes), counted from the chunk's begin.
+
+    Of the text after a chunk each expression is shown what it can look at, as most need far less of it than the longest."""
     text, lead, own = F.col("text"), F.col("lead"), F.col("own")
     mine = lambda spans: F.filter(spans, lambda s: (s["start"] >= lead) & (s["start"] < lead + own))
-    has = lambda pattern: F.size(mine(possible_spans(text, pattern))) > 0
-    begins, ends = mine(possible_spans(text, PEM_BEGIN)), mine(possible_spans(text, PEM_END))
+    until = lambda reach: F.substring(text, F.lit(1), lead + own + reach)
+    has = lambda pattern, shown: F.size(mine(possible_spans(shown, pattern))) > 0
+    words = until(WORD_REACH)
+    digits = F.when(words.rlike(r"(?iU)sha\d{100}"), text).otherwise(words)  # the one expression that any run of digits may follow
+    blank = rf"(?U)\s{{{SHORT_GAP}}}"
+    assignments = F.when(F.substring(text, lead + own + 1, F.lit(ASSIGNMENT_REACH)).rlike(blank), text).otherwise(until(ASSIGNMENT_REACH))
+    begins, ends = (F.when(words.contains("-----"), mine(possible_spans(words, mark))).otherwise(_NO_SPANS()) for mark in (PEM_BEGIN, PEM_END))
     place = lambda s, field: (s[field] - lead).cast("long")
 
     def near(s: Column) -> Column:
@@ -78,18 +90,20 @@ def found_in(made: DataFrame) -> DataFrame:
         part = rules.assignment_part(F.struct((s["start"] - s["start"]).alias("start"), (s["end"] - s["start"]).alias("end"), s["value"].alias("value")))
         return F.get(rules.rated_assignments(rules.looked_up_apart(F.array(part)), F.lit(False)).cast(CANDIDATE), F.lit(0))
 
-    detectors = [("(?U)" + p[2], of_value(rules.provider_candidates)) for p in rules.PROVIDERS]
-    detectors += [(rules.CONNECTION, of_value(rules.connection_candidates)), (rules.JWT, of_value(rules.jwt_candidates)), (ASSIGNMENT, assigned), (rules.ENTROPY_VALUE, entropy_candidate)]
+    three = F.when(until(JWT_REACH).contains("."), until(JWT_REACH)).otherwise("")
+    detectors = [("(?U)" + p[2], words, of_value(rules.provider_candidates)) for p in rules.PROVIDERS]
+    detectors += [(rules.CONNECTION, until(CONNECTION_REACH), of_value(rules.connection_candidates)), (rules.JWT, three, of_value(rules.jwt_candidates)), (ASSIGNMENT, assignments, assigned), (rules.ENTROPY_VALUE, words, entropy_candidate)]
 
-    def told(number: int, pattern: str, judged: Callable[[Column], Column]) -> Column:
+    def told(number: int, pattern: str, shown: Column, judged: Callable[[Column], Column]) -> Column:
         one = lambda s: F.struct(F.lit(number).alias("rule"), place(s, "start").cast("int").alias("start"), place(s, "end").cast("int").alias("end"), judged(s).alias("c")).cast(_FOUND[len("array<") : -1])
-        return F.transform(mine(possible_spans(text, pattern)), one)
+        return F.transform(mine(possible_spans(shown, pattern)), one)
 
     parts = [told(number, *d) for number, d in enumerate(detectors)]
-    spans = F.when(text.rlike(LIKELY), F.concat(*parts)).otherwise(F.array().cast(_FOUND))
+    spans = F.when(until(JWT_REACH).rlike(LIKELY), F.concat(*parts)).otherwise(F.array().cast(_FOUND))
+    gap = F.when(text.rlike(rf"(?U)\s{{{GAP}}}"), has(UNBOUNDED, text)).otherwise(False)
     first = F.get(begins, F.lit(0))
     return made.select(
-        "path", "line", "chunk", F.col("own").cast("long").alias("own"), has(HASH_CONTEXT).alias("hash"), has(EXAMPLE).alias("example"), has(CONTEXT).alias("context"), has(UNBOUNDED).alias("gap"),
+        "path", "line", "chunk", F.col("own").cast("long").alias("own"), has(HASH_CONTEXT, digits).alias("hash"), has(EXAMPLE, words).alias("example"), has(CONTEXT, words).alias("context"), gap.alias("gap"),
         place(first, "start").alias("begin"), place(first, "end").alias("begin_end"), F.when(F.size(ends) > 0, place(F.get(ends, F.size(ends) - 1), "start")).alias("end_mark"),
         spans.alias("spans"),
     )
