@@ -143,6 +143,12 @@ def anchored(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi").dropDuplicates(["edge_id"])
 
 
+def anchored_entity_edges(findings: DataFrame) -> DataFrame:
+    """The entity edges both of whose ends are entity nodes of the same findings. Each end that has a name is one, as an
+    edge's condition holds its nodes' conditions: so no edge meets the table of nodes, and edges are dealt once."""
+    return entity_edges(findings).where("src IS NOT NULL AND dst IS NOT NULL")
+
+
 def supports(findings: DataFrame) -> DataFrame:
     """Behaviours that agree with a vulnerability on its line, and general ones with special ones on their column."""
     keys = ["path", "line"]

@@ -172,7 +172,7 @@ def graph_nodes_all_kinds(spark, sf_dir):
 @query(f"WITH {_RICH_SQL}, {_EDGES_SQL} SELECT edge_id, edge_type, src, dst, rule FROM ed")
 def graph_edges_all_kinds(spark, sf_dir):
     f = scan_queries.stored(rich_findings(spark, sf_dir), "findings")
-    return correlation.anchored(correlation.entity_edges(f), correlation.entity_nodes(f)).select("edge_id", "edge_type", "src", "dst", "rule")
+    return correlation.anchored_entity_edges(f).select("edge_id", "edge_type", "src", "dst", "rule")
 
 
 _USE_SQL = """use0 AS (SELECT DISTINCT least('f:' || a.fingerprint, 'f:' || b.fingerprint) AS src, greatest('f:' || a.fingerprint, 'f:' || b.fingerprint) AS dst FROM rich a JOIN rich b ON lower(a.package) = lower(b.import_name) WHERE a.package IS NOT NULL AND b.import_name IS NOT NULL)"""
