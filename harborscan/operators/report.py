@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harborscan.functions.exprs import CONFIDENCES, SEVERITIES, rank, redact_path
+from harborscan.functions.scratch import stored
 from harborscan.operators.discovery import tagged_as_test
 
 STATES = ["DISABLED", "COMPLETE", "PARTIAL", "ABORTED", "FAILED"]
@@ -140,10 +141,14 @@ def report_view(findings: DataFrame, members: DataFrame, priorities: DataFrame,
 
 
 def report_document(assessed: DataFrame, state: DataFrame, most: int = 1000) -> DataFrame:
-    """The report as one JSON row: counts over all findings, the first ``most`` of them, coverage and truncation."""
+    """The report as one JSON row: counts over all findings, the first ``most`` of them, coverage and truncation.
+
+    The findings' assessments are stored once: four parts of the report read them."""
+    columns = ["fingerprint", "rule_id", "path", "line", "severity", "confidence", "priority"]
+    assessed = stored(assessed.select(*columns), "assessed")
     dense = severity_counts(assessed).agg(F.sort_array(F.collect_list(F.struct("severity", "n"))).alias("severity"))
     by_priority = assessed.groupBy("priority").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("priority", "n"))).alias("risk_priority"))
-    view = F.struct("fingerprint", "rule_id", "path", "line", "severity", "confidence", "priority")
+    view = F.struct(*columns)
     first = assessed.orderBy("fingerprint", "rule_id", "path").limit(most).agg(F.sort_array(F.collect_list(view)).alias("findings"))  # bounded by most
     total = assessed.agg(F.count("*").alias("n"))
     row = total.join(F.broadcast(dense)).join(F.broadcast(by_priority)).join(F.broadcast(first)).join(F.broadcast(state.select("overall")))  # one row each
