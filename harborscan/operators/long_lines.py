@@ -69,7 +69,7 @@ def found_in(made: DataFrame) -> DataFrame:
     has = lambda pattern, shown: F.size(mine(possible_spans(shown, pattern))) > 0
     words = until(WORD_REACH)
     digits = F.when(words.rlike(r"(?iU)sha\d{100}"), text).otherwise(words)  # the one expression that any run of digits may follow
-    blank = rf"(?U)\s{{{SHORT_GAP}}}"
+    blank = rf"(?U)(?<!\s)\s{{{SHORT_GAP}}}"  # looked for where blanks begin only
     assignments = F.when(F.substring(text, lead + own + 1, F.lit(ASSIGNMENT_REACH)).rlike(blank), text).otherwise(until(ASSIGNMENT_REACH))
     begins, ends = (F.when(words.contains("-----"), mine(possible_spans(words, mark))).otherwise(_NO_SPANS()) for mark in (PEM_BEGIN, PEM_END))
     place = lambda s, field: (s[field] - lead).cast("long")
@@ -100,7 +100,7 @@ def found_in(made: DataFrame) -> DataFrame:
 
     parts = [told(number, *d) for number, d in enumerate(detectors)]
     spans = F.when(until(JWT_REACH).rlike(LIKELY), F.concat(*parts)).otherwise(F.array().cast(_FOUND))
-    gap = F.when(text.rlike(rf"(?U)\s{{{GAP}}}"), has(UNBOUNDED, text)).otherwise(False)
+    gap = F.when(text.rlike(rf"(?U)(?<!\s)\s{{{GAP}}}"), has(UNBOUNDED, text)).otherwise(False)
     first = F.get(begins, F.lit(0))
     return made.select(
         "path", "line", "chunk", F.col("own").cast("long").alias("own"), has(HASH_CONTEXT, digits).alias("hash"), has(EXAMPLE, words).alias("example"), has(CONTEXT, words).alias("context"), gap.alias("gap"),

@@ -88,18 +88,21 @@ def grown(parts: DataFrame, chunk: int = 1 << 16, left: int = LEFT, right: int =
 
         def handleInputRows(self, key, rows, timerValues):
             seq, *at = self.reached.get() if self.reached.exists() else (0, 1, 0, 0, "")
-            for row in rows:
-                if row.seq != seq:
-                    if row.seq > seq:  # one that was seen before says nothing new
-                        self.early.updateValue((row.seq,), (row.text or "", bool(row.last)))
-                    continue
-                part = (row.text or "", bool(row.last))
-                while part:
-                    at, done = yield from self._taken(key[0], at, *part)
-                    seq += 1
-                    part = tuple(self.early.getValue((seq,))) if self.early.exists() and self.early.containsKey((seq,)) else None
-                    if part:
-                        self.early.removeKey((seq,))
+            waiting = self.early.exists()
+            while some := sorted(islice(rows, 1000), key=lambda row: row.seq):  # in turn they need no state of their own
+                for row in some:
+                    if row.seq != seq:
+                        if row.seq > seq:  # one that was seen before says nothing new
+                            self.early.updateValue((row.seq,), (row.text or "", bool(row.last)))
+                            waiting = True
+                        continue
+                    part = (row.text or "", bool(row.last))
+                    while part:
+                        at, done = yield from self._taken(key[0], at, *part)
+                        seq += 1
+                        part = self.early.getValue((seq,)) if waiting else None
+                        if part:
+                            self.early.removeKey((seq,))
             self.reached.update((seq, *at))
             if self.idle_ms:
                 for timer in self.handle.listTimers():
