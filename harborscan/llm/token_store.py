@@ -28,8 +28,8 @@ MAGIC = b"FWB1"
 BLOCK_IDS = 4096
 #: A segment is closed once it has as many ids.
 SEGMENT_IDS = 1 << 18
-#: Chunks of text whose ids a worker remembers.
-CACHE_CHUNKS = 300_000
+#: Chunks of text, and words without their marks, whose ids a worker remembers.
+CACHE_CHUNKS, CACHE_STEMS = 300_000, 400_000
 
 
 def width_of(vocabulary: int) -> int:
@@ -103,7 +103,8 @@ class ChunkEncoder:
         self.stems: dict[str, bytes] = {}
 
     def _letters(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SPELLING))]).tobytes()
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELLING)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -136,7 +137,9 @@ class ChunkEncoder:
             return [x + self.end for x in self._whole(plain)]
         cut = [t.replace("\n", " ").split(" ") for t in plain]
         if len(self.known) > CACHE_CHUNKS:  # the elder half goes, but for what is met again
-            self.known, self.older, self.stems = {}, self.known, {}
+            self.known, self.older = {}, self.known
+            if len(self.stems) > CACHE_STEMS:
+                self.stems = {}
         names = set().union(*cut)
         names.discard("")
         fresh = []
