@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from harborscan.llm.common import documents, map_arrow, stored
+from harborscan.llm.common import documents, map_arrow, release, stored
 
 #: Words that a task numbers before it starts anew.
 MAX_WORDS = 400_000
@@ -261,6 +261,7 @@ def frequent(docs: DataFrame, vocabulary: Vocabulary, pattern: str) -> tuple[byt
 
     top = map_arrow(some, count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "word").limit(FREQUENT_WORDS).select("word")
     top = stored(top.repartition(8), "words")  # the plan with the vocabulary in it has one stage only
+    release(docs.sparkSession)
     known = vocabulary.known
 
     def cut(batches):
@@ -292,6 +293,7 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, sch
     vocabulary = Vocabulary(spark, ranks)
     known = vocabulary.known
     sent, mark = spark.sparkContext.broadcast(frequent(docs, vocabulary, pattern)), uuid.uuid4().hex  # at most FREQUENT_WORDS words of 64 letters
+    release(spark)  # the plan of the frequent words, before a second one with the vocabulary in it
 
     def cut(batches):
         split, numbers, parts = regex.compile(pattern).findall, None, None

@@ -40,7 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from harborscan.llm.common import Tables, documents, map_arrow, release, small_batches
+from harborscan.llm.common import Tables, documents, map_arrow, small_batches
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers: intersection * SIMILAR[1] >= union * SIMILAR[0].
@@ -531,7 +531,6 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranges = int(max(spark.sparkContext.defaultParallelism, -(-total // RANGE_POSTINGS)))
     found = tables.put("lists", lists(postings(docs, sketch, ranges).repartition(ranges, "range")))
     sketch.destroy()
-    release(spark)
     first = tables.put("first", first_candidates(found.distinct()).distinct())
 
     def spread(batches):
@@ -549,7 +548,6 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = tables.put("named", rows.groupBy("node").agg(*(f(c).alias(c) for c, f in (("doc_id", F.min), ("short", F.max), ("n", F.max), ("signature", F.max), ("sign", F.max), ("orders", F.max), ("text", F.max)))))
     members = tables.put("members", members.select("doc_id", "node", "n"))
     tables.drop("sets", "ends")
-    release(spark)
     pairs = tables.put("pairs", screened(first, named, "short"))
     tables.drop("first")
     left = waiting.join(named.select("short", "node"), "short").select("id", "node")
@@ -557,13 +555,11 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = named.where("doc_id IS NOT NULL").select("node", "doc_id").join(used, "node", "left_semi")
     keyed = only_wanted(documents(docs), "doc_id", wanted).join(wanted.hint("merge"), "doc_id").select("node", "text")
     texts = tables.put("texts", keyed.unionAll(named.where("doc_id IS NULL").select("node", "text")), "zstd")
-    release(spark)
     roots, now, hubs = None, "left", 64
 
     def joined(pairs: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
         """The components after pairs are verified. What earlier rounds linked stands in their roots."""
         more = tables.put("links", verified(pairs, texts))
-        release(spark)
         if roots is not None:
             more = more.unionAll(roots.toDF("a", "b"))
         roots = components(more, tables, name)
