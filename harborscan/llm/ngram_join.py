@@ -7,7 +7,8 @@ n - ceil(t n) + 1 tokens of each, whatever the global order:
 * The first order puts rare tokens first, by a sketch of fixed size over all documents: it counts the tokens that repeat
   within a batch of a task, so that only what may be frequent travels. Each prefix token is a posting; postings are
   packed into arrays for each token range and batch of documents, and dealt by range. A posting names its node by 64
-  bits: nodes that share them are candidates alike.
+  bits: nodes that share them are candidates alike. It also tells where the token stands in its node's order: two sets
+  have no more in common than follows from their first common token on, so pairs that only later tokens join are none.
 * The further orders are plain hash orders. Each node carries its prefixes under them, 16 bits a token. A candidate
   pair whose prefixes share none under one of the orders goes before any text is read: the filters are intersected.
 
@@ -55,8 +56,10 @@ SMALL_LIST = 8
 RANGE_POSTINGS = 1_000_000
 BATCH_POSTINGS = 300_000
 #: Members that are compared with one hub in one group, nodes of a list that are compared with its hubs in one group,
-#: nodes in one row of a list.
-HUB_SHARE, LIST_SHARE, LIST_ROW = 2000, 2000, 8192
+#: rows of pairs or of a list that are handed on at once.
+HUB_SHARE, LIST_SHARE, LIST_ROWS = 2000, 2000, 8192
+#: Sizes in postings stop here.
+MOST_SIZE = 65535
 #: Bits of the map that says which keys are wanted: 4 MB whatever the input; full maps let more rows through.
 WANTED_BITS = 1 << 25
 #: Names that a task remembers as seen.
@@ -219,33 +222,43 @@ def sets(docs: DataFrame, tables: Tables) -> tuple[DataFrame, np.ndarray]:
     return both.where("slice IS NULL").drop("slice", "sketch"), merged.ravel()
 
 
-def _rarity(tokens: np.ndarray, sketch: np.ndarray, salt: int = 0) -> np.ndarray:
+def _rarity(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """Sort keys, rare tokens first; equal counts by a hash."""
     counts = sketch[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]
-    return (counts.astype(np.uint64) << np.uint64(32)) | (_mix(tokens, salt) >> np.uint64(32))
+    return (counts.astype(np.uint64) << np.uint64(56)) | (_mix(tokens) >> np.uint64(8))
 
 
-def prefix(tokens: np.ndarray, sketch: np.ndarray, salt: int = 0) -> np.ndarray:
-    return tokens[_smallest(_rarity(tokens, sketch, salt), prefix_length(len(tokens)))]
+def prefix(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The first tokens of a set in their order."""
+    keys = _rarity(tokens, sketch)
+    first = _smallest(keys, prefix_length(len(tokens)))
+    return tokens[first[np.argsort(keys[first])]]
+
+
+def places(n: int) -> np.ndarray:
+    """Where each prefix token of a set of n stands, in thousandths of n, rounded down; 0 where n is not kept whole."""
+    return (np.arange(prefix_length(n)) * (1000 if n < MOST_SIZE else 0) // n).astype(np.uint8)
 
 
 def postings(docs: DataFrame, sketch, ranges: int) -> DataFrame:
-    """For each token range and batch of documents: five bytes of each token, its node and its size (two bytes, at most 65535).
+    """For each token range and batch of documents: five bytes of each token, its node, its size (two bytes) and its place
+    in that node (one byte).
 
-    Tokens are cut to 40 bits besides their range, and sizes stop at 65535: both only let more candidates through.
+    Tokens are cut to 40 bits besides their range, sizes stop at MOST_SIZE: both only let more candidates through.
     """
 
     def flush(held: list):
         length = [len(h[0]) for h in held]
         tokens = np.concatenate([h[0] for h in held])
         nodes = np.repeat(np.array([short(h[1]) for h in held], np.int64), length)
-        sizes = np.repeat(np.minimum([h[2] for h in held], 65535).astype(np.uint16), length)
+        sizes = np.repeat(np.minimum([h[2] for h in held], MOST_SIZE).astype(np.uint16), length)
+        stands = np.concatenate([places(h[2]) for h in held])
         where = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         order = np.argsort(where, kind="stable")
         cuts = np.flatnonzero(np.diff(where[order].astype(np.int64), prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
             part = order[a:b]
-            yield {"range": [int(where[part[0]])], "tokens": [np.ascontiguousarray(tokens[part].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()], "nodes": [nodes[part].tobytes()], "sizes": [sizes[part].tobytes()]}
+            yield {"range": [int(where[part[0]])], "tokens": [np.ascontiguousarray(tokens[part].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()], "nodes": [nodes[part].tobytes()], "sizes": [sizes[part].tobytes()], "places": [stands[part].tobytes()]}
 
     def each(batches):
         held, size, seen = [], 0, set()
@@ -267,92 +280,110 @@ def postings(docs: DataFrame, sketch, ranges: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return map_arrow(documents(docs), each, "range int, tokens binary, nodes binary, sizes binary")
+    return map_arrow(documents(docs), each, "range int, tokens binary, nodes binary, sizes binary, places binary")
+
+
+def reaches(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows (node, size, place) of one token: weight and reach. Two of them may be similar with this as their first
+    common token if neither's weight is beyond the other's reach.
 
+    What two sets have in common is no more than either has from that token on, and must be SIMILAR[0] / (SIMILAR[0] +
+    SIMILAR[1]) of both sizes.
+    """
+    weight = 1000 * SIMILAR[0] * meta[:, 1]
+    return weight, (SIMILAR[0] + SIMILAR[1]) * meta[:, 1] * (1000 - meta[:, 2]) - weight
+
+
+def partnered(weight: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which rows of one token may be similar to another one of them."""
+    order = np.argsort(weight, kind="stable")
+    w, r = weight[order], reach[order]
+    best = np.maximum.accumulate(r)
+    second = np.concatenate([[-1], np.maximum.accumulate(np.minimum(r[1:], best[:-1]))])
+    upto = np.searchsorted(w, r, side="right") - 1  # the last that the row reaches
+    other = np.where((np.arange(len(w)) <= upto) & (r == best[upto]), second[upto], best[upto])
+    out = np.zeros(len(w), bool)
+    out[order] = (upto >= 0) & (other >= w)
+    return out
 
-def _lists_of(tokens: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
-    """Distinct lists of two or more nodes with a common token, in order of size; the hub first in long ones."""
-    order = np.lexsort((meta[:, 0], tokens))
+
+def _pairs_of(meta: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Candidate pairs (node, node) of several lists of one length: rows has a list's rows of meta in each line."""
+    weight, reach = reaches(meta)
+    out = [np.zeros((0, 2), np.int64)]
+    for i in range(rows.shape[1]):
+        for j in range(i + 1, rows.shape[1]):
+            a, b = rows[:, i], rows[:, j]
+            ok = (weight[a] <= reach[b]) & (weight[b] <= reach[a])
+            out.append(np.column_stack([meta[a[ok], 0], meta[b[ok], 0]]))
+    return np.concatenate(out)
+
+
+def _lists_of(tokens: np.ndarray, meta: np.ndarray, small: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct candidate pairs of the lists of up to ``small`` nodes (node, size, place) with a common token and of each
+    longer list's hub, and the nodes of the longer lists, the hub first."""
+    order = np.lexsort((meta[:, 2], meta[:, 0], tokens))
     tokens, meta = tokens[order], meta[order]
     fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (meta[1:, 0] != meta[:-1, 0])])
     tokens, meta = tokens[fresh], meta[fresh]
     start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
     length = np.diff(np.append(start, len(tokens)))
-    distinct: dict[bytes, tuple[int, int]] = {}
-    for k in np.flatnonzero(length > 1):
-        distinct.setdefault(meta[start[k] : start[k] + length[k], 0].tobytes(), (start[k], length[k]))
-    weight: Counter[int] = Counter()
-    for a, n in distinct.values():
-        if n > SMALL_LIST:
-            weight.update(meta[a : a + n, 0].tolist())
-    out = []
-    for a, n in distinct.values():
+    pairs = [np.zeros((0, 2), np.int64), *(_pairs_of(meta, start[length == n][:, None] + np.arange(n)) for n in range(2, small + 1))]
+    distinct: dict[bytes, np.ndarray] = {}
+    for a, n in zip(start[length > small], length[length > small], strict=True):
         rows = meta[a : a + n]
-        if n > SMALL_LIST:
-            w = np.array([weight[x] for x in rows[:, 0].tolist()])
-            rows = rows[np.lexsort((rows[:, 0], -w))]
-        out.append(rows)
-    return out
+        known = distinct.setdefault(rows[:, 0].tobytes(), rows)
+        if known is not rows:  # the same nodes at another token: the first place counts
+            known[:, 2] = np.minimum(known[:, 2], rows[:, 2])
+    long, weight = [], Counter()
+    for rows in distinct.values():
+        rows = rows[partnered(*reaches(rows))]
+        if len(rows) > small:
+            long.append(rows)
+            weight.update(rows[:, 0].tolist())
+        elif len(rows) > 1:
+            pairs.append(_pairs_of(rows, np.arange(len(rows))[None]))
+    out = []
+    for rows in long:
+        hub = max(range(len(rows)), key=lambda k: weight[int(rows[k, 0])])
+        w, r = reaches(rows)
+        ok = (w <= r[hub]) & (w[hub] <= r)
+        ok[hub] = False
+        pairs.append(np.column_stack([np.full(ok.sum(), rows[hub, 0]), rows[ok, 0]]))
+        out.append(np.concatenate([rows[hub : hub + 1, 0], np.delete(rows[:, 0], hub)]))
+    return np.unique(np.concatenate(pairs), axis=0), out
 
 
 def lists(dealt: DataFrame) -> DataFrame:
-    """Lists of nodes that share a prefix token: id, the hub (node, size) and a row's nodes (node, size). A task holds its
-    ranges, of bounded size; a long list takes several rows."""
+    """What nodes that share a prefix token have to be compared, named by 64 bits. Rows of candidate pairs (hub, member):
+    all of short lists, the hub's of long ones. Rows of long lists (id, short): their other nodes. A task holds its ranges,
+    of bounded size."""
+    small = SMALL_LIST
 
     def each(batches):
         held = defaultdict(list)
         for b in batches:
-            for r, t, i, m in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                held[r].append((t, i, m))
+            for r, *x in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                held[r].append(x)
         for r in list(held):
             parts = held.pop(r)
-            cut = np.concatenate([np.frombuffer(t, np.uint8).reshape(-1, 5) for t, _, _ in parts])
+            cut = np.concatenate([np.frombuffer(x[0], np.uint8).reshape(-1, 5) for x in parts])
             tokens = np.zeros(len(cut), np.uint64)
             tokens.view(np.uint8).reshape(-1, 8)[:, :5] = cut
-            meta = np.column_stack([np.concatenate([np.frombuffer(n, np.int64) for _, n, _ in parts]), np.concatenate([np.frombuffer(z, np.uint16) for _, _, z in parts]).astype(np.int64)])
+            meta = np.column_stack([np.concatenate([np.frombuffer(x[k], kind) for x in parts]).astype(np.int64) for k, kind in ((1, np.int64), (2, np.uint16), (3, np.uint8))])
             del parts, cut
-            out = []
-            for rows in _lists_of(tokens, meta):
-                ident = xxhash.xxh3_64_intdigest(rows.tobytes()) >> 1
-                out += [(ident, len(rows), rows[0].tobytes(), rows[k : k + LIST_ROW].tobytes()) for k in range(0, len(rows), LIST_ROW)]
-            for k in range(0, len(out), 500):
-                yield dict(zip(("id", "size", "hub", "nodes"), map(list, zip(*out[k : k + 500], strict=True)), strict=True))
+            pairs, long = _lists_of(tokens, meta, small)
+            for k in range(0, len(pairs), LIST_ROWS):
+                p = pairs[k : k + LIST_ROWS]
+                yield {"hub": pa.array(p[:, 0]), "member": pa.array(p[:, 1]), "id": pa.nulls(len(p), pa.int64()), "short": pa.nulls(len(p), pa.int64())}
+            if long:
+                idents = np.repeat(np.array([xxhash.xxh3_64_intdigest(np.sort(x).tobytes()) >> 1 for x in long], np.int64), [len(x) - 1 for x in long])
+                names = np.concatenate([x[1:] for x in long])  # the hub's pairs are among the candidates
+                for k in range(0, len(names), LIST_ROWS):
+                    x = names[k : k + LIST_ROWS]
+                    yield {"hub": pa.nulls(len(x), pa.int64()), "member": pa.nulls(len(x), pa.int64()), "id": pa.array(idents[k : k + LIST_ROWS]), "short": pa.array(x)}
 
-    return map_arrow(dealt, each, "id long, size long, hub binary, nodes binary")
-
-
-def _pairs(rows: np.ndarray, hubs: int) -> np.ndarray:
-    """Candidate pairs of the first ``hubs`` rows (node, size) with all later rows of a size that may be similar."""
-    out = [np.zeros((0, 2), np.int64)]
-    for h in range(min(hubs, len(rows) - 1)):
-        rest, size = rows[h + 1 :], rows[h, 1]
-        ok = np.minimum(rest[:, 1], size) * SIMILAR[1] >= np.maximum(rest[:, 1], size) * SIMILAR[0]
-        out.append(np.column_stack([np.full(ok.sum(), rows[h, 0]), rest[ok, 0]]))
-    return np.concatenate(out)
-
-
-def _rows(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, np.int64).reshape(-1, 2)
-
-
-def first_candidates(found: DataFrame) -> DataFrame:
-    """hub, member (64 bits of both names): all candidates of short lists, the hub's of long ones."""
-
-    def each(batches):
-        for b in batches:
-            made = []
-            for size, hub, nodes in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                rows = _rows(nodes)
-                if size <= SMALL_LIST:
-                    made.append(_pairs(rows, len(rows)))
-                else:
-                    head = _rows(hub)
-                    made.append(_pairs(np.concatenate([head, rows[rows[:, 0] != head[0, 0]]]), 1))
-            if made:
-                p = np.unique(np.concatenate(made), axis=0)
-                yield {"hub": pa.array(p[:, 0]), "member": pa.array(p[:, 1])}
-
-    return map_arrow(found, each, "hub long, member long")
+    return map_arrow(dealt, each, "hub long, member long, id long, short long")
 
 
 def only_wanted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -531,20 +562,13 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranges = int(max(spark.sparkContext.defaultParallelism, -(-total // RANGE_POSTINGS)))
     found = tables.put("lists", lists(postings(docs, sketch, ranges).repartition(ranges, "range")))
     sketch.destroy()
-    first = tables.put("first", first_candidates(found.distinct()).distinct())
-
-    def spread(batches):
-        for b in batches:
-            for ident, hub, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                rows = _rows(x)[:, 0]
-                rows = rows[rows != _rows(hub)[0, 0]]  # the hub's pairs are among the first candidates
-                yield {"id": [ident] * len(rows), "short": pa.array(rows)}
-
-    waiting = tables.put("left", map_arrow(found.where(F.col("size") > SMALL_LIST).distinct(), spread, "id long, short long"))
+    first = tables.put("first", found.where("id IS NULL").select("hub", "member").distinct())
+    waiting = tables.put("left", found.where("id IS NOT NULL").select("id", "short").distinct())
     tables.drop("lists")
     # One row for each node that any round may compare, and its text, dealt once by joins that are the same at every size.
+    # The inner join keeps its place: a semi join would be pushed below the map, and deal all rows.
     ends = tables.put("ends", first.select(F.col("hub").alias("short")).unionAll(first.select("member")).unionAll(waiting.select("short")).distinct())
-    rows = only_wanted(members.where("signature IS NOT NULL"), "short", ends).join(ends.hint("merge"), "short", "left_semi")
+    rows = only_wanted(members.where("signature IS NOT NULL"), "short", ends).join(ends.hint("merge"), "short")
     named = tables.put("named", rows.groupBy("node").agg(*(f(c).alias(c) for c, f in (("doc_id", F.min), ("short", F.max), ("n", F.max), ("signature", F.max), ("sign", F.max), ("orders", F.max), ("text", F.max)))))
     members = tables.put("members", members.select("doc_id", "node", "n"))
     tables.drop("sets", "ends")
