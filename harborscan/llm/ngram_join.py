@@ -345,7 +345,8 @@ def _lists_of(tokens: np.ndarray, meta: np.ndarray, small: int) -> tuple[np.ndar
             pairs.append(_pairs_of(rows, np.arange(len(rows))[None]))
     out = []
     for rows in long:
-        hub = max(range(len(rows)), key=lambda k: weight[int(rows[k, 0])])
+        names = rows[:, 0].tolist()
+        hub = max(range(len(names)), key=[weight[x] for x in names].__getitem__)
         w, r = reaches(rows)
         ok = (w <= r[hub]) & (w[hub] <= r)
         ok[hub] = False
