@@ -200,6 +200,7 @@ def sets(docs: DataFrame, tables: Tables) -> tuple[DataFrame, np.ndarray]:
                 held, size = [], 0
         if held:
             yield repeated(held)
+        _WORDS.clear()
 
     both = tables.put("sets", map_arrow(documents(docs), each, "doc_id long, node binary, short long, n long, signature binary, sign binary, orders binary, text binary, slice int, sketch binary"))
     scaled = np.minimum(np.rint(16 * np.log2(np.arange(65536) + 1.0)), 255).astype(np.uint8)
@@ -279,6 +280,7 @@ def postings(docs: DataFrame, sketch, ranges: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from flush(held)
+        _WORDS.clear()
 
     return map_arrow(documents(docs), each, "range int, tokens binary, nodes binary, sizes binary, places binary")
 
@@ -355,6 +357,22 @@ def _lists_of(tokens: np.ndarray, meta: np.ndarray, small: int) -> tuple[np.ndar
     return np.unique(np.concatenate(pairs), axis=0), out
 
 
+def _shared(parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The postings (token; node, size, place) of one range whose token stands in several of them: most stand in one only,
+    and nothing else of those is unpacked."""
+    cut = np.concatenate([np.frombuffer(x[0], np.uint8).reshape(-1, 5) for x in parts])
+    tokens = np.zeros(len(cut), np.uint64)
+    tokens.view(np.uint8).reshape(-1, 8)[:, :5] = cut
+    del cut
+    order = np.argsort(tokens)
+    same = np.diff(tokens[order]) == 0
+    several = np.zeros(len(tokens), bool)
+    several[order[1:][same]] = several[order[:-1][same]] = True
+    del order, same
+    columns = (np.concatenate([np.frombuffer(x[k], kind) for x in parts])[several].astype(np.int64) for k, kind in ((1, np.int64), (2, np.uint16), (3, np.uint8)))
+    return tokens[several], np.column_stack(list(columns))
+
+
 def lists(dealt: DataFrame) -> DataFrame:
     """What nodes that share a prefix token have to be compared, named by 64 bits. Rows of candidate pairs (hub, member):
     all of short lists, the hub's of long ones. Rows of long lists (id, short): their other nodes. A task holds its ranges,
@@ -367,12 +385,9 @@ def lists(dealt: DataFrame) -> DataFrame:
             for r, *x in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 held[r].append(x)
         for r in list(held):
-            parts = held.pop(r)
-            cut = np.concatenate([np.frombuffer(x[0], np.uint8).reshape(-1, 5) for x in parts])
-            tokens = np.zeros(len(cut), np.uint64)
-            tokens.view(np.uint8).reshape(-1, 8)[:, :5] = cut
-            meta = np.column_stack([np.concatenate([np.frombuffer(x[k], kind) for x in parts]).astype(np.int64) for k, kind in ((1, np.int64), (2, np.uint16), (3, np.uint8))])
-            del parts, cut
+            tokens, meta = _shared(held.pop(r))
+            if not len(tokens):
+                continue
             pairs, long = _lists_of(tokens, meta, small)
             for k in range(0, len(pairs), LIST_ROWS):
                 p = pairs[k : k + LIST_ROWS]
@@ -523,6 +538,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     if common * SIMILAR[1] >= (len(base) + len(s) - common) * SIMILAR[0]:
                         found.append((hub, member))
             yield {"a": [x[0] for x in found], "b": [x[1] for x in found]}
+        _WORDS.clear()
 
     return map_arrow(rows, each, "a binary, b binary")
 

@@ -42,7 +42,7 @@ LANDMARKS = 320
 ROUNDS = 5
 #: Of the soft maximum over a text's two highest words.
 SHARPNESS = 4
-#: Words whose value a worker remembers.
+#: Words whose value a task remembers.
 CACHE_WORDS = 500_000
 _NONE = -1.0
 #: Shorter words hold too few subsequences to tell anything, and count as clean.
@@ -149,6 +149,10 @@ class Model:
             known.update(zip(some, self.values(some), strict=True))
         return [self.probability(nlargest(2, map(known.__getitem__, x))) for x in cut]
 
+    def forget(self) -> None:
+        """Drop the remembered words: the model outlives the task that met them."""
+        self.__dict__.pop("known", None)
+
     def probability(self, top: list[float]) -> float:
         top = (top + [_NONE, _NONE])[:2]
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * combined(top) + self.shift))))
@@ -341,6 +345,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     def each(batches):
         for b in batches:
             yield {"doc_id": b.column(0), "score": model.value.scores(b.column(1).to_pylist())}
+        model.value.forget()
 
     scored = map_arrow(documents(docs), each, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -349,4 +354,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 def accepted_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents, all their columns, that score below the threshold."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
-    return filter_arrow(docs, lambda texts: [x < THRESHOLD for x in model.value.scores(texts)])
+    return filter_arrow(docs, lambda texts: [x < THRESHOLD for x in model.value.scores(texts)], done=lambda: model.value.forget())
