@@ -1,11 +1,15 @@
-"""What workers keep between tasks."""
+"""What workers keep between tasks, and the cutting of Latin texts."""
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 
-from harborscan.llm import common, ngram_join, toxicity
+from harborscan.llm import byte_bpe, common, ngram_join, toxicity
 
 
 def test_a_finished_task_gives_its_memory_back(spark, monkeypatch):
@@ -59,3 +63,17 @@ def test_only_shared_postings_are_unpacked():
     part = ngram_join._lists_of(got, meta, 8)
     assert np.array_equal(whole[0], part[0]) and [x.tolist() for x in whole[1]] == [x.tolist() for x in part[1]] and len(part[1]) == 1
     assert not len(ngram_join._shared([packed(0, 5000)])[0])
+
+
+def test_latin_texts_are_cut_as_others():
+    cut, every = byte_bpe.splitter(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN).findall
+    assert byte_bpe.plain_pattern(public_tokenizers.PATTERN)
+    for c in range(0x260):
+        for t in (f"a {chr(c)}{chr(c)} b", f" {chr(c)}", f"  {chr(c)}1"):
+            assert cut(t) == every(t), (c, t)
+    r = random.Random(1)
+    for _ in range(5000):
+        t = "".join(r.choice("ab cd'sre\t\n  \x1c\x1d\x85\xa0²½12_-é'llßÄɏ中٣") for _ in range(r.randrange(30)))
+        assert cut(t) == every(t), t
+    for other in (r"\w+|\d", r"(?i:'s)|\p{L}+", r"\p{Lu}+", r"[a-z]+", r"[\S]", r"(?=a)a"):  # left to regex
+        assert byte_bpe.plain_pattern(other) is None
