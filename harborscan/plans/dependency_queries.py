@@ -171,15 +171,15 @@ def manifest_include_cycles(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {_INCLUDES_SQL}, f AS (SELECT 'req/' || c_custkey || '.txt' AS path, c_acctbal FROM customer WHERE c_acctbal > -500),
-r(path, constraint_only, depth) AS (SELECT path, false, 0 FROM f WHERE c_acctbal > 5000 UNION SELECT e.target, r.constraint_only OR e.constraint_only, depth + 1 FROM r JOIN e USING (path) JOIN f ON f.path = e.target WHERE depth < 8),
+r(path, constraint_only) AS (SELECT path, false FROM f WHERE c_acctbal > 5000 UNION SELECT e.target, r.constraint_only OR e.constraint_only FROM r JOIN e USING (path) JOIN f ON f.path = e.target),
 s AS (SELECT DISTINCT path, constraint_only FROM r), v AS (SELECT 'req/' || o_custkey || '.txt' AS path, 'pkg' || o_orderkey AS name, CASE WHEN o_orderstatus = 'O' THEN '1.' || o_custkey END AS version, CASE WHEN o_orderstatus = 'P' THEN '>=2' END AS declared FROM orders)
 SELECT path, name, CASE WHEN NOT constraint_only THEN version END AS version, CASE WHEN constraint_only OR version IS NULL THEN 'CONSTRAINT' ELSE 'EXACT' END AS version_kind, CASE WHEN constraint_only THEN 'UNKNOWN' ELSE 'DIRECT' END AS directness,
   CASE WHEN constraint_only THEN coalesce('==' || version, declared) ELSE declared END AS "constraint", constraint_only FROM v JOIN s USING (path)""")
 def dependency_constraint_files(spark, sf_dir):
-    """Records of all manifests reached from the roots: pins of constraints files become constraints."""
+    """Records of all manifests reached from the roots over any number of steps: pins of constraints files become constraints."""
     c, o = table(spark, sf_dir, "customer").where("c_acctbal > -500"), table(spark, sf_dir, "orders")
     name = lambda k: F.concat(F.lit("req/"), F.col(k).cast("string"), F.lit(".txt")).alias("path")
-    states = includes.reached(c.select(name("c_custkey")), _include_lines(spark, sf_dir), c.where("c_acctbal > 5000").select(name("c_custkey")))
+    states = includes.reachable(c.select(name("c_custkey")), _include_lines(spark, sf_dir), c.where("c_acctbal > 5000").select(name("c_custkey")))
     pinned = F.col("o_orderstatus") == "O"
     records = o.select(
         name("o_custkey"), F.concat(F.lit("pkg"), F.col("o_orderkey").cast("string")).alias("name"), F.when(pinned, F.concat(F.lit("1."), F.col("o_custkey").cast("string"))).alias("version"),

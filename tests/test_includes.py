@@ -70,3 +70,34 @@ def test_no_table_of_unbounded_size_is_sent_to_all_tasks(spark, monkeypatch):
     made = includes.reached(rows.select("path"), rows, rows.where("path = 'a'").select("path"))
     assert {(r.path, r.constraint_only, r.depth) for r in made.collect()} == {("a", False, 0), ("b", False, 1), ("a", True, 2), ("c", True, 2), ("b", True, 3), ("d", True, 3)}
     assert plans and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_states_are_reached_over_any_number_of_steps(spark, monkeypatch):
+    chain = [(f"f{k:02}", f"f{k + 1:02}", k == 9) for k in range(11)]  # longer than the eight steps of a walk
+    edges = spark.createDataFrame([*chain, ("f11", "f07", False), ("f05", "f05", False), ("alone", "alone", True), ("f02", "gone", False), ("f01", "f02", None)], "path string, target string, constraint_only boolean")
+    files = spark.createDataFrame([(f"f{k:02}",) for k in range(12)] + [("alone",), ("bare",)], "path string")
+    roots = spark.createDataFrame([("f00",), ("alone",), ("bare",), ("gone",)], "path string")
+    want = {(f"f{k:02}", k > 9) for k in range(12)} | {(f"f{k:02}", True) for k in range(7, 10)} | {("alone", False), ("alone", True), ("bare", False)}
+    assert {(r.path, r.constraint_only) for r in includes.reached(files, edges, roots).collect()} == want
+    for block, merges in ((1000, 24), (12, 24), (8, 1)):  # one block, parts that share blocks, parts cut into blocks
+        monkeypatch.setattr(includes, "BLOCK", block)
+        monkeypatch.setattr(includes, "MERGES", merges)
+        got = includes.reachable(files, edges, roots).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert includes.reachable(files, edges, roots.limit(0)).count() == 0 and includes.reachable(files, edges.limit(0), roots).count() == 3
+
+
+def test_blocks_of_a_random_graph(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}", rng.random() < 0.2) for _ in range(44)]
+    edges = spark.createDataFrame(rows, "path string, target string, constraint_only boolean")
+    files, roots = spark.createDataFrame([(f"n{k:02}",) for k in range(38)], "path string"), spark.createDataFrame([(f"n{k:02}",) for k in range(5)], "path string")
+    want = {(r.path, r.constraint_only) for r in includes.reached(files, edges, roots).collect()}
+    monkeypatch.setattr(includes, "BLOCK", 20)
+    assert {tuple(r) for r in includes.reachable(files, edges, roots).collect()} == want
+
+
+def test_query_of_constraints_files_has_no_depth():
+    from harborscan.plans import dependency_queries
+
+    assert "depth" not in dependency_queries.SQL["dependency_constraint_files"]
