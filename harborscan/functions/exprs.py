@@ -150,18 +150,22 @@ def running_total(df, order: list[str], value: Column, name: str):
     return ranged.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.sum("__value").over(within)).drop("__part", "__before", "__value")
 
 
-def running(rows, keys: list[str], part: str, order: list[str], **values: tuple[str, Column]):
+def running(rows, keys: list[str], part: str, order: list[str], whole: bool = False, **values: tuple[str, Column]):
     """rows with running aggregates over the rows of the same keys that come before them.
 
     values: name = (kind, column) with kind last (of those not null), max or sum. Rows are cut into parts that ascend with
     the order, and no key is one task's work: windows run within a part, and what the parts before it give is worked out
-    from one row a part. rows is read twice, so it should be a stored table or a cheap one.
+    from one row a part. rows is read twice, so it should be a stored table or a cheap one. Where it is known that no key has
+    rows in more than one part (``whole``), the window is all and rows is read once.
     """
     from pyspark.sql import Window
 
     kinds = {"last": lambda c: F.last(c, ignorenulls=True), "max": F.max, "sum": F.sum}
     totals = {"last": lambda c: F.max_by(c, F.when(c.isNotNull(), F.struct(*order))), "max": F.max, "sum": F.sum}
     before = Window.unboundedPreceding, -1
+    if whole:
+        alone = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*before)
+        return rows.withColumns({name: F.coalesce(F.sum(c).over(alone), F.lit(0)) if kind == "sum" else kinds[kind](c).over(alone) for name, (kind, c) in values.items()})
     own, earlier = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(*before), Window.partitionBy(*keys).orderBy(part).rowsBetween(*before)
     parts = rows.groupBy(*keys, part).agg(*(totals[kind](c).alias(f"__{name}") for name, (kind, c) in values.items()))
     carried = parts.select(*keys, part, *(kinds[kind](F.col(f"__{name}")).over(earlier).alias(f"__{name}") for name, (kind, _) in values.items()))

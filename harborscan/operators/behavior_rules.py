@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from harborscan.functions.exprs import fingerprint, match_spans, redact_path
 
@@ -43,30 +43,53 @@ OUT_FILE, START_FILE = r"(?iU)(?<!\w)-OutFile\s+[\"']?([A-Za-z0-9._/-]{1,128})",
 SCRIPT_GROUPS = ["javascript", "typescript", "jsx", "tsx"]
 
 
+def is_live(text: Column, max_bytes: int = 8192) -> Column:
+    start = F.regexp_replace(text, r"^\s+", "")
+    comment = start.startswith("#") | start.startswith("//") | start.startswith("REM ") | start.startswith("rem ") | start.startswith("::")
+    return (F.octet_length(text) <= max_bytes) & (start != "") & ~comment
+
+
 def live(lines: DataFrame, max_bytes: int = 8192) -> DataFrame:
     """Lines up to the limit that are neither blank nor comments."""
-    start = F.regexp_replace("text", r"^\s+", "")
-    comment = start.startswith("#") | start.startswith("//") | start.startswith("REM ") | start.startswith("rem ") | start.startswith("::")
-    return lines.where((F.octet_length("text") <= max_bytes) & (start != "") & ~comment)
+    return lines.where(is_live(F.col("text"), max_bytes))
 
 
-def hits(lines: DataFrame, max_bytes: int = 8192) -> DataFrame:
-    """path, line, col, rule_id, confidence, for lines (path, language, line, text): one row per match."""
-    group = F.when(F.col("language").isin(*SCRIPT_GROUPS), "javascript").otherwise(F.col("language"))
+def _group(language: Column) -> Column:
+    return F.when(language.isin(*SCRIPT_GROUPS), "javascript").otherwise(language)
+
+
+def matches(text: Column, language: Column) -> Column:
+    """Whether any rule of its language matches a line."""
+    out = F.lit(False)
+    for name, rules in RULES.items():
+        out = F.when(_group(language) == name, text.rlike("(?iU)" + "|".join(f"(?:{pattern})" for _, pattern in rules))).otherwise(out)
+    return out
+
+
+def confidence_of(text: Column) -> Column:
+    return F.when(text.rlike("[\"']"), "LOW").otherwise("MEDIUM")
+
+
+def found_in(text: Column, language: Column) -> Column:
+    """array<struct<rule_id,rule_order,col>> of a line's matches."""
     none = F.array().cast("array<struct<rule_id:string,rule_order:int,col:int>>")
 
     def one(order: int, rule: str, pattern: str):
-        spans = match_spans(F.col("text"), "(?iU)" + pattern)
+        spans = match_spans(text, "(?iU)" + pattern)
         return F.coalesce(F.transform(spans, lambda s: F.struct(F.lit(f"BEHAVIOR.{rule}").alias("rule_id"), F.lit(order).alias("rule_order"), (s["start"] + 1).alias("col"))), none)
 
-    def of(language: str):
-        return F.concat(*(one(order, *x) for order, x in enumerate(RULES[language])))
+    def of(name: str):
+        return F.concat(*(one(order, *x) for order, x in enumerate(RULES[name])))
 
     found = none
-    for language in RULES:
-        found = F.when(group == language, of(language)).otherwise(found)
-    confidence = F.when(F.col("text").rlike("[\"']"), "LOW").otherwise("MEDIUM")
-    rows = live(lines, max_bytes).select("path", "line", confidence.alias("confidence"), F.inline(found))
+    for name in RULES:
+        found = F.when(_group(language) == name, of(name)).otherwise(found)
+    return found
+
+
+def hits(lines: DataFrame, max_bytes: int = 8192) -> DataFrame:
+    """path, line, col, rule_id, confidence, for lines (path, language, line, text): one row per match."""
+    rows = live(lines, max_bytes).select("path", "line", confidence_of(F.col("text")).alias("confidence"), F.inline(found_in(F.col("text"), F.col("language"))))
     return rows.select("path", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), "rule_id", "confidence", "rule_order")
 
 

@@ -241,14 +241,15 @@ def assessments(findings: DataFrame, support: DataFrame, related: DataFrame, inc
     pairs = support.select(F.substring("src", 3, 64).alias("supporter"), F.substring("dst", 3, 64).alias("fingerprint")).distinct()
     ranked = f.select(F.col("fingerprint").alias("supporter"), rank(F.col("confidence"), CONFIDENCES).alias("r"))
     weakest = pairs.join(ranked, "supporter").groupBy("fingerprint").agg(F.min("r").alias("weakest"), F.count("*").alias("n_supporters"))
-    touched = related.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select(F.substring("node", 3, 64).alias("fingerprint"), F.lit(True).alias("near_network"))
+    touched = related.select(F.explode(F.array("src", "dst")).alias("node")).select(F.substring("node", 3, 64).alias("fingerprint")).distinct().withColumn("near_network", F.lit(True))
     primary = f.join(pairs.select(F.col("supporter").alias("fingerprint")).distinct(), "fingerprint", "left_anti")
     rows = primary.join(weakest, "fingerprint", "left").join(touched, "fingerprint", "left")
     sast, supported = F.col("scanner_id").isin("sast", "sast.python"), F.col("n_supporters").isNotNull()
     number = F.least(rank(F.col("confidence"), CONFIDENCES), F.coalesce("weakest", F.lit(9)))
     number = F.least(number, F.lit(1)) if incomplete else number
-    exposure = F.when(F.col("source_category") == "HTTP_INPUT", "EXTERNAL_INPUT").when(F.col("near_network"), "NETWORK_CONTEXT").otherwise("UNKNOWN")
-    bonus = F.when(supported & (number == 2) & (exposure == "EXTERNAL_INPUT") & F.col("severity").isin("LOW", "MEDIUM"), 1).otherwise(0)
+    external = F.coalesce(F.col("source_category") == "HTTP_INPUT", F.lit(False))  # what the priority needs: a gate spares the join of ``related``
+    exposure = F.when(external, "EXTERNAL_INPUT").when(F.col("near_network"), "NETWORK_CONTEXT").otherwise("UNKNOWN")
+    bonus = F.when(supported & (number == 2) & external & F.col("severity").isin("LOW", "MEDIUM"), 1).otherwise(0)
     priority = F.lower(unrank(F.least(rank(F.col("severity"), SEVERITIES) + bonus, F.lit(4)), SEVERITIES))
     return rows.select(
         short_id("assessment-v1", short_id("group-v1", F.col("fingerprint"))).alias("assessment_id"), "fingerprint", "scanner_id", "rule_id", "path", "line", "severity", unrank(number, CONFIDENCES).alias("confidence"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from harborscan.functions.exprs import entropy, fingerprint, match_spans, redact_path, running
+from harborscan.functions.exprs import entropy, fingerprint, let, match_spans, redact_path, running
 from harborscan.functions.scratch import stored
 
 # The rules' expressions. (?U) makes \w and \b know all letters, as the rules mean them.
@@ -15,6 +15,8 @@ PROVIDERS = [
     ("SECRET.SLACK.TOKEN", "slack", r"\bxox[baprs]-[A-Za-z0-9-]{20,128}\b", "HIGH", "HIGH"),
     ("SECRET.GITLAB.TOKEN", "gitlab", r"\bglpat-[A-Za-z0-9_-]{20,128}\b", "HIGH", "HIGH"),
 ]
+#: What every provider's token begins with.
+PROVIDER_MARK = r"gh[pousr]_|AKIA|ASIA|sk_|xox|glpat-"
 CONNECTION = r"(?iU)\b(postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s:@/]{1,128}:[^\s@/]{1,256}@"
 ASSIGNMENT_KEY = "aws_secret_access_key|api[_-]?key|api[_-]?token|client[_-]?secret|access[_-]?token|auth[_-]?token|password|passwd|private[_-]?key|connection[_-]?string|secret|token"
 ASSIGNMENT = rf"(?iU)(?<![\w-])({ASSIGNMENT_KEY})[\"']?\s*(?::|=)\s*(\"[^\"\r\n]{{0,256}}\"|'[^'\r\n]{{0,256}}'|[^\s,;#]{{0,256}})"
@@ -35,8 +37,8 @@ CANDIDATE = "array<struct<rule_id:string,label:string,start:int,end:int,severity
 
 
 def is_placeholder(value: Column) -> Column:
-    v = F.regexp_replace(value, "^[\"'`\\s]+|[\"'`\\s]+$", "")
-    return (v == "") | F.lower(v).isin("none", "null", "nil", "undefined", "false") | v.rlike(PLACEHOLDER) | v.rlike(REFERENCE)
+    bare = F.regexp_replace(value, "^[\"'`\\s]+|[\"'`\\s]+$", "")
+    return let(bare, lambda v: (v == "") | F.lower(v).isin("none", "null", "nil", "undefined", "false") | v.rlike(PLACEHOLDER) | v.rlike(REFERENCE))
 
 
 def classes(value: Column) -> Column:
@@ -57,7 +59,7 @@ def _provider(text: Column, rule: str, label: str, pattern: str, severity: str,
 
 
 def provider_candidates(text: Column) -> Column:
-    return F.concat(*(_provider(text, *p) for p in PROVIDERS)).cast(CANDIDATE)
+    return F.when(text.rlike(PROVIDER_MARK), F.concat(*(_provider(text, *p) for p in PROVIDERS)).cast(CANDIDATE)).when(text.isNotNull(), _none())
 
 
 def private_key_candidates(text: Column) -> Column:
@@ -89,14 +91,17 @@ def jwt_candidates(text: Column) -> Column:
 
 def assignment_part(s: Column) -> Column:
     """key, value, start and end of what the assignment's expression matched; a quote that is not closed is no value."""
-    raw = F.regexp_extract(s["value"], rf"(?iU)^(?:{ASSIGNMENT_KEY})[\"']?\s*(?::|=)\s*(.*)$", 1)
-    quoted = raw.rlike("^([\"']).*\\1$") & (F.length(raw) >= 2)
-    opened = raw.rlike("^[\"']") & (F.length(raw) >= 2)
-    key = F.regexp_replace(F.lower(F.regexp_extract(s["value"], rf"(?iU)^({ASSIGNMENT_KEY})", 1)), "-", "_")
-    return F.struct(
-        key.alias("key"), F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw).alias("value"),
-        (s["end"] - F.length(raw) + opened.cast("int")).alias("start"), (s["end"] - opened.cast("int")).alias("end"),
-    )
+
+    def part(raw: Column) -> Column:
+        quoted = raw.rlike("^([\"']).*\\1$") & (F.length(raw) >= 2)
+        opened = raw.rlike("^[\"']") & (F.length(raw) >= 2)
+        key = F.regexp_replace(F.lower(F.regexp_extract(s["value"], rf"(?iU)^({ASSIGNMENT_KEY})", 1)), "-", "_")
+        return F.struct(
+            key.alias("key"), F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw).alias("value"),
+            (s["end"] - F.length(raw) + opened.cast("int")).alias("start"), (s["end"] - opened.cast("int")).alias("end"),
+        )
+
+    return let(F.regexp_extract(s["value"], rf"(?iU)^(?:{ASSIGNMENT_KEY})[\"']?\s*(?::|=)\s*(.*)$", 1), part)
 
 
 def looked_up_apart(parts: Column) -> Column:
@@ -138,7 +143,7 @@ def without_overlaps(candidates: Column) -> Column:
     ordered = F.transform(F.sort_array(keyed), lambda k: k["c"])
     kept = F.aggregate(ordered, _none(), lambda acc, c: F.when(F.exists(acc, lambda a: (a["start"] < c["end"]) & (c["start"] < a["end"])), acc).otherwise(F.concat(acc, F.array(c))))
     by_place = F.sort_array(F.transform(kept, lambda c: F.struct(c["start"].alias("s"), c["end"].alias("e"), c["rule_id"].alias("r"), c.alias("c"))))
-    return F.transform(by_place, lambda k: k["c"])
+    return F.when(F.size(candidates) <= 1, candidates).otherwise(F.transform(by_place, lambda k: k["c"]))
 
 
 #: A line without any of these words or marks has no candidate: a cheap test before the detectors.
@@ -173,14 +178,15 @@ def key_blocks(lines: DataFrame) -> DataFrame:
     return marks.select("path", F.col("line").alias("begin"), ends.alias("end"), ((F.col("mark") == "B") & opened).alias("__opens")).where("__opens").drop("__opens")
 
 
-def swept(rows: DataFrame) -> DataFrame:
+def swept(rows: DataFrame, whole: bool = False) -> DataFrame:
     """rows (path, line, mark and others) with inside_key: whether the last mark on an earlier line of the file opened a
     block. The line of BEGIN counts as outside, that of END as inside.
 
-    The open block is carried from part to part of a file, so no join by ranges is made and no file is one task.
+    The open block is carried from part to part of a file, so no join by ranges is made and no file is one task. ``whole``:
+    no file has more lines than a part.
     """
     parted = rows.withColumn("__part", F.floor(F.col("line") / PART_LINES))
-    known = running(parted, ["path"], "__part", ["line"], __open=("last", F.col("mark")))
+    known = running(parted, ["path"], "__part", ["line"], whole, __open=("last", F.col("mark")))
     return known.withColumn("inside_key", F.coalesce(F.col("__open") == "B", F.lit(False))).drop("__part", "__open")
 
 
@@ -227,10 +233,12 @@ def capped(hits: DataFrame, per_rule: int = 100, per_file: int = 100) -> DataFra
     return ruled.withColumn("__f", F.row_number().over(Window.partitionBy("path").orderBy(*order))).where(F.col("__f") <= per_file).drop("__f")
 
 
-def near_pairs(hits: DataFrame, lines: int = 5) -> DataFrame:
-    """AWS ids and secrets within some lines of each other in a file become HIGH / HIGH: one window per side, no join."""
+def near_pairs(hits: DataFrame, lines: int = 5, counts: Column | None = None) -> DataFrame:
+    """AWS ids and secrets within some lines of each other in a file become HIGH / HIGH: one window per side, no join.
+    Hits for which ``counts`` does not hold are no part of a pair."""
     around = Window.partitionBy("path").orderBy("line").rangeBetween(-lines, lines)
-    is_id, is_secret = F.col("label") == "aws_access_key_id", F.col("label") == "aws_secret_access_key"
+    label = F.col("label") if counts is None else F.when(counts, F.col("label"))
+    is_id, is_secret = label == "aws_access_key_id", label == "aws_secret_access_key"
     both = (is_id & F.max(is_secret).over(around)) | (is_secret & F.max(is_id).over(around))
     raised = hits.withColumn("__both", F.coalesce(both, F.lit(False)))
     return raised.withColumns({c: F.when(F.col("__both"), "HIGH").otherwise(F.col(c)) for c in ("severity", "confidence")}).drop("__both")
