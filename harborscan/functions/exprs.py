@@ -69,19 +69,17 @@ def let(value: Column, use) -> Column:
 
 def entropy(value: Column) -> Column:
     """Shannon entropy in bits a character, rounded to six places; 0 for empty values and those over 1024 characters."""
-    chars = F.split(value, "")
-    share = F.transform(F.array_distinct(chars), lambda c: (F.length(value) - F.length(F.replace(value, c, F.lit("")))) / F.length(value))
-    bits = F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    share = lambda n: F.transform(F.array_distinct(F.split(value, "")), lambda c: (n - F.length(F.replace(value, c, F.lit("")))) / n)
+    bits = let(F.length(value), lambda n: F.aggregate(share(n), F.lit(0.0), lambda a, p: a - p * F.log2(p)))
     return F.round(F.when((F.length(value) > 0) & (F.length(value) <= 1024), bits).otherwise(0.0), 6)
 
 
 def fingerprint(*fields: Column | str) -> Column:
     """SHA-256 over the fields, each as four big-endian length bytes and its UTF-8 bytes."""
-    parts = []
-    for f in fields:
-        text = F.lit(f) if isinstance(f, str) else f.cast("string")
-        parts += [F.unhex(F.lpad(F.hex(F.octet_length(text)), 8, "0")), F.encode(text, "utf-8")]
-    return F.sha2(F.concat(*parts), 256)
+    # A fold over the fields: written out for each, they make a method that Java leaves uncompiled.
+    texts = F.array(*(F.lit(f) if isinstance(f, str) else f.cast("string") for f in fields))
+    part = lambda text: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(text)), 8, "0")), F.encode(text, "utf-8"))
+    return F.sha2(F.aggregate(texts, F.lit(b""), lambda acc, text: F.concat(acc, part(text))), 256)
 
 
 def fingerprint_sql(*fields: str) -> str:

@@ -62,9 +62,10 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(table, suffix_of(path))
 
 
-def kind_of(path: Column, language: Column, magic: Column | None = None) -> Column:
-    """The kind of a text file (or of a binary one where magic is given); the order of the cases matters."""
-    name, suffix = name_of(path), suffix_of(path)
+def kind_of(path: Column, language: Column, magic: Column | None = None, name: Column | None = None, suffix: Column | None = None) -> Column:
+    """The kind of a text file (or of a binary one where magic is given); the order of the cases matters. Where a table has
+    name_of and suffix_of the path as columns, they are not worked out for each case."""
+    name, suffix = name_of(path) if name is None else name, suffix_of(path) if suffix is None else suffix
     start = F.when(magic.isin("pe", "elf", "mach_o"), "EXECUTABLE").when(magic.isin("zip", "gzip"), "ARCHIVE") if magic is not None else F.when(F.lit(False), "")
     script = language.isin(*SCRIPTS)
     return (
@@ -83,11 +84,8 @@ def kind_of(path: Column, language: Column, magic: Column | None = None) -> Colu
 
 
 def magic_of(content: Column) -> Column:
-    head = F.hex(F.substring(content, 1, 8))
-    out = F.lit(None).cast("string")
-    for mark, kind in reversed(MAGIC.items()):
-        out = F.when(head.startswith(mark), kind).otherwise(out)
-    return out
+    table = F.create_map(*(F.lit(x) for pair in MAGIC.items() for x in pair))
+    return F.try_element_at(table, F.regexp_extract(F.hex(F.substring(content, 1, 8)), f"^({'|'.join(MAGIC)})", 1))
 
 
 def inventory(artifacts: DataFrame) -> DataFrame:
@@ -146,9 +144,11 @@ def _any(conditions) -> Column:
 def scope_of(path: Column, include: list[str] = (), exclude: list[str] = (), folder: bool = False) -> Column:
     """Why a path is out of scope, or null: trusted includes win, then default folders and files, then the user's patterns."""
     out = F.when(_any(glob_matches(i, path, folder) for i in include), F.lit(None).cast("string"))
-    parts = F.split(path, "/") if folder else _folders(path)
-    for scope, names in SCOPE.items():
-        out = out.when(F.arrays_overlap(parts, F.array(*map(F.lit, names))), f"EXCLUDED_DEFAULT_{SCOPE_REASON[scope]}")
+    under = lambda names: rf"(?:^|/)(?:{'|'.join(map(re.escape, names))})(?:/{'|' + chr(92) + 'z' if folder else ''})"
+    which = F.lit(None).cast("string")
+    for scope, names in reversed(SCOPE.items()):
+        which = F.when(path.rlike(under(names)), f"EXCLUDED_DEFAULT_{SCOPE_REASON[scope]}").otherwise(which)
+    out = out.when(path.rlike(under([n for names in SCOPE.values() for n in names])), which)  # one look for most paths
     if not folder:
         name = F.substring_index(path, "/", -1)
         for pattern, scope in SCOPE_FILES.items():
@@ -252,6 +252,8 @@ def sniff(content: Column, prefix: int = 8192, longest: int = 8192) -> Column:
 
     @F.pandas_udf(SNIFF)
     def decoded(heads: pd.Series) -> pd.DataFrame:
+        if heads.isna().all():  # none that needs a look
+            return pd.DataFrame({"content_kind": "TEXT", "encoding": "utf-8", "first_line": "", "long_line": False, "decode_failed": False}, index=heads.index)
         return pd.DataFrame([_sniffed(bytes(h) if h is not None else b"", longest) for h in heads], columns=["content_kind", "encoding", "first_line", "long_line", "decode_failed"])
 
     head = F.substring(content, 1, prefix)
@@ -262,8 +264,8 @@ def sniff(content: Column, prefix: int = 8192, longest: int = 8192) -> Column:
 
 def in_tests(path: Column) -> Column:
     """Paths whose secrets may be made up: test folders, and file names of test runners."""
-    folders, name = F.transform(_folders(path), F.lower), name_of(path)
-    return F.arrays_overlap(folders, F.array(F.lit("test"), F.lit("tests"))) | name.startswith("test_") | name.endswith("_test.py") | name.rlike(r"\.(test|spec)\.(js|jsx|ts|tsx|mjs|mts|cjs|cts)$")
+    name = name_of(path)
+    return F.lower(path).rlike(r"(?:^|/)tests?/") | name.startswith("test_") | name.endswith("_test.py") | name.rlike(r"\.(test|spec)\.(js|jsx|ts|tsx|mjs|mts|cjs|cts)$")
 
 
 def tagged_as_test(path: Column) -> Column:

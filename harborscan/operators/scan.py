@@ -68,14 +68,15 @@ def read(files: DataFrame, include: list[str] = (), exclude: list[str] = ()) ->
     """
     path = F.col("path")
     known = files.select("path", F.octet_length("content").cast("long").alias("size_bytes"), discovery.scope_of(path, include, exclude).alias("reason"), "content")
-    known = known.withColumn("content", F.when(F.col("reason").isNull(), F.col("content"))).withColumn("s", _told(F.col("content"))).withColumn("language", discovery.language_of(path))
-    magic = discovery.magic_of(F.col("content"))
-    rows = known.select("path", "size_bytes", "reason", "content", "s.content_kind", F.lower("s.encoding").alias("encoding"), "language", discovery.kind_of(path, F.coalesce("language", F.lit("")), magic).alias("kind"))
+    known = known.withColumn("content", F.when(F.col("reason").isNull(), F.col("content"))).withColumns({"s": _told(F.col("content")), "language": discovery.language_of(path), "magic": discovery.magic_of(F.col("content")), "name": discovery.name_of(path), "suffix": discovery.suffix_of(path)})
+    kind = discovery.kind_of(path, F.coalesce("language", F.lit("")), F.col("magic"), F.col("name"), F.col("suffix"))
+    rows = known.select("path", "size_bytes", "reason", "content", "s.content_kind", F.lower("s.encoding").alias("encoding"), "language", kind.alias("kind"))
     takes = {c: discovery.admission_of(c) & F.col("reason").isNull() for c in ("secrets", "behavior")}
     rows = rows.withColumns(takes | {"in_tests": discovery.in_tests(path)})
     utf8, raw = F.col("encoding").isin("utf-8", "utf-8-sig", "ascii"), F.col("content").cast("string")
     plain = F.when(F.is_valid_utf8(raw), raw)
-    other = _decoded(F.when(F.col("secrets") & ~utf8, F.col("content")), F.coalesce("encoding", F.lit("utf-8")))
+    odd = F.col("secrets") & ~utf8
+    other = _decoded(F.when(odd, F.col("content")), F.when(odd, F.col("encoding")))
     return rows.withColumn("text", F.when(F.col("secrets"), F.regexp_replace(F.when(utf8, plain).otherwise(other), "^\ufeff", ""))).drop("content")
 
 
@@ -139,7 +140,7 @@ def _candidates(lines: DataFrame, whole: bool) -> tuple[DataFrame, Observation]:
     literal = js.where(text.rlike(secret_rules.CONTEXT)).withColumn("l", secret_context.literals_of("text")).withColumn("e", entropic)
     inside = F.filter("e", lambda c: F.exists("l", lambda s: (s["start"] <= c["start"]) & (c["end"] <= s["end"])) & ~secret_context.made_up(_value(c), F.col("in_tests"), True))
     unmarked = F.lit(None).cast("string").alias("mark")
-    more = secret_context.js_assignments(js.select("path", "line", "text", "proven", "before")).select("path", "line", unmarked, F.array(F.struct(*(F.col(f) for f in _fields()))).cast(CANDIDATE).alias("c"))
+    more = secret_context.js_found(js.select("path", "line", "text", "proven", "before")).select("path", "line", unmarked, "c")
     more = js.select("path", "line", "mark", plain.alias("c")).unionByName(more).unionByName(literal.select("path", "line", unmarked, inside.alias("c")))
     of_js = more.groupBy("path", "line").agg(F.max("mark").alias("mark"), F.flatten(F.collect_list("c")).alias("c"))  # of one line
     both = first.unionByName(of_js).where((F.size("c") > 0) | F.col("mark").isNotNull())
@@ -147,10 +148,6 @@ def _candidates(lines: DataFrame, whole: bool) -> tuple[DataFrame, Observation]:
     return swept.select("path", "line", F.when(F.col("inside_key"), none).otherwise(F.col("c")).alias("c")), seen
 
 
-def _fields() -> list[str]:
-    return ["rule_id", "label", "start", "end", "severity", "confidence", "priority", "value_length"]
-
-
 def limited(hits: DataFrame, per_rule: int, per_file: int, whole: bool = False) -> DataFrame:
     """hits with ``over``: beyond the first of a rule or of all in a file. Places are running sums over parts of a file, so
     that a file of any number of hits is many tasks' work; ``whole``: no file has more lines than a part."""
@@ -172,17 +169,17 @@ def _secrets(lines: DataFrame, most: dict[str, int], whole: bool) -> tuple[DataF
     kept = found.withColumn("k", chosen).observe(seen, n.cast("long").alias("candidates"), (n - m).cast("long").alias("duplicates"))
     hits = limited(kept.select("path", "line", F.inline("k")), most["per_rule"], most["per_file"], whole)
     hits = secret_rules.near_pairs(hits if whole else stored(hits, "ruled"), counts=~F.col("over"))
-    hits = stored(hits.observe(told, F.count_if(~F.col("over")).cast("long").alias("within")), "limited")
+    hits = stored(hits.withColumn("shown", redact_path(F.col("path"))).observe(told, F.count_if(~F.col("over")).cast("long").alias("within")), "limited")
     within = hits.where("NOT over").drop("over")
     if told.get["within"] <= most["total"]:  # no order of all hits where none is beyond the total
         placed = within.withColumn("state", F.lit("EMITTED"))
     else:
         placed = stored(secret_context.global_cap(within, most["total"]).drop("place"), "placed")
     raw = F.col("path")
-    masked = placed.where("state = 'EMITTED'").withColumns({"file": raw, "ordinal": F.col("start"), "by": F.substring(F.sha2(raw, 256), 1, 16)}).withColumn("path", redact_path(raw))
+    masked = placed.where("state = 'EMITTED'").withColumns({"file": raw, "ordinal": F.col("start"), "by": F.substring(F.sha2(raw, 256), 1, 16)}).withColumn("path", F.col("shown")).drop("shown")
     # Marks tell paths apart, so that only findings of masked paths can share one: no path as it is equals a masked one unless it has the mask's word.
     shared = F.coalesce(F.col("path").contains("[REDACTED]"), F.lit(True))
-    marked = stored(secret_context.distinct_marks(masked.where(shared), F.col("by"), F.substring("by", 1, 2)), "marked")
+    marked = stored(secret_context.distinct_marks(stored(masked.where(shared), "masked"), F.col("by"), F.substring("by", 1, 2)), "marked")
     found = marked.unionByName(secret_context.own_marks(masked.where(~shared)))
     marks = looked.where("mark IS NOT NULL").groupBy("path").agg(F.max_by("mark", "line").alias("last")).where("last = 'B'")
     note = lambda df, code: df.select(F.lit(code).alias("code"), "path").distinct()

@@ -118,8 +118,10 @@ def assignment_candidates(text: Column) -> Column:
 
 def rated_assignments(parts: Column, example: Column) -> Column:
     """Candidates of array<struct<key,value,start,end>>: weak values survive for password-like keys only."""
-    cut = F.filter(parts, lambda p: ~is_placeholder(p["value"]) & ~p["value"].rlike(UUID) & (F.length(p["value"]) >= 8) & (F.length(p["value"]) <= 256) & (classes(p["value"]) >= 2))
-    rated = F.transform(cut, lambda p: F.struct(p["key"].alias("key"), p["start"].alias("start"), p["end"].alias("end"), ((F.length(p["value"]) >= 16) & (classes(p["value"]) >= 3) & (entropy(p["value"]) >= 3.2)).alias("strong")))
+    fits = F.filter(parts, lambda p: (F.length(p["value"]) >= 8) & (F.length(p["value"]) <= 256))
+    sized = F.transform(fits, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"), p["start"].alias("start"), p["end"].alias("end"), classes(p["value"]).alias("n")))
+    cut = F.filter(sized, lambda p: (p["n"] >= 2) & ~is_placeholder(p["value"]) & ~p["value"].rlike(UUID))
+    rated = F.transform(cut, lambda p: F.struct(p["key"].alias("key"), p["start"].alias("start"), p["end"].alias("end"), ((F.length(p["value"]) >= 16) & (p["n"] >= 3) & (entropy(p["value"]) >= 3.2)).alias("strong")))
     kept = F.filter(rated, lambda p: p["strong"] | p["key"].isin("password", "passwd", "aws_secret_access_key", "client_secret"))
     aws = lambda p: p["key"] == "aws_secret_access_key"
     return F.transform(kept, lambda p: as_candidate(F.lit("SECRET.GENERIC.ASSIGNMENT"), p["key"], p["start"], p["end"], F.when(p["strong"] & aws(p), "HIGH").otherwise("MEDIUM"), F.when(example, "LOW").when(p["strong"] & aws(p), "HIGH").when(p["strong"], "MEDIUM").otherwise("LOW"), 4))

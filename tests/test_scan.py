@@ -84,3 +84,16 @@ def test_plain_text_is_told_without_python(spark):
     df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, c binary")
     both = df.select("k", scan._told(F.col("c")).alias("s"), discovery.sniff(F.col("c")).alias("t")).collect()
     assert [(r.k, *r.s) for r in both] == [(r.k, r.t.content_kind, r.t.encoding) for r in both]
+
+
+def test_a_gate_spares_what_does_not_change_it(spark):
+    """Neighbours of network calls change no priority, so the decision does not join them; assessments tell them all the same."""
+    from harborscan.operators import correlation, report
+
+    row = ("a" * 64, "secrets", "secret", "R", "p", 1, 1, "HIGH", "LOW")
+    other = ("b" * 64, "behavior.static", "behavior", "BEHAVIOR.NETWORK_REQUEST", "p", 2, 1, "INFO", "LOW")
+    found = spark.createDataFrame([row, other], "fingerprint string, scanner_id string, category string, rule_id string, path string, line long, col long, severity string, confidence string")
+    assessed = correlation.assessments(found, correlation.supports(found), correlation.secret_network(found))
+    assert {r.exposure for r in assessed.collect()} == {"NETWORK_CONTEXT"}
+    gate = report.gate(assessed, spark.createDataFrame([("COMPLETE",)], "overall string"))
+    assert "s_line" not in gate._jdf.queryExecution().optimizedPlan().toString() and gate.first().n_blockers == 1
